@@ -4,18 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from photonlake.llm import bpe, rans, token_counts, topk, toxicity
+from photonlake.llm.ann import PostingSearch
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.corpus_history(spark, sf_dir)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(spark).run(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = rans.TokenFiles(spark, rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), vocabulary=50257, end_id=0)
+    return files.read(files.write(table(spark, sf_dir, "documents")))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.PivotSearch(spark).run(table(spark, sf_dir, "embeddings"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return PostingSearch(spark).run(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_toxicity": op3_toxicity,
+    "op4_token_files": op4_token_files,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_token_counts": token_counts.SQL,
+    "op7_exact_top_k": topk.SQL,
+}
