@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from photonlake.llm import bytescan as B
 from photonlake.llm.pieces import HashTable, PieceIds
@@ -155,7 +156,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
 
 def _encoded(docs: DataFrame, vocabulary: str, text: str) -> DataFrame:
     at = docs.columns.index(text)
-    schema = docs.schema.add("ids", "binary", False)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType(), False)])
 
     def run(batches):
         bpe = load(vocabulary)
@@ -170,7 +171,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The rows of ``encoded`` with ``decoded``: the bytes that ``ids`` stand for."""
     encoded = encoded.drop("decoded")
     at = encoded.columns.index("ids")
-    schema = encoded.schema.add("decoded", "binary", False)
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches):
         bpe = load(vocabulary)
