@@ -6,10 +6,12 @@
    of their retained values (six standard deviations below the mean of a binomial of k draws; for sets that
    a sketch holds whole, the exact overlap), so a sketch needs to enter only its size - ``least`` + 1 rarest
    values: passages that very many documents share are met only by documents made of little else.
-3. A list is not expanded into its pairs. Each list first compares all members with one pivot (the class
-   with most copies); members that the pivot joins are one component and need no further comparison. What
-   remains are pairs of different components in one list. Of these the triangle inequality of the Jaccard
-   distance rules out a member linked to the pivot against one further than twice the limit from it.
+3. A list is not expanded into its pairs. In each of a few rounds it compares all members with one pivot
+   (the set whose values most others hold); members that the pivot joins are one component and need no
+   further comparison. What remains are pairs of different components in one list. Of these the triangle
+   inequality of the Jaccard distance rules out a member linked to a pivot against one further than twice
+   the limit from it. Long lists that are left are compared in blocks of members whose links alone leave a
+   task.
 4. Pairs pass a union-sketch estimate before the exact Jaccard of whole sets, recomputed from the texts of
    those documents alone, decides.
 """
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +47,8 @@ class NearDuplicates:
     that repeat a doc_id belong together by that id.
     """
 
-    def __init__(self, spark: SparkSession, percent: int = 75, k: int = 64):
-        self.spark, self.percent, self.k = spark, percent, k
+    def __init__(self, spark: SparkSession, percent: int = 75, k: int = 64, rounds: int = 2, long_list: int = 24):
+        self.spark, self.percent, self.k, self.rounds, self.long_list = spark, percent, k, rounds, long_list
         self.least = least_shared(k, percent / 100)
         self.far = least_shared(k, max(0.0, 2 * percent / 100 - 1))
         self.scratch = Scratch(spark, "near-dup")
@@ -55,9 +59,9 @@ class NearDuplicates:
         sketched = self.scratch.table(sketches(docs, self.k), "sketches")
         classes = self._classes(sketched)
         postings = self.scratch.table(self._postings(sketched, classes), "postings")
-        first = self._star(sketched, docs, postings)
-        rest = self._rest(sketched, docs, postings, first)
-        links = first.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
+        known, open_ = self._stars(sketched, docs, postings)
+        rest = self._rest(sketched, docs, open_, known)
+        links = known.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
         found = components(links, self.scratch, "all")
         mine = sketched.select("doc_id", "n_shingles", "f1", "f2")
         own = mine.filter("doc_id is not null and n_shingles > 0").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"])
@@ -70,38 +74,86 @@ class NearDuplicates:
         return self.scratch.table(grouped, "classes")
 
     def _postings(self, sketched: DataFrame, classes: DataFrame) -> DataFrame:
-        """(value, id, n, copies) of the rarest shared values of each class, as far as the prefix reaches."""
+        """(value, id, n, central) of the rarest shared values of each class, as far as the prefix reaches.
+
+        ``central``: mean number of classes that hold its values, largest for the text that others vary.
+        """
         heads = sketched.join(classes, (sketched.doc_id == classes.rep) & (sketched.n_shingles == classes.n_shingles) & (sketched.f1 == classes.f1) & (sketched.f2 == classes.f2))
-        values = heads.select(F.col("rep").alias("id"), classes.n_shingles.alias("n"), "copies", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+        values = heads.select(F.col("rep").alias("id"), classes.n_shingles.alias("n"), F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
         shared = values.groupBy("value").agg(F.count("*").alias("holders")).filter("holders > 1")
-        rare_first = Window.partitionBy("id", "n").orderBy("holders", "value")
-        ranked = values.join(shared, "value").withColumn("rank", F.row_number().over(rare_first)).withColumn("common", F.count("*").over(Window.partitionBy("id", "n")))
+        own = Window.partitionBy("id", "n")
+        ranked = values.join(shared, "value").withColumn("rank", F.row_number().over(own.orderBy("holders", "value")))
+        ranked = ranked.withColumn("common", F.count("*").over(own)).withColumn("central", F.sum("holders").over(own) / F.col("held"))
         whole = F.col("n") * 100 <= self.k * self.percent
         overlap = F.when(whole, F.ceil(F.col("n") * self.percent / 100)).otherwise(F.lit(self.least))
         prefix = F.col("held") - overlap + 1 - (F.col("held") - F.col("common"))
         kept = ranked.filter(F.col("rank") <= prefix)
-        return kept.select("value", "id", "n", "copies")
-
-    def _star(self, sketched: DataFrame, docs: DataFrame, postings: DataFrame) -> DataFrame:
-        """Every list's members against its pivot: (a, b, linked, distant)."""
-        pivots = postings.groupBy("value").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"), "n")).alias("p"), F.count("*").alias("members")).filter("members > 1")
-        pairs = postings.join(pivots.select("value", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn")), "value").filter("id <> pivot")
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), _sizes_fit("n", "pn", self.percent).alias("fits")).filter("fits").select("a", "b").distinct()
-        return self._verified(sketched, docs, pairs, "star")
-
-    def _rest(self, sketched: DataFrame, docs: DataFrame, postings: DataFrame, first: DataFrame) -> DataFrame:
-        """Pairs of different components that still share a list."""
-        so_far = components(first.filter("linked"), self.scratch, "star")
-        placed = postings.join(so_far, postings.id == so_far.node, "left").select("value", "id", "n", "copies", F.coalesce("component", "id").alias("component"))
-        lists = placed.groupBy("value").agg(F.max(F.struct("copies", (-F.col("id")).alias("minus"))).alias("p"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        open_ = placed.join(lists.select("value", (-F.col("p.minus")).alias("pivot")), "value").filter("id <> pivot")
-        open_ = open_.withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(first, ["a", "b"], "left")
-        state = F.when(F.col("linked"), 2).when(F.coalesce("distant", F.lit(True)), 0).otherwise(1)
-        open_ = self.scratch.table(open_.select("value", "id", "n", "component", state.alias("state")), "open")
-        x, y = (open_.select("value", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component", "state")]) for s in "xy")
-        pairs = x.join(y, "value").filter("id_x < id_y and component_x <> component_y and abs(state_x - state_y) < 2").filter(_sizes_fit("n_x", "n_y", self.percent))
-        pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-        return self._verified(sketched, docs, pairs, "rest")
+        return kept.select("value", "id", "n", "central")
+
+    def _stars(self, sketched: DataFrame, docs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rounds in which every list that still spans components compares all its members with its next pivot.
+
+        Returns all verified pairs, and the lists that are left: (value, id, n, component, state of each round).
+        """
+        known, open_, states = None, postings.withColumn("component", F.col("id")), []
+        for round_ in range(self.rounds):
+            lists = open_.groupBy("value").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+            lists = lists.filter("low <> high").select("value", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
+            met = self.scratch.table(open_.join(lists, "value").filter("id <> pivot").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")), f"met-{round_}")
+            pairs = met.filter(F.col("component") != F.col("pc")).filter(_sizes_fit("n", "pn", self.percent)).select("a", "b").distinct()
+            if known is not None:
+                pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+            now = self._verified(sketched, docs, pairs, f"star-{round_}")
+            known = now if known is None else self.scratch.table(known.union(now), f"known-{round_}")
+            placed = components(known.filter("linked"), self.scratch, f"star-{round_}")
+            apart = ~_sizes_fit("n", "pn", 2 * self.percent - 100)
+            state = F.when(F.col("linked"), 2).when(F.coalesce("distant", F.lit(False)) | apart, 0).otherwise(1)
+            joined = met.join(known, ["a", "b"], "left").join(placed, met.id == placed.node, "left")
+            label = f"state_{round_}"
+            open_ = joined.select("value", "id", "n", "central", F.coalesce(placed.component, met.id).alias("component"), *states, state.alias(label))
+            states.append(label)
+            open_ = self.scratch.table(open_, f"open-{round_}")
+            self.scratch.drop(f"met-{round_}", *([f"open-{round_ - 1}"] if round_ else []))
+        return known, open_
+
+    def _rest(self, sketched: DataFrame, docs: DataFrame, open_: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs of different components that still share a list and that no pivot rules out: (a, b, linked)."""
+        lists = open_.groupBy("value").agg(F.count("*").alias("members"), F.min("n").alias("n_least"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        met = self.scratch.table(open_.join(lists.select("value", "members", "n_least"), "value"), "rest-lists")
+        x, y = (met.filter(F.col("members") <= self.long_list).select("value", *[F.col(c).alias(f"{c}_{s}") for c in met.columns if c != "value"]) for s in "xy")
+        pairs = x.join(y, "value").filter("id_x < id_y and component_x <> component_y").filter(_sizes_fit("n_x", "n_y", self.percent))
+        for r in range(self.rounds):
+            pairs = pairs.filter(f"abs(state_{r}_x - state_{r}_y) < 2")
+        pairs = pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        short = self._verified(sketched, docs, pairs, "rest").select("a", "b", "linked")
+        return short.union(self._long_lists(docs, met.filter(F.col("members") > self.long_list)))
+
+    def _long_lists(self, docs: DataFrame, met: DataFrame) -> DataFrame:
+        """Exact links inside long lists, by blocks of members: only links leave a pair of blocks.
+
+        Each member carries the values of its whole set that another member of a long list holds as well. Their
+        number bounds every intersection, which leaves out the texts that vary a common one too much.
+        """
+        ids = met.select(F.col("id").alias("doc_id")).distinct()
+        values = self.scratch.table(full_sets(docs.join(ids, "doc_id", "left_semi")).select("doc_id", F.explode("shingles").alias("v")).distinct(), "rest-values")
+        shared = values.groupBy("v").agg(F.count("*").alias("holders")).filter("holders > 1").select("v")
+        sets = values.join(shared, "v").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("v").alias("values"))
+        most = F.size("values")
+        kept = met.join(sets, "id").filter(100 * most >= self.percent * (F.col("n") + F.greatest("n_least", F.floor(F.col("n") * self.percent / 100)) - most))
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / 256)).cast("int").alias("block")
+        blocks = kept.select("value", block, F.struct("id", "n", "component", "values").alias("m")).groupBy("value", "block").agg(F.collect_list("m").alias("m"))
+        blocks = self.scratch.table(blocks, "rest-blocks")
+        x, y = (blocks.select("value", F.col("block").alias(f"block_{s}"), F.col("m").alias(f"m_{s}")) for s in "xy")
+        percent = self.percent
+
+        def run(batches):
+            for batch in batches:
+                for mx, my in zip(batch.column(0), batch.column(1), strict=True):
+                    a, b = _links_between(mx.values, my.values, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], names=["a", "b", "linked"])
+
+        met_blocks = x.join(y, "value").filter("block_x <= block_y").select("m_x", "m_y")
+        return self.scratch.table(met_blocks.mapInArrow(run, "a bigint, b bigint, linked boolean").distinct(), "rest-long")
 
     def _verified(self, sketched: DataFrame, docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
         """(a, b, linked, distant) of each pair: union-sketch estimate, then exact Jaccard on whole sets."""
@@ -125,3 +177,27 @@ class NearDuplicates:
         out = self.scratch.table(out, f"{label}-verified")
         self.scratch.drop(f"{label}-sets", f"{label}-judged")
         return out
+
+
+def _links_between(x: pa.StructArray, y: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (smaller id, larger id) of different components between two blocks of (id, n, component, values)."""
+    ids, n, own = ([m.field(k).to_numpy() for m in (x, y)] for k in ("id", "n", "component"))
+    flat = [m.field("values").flatten().to_numpy() for m in (x, y)]
+    rows = [np.repeat(np.arange(len(m)), np.diff(m.field("values").offsets.to_numpy())) for m in (x, y)]
+    common = np.intersect1d(flat[0], flat[1])
+    both = np.zeros((len(x), len(y)), np.float32)
+    place = [np.searchsorted(common, f) for f in flat]
+    held = [(p < len(common)) & (common[np.minimum(p, len(common) - 1)] == f) if len(common) else np.zeros(len(f), bool) for p, f in zip(place, flat, strict=True)]
+    for lo in range(0, len(common), 4096):
+        width = min(4096, len(common) - lo)
+        parts = []
+        for k, m in enumerate((x, y)):
+            use = held[k] & (place[k] >= lo) & (place[k] < lo + width)
+            part = np.zeros((len(m), width), np.float32)
+            part[rows[k][use], place[k][use] - lo] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    i = both.astype(np.int64)
+    linked = (100 * i >= percent * (n[0][:, None] + n[1] - i)) & (own[0][:, None] != own[1])
+    at, to = np.nonzero(linked)
+    return np.minimum(ids[0][at], ids[1][to]), np.maximum(ids[0][at], ids[1][to])
