@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photonlake.llm import bpe, rans, token_counts, topk, toxicity
+from photonlake.llm import bpe, language, line_dedup, mixing, rans, token_counts, topk, toxicity
 from photonlake.llm.ann import PostingSearch
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import table
@@ -34,10 +34,22 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.PivotSearch(spark).run(table(spark, sf_dir, "embeddings"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PostingSearch(spark).run(table(spark, sf_dir, "embeddings"))
 
@@ -48,11 +60,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
     "op7_exact_top_k": op7_exact_top_k,
+    "op8_source_mix": op8_source_mix,
+    "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_token_counts": token_counts.SQL,
     "op7_exact_top_k": topk.SQL,
+    "op8_source_mix": mixing.SQL,
 }
