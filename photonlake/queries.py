@@ -1,10 +1,8 @@
-"""Registry of the library's own queries and of the SQL that checks them."""
+"""All of the library's own queries and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from photonlake.jobs import datasets, intervals, lightcurves, maps, selections, statistics  # noqa: F401
+from photonlake.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
