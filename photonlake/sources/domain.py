@@ -116,7 +116,7 @@ with photons as (
   select vec_id, list_transform(embedding, lambda x: abs(x::double)) as flux from embeddings
 ), cube as (
   select floor((lon + 2.0005::double) / 0.1::double)::int as px, floor((lat + 2.0005::double) / 0.1::double)::int as py,
-    floor(energy / 2.500013::double)::int as e, count(*) as counts from photons group by all having floor(energy / 2.500013::double) between 0 and 3
+    floor(energy / 2.500013::double)::int as e, count(*) as counts from photons where floor(energy / 2.500013::double) between 0 and 3 group by all
 ), img as (
   select px, py, sum(counts)::bigint as counts from cube group by all
 )
