@@ -224,11 +224,11 @@ def j9(spark, sf):
     return out.select("event_id", F.round("value", 6).alias("value"))
 
 
-@query("j10_nearest_set_pixel", ", t as (select px, py from img where counts > (select quantile_cont(counts, 0.99) from img)), q as (select px as qx, py as qy from img where (px + py) % 7 = 0) select qx as px, qy as py, min(power(qx - px, 2) + power(qy - py, 2))::double as d2 from q, t group by all", D.SQL)
+@query("j10_nearest_set_pixel", ", t as (select px, py from img where counts >= (select quantile_cont(counts, 0.95) from img)), q as (select px as qx, py as qy from img where (px + py) % 7 = 0) select qx as px, qy as py, min(power(qx - px, 2) + power(qy - py, 2))::double as d2 from q, t group by all", D.SQL)
 def j10(spark, sf):
     image = _image(spark, sf)
-    limit = image.agg(F.percentile("value", 0.99).alias("limit"))
-    set_ = image.crossJoin(F.broadcast(limit)).filter("value > limit").select(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("s"))
+    limit = image.agg(F.percentile("value", 0.95).alias("limit"))
+    set_ = image.crossJoin(F.broadcast(limit)).filter("value >= limit").select(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("s"))
     few = set_.agg(F.collect_list("s").alias("spots"))
     d2 = F.array_min(F.transform("spots", lambda s: F.pow(F.col("px") - s["x"], 2) + F.pow(F.col("py") - s["y"], 2)))
     return image.filter("(px + py) % 7 = 0").crossJoin(F.broadcast(few)).select("px", "py", d2.alias("d2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from photonlake.jobs import intervals, maps, selections  # noqa: F401
+from photonlake.jobs import datasets, intervals, maps, selections  # noqa: F401
 from photonlake.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
