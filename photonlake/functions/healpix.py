@@ -103,7 +103,7 @@ def ring_center(ipix, nside: int) -> tuple[np.ndarray, np.ndarray]:
     ring, j = _ring_of(ipix, nside)
     nr = np.where(ring < nside, ring, np.where(ring > 3 * nside, 4 * nside - ring, nside))
     z = np.where(ring < nside, 1 - nr * nr / (3.0 * nside * nside), np.where(ring > 3 * nside, nr * nr / (3.0 * nside * nside) - 1, (2 * nside - ring) * 2 / (3.0 * nside)))
-    half = np.where((ring < nside) | (ring > 3 * nside), 0.5, ((ring - nside) & 1 ^ 1) / 2)
+    half = np.where((ring < nside) | (ring > 3 * nside), 0.5, np.where((ring - nside) % 2 == 0, 0.5, 1.0))
     return 90.0 * (j - half) / nr, np.degrees(np.arcsin(np.clip(z, -1, 1)))
 
 

@@ -22,7 +22,7 @@ def v1(spark, sf):
     return L.fractional_variance(D.light_curves(spark, sf), ["series"]).select("series", F.round("fvar", 7).alias("fvar"), F.round("fvar_err", 7).alias("fvar_err"))
 
 
-@query("v2_point_to_point", ", d as (select *, flux - lag(flux) over (partition by series order by day) as df from curves), v as (select series, avg(flux) as m, sum(df * df) as q, avg(err * err) as s, count(*)::double as n from d group by series), f as (select *, sqrt(abs(q / (2 * (n - 1)) - s)) / m as f from v) select series, round(f, 7) as fpp, " + _ERR + " as fpp_err from f", D.SQL)
+@query("v2_point_to_point", ", d as (select *, flux - lag(flux) over (partition by series order by day) as df from curves), v as (select series, avg(flux) as m, sum(df * df) as q, avg(err * err) as s, count(*)::double as n from d group by series), f as (select *, sqrt(abs(q / (n - 1) - s)) / m as f from v) select series, round(f, 7) as fpp, " + _ERR + " as fpp_err from f", D.SQL)
 def v2(spark, sf):
     return L.point_to_point(D.light_curves(spark, sf), ["series"], "day").select("series", F.round("fpp", 7).alias("fpp"), F.round("fpp_err", 7).alias("fpp_err"))
 

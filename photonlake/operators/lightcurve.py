@@ -24,8 +24,8 @@ def point_to_point(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """As above, from the differences of neighbours; differences touching a missing flux drop out."""
     w = Window.partitionBy(*keys).orderBy(order)
     d = _valid(df).withColumn("diff", F.col("flux") - F.lag("flux").over(w))
-    g = d.groupBy(*keys).agg(F.avg("flux").alias("m"), F.sum(F.col("diff") * F.col("diff")).alias("q"), F.avg(F.col("err") * F.col("err")).alias("s"), F.count("flux").alias("n"))
-    f = F.sqrt(F.abs(F.col("q") / (2 * (F.col("n") - 1)) - F.col("s"))) / F.col("m")
+    g = d.groupBy(*keys).agg(F.avg("flux").alias("m"), F.coalesce(F.sum(F.col("diff") * F.col("diff")), F.lit(0.0)).alias("q"), F.avg(F.col("err") * F.col("err")).alias("s"), F.count("flux").alias("n"))
+    f = F.sqrt(F.abs(F.col("q") / (F.col("n") - 1) - F.col("s"))) / F.col("m")
     a = F.sqrt(2 / F.col("n")) * F.col("s") / (F.col("m") * F.col("m"))
     b = F.sqrt(F.col("s") / F.col("n")) * 2 * f / F.col("m")
     return g.select(*keys, f.alias("fpp"), (F.sqrt(a * a + b * b) / (2 * f)).alias("fpp_err"))
