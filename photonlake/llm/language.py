@@ -196,9 +196,10 @@ def document_languages(spark: SparkSession, docs: DataFrame, least: float = 0.5)
     bounded_batches(spark)
     model = TextModel.fit(docs)
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    own = docs.withColumn("_key", key)
+    own = docs.select(key.alias("k_key"), F.col("text").alias("k_text"), F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), F.struct(*docs.columns).alias("k_row"))
     nothing = F.lit(None).cast("string")
-    rows = own.select(F.col("_key").alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), nothing.alias("suffix"), nothing.alias("domain"))
+    rows = own.select(F.col("k_key").alias("id"), F.col("k_text").alias("text"), F.lower("k_lang").alias("declared"), F.col("k_source").alias("host"), nothing.alias("suffix"), nothing.alias("domain"))
     found = LanguageId(spark, model).run(rows).filter((F.col("probability") >= least) & (F.col("text_lang") != UNKNOWN) & (F.col("lang") != UNKNOWN))
-    decided = found.groupBy("id").agg(F.min("lang").alias("_lang"))
-    return own.join(decided, F.col("_key") == decided.id).select(*[F.col("_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    decided = found.groupBy(F.col("id").alias("d_key")).agg(F.min("lang").alias("d_lang"))
+    met = own.join(decided, F.col("k_key") == F.col("d_key"))
+    return met.select(*[F.col("d_lang").alias("lang") if c == "lang" else F.col("k_row")[c].alias(c) for c in docs.columns])
