@@ -37,16 +37,17 @@ class LineDedup:
 
     def run(self, docs: DataFrame) -> DataFrame:
         """The columns of ``docs`` with ``text`` deduplicated, and ``n_lines`` and ``removed_lines`` (numbers from 0)."""
-        keyed = docs.withColumn("_at", F.xxhash64(F.coalesce("text", F.lit(""))))
+        names = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
+        keyed = docs.select(F.col("doc_id").alias("k_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_at"), F.col("text").alias("k_text"), F.struct(*[docs[c] for c in names]).alias("k_row"))
         removed = self.removals(docs)
-        joined = keyed.join(removed, (keyed.doc_id.eqNullSafe(removed.r_doc)) & (keyed["_at"] == removed.r_at), "left")
-        gone = F.coalesce("removed", F.expr("cast(array() as array<int>)"))
-        lines = F.split("text", "\n")
-        text = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
-        return joined.select(*[c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")], text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), gone.alias("removed_lines"))
+        joined = keyed.join(removed, keyed.k_doc.eqNullSafe(removed.r_doc) & (keyed.k_at == removed.r_at), "left")
+        gone = F.coalesce(removed.r_removed, F.expr("cast(array() as array<int>)"))
+        lines = F.split("k_text", "\n")
+        text = F.when(F.size(gone) == 0, F.col("k_text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+        return joined.select(*[F.col("k_row")[c].alias(c) for c in names], text.alias("text"), F.when(F.col("k_text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), gone.alias("removed_lines"))
 
     def removals(self, docs: DataFrame) -> DataFrame:
-        """(r_doc, r_at, removed): the line numbers that go from each row that loses any."""
+        """(r_doc, r_at, r_removed): the line numbers that go from each row that loses any."""
         lines = self._lines(docs)
         seen = self.scratch.table(lines.select("doc", "at", "no", "h", "g", "len"), "occurrences")
         place = F.struct(F.col("doc").isNull().alias("last"), "doc", "at", "no")
@@ -58,7 +59,7 @@ class LineDedup:
         repeated = whole.filter((F.col("all") >= self.least) & (F.col("all") > 1))
         decided = groups.join(repeated, groups.group.eqNullSafe(repeated.group) & groups.own.eqNullSafe(repeated.own)).select("h", "g", "stays")
         gone = seen.join(decided, ["h", "g"]).filter(~place.eqNullSafe(F.col("stays")))
-        return self.scratch.table(gone.groupBy(F.col("doc").alias("r_doc"), F.col("at").alias("r_at")).agg(F.array_sort(F.collect_set("no")).alias("removed")), "removed")
+        return self.scratch.table(gone.groupBy(F.col("doc").alias("r_doc"), F.col("at").alias("r_at")).agg(F.array_sort(F.collect_set("no")).alias("r_removed")), "removed")
 
     @staticmethod
     def _lines(docs: DataFrame) -> DataFrame:
@@ -71,10 +72,10 @@ class LineDedup:
         """(a, b): hashes of distinct lines within the edits allowed."""
         firsts = classes.filter(F.col("len") >= self.one_from).select("first.doc", "first.at", "first.no").groupBy("doc", "at").agg(F.collect_list("no").alias("nos"))
         own = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("at"), "text")
-        chosen = own.join(firsts, own.doc.eqNullSafe(firsts.doc) & (own["at"] == firsts["at"])).select(F.explode(F.transform("nos", lambda i: F.element_at(F.split("text", "\n"), i + 1))).alias("raw"))
+        chosen = own.join(firsts, own.doc.eqNullSafe(firsts.doc) & (own["at"] == firsts["at"])).select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("nos", i))).alias("raw"))
         lines = chosen.select(F.btrim("raw", F.lit(_BLANK)).alias("line")).select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("len"))
         lines = self.scratch.table(lines, "lines")
-        posted = lines.select("h", "len", F.explode(self._keys()).alias("k")).select("k.key", "k.own", "h", "len")
+        posted = self._posted(lines)
         every = Window.partitionBy("key")
         met = posted.withColumn("members", F.count("*").over(every)).withColumn("owners", F.sum("own").over(every)).filter("members > 1 and owners > 0")
         met = self.scratch.table(met.drop("owners"), "met")
@@ -98,23 +99,28 @@ class LineDedup:
         two = F.levenshtein(a, b, 2)
         return F.when(shorter >= self.two_from, two >= 0).when(shorter >= self.one_from, (two >= 0) & (two <= 1)).otherwise(False)
 
-    def _keys(self) -> Column:
-        """Keys of a line: its own segments (own = 1), and substrings that could be a segment of an equally long or shorter line (own = 0)."""
-        out = []
-        for edits, low, high in ((1, self.one_from, self.two_from), (2, self.two_from, None)):
-            for less in range(edits + 1):
-                length = F.col("len") - less
-                fits = (length >= low) if high is None else (length >= low) & (length < high)
-                for rank in range(edits + 1):
-                    start = F.floor(length * rank / (edits + 1)).cast("int")
-                    width = F.floor(length * (rank + 1) / (edits + 1)).cast("int") - start
-                    for shift in range(max(-rank, less - (edits - rank)), min(rank, less + (edits - rank)) + 1):
-                        at = start + shift
-                        own = int(less == 0 and shift == 0)
-                        inside = fits & (at >= 0) & (at + width <= F.col("len"))
-                        key = F.xxhash64(length, F.lit(rank), F.substring(F.col("line"), at + 1, width))
-                        out.append(F.when(inside, F.struct(key.alias("key"), F.lit(own).alias("own"))))
-        return F.array_compact(F.array(*out))
+    def _posted(self, lines: DataFrame) -> DataFrame:
+        """(key, own, h): a line's own segments, and substrings that could be a segment of an equally long or shorter line.
+
+        The ways to take a segment are few and the same for all lines, so they are an array literal that is
+        exploded; the keys are then plain generated code.
+        """
+        ways = [
+            F.struct(*[F.lit(v).alias(n) for n, v in (("edits", edits), ("less", less), ("rank", rank), ("shift", shift))])
+            for edits in (1, 2)
+            for less in range(edits + 1)
+            for rank in range(edits + 1)
+            for shift in range(max(-rank, less - (edits - rank)), min(rank, less + (edits - rank)) + 1)
+        ]
+        each = lines.select("h", "line", "len", F.explode(F.array(*ways)).alias("w")).select("h", "line", "len", "w.*")
+        each = each.withColumn("length", F.col("len") - F.col("less"))
+        long_ = F.col("length") >= self.two_from
+        each = each.filter(((F.col("edits") == 2) & long_) | ((F.col("edits") == 1) & ~long_ & (F.col("length") >= self.one_from)))
+        cut = lambda k: F.floor(F.col("length") * k / (F.col("edits") + 1)).cast("int")
+        each = each.withColumn("start", cut(F.col("rank"))).withColumn("width", cut(F.col("rank") + 1) - F.col("start")).withColumn("at", F.col("start") + F.col("shift"))
+        each = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("len")))
+        key = F.xxhash64("length", "rank", F.substring(F.col("line"), F.col("at") + 1, F.col("width")))
+        return each.select(key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).cast("int").alias("own"), "h")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
