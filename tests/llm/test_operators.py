@@ -209,7 +209,7 @@ def test_exact_top_k_on_odd_rows(spark):
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(350)]
     data[3] = (3, data[200][1])
     data[5] = (5, data[200][1])
-    odd_rows = [(1000, None), (1100, [1.0, None, 0, 0, 0, 0]), (1200, [float("nan")] + [0.0] * 5), (1300, [1.0]), (None, [0.0] * 6), (1400, [])]
+    odd_rows = [(1000, None), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1200, [float("nan")] + [0.0] * 5), (1300, [1.0]), (None, [0.0] * 6), (1400, [])]
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in PivotSearch(spark, block=64, query_block=2, pivots=8).run(vectors(spark, data + odd_rows)).collect()}
     whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in data}
     for q in (0, 100, 200, 300):
