@@ -86,7 +86,9 @@ class LineDedup:
         near = pairs.join(a, "a").join(b, "b").filter(apart).select("a", "b")
         texts = long_.join(lines.select("h", "line"), "h")
         far = self._pairs(texts, self._close(F.col("line_x"), F.col("line_y")))
-        return self.scratch.table(near.union(far).distinct(), "links")
+        links = self.scratch.table(near.union(far).distinct(), "links")
+        self.scratch.drop("lines", "met")
+        return links
 
     def _pairs(self, met: DataFrame, condition: Column) -> DataFrame:
         """(a, b): lines that meet in a list where one of them posted its own segment."""
