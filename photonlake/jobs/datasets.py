@@ -275,7 +275,8 @@ _E1 = _FULL + ", c as (select px + i as px, py + j as py, sum(counts) as n from
 def e1(spark, sf):
     """Counts in a disk of two pixels against a background of rings, by the Cash statistic."""
     full = _full(spark, sf)
-    n = M.convolve(full.select("px", "py", F.col("counts").alias("value")), M.disk(2), bounds=(41, 41)).withColumnRenamed("value", "counts")
+    disk = M.convolve(full.select("px", "py", F.col("counts").alias("value")), M.disk(2), bounds=(41, 41))
+    n = full.select("px", "py").join(disk, ["px", "py"], "left").select("px", "py", F.coalesce("value", F.lit(0)).cast("bigint").alias("counts"))
     ring = _ring(full, 5, 2).withColumn("b", F.col("counts_off") / F.col("acceptance_off") * 13).filter("b > 0")
     c = stats.cash_counts(F.col("counts"), F.col("b"))
     return n.join(ring, ["px", "py"]).select(F.col("px").cast("bigint").alias("px"), F.col("py").cast("bigint").alias("py"), "counts", F.round(c["excess"], 5).alias("excess"), F.round(c["sqrt_ts"], 4).alias("sqrt_ts"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photonlake.functions import sky
 from photonlake.functions.axis import Axis
+from photonlake.jobs.selections import sep_sql
 from photonlake.operators import maps as M
 from photonlake.operators import selection as S
+from photonlake.operators.crossmatch import within
 from photonlake.registry import query
 from photonlake.sources import domain as D
-from photonlake.jobs.selections import sep_sql
 
 
 def _cube(spark, sf):
@@ -95,6 +97,12 @@ def a14(spark, sf):
     return h.withColumn("density", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("e")), 8))
 
 
+@query("a15_spectrum_at_position", "select e, counts::bigint as value from cube where px = floor((0.13::double + 2.0005) / 0.1::double) and py = floor((-0.42::double + 2.0005) / 0.1::double)", D.SQL)
+def a15(spark, sf):
+    px, py = (int((x + 2.0005) / 0.1) for x in (0.13, -0.42))
+    return _cube(spark, sf).filter((F.col("px") == px) & (F.col("py") == py)).select("e", "value")
+
+
 @query("a16_normalise", "select e, round(sum(counts)::double / (select sum(counts) from cube), 8) as share, round((sum(sum(counts)) over (order by e))::double, 4) as upto from cube group by e", D.SQL)
 def a16(spark, sf):
     spectrum = M.reduce(_cube(spark, sf).withColumn("value", F.col("value").cast("double")), ["e"])
@@ -202,8 +210,6 @@ def a32(spark, sf):
 
 @query("j6_cone_join", f"select source_id, count(*)::bigint as n from sources s join (select s2.source_id as other, s2.lon as lon2, s2.lat as lat2 from sources s2) on {sep_sql('s.lon', 's.lat', 'lon2', 'lat2')} < 8.0001 and other <> source_id group by source_id", D.SQL)
 def j6(spark, sf):
-    from photonlake.operators.crossmatch import within
-
     sources = D.catalog(spark, sf).select("source_id", "lon", "lat")
     return within(sources, sources.withColumnsRenamed({"source_id": "other", "lon": "lon2", "lat": "lat2"}), 8.0001).filter("other <> source_id").groupBy("source_id").agg(F.count("*").alias("n"))
 
@@ -265,6 +271,15 @@ def m1(spark, sf):
     return M.convolve(_image(spark, sf), _KERNEL, bounds=(41, 41))
 
 
+@query("m1_convolve_tiles", f"select (px + dx)::bigint as px, (py + dy)::bigint as py, sum(counts * w)::bigint as value from img, {_KSQL} group by all", D.SQL)
+def m1_tiles(spark, sf):
+    """The same kernel by tiles and Fourier transforms, without a border."""
+    kernel = np.zeros((3, 3))
+    for dx, dy, w in _KERNEL:
+        kernel[dx + 1, dy + 1] = w
+    return M.convolve_tiles(_image(spark, sf), kernel, tile=16).select("px", "py", F.round("value").cast("bigint").alias("value"))
+
+
 _MIRROR = "case when {v} < 0 then -1 - ({v}) when {v} > 40 then 81 - ({v}) else {v} end"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,6 +97,29 @@ def convolve(df: DataFrame, kernel: list[tuple[int, int, float]], keys: tuple[st
     return out if bounds is None else out.filter(F.col("px").between(0, bounds[0] - 1) & F.col("py").between(0, bounds[1] - 1))
 
 
+def convolve_tiles(df: DataFrame, kernel: np.ndarray, tile: int = 256) -> DataFrame:
+    """Convolution with a large kernel of odd size: square tiles with a halo, each by one Fourier transform.
+
+    A pixel goes to every tile that its kernel reaches, so a task holds one tile and its halo, whatever the
+    size of the map. Use it where scattering would multiply the pixels by more than about a thousand.
+    """
+    half = kernel.shape[0] // 2
+    size = tile + 2 * half
+    shape = (size + kernel.shape[0] - 1, size + kernel.shape[1] - 1)
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        tx, ty = key
+        dense = np.zeros((size, size))
+        np.add.at(dense, (rows.px.to_numpy() - tx * tile + half, rows.py.to_numpy() - ty * tile + half), rows.value.to_numpy())
+        full = np.fft.irfft2(np.fft.rfft2(dense, shape) * np.fft.rfft2(kernel, shape), shape)[2 * half : 2 * half + tile, 2 * half : 2 * half + tile]
+        x, y = np.nonzero(np.abs(full) > 1e-9 * max(1.0, float(np.abs(dense).max())))
+        return pd.DataFrame({"px": x + tx * tile, "py": y + ty * tile, "value": full[x, y]})
+
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / tile), F.floor((F.col(c) + half) / tile)))
+    spread = df.filter("value <> 0").select("px", "py", F.col("value").cast("double").alias("value"), reach("px").alias("tx")).withColumn("ty", reach("py"))
+    return spread.groupBy("tx", "ty").applyInPandas(run, "px bigint, py bigint, value double")
+
+
 def disk(radius: float) -> list[tuple[int, int, int]]:
     n = int(radius)
     return [(i, j, 1) for i in range(-n, n + 1) for j in range(-n, n + 1) if i * i + j * j <= radius * radius]

@@ -123,6 +123,16 @@ def test_downsampling_keeps_the_sum(spark):
     assert maps.upsample(image, 3).agg(F.sum("value")).first()[0] == pytest.approx(total)
 
 
+def test_tiles_equal_scattering(spark):
+    rng = np.random.default_rng(8)
+    spots = {(int(x), int(y)): int(v) for x, y, v in rng.integers(1, 60, (40, 3))}
+    image = spark.createDataFrame([(x, y, v) for (x, y), v in spots.items()], "px int, py int, value int")
+    kernel = rng.integers(0, 5, (7, 7))
+    scattered = maps.convolve(image, [(i - 3, j - 3, int(kernel[i, j])) for i in range(7) for j in range(7)]).filter("value <> 0")
+    tiled = maps.convolve_tiles(image, kernel.astype(float), tile=10)
+    assert {(r.px, r.py, round(r.value)) for r in tiled.collect()} == {tuple(r) for r in scattered.collect()}
+
+
 @pytest.mark.parametrize("nside", [1, 2, 8, 64])
 def test_sky_pixels(nside):
     pixels = np.arange(12 * nside * nside)
