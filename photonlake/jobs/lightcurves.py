@@ -69,14 +69,28 @@ def w6(spark, sf):
 
 
 
-@query("w7_min_significance_rebin")
+def _merged_sql(bins: str, key: str, at: str, what: str, least: int, sums: str) -> str:
+    """Greedy merging as a recursion over the numbered bins of each series."""
+    return (
+        f", b as (select *, row_number() over (partition by {key} order by {at}) as i from ({bins})), "
+        f"r as (select *, {what}::double as acc, 0 as g from b where i = 1 union all select b.*, case when r.acc >= {least} then b.{what} else r.acc + b.{what} end, "
+        f"case when r.acc >= {least} then r.g + 1 else r.g end from r join b on b.{key} = r.{key} and b.i = r.i + 1) "
+        f'select {key}, g::int as "group", min({at})::bigint as first, max({at})::bigint as last, {sums} from r group by {key}, g'
+    )
+
+
+_RECURSIVE = D.SQL.replace("with photons", "with recursive photons", 1)
+
+
+@query("w7_min_significance_rebin", _merged_sql("select series, day, flux, flux / err as ts from curves", "series", "day", "ts", 100, "round(sum(ts), 5) as ts, round(sum(flux), 2) as flux"), _RECURSIVE)
 def w7(spark, sf):
-    """Merge days until the summed significance reaches 100; a fold that SQL would need recursion for."""
+    """Merge days until the summed significance reaches 100."""
     curves = D.light_curves(spark, sf).withColumn("ts", F.col("flux") / F.col("err"))
-    return L.merge_until(curves, ["series"], "day", ["ts", "flux"], lambda g: g["ts"] >= 100)
+    out = L.merge_until(curves, ["series"], "day", ["ts", "flux"], lambda g: g["ts"] >= 100)
+    return out.select("series", "group", "first", "last", F.round("ts", 5).alias("ts"), F.round("flux", 2).alias("flux"))
 
 
-@query("w8_energy_edges")
+@query("w8_energy_edges", _merged_sql("select obs_id % 10 as run, -floor(energy / 0.5::double)::int as down, count(*) as counts from photons group by all", "run", "down", "counts", 30, "sum(counts)::double as counts"), _RECURSIVE)
 def w8(spark, sf):
     """Energy groups of at least 30 counts, walking down from the top of each run's spectrum."""
     e = F.floor(F.col("energy") / 0.5).cast("int")
