@@ -8,7 +8,6 @@ the left place and the row is compacted by one column; rows without a mergeable
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from functools import cache
 
@@ -188,7 +187,3 @@ def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> Data
     both = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
-
-def digest(ids: np.ndarray) -> str:
-    """The hash that ``ids_sha256`` holds."""
-    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()

@@ -135,7 +135,7 @@ class Toxicity:
         out = []
         for terms in self.terms.values():
             of = [slot[term_features(t)] for t in terms]
-            key = [int(slot[term_features(t)[np.isin(term_features(t), [self._word_feature(t)])]][0]) for t in terms]
+            key = [int(slot[self._word_feature(t)]) for t in terms]
             out += [(key[i], of[i], of[j]) for i in range(len(terms)) for j in range(len(terms)) if i != j]
         return out
 
@@ -145,7 +145,6 @@ class Toxicity:
         return int(features(raw, np.array([0, len(raw)]))[2][0])
 
     def _train(self, rows: DataFrame) -> None:
-        slot_of = self._slot_of()
         slots = self.spark.sparkContext.broadcast(self.slots)
 
         def run(batches):
@@ -169,7 +168,6 @@ class Toxicity:
         # A kind's terms are held together a little even where the sample never mentions them.
         swaps = [(1.0 + n, a, b) for n, a, b in swaps]
         self.weights, self.bias = fit_logistic(y, row, col, len(self.slots), swaps, self.penalty, self.ridge)
-        assert len(slot_of)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score) of every row."""
