@@ -18,9 +18,6 @@ from photonlake.llm.mixing import Mixture
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import Scratch, bounded_batches
 
-#: Lines that occur this often are boilerplate; fewer copies are left for the near-duplicate stage to judge whole.
-BOILERPLATE = 10
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, with that language."""
@@ -28,8 +25,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated boilerplate lines; documents that consisted of nothing else go."""
-    out = LineDedup(spark, least=BOILERPLATE).run(docs)
+    """Texts without lines that occurred before; documents that consisted of nothing else go."""
+    out = LineDedup(spark).run(docs)
     emptied = (F.size("removed_lines") > 0) & (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) == "")
     out = out.filter(~F.coalesce(emptied, F.lit(False)))
     return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)

@@ -340,3 +340,18 @@ def test_pipeline_stages(spark):
     assert rows and all(r.round_trip for r in rows)
     assert max(collections.Counter(r.doc_id for r in rows).values()) <= 3
     assert re.fullmatch("[a-z]{2}", rows[0].lang)
+
+
+def test_pipeline_drops_lines_that_occur_twice(spark):
+    import corpus_pipeline
+
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    passage = word("shared", 60)
+    texts = [f"{word('a', 80)}\n{passage}", f"{passage}\n{word('b', 70)}", word("c", 30), word("c", 30), passage, "\n", None]
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    want = {0: texts[0], 1: word("b", 70), 2: texts[2], 5: "\n", 6: None}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
