@@ -2,14 +2,15 @@
 
 Centroids are fitted on a bounded sample with a penalty on long lists; every row is indexed. A vector goes
 to the list of its nearest centroid and, if it lies near a boundary, to those of further centroids as well.
-Centroids are found by a best-first walk on a graph of their neighbours, held in memory by each task; a
-query visits the lists whose centroids are at most ``reach`` times as far as its nearest one. List members
+A row's centroids are found by a best-first walk on a graph of their neighbours, held in memory by each task;
+a query is compared with all centroids and visits the lists at most ``reach`` times as far as its nearest one. List members
 are scored by their exact cosine. Long lists are split into blocks, so that no task gets a whole list.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,28 +103,36 @@ class CentroidGraph:
             fresh = np.where((from_ >= 0)[:, :, None], self.neighbours[from_], -1).reshape(q, -1)
 
 
-def lists_within(graph: CentroidGraph, queries: np.ndarray, width: int, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: lists whose centroid is at most ``ratio`` times as far as the nearest one found."""
+def lists_within(graph: CentroidGraph, queries: np.ndarray, width: int, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: the ``most`` nearest lists whose centroid is at most ``ratio`` times as far as the nearest one found."""
     ids, sims = graph.walk(queries, width)
     far = np.sqrt(np.maximum(0, 2 - 2 * sims))
     keep = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-6)
-    if most is not None:
-        keep[:, most:] = False
+    keep[:, most:] = False
     at = np.nonzero(keep)
     return at[0], ids[at]
 
 
+def lists_in_reach(graph: CentroidGraph, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``lists_within``, from all centroids: however many lie within the ratio."""
+    sims = queries @ graph.centroids.T
+    ids = np.argsort(-sims, axis=1, kind="stable")
+    far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))
+    at = np.nonzero(far <= ratio * far[:, :1] + 1e-6)
+    return at[0], ids[at]
+
+
 class PostingSearch:
     """The ``k`` nearest by cosine found for every vec_id divisible by ``every``, among all other rows.
 
     ``sample`` bounds the rows that centroids are fitted on and ``most_lists`` the centroids (so what each
-    task holds of them); lists otherwise number the square root of the rows. Zero vectors and rows that
+    task holds of them); lists otherwise number ``lists`` or the square root of the rows. Zero vectors and rows that
     ``vectors.valid`` leaves out take no part; no valid row gives an empty result.
     """
 
-    def __init__(self, spark: SparkSession, k: int = 5, every: int = 50, reach: float = 1.35, boundary: float = 1.06, replicas: int = 4, sample: int = 32768, most_lists: int = 16384, width: int = 512, block: int = 2048, query_block: int = 256):
+    def __init__(self, spark: SparkSession, k: int = 5, every: int = 50, reach: float = 1.35, boundary: float = 1.06, replicas: int = 4, sample: int = 32768, most_lists: int = 16384, block: int = 2048, query_block: int = 256, lists: int | None = None):
         self.spark, self.k, self.every, self.reach, self.boundary, self.replicas = spark, k, every, reach, boundary, replicas
-        self.sample, self.most_lists, self.width, self.block, self.query_block = sample, most_lists, width, block, query_block
+        self.sample, self.most_lists, self.block, self.query_block, self.lists = sample, most_lists, block, query_block, lists
         self.scratch = Scratch(spark, "posting-search")
 
     def run(self, df: DataFrame) -> DataFrame:
@@ -134,22 +143,23 @@ class PostingSearch:
         if not n:
             return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
         sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample).select("vector").collect()])
-        n_lists = min(self.most_lists, max(1, math.ceil(math.sqrt(n))))
+        n_lists = min(self.most_lists, self.lists or max(1, math.ceil(math.sqrt(n))))
         graph = self.spark.sparkContext.broadcast(CentroidGraph.build(fit_centroids(unit(sample).astype(np.float32), n_lists)))
-        placed = self._lists(rows, graph, 4 * self.replicas, self.boundary, self.replicas)
+        boundary, replicas, reach = self.boundary, self.replicas, self.reach
+        placed = self._lists(rows, lambda x: lists_within(graph.value, x, 4 * replicas, boundary, replicas))
         postings = V.blocks(self.scratch.table(placed, "postings"), self.block, "list")
-        asked = self._lists(rows.filter(F.col("vec_id") % self.every == 0), graph, self.width, self.reach, None)
+        asked = self._lists(rows.filter(F.col("vec_id") % self.every == 0), lambda x: lists_in_reach(graph.value, x, reach))
         asked = V.blocks(self.scratch.table(asked, "asked"), self.query_block, "list").select("list", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
         found = self._score(asked.join(postings, "list").select("q_ids", "q_vectors", "ids", "vectors"))
         return V.best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), self.k)
 
     @staticmethod
-    def _lists(rows: DataFrame, graph, width: int, ratio: float, most: int | None) -> DataFrame:
+    def _lists(rows: DataFrame, choose: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         def run(batches):
             for batch in batches:
                 x = unit(V.matrix(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows)).astype(np.float32)
                 for lo in range(0, len(x), 256):
-                    row, list_ = lists_within(graph.value, x[lo : lo + 256], width, ratio, most)
+                    row, list_ = choose(x[lo : lo + 256])
                     yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), *(c.take(pa.array(lo + row)) for c in batch.columns)], names=["list", "vec_id", "vector"])
 
         return rows.select("vec_id", "vector").mapInArrow(run, "list int, vec_id bigint, vector array<double>")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.llm import language, line_dedup, mixing, queries, rans, token_counts, toxicity
-from photonlake.llm.ann import PostingSearch
+from photonlake.llm.ann import CentroidGraph, PostingSearch, lists_in_reach
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import Scratch
 from photonlake.llm.topk import PivotSearch
@@ -240,6 +240,17 @@ def test_nearest_neighbours_find_enough(spark):
     assert PostingSearch(spark).run(vectors(spark, [(1, None)])).count() == 0
 
 
+def test_queries_reach_more_than_512_lists():
+    rng = np.random.default_rng(11)
+    u = rng.normal(size=(1210, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    graph = CentroidGraph.build(u[:1200].astype(np.float32))
+    row, _ = lists_in_reach(graph, u[1200:].astype(np.float32), 1.35)
+    far = np.sqrt(2 - 2 * u[1200:] @ u[:1200].T)
+    within = (far <= 1.35 * far.min(axis=1, keepdims=True)).sum(axis=1)
+    assert within.max() > 512 and np.abs(np.bincount(row) - within).max() <= 1
+
+
 def test_toxicity_ignores_neutral_group_mentions(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(300)]
