@@ -3,7 +3,7 @@
 Centroids are fitted on a bounded sample with a penalty on long lists; every row is indexed. A vector goes
 to the list of its nearest centroid and, if it lies near a boundary, to those of further centroids as well.
 A row's centroids are found by a best-first walk on a graph of their neighbours, held in memory by each task;
-a query is compared with all centroids and visits the lists at most ``reach`` times as far as its nearest one. List members
+a query is compared with all centroids and visits the lists at most ``reach`` times as far as the nearest ones that together hold more than ``floor`` rows. List members
 are scored by their exact cosine. Long lists are split into blocks, so that no task gets a whole list.
 """
 
@@ -113,12 +113,18 @@ def lists_within(graph: CentroidGraph, queries: np.ndarray, width: int, ratio: f
     return at[0], ids[at]
 
 
-def lists_in_reach(graph: CentroidGraph, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """As ``lists_within``, from all centroids: however many lie within the ratio."""
+def lists_in_reach(graph: CentroidGraph, queries: np.ndarray, ratio: float, sizes: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: of all lists those at most ``ratio`` times as far as the nearest that hold ``needed`` rows together.
+
+    ``sizes`` counts each row in one list only. If all lists hold fewer, all are taken.
+    """
     sims = queries @ graph.centroids.T
     ids = np.argsort(-sims, axis=1, kind="stable")
     far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))
-    at = np.nonzero(far <= ratio * far[:, :1] + 1e-6)
+    enough = np.cumsum(sizes[ids], axis=1) >= needed
+    last = np.where(enough.any(axis=1), enough.argmax(axis=1), ids.shape[1] - 1)[:, None]
+    keep = far <= ratio * np.take_along_axis(far, last, axis=1) + 1e-6
+    at = np.nonzero(keep | (np.arange(ids.shape[1]) <= last))
     return at[0], ids[at]
 
 
@@ -126,13 +132,14 @@ class PostingSearch:
     """The ``k`` nearest by cosine found for every vec_id divisible by ``every``, among all other rows.
 
     ``sample`` bounds the rows that centroids are fitted on and ``most_lists`` the centroids (so what each
-    task holds of them); lists otherwise number ``lists`` or the square root of the rows. Zero vectors and rows that
+    task holds of them); lists otherwise number ``lists`` or the square root of the rows. The lists that
+    ``reach`` is counted from hold ``floor`` rows at least besides the query, and no fewer than ``k``. Zero vectors and rows that
     ``vectors.valid`` leaves out take no part; no valid row gives an empty result.
     """
 
-    def __init__(self, spark: SparkSession, k: int = 5, every: int = 50, reach: float = 1.35, boundary: float = 1.06, replicas: int = 4, sample: int = 32768, most_lists: int = 16384, block: int = 2048, query_block: int = 256, lists: int | None = None):
+    def __init__(self, spark: SparkSession, k: int = 5, every: int = 50, reach: float = 1.35, boundary: float = 1.06, replicas: int = 4, sample: int = 32768, most_lists: int = 16384, block: int = 2048, query_block: int = 256, lists: int | None = None, floor: int = 32):
         self.spark, self.k, self.every, self.reach, self.boundary, self.replicas = spark, k, every, reach, boundary, replicas
-        self.sample, self.most_lists, self.block, self.query_block, self.lists = sample, most_lists, block, query_block, lists
+        self.sample, self.most_lists, self.block, self.query_block, self.lists, self.floor = sample, most_lists, block, query_block, lists, floor
         self.scratch = Scratch(spark, "posting-search")
 
     def run(self, df: DataFrame) -> DataFrame:
@@ -147,8 +154,12 @@ class PostingSearch:
         graph = self.spark.sparkContext.broadcast(CentroidGraph.build(fit_centroids(unit(sample).astype(np.float32), n_lists)))
         boundary, replicas, reach = self.boundary, self.replicas, self.reach
         placed = self._lists(rows, lambda x: lists_within(graph.value, x, 4 * replicas, boundary, replicas))
-        postings = V.blocks(self.scratch.table(placed, "postings"), self.block, "list")
-        asked = self._lists(rows.filter(F.col("vec_id") % self.every == 0), lambda x: lists_in_reach(graph.value, x, reach))
+        placed = self.scratch.table(placed, "postings")
+        sizes, needed = np.zeros(len(graph.value.centroids), np.int64), max(self.k, self.floor) + 1
+        for r in placed.filter("first").groupBy("list").count().collect():
+            sizes[r["list"]] = r["count"]
+        postings = V.blocks(placed.drop("first"), self.block, "list")
+        asked = self._lists(rows.filter(F.col("vec_id") % self.every == 0), lambda x: lists_in_reach(graph.value, x, reach, sizes, needed)).drop("first")
         asked = V.blocks(self.scratch.table(asked, "asked"), self.query_block, "list").select("list", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
         found = self._score(asked.join(postings, "list").select("q_ids", "q_vectors", "ids", "vectors"))
         return V.best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), self.k)
@@ -160,9 +171,10 @@ class PostingSearch:
                 x = unit(V.matrix(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows)).astype(np.float32)
                 for lo in range(0, len(x), 256):
                     row, list_ = choose(x[lo : lo + 256])
-                    yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), *(c.take(pa.array(lo + row)) for c in batch.columns)], names=["list", "vec_id", "vector"])
+                    first = np.diff(row, prepend=-1) != 0
+                    yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), pa.array(first), *(c.take(pa.array(lo + row)) for c in batch.columns)], names=["list", "first", "vec_id", "vector"])
 
-        return rows.select("vec_id", "vector").mapInArrow(run, "list int, vec_id bigint, vector array<double>")
+        return rows.select("vec_id", "vector").mapInArrow(run, "list int, first boolean, vec_id bigint, vector array<double>")
 
     def _score(self, pairs: DataFrame) -> DataFrame:
         k = self.k

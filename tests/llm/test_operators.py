@@ -245,12 +245,32 @@ def test_queries_reach_more_than_512_lists():
     u = rng.normal(size=(1210, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     graph = CentroidGraph.build(u[:1200].astype(np.float32))
-    row, _ = lists_in_reach(graph, u[1200:].astype(np.float32), 1.35)
+    row, _ = lists_in_reach(graph, u[1200:].astype(np.float32), 1.35, np.ones(1200, int), 1)
     far = np.sqrt(2 - 2 * u[1200:] @ u[:1200].T)
     within = (far <= 1.35 * far.min(axis=1, keepdims=True)).sum(axis=1)
     assert within.max() > 512 and np.abs(np.bincount(row) - within).max() <= 1
 
 
+def test_nearest_neighbours_fill_up(spark):
+    rng = np.random.default_rng(12)
+    run = lambda x, **how: PostingSearch(spark, **how).run(vectors(spark, [(i, [float(c) for c in v]) for i, v in enumerate(x)])).collect()
+    for n in (2, 4, 6):
+        assert len(run(rng.normal(size=(n, 8)))) == min(5, n - 1)
+    x = rng.normal(size=(1200, 64))
+    x[[50, 51, 52]] = 40 * np.eye(64)[0] - x[50]
+    found = run(x, lists=600)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1200, 50):
+        s = u @ u[q]
+        s[q] = -9
+        mine = [r.vec_id for r in found if r.query_id == q]
+        assert len(mine) == 5
+        hits += len(set(np.lexsort((np.arange(1200), -s))[:5].tolist()) & set(mine))
+    assert hits / 120 >= 0.9, hits
+
+
 def test_toxicity_ignores_neutral_group_mentions(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(300)]
