@@ -54,6 +54,18 @@ def v6(spark, sf):
     return d.select("pair", "bin", F.round("dcf", 6).alias("dcf"), F.round("err", 6).alias("err"), "n")
 
 
+@query("v5_structure_function_all_lags", " select a.series, b.day - a.day as lag, round(sum(power(b.flux - a.flux, 2) * (b.flux / b.err) * (a.flux / a.err)) / sum((b.flux / b.err) * (a.flux / a.err)) / 1e6, 4) as sf, count(*)::bigint as n from curves a join curves b on a.series = b.series and b.day > a.day group by all", D.SQL)
+def v5_all(spark, sf):
+    return L.structure_function(D.light_curves(spark, sf), ["series"], "day").select("series", "lag", F.round(F.col("sf") / 1e6, 4).alias("sf"), "n")
+
+
+@query("v6_discrete_correlation_all_lags", ", z as (select series, day, (flux - avg(flux) over (partition by series)) / sqrt(power(stddev_pop(flux) over (partition by series), 2) - power(avg(err) over (partition by series), 2)) as z from curves), a as (select series // 2 as pair, day, z from z where series % 2 = 0), b as (select series // 2 as pair, day, z from z where series % 2 = 1), c as (select a.pair, floor((a.day - b.day) / 7.0::double)::int as bin, a.z * b.z as p from a join b on a.pair = b.pair) select pair, bin, round(avg(p), 6) as dcf, round(case when count(*) > 1 then sqrt(var_pop(p) * count(*)) / (count(*) - 1) end, 6) as err, count(*)::bigint as n from c group by all", D.SQL)
+def v6_all(spark, sf):
+    curves = D.light_curves(spark, sf).withColumnRenamed("day", "t").withColumn("pair", F.floor(F.col("series") / 2).cast("bigint"))
+    d = L.discrete_correlation(curves.filter("series % 2 = 0").drop("series"), curves.filter("series % 2 = 1").drop("series"), ["pair"], 7.0)
+    return d.select("pair", "bin", F.round("dcf", 6).alias("dcf"), F.round("err", 6).alias("err"), "n")
+
+
 @query("w2_time_ordered", "select obs_id, count(*) filter (where d <= 0)::bigint as unordered from (select obs_id, t_us - lag(t_us) over (partition by obs_id order by event_id) as d from photons) group by obs_id", D.SQL)
 def w2(spark, sf):
     step = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("obs_id").orderBy("event_id"))

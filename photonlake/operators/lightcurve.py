@@ -55,8 +55,19 @@ def doubling_time(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return g.select(*keys, *out)
 
 
-def pairs(df: DataFrame, keys: list[str], order: str, longest: int) -> DataFrame:
-    """Later-than pairs of a series up to a lag: rows meet by series and time bucket of that length, own and next."""
+def _bucket_pairs(x: DataFrame, y: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """All pairs of rows (keys..., t1, ...) and (keys..., t2, ...): they meet by series and pair of time buckets, so a long series is many groups."""
+    x, y = x.withColumn("_x", F.floor(F.col("t1") / width)), y.withColumn("_y", F.floor(F.col("t2") / width))
+    own = lambda df, c: df.select(*keys, c).distinct()
+    return x.join(own(y, "_y"), keys).join(y.join(own(x, "_x"), keys), [*keys, "_x", "_y"]).drop("_x", "_y")
+
+
+def pairs(df: DataFrame, keys: list[str], order: str, longest: int | None = None, width: int = 256) -> DataFrame:
+    """Later-than pairs of a series, all or up to a lag: rows then meet by series and time bucket of that length, own and next."""
+    if longest is None:
+        base = _valid(df).filter("flux is not null")
+        one = lambda s: base.select(*keys, F.col(order).alias(f"t{s}"), F.col("flux").alias(f"f{s}"), F.col("err").alias(f"e{s}"))
+        return _bucket_pairs(one(1), one(2), keys, width).filter("t2 > t1")
     base = _valid(df).filter("flux is not null").withColumn("_b", F.floor(F.col(order) / longest))
     first = base.select(*keys, "_b", F.col(order).alias("t1"), F.col("flux").alias("f1"), F.col("err").alias("e1"))
     second = base.withColumn("_b", F.explode(F.array(F.col("_b"), F.col("_b") - 1))).select(*keys, "_b", F.col(order).alias("t2"), F.col("flux").alias("f2"), F.col("err").alias("e2"))
@@ -64,14 +75,14 @@ def pairs(df: DataFrame, keys: list[str], order: str, longest: int) -> DataFrame
     return met.filter((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= longest)).drop("_b")
 
 
-def structure_function(df: DataFrame, keys: list[str], order: str, longest: int) -> DataFrame:
+def structure_function(df: DataFrame, keys: list[str], order: str, longest: int | None = None) -> DataFrame:
     """Weighted mean squared difference by lag."""
     w = (F.col("f2") / F.col("e2")) * (F.col("f1") / F.col("e1"))
     d = (F.col("f2") - F.col("f1")) * (F.col("f2") - F.col("f1"))
     return pairs(df, keys, order, longest).groupBy(*keys, (F.col("t2") - F.col("t1")).alias("lag")).agg((F.sum(d * w) / F.sum(w)).alias("sf"), F.count("*").alias("n"))
 
 
-def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float, longest: float) -> DataFrame:
+def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float, longest: float | None = None, width: float = 256) -> DataFrame:
     """Mean product of two normalised series by binned lag t1 - t2, with its error; rows (keys..., t, flux, err)."""
 
     def normal(df: DataFrame, s: str) -> DataFrame:
@@ -79,9 +90,14 @@ def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float
         z = (F.col("flux") - F.avg("flux").over(w)) / F.sqrt(F.pow(F.stddev_pop("flux").over(w), 2) - F.pow(F.avg("err").over(w), 2))
         return _valid(df).filter("flux is not null").select(*keys, F.col("t").alias(f"t{s}"), z.alias(f"z{s}")).filter(f"z{s} is not null and not isnan(z{s})")
 
-    x = normal(a, "1").withColumn("_b", F.floor(F.col("t1") / longest))
-    y = normal(b, "2").withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t2") / longest) + d)))
-    met = x.join(y, [*keys, "_b"]).withColumn("lag", F.col("t1") - F.col("t2")).filter(F.abs("lag") < longest)
+    x, y = normal(a, "1"), normal(b, "2")
+    if longest is None:
+        met = _bucket_pairs(x, y, keys, width)
+    else:
+        x = x.withColumn("_b", F.floor(F.col("t1") / longest))
+        y = y.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t2") / longest) + d)))
+        met = x.join(y, [*keys, "_b"]).filter(F.abs(F.col("t1") - F.col("t2")) < longest)
+    met = met.withColumn("lag", F.col("t1") - F.col("t2"))
     g = met.groupBy(*keys, F.floor(F.col("lag") / tau).cast("int").alias("bin")).agg(F.avg(F.col("z1") * F.col("z2")).alias("dcf"), F.count("*").alias("n"), F.var_pop(F.col("z1") * F.col("z2")).alias("v"))
     return g.select(*keys, "bin", "dcf", F.when(F.col("n") > 1, F.sqrt(F.col("v") * F.col("n")) / (F.col("n") - 1)).alias("err"), "n")
 

@@ -196,3 +196,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).filter("start < '2025-01-01'")
     want = stacking.binned(events, "1 day")
     assert pairs_of(got, "start", "e", "counts") == pairs_of(want, "start", "e", "counts")
+
+
+def test_pairs_of_all_lags(spark):
+    from photonlake.operators import lightcurve as L
+
+    days = [0, 3, 59, 61, 400, 1800, 2500]
+    rows = [(1, d, 2.0 + i, 1.0) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "series int, day int, flux double, err double")
+    got = sorted((r.t1, r.t2) for r in L.pairs(df, ["series"], "day").collect())
+    assert got == sorted((a, b) for a in days for b in days if b > a)
+    t = df.withColumnRenamed("day", "t").withColumn("err", df.err / 10)
+    n = {r.bin: r.n for r in L.discrete_correlation(t, t, ["series"], 7.0).collect()}
+    assert sum(n.values()) == len(days) ** 2 and min(n) == -2500 // 7 and max(n) == 2500 // 7
