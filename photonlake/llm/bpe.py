@@ -28,29 +28,46 @@ LONGEST_ROW = 512
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, LONGEST_ROW)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks of a file of lines of a base64 token and its rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+class Decoder:
+    """The bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(total)].tobytes()
+
+
 class ByteBPE:
-    """Encoder and decoder for a file of base64 tokens and ranks."""
+    """Encoder for tokens and ranks."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        pairs: dict[tuple[int, int], int] = {}
+        #: Rank of each pair, by left << 32 | right.
+        self.pairs: dict[int, int] = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left, right] = rank
-        self.pairs = pairs
-        at = np.array(list(pairs), np.int64).reshape(-1, 2)
-        self.table = HashTable(int(max(2, len(pairs))).bit_length() + 2)
-        self.table.add(self._key(at[:, 0], at[:, 1]), np.fromiter(pairs.values(), np.int32, len(pairs)))
+                    self.pairs[left << 32 | right] = rank
+        at = np.fromiter(self.pairs, np.uint64, len(self.pairs))
+        self.table = HashTable(int(max(2, len(at))).bit_length() + 1)
+        self.table.add(B.mix(at) | np.uint64(1), np.fromiter(self.pairs.values(), np.int32, len(at)))
         self.cache = PieceIds(self.encode_pieces)
 
     @staticmethod
@@ -115,7 +132,7 @@ class ByteBPE:
         ids = self.first[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, left, right = heapq.heappop(heap)
@@ -125,65 +142,70 @@ class ByteBPE:
             ids[i], ids[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := self.pairs.get((rank, ids[after[i]]))) is not None:
+                if (r := self.pairs.get(rank << 32 | ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if before[i] >= 0 and (r := self.pairs.get((ids[before[i]], rank))) is not None:
+            if before[i] >= 0 and (r := self.pairs.get(ids[before[i]] << 32 | rank)) is not None:
                 heapq.heappush(heap, (r, before[i], ids[before[i]], rank))
         return [x for x in ids if x >= 0]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.bytes[np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(total)].tobytes()
+
+@cache
+def encoder(path: str) -> ByteBPE:
+    return ByteBPE(read_ranks(path))
 
 
 @cache
-def load(path: str) -> ByteBPE:
-    return ByteBPE(path)
+def decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with ``ids``: the little-endian unsigned 32-bit ids of each whole text (null: none).
 
-    ``vocabulary`` is a path that every executor can open, as an installed package's file is. Empty and
-    null texts have no ids. Other columns pass through, whatever their names, but for one called ``ids``,
-    which the result replaces.
+    ``vocabulary`` is a path that every executor can open, as an installed package's file is. Empty and null texts
+    have no ids, a very long text is a slice of its own, equal rows stay apart, an empty table gives one. Other
+    columns pass through, whatever their names, but for one called ``ids``, which the result replaces.
     """
-    return _encoded(docs.drop("ids"), vocabulary, text)
+    docs = docs.drop("ids")
+    at = docs.columns.index(text)
+    return _mapped(docs, ["ids binary"], lambda batch: [[x.astype("<u4").tobytes() for x in encoder(vocabulary).cache.ids(batch.column(at))]])
+
+
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """The rows of ``encoded`` with ``decoded``: the bytes that ``ids`` stand for (null ids: none)."""
+    encoded = encoded.drop("decoded")
+    at = encoded.columns.index("ids")
+    return _mapped(encoded, ["decoded binary"], lambda batch: [[decoder(vocabulary).decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]])
 
 
-def _encoded(docs: DataFrame, vocabulary: str, text: str) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``ids`` as of ``encode`` and ``decoded`` as of ``decode``, by one worker a task."""
+    docs = docs.drop("ids", "decoded")
     at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType(), False)])
 
-    def run(batches):
-        bpe = load(vocabulary)
-        for batch in batches:
-            ids = pa.array([x.astype("<u4").tobytes() for x in bpe.cache.ids(batch.column(at))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+    def both(batch):
+        ids = list(encoder(vocabulary).cache.ids(batch.column(at)))
+        return [[x.astype("<u4").tobytes() for x in ids], [decoder(vocabulary).decode(x) for x in ids]]
 
-    return docs.mapInArrow(run, schema)
+    return _mapped(docs, ["ids binary", "decoded binary"], both, at)
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows of ``encoded`` with ``decoded``: the bytes that ``ids`` stand for."""
-    encoded = encoded.drop("decoded")
-    at = encoded.columns.index("ids")
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType(), False)])
+def _mapped(rows: DataFrame, added: list[str], of, without: int | None = None) -> DataFrame:
+    """``rows`` (but for the column at ``without``) and the columns that ``of`` makes of a batch."""
+    kept = [i for i in range(len(rows.columns)) if i != without]
+    new = T.StructType.fromDDL(", ".join(added))
+    schema = T.StructType([*(rows.schema.fields[i] for i in kept), *new.fields])
 
     def run(batches):
-        bpe = load(vocabulary)
         for batch in batches:
-            out = [bpe.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+            columns = [pa.array(x, pa.binary()) for x in of(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(batch.schema.names[i] for i in kept), *new.names])
 
-    return encoded.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, by an encode and a decode of its whole text."""
     bounded_batches(spark)
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    both = encode_decode(docs.select("doc_id", "text"), vocabulary)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-

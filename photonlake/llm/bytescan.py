@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 21
 
@@ -75,7 +76,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; ``span_hash`` turns two of its entries into the hash of the bytes between."""
+    """Running polynomial hash; ``span_hash`` turns two of its entries into the hash of the bytes between.
+
+    Good for hashed features only: some texts (of the Thue-Morse kind) share a hash.
+    """
     power, _ = _power_tables(len(data) + 1)
     out = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=out[1:])
@@ -88,6 +92,22 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Longer words are hashed one by one by a library.
+_LONG_WORD = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    return np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
+
+
+def low_bytes(numbers: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first ``n`` (0 to 8) bytes of each number."""
+    return numbers & _LOW_BYTES[n]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes other than space and 0x09-0x0D: (starts, ends, first word of each row and the end)."""
     if len(data) == 0:
@@ -105,6 +125,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word, and the first word of each row and the end."""
+    """Hash of every lower-cased word, and the first word of each row and the end.
+
+    Eight bytes at a time pass through a bijective mix, so that words of up to eight bytes never share a hash with
+    others of their length, and longer ones only by chance.
+    """
     starts, ends, bounds = words(data, offsets)
-    return span_hash(prefix_hash(lower(data)), starts, ends), bounds
+    lowered = lower(data)
+    size, at = ends - starts, eights(lowered)
+    out = mix(size.astype(_U) * _U(0xD6E8FEB86659FD93))
+    live = np.arange(len(starts))
+    for done in range(0, _LONG_WORD, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        out[live] = mix(out[live] ^ low_bytes(at[starts[live] + done], np.minimum(size[live] - done, 8)))
+    live = live[size[live] > _LONG_WORD]
+    if len(live):
+        raw = memoryview(lowered)
+        out[live] = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e], 1) for s, e in zip(starts[live].tolist(), ends[live].tolist(), strict=True)), _U, len(live))
+    return out, bounds

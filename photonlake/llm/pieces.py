@@ -91,6 +91,13 @@ class HashTable:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.zeros(1 << bits, np.int32)
+        self.held = 0
+
+    def grown(self, n: int) -> HashTable:
+        """The same entries with room for ``n``, half empty."""
+        out, full = HashTable(int(n).bit_length() + 1), self.keys != 0
+        out.add(self.keys[full], self.values[full])
+        return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Value of each key, -1 where there is none."""
@@ -109,6 +116,7 @@ class HashTable:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Insert distinct new keys."""
+        self.held += len(keys)
         slot = (keys & self.mask).astype(np.int64)
         while len(keys):
             free = self.keys[slot] == 0
@@ -119,53 +127,98 @@ class HashTable:
 
 
 class PieceIds:
-    """Ids of pieces by their hash; ``encode`` gets the pieces that are not held yet.
+    """Ids of pieces; ``encode`` gets the pieces that are not held yet.
 
-    It forgets everything when it holds ``1 << (bits - 1)`` pieces, which bounds its memory.
+    A piece of up to 16 bytes is found by a hash of its two zero-padded words, and taken only if both words and its
+    length are equal; longer ones, and the rare ones that share a hash, are found by their bytes. So a piece never
+    gets the ids of another. Between slices it forgets everything if it holds more than ``most`` pieces or
+    ``most_bytes`` of long pieces and ids, which bounds its memory.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list], bits: int = 21):
-        self.encode, self.bits = encode, bits
+    SHORT = 16
+
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int = 1 << 19, most_bytes: int = 32 << 20):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.table = HashTable(self.bits)
-        self.start, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.held = self.filled = 0
+        self.table, self.long = HashTable(16), {}
+        self.low, self.high = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.size, self.start, self.length = np.zeros(1, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int32)
+        self.flat = np.zeros(1, np.uint32)
+        self.held = self.filled = self.bytes = 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    @staticmethod
+    def _words(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second eight bytes of each piece, and the hash of both and the length."""
+        at = B.eights(data)
+        low, high = B.low_bytes(at[starts], np.minimum(size, 8)), B.low_bytes(at[np.minimum(starts + 8, len(data))], np.clip(size - 8, 0, 8))
+        return low, high, B.mix(low ^ B.mix(high + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) | np.uint64(1)
+
     def entries(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Entry of each piece of one slice."""
-        ends = np.append(starts[1:], len(data))
-        keys = B.span_hash(B.prefix_hash(data), starts, ends) | np.uint64(1)
+        if self.held > self.most or self.bytes > self.most_bytes:
+            self._clear()
+        size = np.diff(starts, append=len(data))
+        low, high, keys = self._words(data, starts, size)
         found = self.table.find(keys)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            new, first = np.unique(keys[missing], return_index=True)
-            if self.held + len(new) > len(self.table.keys) // 2:
-                self._clear()
-                if len(new) > len(self.table.keys) // 2:
-                    self.table = HashTable(int(len(new)).bit_length() + 2)
-                return self.entries(data, starts)
-            raw = data.tobytes()
-            where = missing[first]
-            ids = self.encode([raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if len(ids) else np.zeros(0, np.uint32)
-            self.start, self.length = self._room(self.start, self.held + len(new)), self._room(self.length, self.held + len(new))
-            self.flat = self._room(self.flat, self.filled + len(flat))
-            self.start[self.held : self.held + len(new)] = self.filled + np.cumsum(lengths) - lengths
-            self.length[self.held : self.held + len(new)] = lengths
-            self.flat[self.filled : self.filled + len(flat)] = flat
-            self.table.add(new, np.arange(self.held, self.held + len(new), dtype=np.int32))
-            self.held += len(new)
-            self.filled += len(flat)
-            found = self.table.find(keys)
+        same = (found >= 0) & (size <= self.SHORT) & (self.low[found] == low) & (self.high[found] == high) & (self.size[found] == size)
+        if same.all():
+            return found
+        raw, fresh = data.tobytes(), []
+        new = np.flatnonzero((found < 0) & (size <= self.SHORT))
+        if len(new):
+            _, first, of = np.unique(keys[new], return_index=True, return_inverse=True)
+            first = new[first]
+            alike = (low[new] == low[first[of]]) & (high[new] == high[first[of]]) & (size[new] == size[first[of]])
+            found[new] = self.held + of
+            same[new] = alike
+            fresh = [raw[s:e] for s, e in zip(starts[first].tolist(), (starts[first] + size[first]).tolist(), strict=True)]
+        rest = np.flatnonzero(~same)
+        if len(rest):
+            known = {}
+            for i, s, n in zip(rest.tolist(), starts[rest].tolist(), size[rest].tolist(), strict=True):
+                piece = raw[s : s + n]
+                at = self.long.get(piece)
+                if at is None:
+                    at = known.setdefault(piece, self.held + len(fresh))
+                    if at == self.held + len(fresh):
+                        fresh.append(piece)
+                found[i] = at
+        if fresh:
+            self._add(fresh)
         return found
 
+    def _add(self, pieces: list[bytes]) -> None:
+        ids = self.encode(pieces)
+        n = self.held + len(pieces)
+        size, length = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([np.asarray(x, np.uint32) for x in ids])
+        joined = np.frombuffer(b"".join(pieces), np.uint8)
+        low, high, keys = self._words(joined, np.cumsum(size) - size, size)
+        for name, values in (("low", low), ("high", high), ("size", size), ("length", length), ("start", self.filled + np.cumsum(length) - length)):
+            room = self._room(getattr(self, name), n)
+            room[self.held : n] = values
+            setattr(self, name, room)
+        self.flat = self._room(self.flat, self.filled + len(flat))
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        short = np.flatnonzero(size <= self.SHORT)
+        keys, first = np.unique(keys[short], return_index=True)
+        keys, first = keys[self.table.find(keys) < 0], short[first][self.table.find(keys) < 0]
+        if 2 * (self.table.held + len(keys)) > len(self.table.keys):
+            self.table = self.table.grown(self.table.held + len(keys))
+        self.table.add(keys, (self.held + first).astype(np.int32))
+        by_bytes = np.ones(len(pieces), bool)
+        by_bytes[first] = False
+        for i in np.flatnonzero(by_bytes).tolist():
+            self.long[pieces[i]] = self.held + i
+            self.bytes += len(pieces[i]) + 160
+        self.held, self.filled, self.bytes = n, self.filled + len(flat), self.bytes + 4 * len(flat)
+
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text, as unsigned 32-bit integers."""
         for _, _, data, offsets in B.slices(column):

@@ -17,13 +17,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photonlake.llm.pieces import PieceIds
 from photonlake.llm.storage import Scratch, bounded_batches
 
 SCALE = 20
@@ -256,28 +259,46 @@ def _arrow_blocks() -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in _BLOCKS.split(", "))])
 
 
-def library_tokenizer(path: str) -> Callable[[], Callable[[pa.Array], Iterator[np.ndarray]]]:
-    """Ids by the tokenizers library, special strings in a text as ordinary text; each distinct piece is encoded once a worker."""
+def library_tokenizer(path: str, special: bool = True) -> Callable[[], Callable[[pa.Array], Iterator[np.ndarray]]]:
+    """Ids by the tokenizers library without a template's tokens; each distinct piece is encoded once a worker.
+
+    With ``special``, the library's own setting, the strings of special tokens in a text become these tokens; without, they are ordinary text.
+    """
 
     def make():
-        return _library(path).ids
+        return lambda column: _library(path, special).ids(column)
 
     return make
 
 
-_LIBRARY: dict = {}
-
-
-def _library(path: str):
-    from photonlake.llm.pieces import PieceIds
+class LibraryIds:
+    """Ids of whole texts: texts that hold a token added to the vocabulary go to the library, others through pieces."""
 
-    if path not in _LIBRARY:
+    def __init__(self, path: str, special: bool):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LIBRARY[path] = PieceIds(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
-    return _LIBRARY[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.pieces = PieceIds(lambda pieces: [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)])
+
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            yield from self.pieces.ids(column)
+            return
+        for text, by_library in zip(column, whole, strict=True):
+            if by_library:
+                yield np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32)
+            else:
+                yield from self.pieces.ids(pa.array([text.as_py()], pa.string()))
+
+
+@cache
+def _library(path: str, special: bool) -> LibraryIds:
+    return LibraryIds(path, special)

@@ -1,8 +1,8 @@
 """Written intermediate tables in the folder that all executors share.
 
 ``Scratch`` cuts lineage by writing Parquet below ``spark.checkpoint.dir`` and reading it back, so that a
-lost executor costs a reread and not a recomputation. Only where that setting is absent (tests on one
-machine) does it choose a temporary folder of its own.
+lost executor costs a reread and not a recomputation. Only on one machine (a local master) may that setting
+be absent: then a temporary folder is chosen.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the cluster, or a temporary one per session where the cluster names none."""
+    """Folder named by the cluster, or on one machine a temporary one per session; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="photonlake-")

@@ -295,29 +295,92 @@ def test_toxicity_without_labels(spark, odd):
     assert {r.score for r in toxicity.toxicity_scores(spark, odd, none).collect()} == {0.5}
 
 
+def library_rows(texts, end=0):
+    """(n_tokens, crc32) of each text by the tokenizers library, with the end id."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in texts:
+        ids = [*known.encode(text or "", add_special_tokens=False).ids, end]
+        yield len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_token_files_on_odd_rows(spark, odd, nothing):
     import public_tokenizers
 
-    files = rans.TokenFiles(spark, rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 50257)
-    rows = files.read(files.write(odd)).orderBy("start").collect()
-    assert len(rows) == 12 and rows[0].doc_id is None and rows[0].start == 0
-    assert all(a.start + a.n_tokens == b.start for a, b in itertools.pairwise(rows))
-    assert {r.n_tokens for r in rows if r.doc_id in (4, 5)} == {1}
-    again = rans.TokenFiles(spark, rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 50257)
+    tokenizer = rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    files = rans.TokenFiles(spark, tokenizer, 50257)
+    docs = odd.union(table(spark, [(12, "a <|endoftext|> b", "en", "a")]))
+    rows = files.read(files.write(docs)).orderBy("start").collect()
+    given = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    want, start = [], 0
+    for r, (n, crc) in zip(given, library_rows(r.text for r in given), strict=True):
+        want.append((r.doc_id, start, n, crc))
+        start += n
+    assert [tuple(r) for r in rows] == want
+    again = rans.TokenFiles(spark, tokenizer, 50257)
     assert again.read(again.write(nothing)).count() == 0
 
 
-def test_bpe_query_on_odd_rows(spark, odd, nothing):
+def test_token_files_query_equals_library(spark):
+    sf = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    want, start = {}, 0
+    for r, (n, crc) in zip(given, library_rows(r.text for r in given), strict=True):
+        want[r.doc_id] = (start, n, crc)
+        start += n
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op4_token_files(spark, sf).collect()} == want
+
+
+def test_many_blocks_and_one_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK_TOKENS", 500)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, n)) for n in (3, 4000, 0, 700, 1, 1, 250)]
+    import public_tokenizers
+
+    files = rans.TokenFiles(spark, rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 50257)
+    folder = files.write(table(spark, list(enumerate(texts))).coalesce(1))
+    rows = files.read(folder).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == [(i, *x) for i, x in enumerate(library_rows(texts))]
+    assert spark.read.parquet(f"{folder}/blocks").count() >= 4
+
+
+def digests(given):
     import hashlib
 
     import public_tokenizers
+    import tiktoken
 
     from photonlake.llm import bpe
 
-    got = bpe.token_digests(spark, odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    texts = collections.Counter(hashlib.sha256((r.text or "").encode()).hexdigest() for r in odd.collect())
-    assert collections.Counter(r.decoded_sha256 for r in got.collect()) == texts
-    assert bpe.token_digests(spark, nothing, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).count() == 0
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    for r in given:
+        ids = known.encode_ordinary(r.text or "")
+        yield r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_bpe_query_on_odd_rows(spark, odd, nothing):
+    import public_tokenizers
+
+    from photonlake.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.token_digests(spark, odd, path)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(digests(odd.collect()))
+    assert bpe.token_digests(spark, nothing, path).count() == 0
+    clash = odd.withColumn("ids", F.lit(b"x")).withColumn("decoded", F.lit(1))
+    out = bpe.decode(bpe.encode(clash, path), path)
+    assert out.columns == [*odd.columns, "ids", "decoded"]
+    assert all(bytes(r.decoded) == (r.text or "").encode() and r.mark == "z" for r in out.collect())
+
+
+def test_bpe_query_equals_tiktoken(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {tuple(r) for r in queries.op5_byte_bpe(spark, sf).collect()}
+    assert got == set(digests(spark.read.parquet(f"{sf}/documents.parquet").collect()))
 
 
 def test_language_evidence(spark):

@@ -24,37 +24,82 @@ def texts():
 
 
 def test_bpe_equals_tiktoken(texts):
-    own = bpe.load(RANKS)
+    own, back = bpe.encoder(RANKS), bpe.decoder(RANKS)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     for text, ids in zip(texts, own.cache.ids(pa.array(texts)), strict=True):
         assert ids.tolist() == known.encode_ordinary(text or "")
-        assert own.decode(ids) == (text or "").encode()
+        assert back.decode(ids) == (text or "").encode()
 
 
 def test_long_pieces_merge_alike():
-    own = bpe.load(RANKS)
+    own = bpe.encoder(RANKS)
     piece = b"abcab" * 60
     rows = [None]
     own._merge_rows([piece], 512, [0], rows)
     assert rows[0].tolist() == own._merge_long(piece)
 
 
-def test_library_tokenizer_equals_library(texts):
+@pytest.mark.parametrize("special", [True, False])
+def test_library_tokenizer_equals_library(texts, special):
     path = public_tokenizers.path("byte_bpe_50k.json")
     known = Tokenizer.from_file(path)
-    known.encode_special_tokens = True
-    for text, ids in zip(texts, rans.library_tokenizer(path)()(pa.array(texts)), strict=True):
+    if not special:
+        known.encode_special_tokens = True
+    for text, ids in zip(texts, rans.library_tokenizer(path, special)()(pa.array(texts)), strict=True):
         assert ids.tolist() == known.encode(text or "", add_special_tokens=False).ids
+    if special:
+        assert next(iter(rans.library_tokenizer(path)()(pa.array(["hello <|endoftext|> x"])))).tolist() == [31373, 220, 50256, 2124]
+
+
+def test_pieces_with_one_polynomial_hash_stay_apart():
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    b = a.translate({97: 98, 98: 97})
+    raw = [np.frombuffer(x.encode(), np.uint8) for x in (a, b)]
+    assert len({int(bytescan.span_hash(bytescan.prefix_hash(x), np.array([0]), np.array([1024]))[0]) for x in raw}) == 1
+    own = bpe.encoder(RANKS)
+    assert [bpe.decoder(RANKS).decode(ids).decode() for ids in own.cache.ids(pa.array([a, b, b, a]))] == [a, b, b, a]
+    known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library = rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))()
+    assert [x.tolist() for x in library(pa.array([a, b]))] == [known.encode(x).ids for x in (a, b)]
+    sets = [s.tolist() for s in shingles.sets_of(pa.array([f"p q r s {a}", f"p q r s {b}"]))]
+    assert sets[0] != sets[1]
+
+
+def test_pieces_that_share_a_hash_stay_apart(texts, monkeypatch):
+    """With a hash of three bits nearly all short pieces clash."""
+    from photonlake.llm.pieces import PieceIds
+
+    words = PieceIds._words
+    monkeypatch.setattr(PieceIds, "_words", staticmethod(lambda *of: (*words(*of)[:2], words(*of)[2] & np.uint64(7) | np.uint64(1))))
+    own = bpe.encoder(RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    clashing = PieceIds(own.encode_pieces)
+    for text, ids in zip(texts, clashing.ids(pa.array(texts)), strict=True):
+        assert ids.tolist() == known.encode_ordinary(text or "")
 
 
 def test_small_cache_forgets(texts):
-    own = bpe.load(RANKS)
+    own = bpe.encoder(RANKS)
     from photonlake.llm.pieces import PieceIds
 
-    small = PieceIds(own.encode_pieces, bits=6)
     want = [x.tolist() for x in own.cache.ids(pa.array(texts[:200]))]
-    assert [x.tolist() for x in small.ids(pa.array(texts[:200]))] == want
-    assert [x.tolist() for t in texts[:200] for x in small.ids(pa.array([t], pa.string()))] == want
+    for small in (PieceIds(own.encode_pieces, most=40), PieceIds(own.encode_pieces, most_bytes=2000)):
+        assert [x.tolist() for x in small.ids(pa.array(texts[:200]))] == want
+        assert [x.tolist() for t in texts[:200] for x in small.ids(pa.array([t], pa.string()))] == want
+        assert small.held < 400
+
+
+def test_texts_longer_than_a_slice():
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 400_000))
+    assert len(text) > bytescan.SLICE_BYTES
+    own = bpe.encoder(RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    ids = list(own.cache.ids(pa.array(["a b", text, None])))
+    assert ids[1].tolist() == known.encode_ordinary(text) and bpe.decoder(RANKS).decode(ids[1]).decode() == text
+    assert [len(x) for x in ids] == [2, len(ids[1]), 0]
+    words = text.split(" ")
+    assert len(list(shingles.sets_of(pa.array(["a b", text])))[1]) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
 
 
 def coded(ids, table):
