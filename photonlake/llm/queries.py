@@ -68,7 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_token_counts": token_counts.SQL,
     "op7_exact_top_k": topk.SQL,
     "op8_source_mix": mixing.SQL,
 }

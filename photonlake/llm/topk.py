@@ -4,9 +4,15 @@ An extra component sqrt(M - |x|^2), with M the largest squared norm, makes all c
 that the largest inner product is the smallest Euclidean distance. Distances of all candidates to many
 pivots are computed once (the pivot table). For a query, the largest |d(q, p) - d(x, p)| over the pivots is
 a lower bound of d(q, x), hence an upper bound of the score; candidates are scored in the order of their
-bounds until no bound can reach the k-th score. Scores are exact integers.
+bounds until no bound can reach the k-th score.
 
-Query blocks meet candidate blocks by an equi-join on shelves, so that a task holds one pair of blocks.
+Blocks of candidates hold rows of one nearest pivot and lie on shelves of equally many blocks in the order of the
+pivots, so that a shelf spans narrow ranges of distances and none is long, however many rows are alike. The
+scores of a bounded sample of rows give every query a first threshold; a block of queries goes to a shelf only if
+the shelf's ranges allow a score that reaches it, and meets there block by block in an equi-join.
+
+Scores are exact integers: products are formed in doubles where all partial sums stay below 2^53, else in 64-bit
+integers where they stay below 2^63, else in integers of any length.
 """
 
 from __future__ import annotations
@@ -23,6 +29,18 @@ from photonlake.llm.storage import Scratch, bounded_batches
 
 #: Candidates scored between two looks at the bound.
 _CHUNK = 256
+_LARGEST = 2**63 - 1
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of integers held in doubles, as longs; beyond a long's range its nearest end."""
+    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+    if most < 2.0**53:
+        return (x @ q).astype(np.int64)
+    if most < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = np.array([[int(c) for c in row] for row in x.tolist()], object) @ np.array([int(c) for c in q.tolist()], object)
+    return np.array([max(-_LARGEST - 1, min(_LARGEST, v)) for v in np.atleast_1d(whole).tolist()], np.int64)
 
 
 def _lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -45,26 +63,40 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def ceilings(distance_low: np.ndarray, distance_high: np.ndarray, from_query: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """(queries,): the most that any candidate within these ranges of distances to the pivots can score."""
+    apart = np.maximum(np.maximum(distance_low - from_query, from_query - distance_high), 0.0).max(axis=1)
+    return _reach(square, apart)
+
+
+def _reach(square: np.ndarray | float, apart: np.ndarray) -> np.ndarray:
+    """Highest score at a distance of at least ``apart``, with room for the rounding of doubles."""
+    return (square - apart**2) / 2 + 1 + 1e-9 * square
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, to_pivot: np.ndarray, pivots: np.ndarray, longest: float, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Best (ids, scores) of each query in one block; ``floor`` holds scores that k candidates of other blocks reach, and is raised."""
-    lifted = np.hstack([q, np.zeros((len(q), 1))])
-    from_query = _distances(lifted, pivots)
-    square = (q * q).sum(axis=1) + longest
+    """Best (ids, scores) of each query in one block; ``floor`` holds scores that k candidates are known to reach, and is raised."""
+    from_query, square = query_distances(q, pivots, longest)
+    possible = ceilings(to_pivot.min(axis=0), to_pivot.max(axis=0), from_query, square) >= floor
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = []
     for i in range(len(q)):
+        if not possible[i]:
+            out.append(nothing)
+            continue
         bound = np.abs(to_pivot - from_query[i]).max(axis=1)
         order = np.argsort(bound, kind="stable")
-        reach = (square[i] - bound[order] ** 2) / 2 + 1 + 1e-9 * square[i]
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        reach = _reach(square[i], bound[order])
+        ids, scores = nothing
         for lo in range(0, len(order), _CHUNK):
             if reach[lo] < floor[i]:
                 break
             at = order[lo : lo + _CHUNK]
-            got = np.rint(x[at] @ q[i]).astype(np.int64)
+            got = products(x[at], q[i])
             fit = (got >= floor[i]) & (x_ids[at] != q_ids[i])
             ids, scores = np.concatenate([ids, x_ids[at[fit]]]), np.concatenate([scores, got[fit]])
             if len(ids) > k:
-                keep = np.lexsort((ids, -scores))[:k]
+                keep = np.lexsort((ids, ~scores))[:k]
                 ids, scores = ids[keep], scores[keep]
             if len(ids) >= k:
                 floor[i] = max(floor[i], scores.min())
@@ -72,12 +104,18 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
     return out
 
 
+def query_distances(q: np.ndarray, pivots: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of queries to the pivots, and the sum of each one's squared length and the candidates'."""
+    return _distances(np.hstack([q, np.zeros((len(q), 1))]), pivots), (q * q).sum(axis=1) + longest
+
+
 class PivotSearch:
     """Exact top-k by integer inner product, for every vec_id divisible by ``every`` against all other rows.
 
-    Components x become floor(scale * x). ``sample`` bounds the rows that pivots are chosen from; every row
-    is in the pivot table and every row is a candidate. Fewer than k candidates give fewer rows; no valid
-    row gives none. Rows that ``vectors.valid`` leaves out take no part.
+    Components x become floor(scale * x). ``sample`` bounds the rows that pivots and first thresholds come from;
+    every row is in the pivot table and every row is a candidate. Fewer than k candidates give fewer rows; no
+    valid row gives none. Rows that ``vectors.valid`` leaves out take no part. A score beyond the range of a long
+    is given as that range's nearest end; such scores tie.
     """
 
     def __init__(self, spark: SparkSession, k: int = 10, every: int = 100, scale: int = 1024, pivots: int = 32, sample: int = 4096, block: int = 2048, query_block: int = 256):
@@ -87,36 +125,87 @@ class PivotSearch:
         bounded_batches(spark, 64)
 
     def run(self, df: DataFrame) -> DataFrame:
-        whole = F.transform("vector", lambda x: F.floor(x * self.scale).cast("double"))
+        # floor() of Spark gives longs; a component beyond them is whole already.
+        scaled = lambda x: x * self.scale
+        whole = F.transform("vector", lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
         rows = self.scratch.table(V.valid(df).select("vec_id", whole.alias("vector")), "rows")
         norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
         longest, n = rows.agg(F.max(norm), F.count("*")).first()
         if not n:
             return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-        sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample).select("vector").collect()])
-        shared = self.spark.sparkContext.broadcast((choose_pivots(_lift(sample, longest), self.pivots), longest))
+        chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample)
+        got = rows.join(F.broadcast(chosen), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id"), "vec_id").toArrow()
+        ids = got.column("vec_id").to_numpy()
+        sample = got.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        pivots = choose_pivots(_lift(sample, longest), self.pivots)
+        shared = self.spark.sparkContext.broadcast((pivots, longest, sample, ids))
         shelves = max(1, min(-(-n // self.block), int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        table = self._pivot_table(V.blocks(rows, self.block), shared).withColumn("shelf", F.pmod("block", F.lit(shelves)))
-        table = self.scratch.table(table, "pivot-table")
-        asked = V.blocks(rows.filter(F.col("vec_id") % self.every == 0), self.query_block).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        asked = asked.withColumn("shelf", F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))))
-        return V.best(self._search(asked.join(table, "shelf"), shared), self.k)
+        placed = self.scratch.table(self._placed(rows, shared), "placed")
+        before = np.zeros(len(pivots) + 1, np.int64)
+        for near, rows_near in placed.groupBy("near").count().collect():
+            before[near + 1] = -(-rows_near // self.block)
+        before = np.cumsum(before)
+        shelf = F.floor((F.element_at(F.array(*map(F.lit, before.tolist())), F.col("near") + 1) + F.col("block")) * shelves / int(before[-1])).cast("int")
+        blocks = V.blocks(placed, self.block, "near").select(shelf.alias("shelf"), "ids", "vectors")
+        table = self.scratch.table(self._pivot_table(blocks, shared), "pivot-table")
+        ranges = table.groupBy("shelf").agg(F.array(*[F.min(F.col("low")[p]) for p in range(len(pivots))]), F.array(*[F.max(F.col("high")[p]) for p in range(len(pivots))])).collect()
+        asked = V.blocks(rows.filter(F.col("vec_id") % self.every == 0), self.query_block)
+        asked = self.scratch.table(self._sent(asked, shared, [(r[0], np.array(r[1]), np.array(r[2])) for r in ranges]), "asked")
+        return V.best(self._search(asked.join(table.select("shelf", "ids", "vectors", "to_pivot"), "shelf"), shared), self.k)
+
+    @staticmethod
+    def _placed(rows: DataFrame, shared) -> DataFrame:
+        """Rows with their nearest pivot."""
+
+        def run(batches):
+            pivots, longest = shared.value[:2]
+            for batch in batches:
+                x = _lift(V.matrix(batch.column(1).flatten().to_numpy(zero_copy_only=False), batch.num_rows), longest)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_distances(x, pivots).argmin(axis=1).astype(np.int32))], names=["vec_id", "vector", "near"])
+
+        return rows.select("vec_id", "vector").mapInArrow(run, "vec_id bigint, vector array<double>, near int")
 
     @staticmethod
     def _pivot_table(candidates: DataFrame, shared) -> DataFrame:
         def run(batches):
-            pivots, longest = shared.value
+            pivots, longest = shared.value[:2]
+            for batch in batches:
+                far = [_distances(_lift(V.matrix(v, len(i)), longest), pivots) for i, v in zip(batch.column(1), batch.column(2), strict=True)]
+                added = [pa.array([x.astype("<f8").tobytes() for x in far], pa.binary()), *(pa.array([of(x, axis=0) for x in far], pa.list_(pa.float64())) for of in (np.min, np.max))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=["shelf", "ids", "vectors", "to_pivot", "low", "high"])
+
+        return candidates.mapInArrow(run, "shelf int, ids array<bigint>, vectors array<double>, to_pivot binary, low array<double>, high array<double>")
+
+    def _sent(self, asked: DataFrame, shared, ranges: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
+        """Blocks of queries with their first thresholds, for each shelf that one of them may find something on."""
+        k = self.k
+
+        def run(batches):
+            pivots, longest, sample, ids = shared.value
             for batch in batches:
-                to_pivot = [pa.scalar(_distances(_lift(V.matrix(v, len(i)), longest), pivots).astype("<f8").tobytes()) for i, v in zip(batch.column(1), batch.column(2), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.as_py() for x in to_pivot], pa.binary())], names=["block", "ids", "vectors", "to_pivot"])
+                for r in range(batch.num_rows):
+                    q_ids = batch.column(1)[r].values.to_numpy()
+                    q = V.matrix(batch.column(2)[r], len(q_ids))
+                    floor = np.full(len(q), -_LARGEST - 1, np.int64)
+                    for i in range(len(q)):
+                        got = products(sample, q[i])[ids != q_ids[i]]
+                        if len(got) >= k:
+                            floor[i] = np.partition(got, -k)[-k]
+                    from_query, square = query_distances(q, pivots, longest)
+                    to = [shelf for shelf, low, high in ranges if (ceilings(low, high, from_query, square) >= floor).any()]
+                    row = batch.slice(r, 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.array(to, np.int32)), *(c.take(pa.array(np.zeros(len(to), np.int64))) for c in row.columns), pa.array([floor.tolist()] * len(to), pa.list_(pa.int64()))],
+                        names=["shelf", "q_block", "q_ids", "q_vectors", "floor"],
+                    )
 
-        return candidates.mapInArrow(run, "block int, ids array<bigint>, vectors array<double>, to_pivot binary")
+        return asked.mapInArrow(run, "shelf int, q_block int, q_ids array<bigint>, q_vectors array<double>, floor array<bigint>")
 
     def _search(self, pairs: DataFrame, shared) -> DataFrame:
         k = self.k
 
         def run(batches):
-            pivots, longest = shared.value
+            pivots, longest = shared.value[:2]
             floors: OrderedDict[int, np.ndarray] = OrderedDict()
             for batch in batches:
                 cols = {name: batch.column(name) for name in batch.schema.names}
@@ -127,7 +216,7 @@ class PivotSearch:
                     which = cols["q_block"][r].as_py()
                     floor = floors.pop(which, None)
                     if floor is None:
-                        floor = np.full(len(q), -np.inf)
+                        floor = cols["floor"][r].values.to_numpy().copy()
                     found = search_block(q, q_ids, x, x_ids, to_pivot, pivots, longest, k, floor)
                     floors[which] = floor
                     if len(floors) > 256:  # thresholds only save work; the oldest may go
@@ -137,16 +226,16 @@ class PivotSearch:
                         names=["query_id", "vec_id", "score"],
                     )
 
-        return pairs.select("q_block", "q_ids", "q_vectors", "ids", "vectors", "to_pivot").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        return pairs.select("q_block", "q_ids", "q_vectors", "floor", "ids", "vectors", "to_pivot").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::hugeint) as q from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
-  select a.vec_id as query_id, b.vec_id, list_dot_product(a.q, b.q)::bigint as score
+  select a.vec_id as query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
 ), r as (
   select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from s

@@ -12,15 +12,19 @@ def valid(df: DataFrame) -> DataFrame:
     """(vec_id, vector array<double>) of rows that take part.
 
     Rows whose id or vector is null, empty or holds a null or non-finite component are left out, and so are
-    vectors whose length is not the most frequent one. Rows that repeat a vec_id count once, with the
-    smallest of their vectors.
+    vectors whose length is not the most frequent one: they have no product with the others. Rows that repeat a
+    vec_id count once, with the smallest of their vectors. Vectors are shuffled only for ids that do repeat.
     """
     vector = F.col("embedding").cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), vector.alias("vector")).filter("vec_id is not null").filter(finite & (F.size(vector) > 0))
     usual = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     rows = rows.filter(F.size("vector") == (usual[0]["dim"] if usual else 0))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    repeated = rows.groupBy("vec_id").count().filter("count > 1").select("vec_id")
+    if repeated.isEmpty():
+        return rows
+    once = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.join(repeated, "vec_id", "left_anti").union(once)
 
 
 def blocks(df: DataFrame, block_rows: int, *keys: str) -> DataFrame:

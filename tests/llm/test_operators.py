@@ -12,7 +12,7 @@ from photonlake.llm import language, line_dedup, mixing, queries, rans, token_co
 from photonlake.llm.ann import CentroidGraph, PostingSearch, lists_in_reach
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import Scratch
-from photonlake.llm.topk import PivotSearch
+from photonlake.llm.topk import PivotSearch, products
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, component string, removed int, mark string"
 
@@ -189,15 +189,63 @@ def test_splitting_is_exact_and_spreads(spark):
 def test_token_totals_commit_once(spark):
     totals = token_counts.TokenTotals(spark, Scratch(spark, "totals").root)
     rows = spark.createDataFrame([("a", "en", "v1", 10), ("a", "en", "v1", 5), (None, None, "v1", None)], "source string, lang string, tokenizer string, tokens bigint")
-    assert totals.totals().count() == 0
+    sums = lambda: {tuple(r) for r in totals.totals().collect()}
+    assert sums() == set()
+    totals.compact()
+    assert sums() == set()
     assert totals.commit("b1", token_counts.inserts(rows)) and not totals.commit("b1", token_counts.inserts(rows))
     totals.commit("b2", token_counts.deletes(rows.filter("tokens = 5")), token_counts.revisions(rows.filter("tokens = 10").withColumn("after", F.lit(12)), "tokens", "after"))
     want = {("a", "en", "v1", 1, 12), (None, None, "v1", 1, 0)}
-    assert {tuple(r) for r in totals.totals().collect()} == want
-    totals.compact()
-    assert {tuple(r) for r in totals.totals().collect()} == want
+    assert sums() == want
+    for _ in range(2):
+        totals.compact()
+        assert sums() == want and totals.committed("b1") and not totals.commit("b2", token_counts.inserts(rows))
     totals.commit("b3", token_counts.deletes(rows.filter("source is null")))
-    assert {tuple(r) for r in totals.totals().collect()} == {("a", "en", "v1", 1, 12)}
+    assert sums() == {("a", "en", "v1", 1, 12)}
+    totals.compact()
+    totals.commit("b4", token_counts.deletes(rows.filter("source is null").limit(0)))
+    assert sums() == {("a", "en", "v1", 1, 12)}
+
+
+def test_half_written_batches_do_not_count(spark):
+    totals = token_counts.TokenTotals(spark, Scratch(spark, "totals").root)
+    rows = spark.createDataFrame([("a", "en", "v1", 10)], "source string, lang string, tokenizer string, tokens bigint")
+    for batch in ("b1", "b2"):
+        totals.commit(batch, token_counts.inserts(rows))
+    path, store = totals._path("deltas/b2/_SUCCESS")
+    store.delete(path, False)  # as if the job had died before its commit
+    assert not totals.committed("b2") and [r.tokens for r in totals.totals().collect()] == [10]
+    totals.compact()
+    assert [r.tokens for r in totals.totals().collect()] == [10]
+    assert totals.commit("b2", token_counts.inserts(rows)) and [r.tokens for r in totals.totals().collect()] == [20]
+    totals.compact()
+    path, store = totals._path("snapshots/000000001/batches/_SUCCESS")
+    store.delete(path, False)  # a snapshot without its marker does not count either
+    assert totals._snapshot() is None
+
+
+def test_token_counts_query_equals_libraries(spark, tmp_path, odd):
+    import public_tokenizers
+    import tiktoken
+
+    from photonlake.llm import bpe
+
+    sf = "/root/testdata/sf0.001"
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (1, 0), (1, 1), (4, 1), (None, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for where in (sf, str(tmp_path)):
+        docs = spark.read.parquet(f"{where}/documents.parquet").collect()
+        bad = {r.doc_id for r in spark.read.parquet(f"{where}/labels.parquet").filter("quality = 0").collect()} - {None}
+        want = collections.defaultdict(lambda: [0, 0])
+        for r, (n, _) in zip(docs, library_rows(r.text for r in docs), strict=True):
+            if r.doc_id not in bad:
+                tight = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+                for version, tokens in (("byte-bpe-shared-50k", n - 1), ("byte-bpe-multi-50k", len(multi.encode_ordinary(tight)))):
+                    total = want[r.source, r.lang, version]
+                    total[0] += 1
+                    total[1] += tokens
+        assert {tuple(r) for r in token_counts.corpus_history(spark, where).collect()} == {(*k, *v) for k, v in want.items()}
 
 
 def vectors(spark, rows):
@@ -219,6 +267,40 @@ def test_exact_top_k_on_odd_rows(spark):
     assert PivotSearch(spark).run(vectors(spark, odd_rows)).count() == 0
 
 
+def test_products_are_exact_at_any_size():
+    rng = np.random.default_rng(3)
+    for power in (10, 26, 28, 31, 40):
+        x, q = rng.integers(-(2**power), 2**power, (300, 64)), rng.integers(-(2**20), 2**20, 64)
+        want = [max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(row, q, strict=True)))) for row in x]
+        assert products(x.astype(float), q.astype(float)).tolist() == want
+
+
+@pytest.mark.parametrize("kind", ["mixed", "clustered", "repeated"])
+def test_exact_top_k_equals_brute_force(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 8))
+    if kind == "mixed":  # scores up to 10^17, far beyond what doubles hold exactly
+        x *= 10.0 ** rng.integers(0, 5, (400, 1))
+        x[:60] *= 1e1
+    elif kind == "clustered":
+        x = rng.normal(size=(8, 8))[rng.integers(0, 8, 400)] * 20 + x * 0.05
+    else:
+        x[200:] = x[:200]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    if kind == "repeated":
+        rows += [(i, [float(c) + 1 for c in v]) for i, v in rows[:50]]
+    whole = {}
+    for i, v in sorted(rows, reverse=True):
+        whole[i] = [int(c) for c in np.floor(1024 * np.array(v)).tolist()]
+    got = collections.defaultdict(list)
+    for r in PivotSearch(spark, block=32, query_block=3, pivots=8, sample=64).run(vectors(spark, rows)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 100, 200, 300):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in want]
+    assert set(got) == {0, 100, 200, 300}
+
+
 def test_nearest_neighbours_find_enough(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
