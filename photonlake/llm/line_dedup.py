@@ -4,8 +4,15 @@ Equal lines collapse by a 128-bit hash. Lines within a small edit distance are f
 principle: a line of length l is cut into t + 1 segments (t edits allowed at that length), and any line
 within t edits holds one of them unchanged, shifted by no more than what the lengths and the segment's rank
 allow. So each line posts its own segments under (its length, rank, content) and probes with the few
-substrings that could equal a segment of a line as long or up to t shorter. Lines that meet are verified by
-the banded edit distance; lists that are long are verified inside the join, so only links leave it.
+substrings that could equal a segment of a line as long or up to t shorter. Only keys and hashes are shuffled;
+the texts of lines that meet are fetched afterwards.
+
+Lists that many lines share (a template's segment) are refined: what the segment leaves of a line on its left
+and right holds all the edits, so it is cut into t + 1 pieces, of which one again is unchanged. Lists that are
+still long are compared in blocks of members, so that no task gets a whole list.
+
+Lines that meet are verified by a banded bit-parallel automaton: bit d of word e tells whether the diagonal d of
+the band is reached with e edits, and one step of all diagonals takes a few operations on whole words.
 """
 
 from __future__ import annotations
@@ -18,6 +25,52 @@ from photonlake.llm.storage import Scratch
 
 #: White space that does not count at the ends of a line.
 _BLANK = " \t\r\x0b\x0c"
+#: Edits at most, and the mask of the band's diagonals.
+_EDITS = 2
+_BAND = (1 << 2 * _EDITS + 1) - 1
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """Length of the common prefix, up to 2^21 - 1 characters."""
+    powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(powers, F.lit(0), lambda n, p: F.when((n + p <= F.least(F.char_length(a), F.char_length(b))) & (F.left(a, n + p) == F.left(b, n + p)), n + p).otherwise(n))
+
+
+def edits(a: Column, b: Column) -> Column:
+    """Edit distance of two strings if it is at most two, else 3."""
+    rest = lambda s, start: F.substring(s, start + 1, F.char_length(s))
+    both = lambda start: F.struct(rest(a, start).alias("x"), rest(b, start).alias("y"), F.reverse(rest(a, start)).alias("rx"), F.reverse(rest(b, start)).alias("ry"))
+    chars = lambda s, end: F.filter(F.split(F.left(s, F.char_length(s) - end), ""), lambda c: c != "")
+    inner = lambda m: let(common_start(m["rx"], m["ry"]), lambda end: let(F.struct(chars(m["x"], end).alias("x"), chars(m["y"], end).alias("y")), _automaton))
+    return let(common_start(a, b), lambda start: let(both(start), inner))
+
+
+def _automaton(m: Column) -> Column:
+    x, y = m["x"], m["y"]
+    state = lambda at, words: F.struct(at.alias("at"), *[w.alias(f"r{e}") for e, w in enumerate(words)])
+
+    def step(s: Column, c: Column) -> Column:
+        def moved(equal: Column) -> Column:
+            words = [s["r0"].bitwiseAND(equal)]
+            for e in range(1, _EDITS + 1):
+                old = s[f"r{e - 1}"]
+                word = s[f"r{e}"].bitwiseAND(equal).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(words[-1], 1))
+                words.append(word.bitwiseAND(F.lit(_BAND)))
+            return state(s["at"] + 1, words)
+
+        equal = sum((F.when(F.get(x, s["at"] + d - _EDITS) == c, 1 << d).otherwise(0) for d in range(2 * _EDITS + 1)), F.lit(0))
+        return F.when(s[f"r{_EDITS}"] == 0, s).otherwise(let(equal, moved))
+
+    begin = state(F.lit(0), [F.lit(sum(1 << _EDITS + k for k in range(e + 1))) for e in range(_EDITS + 1)])
+    apart = F.size(x) - F.size(y)
+    reached = lambda s, e: F.getbit(s[f"r{e}"], F.least(F.greatest(apart + _EDITS, F.lit(0)), F.lit(2 * _EDITS))) == 1
+    last = F.aggregate(y, begin, step, lambda s: F.when(reached(s, 0), 0).when(reached(s, 1), 1).when(reached(s, 2), 2).otherwise(3))
+    return F.when(F.abs(apart) > _EDITS, 3).otherwise(last)
 
 
 class LineDedup:
@@ -31,12 +84,12 @@ class LineDedup:
     doc_id are told apart by their texts; equal ones share their decisions.
     """
 
-    def __init__(self, spark: SparkSession, least: int = 2, one_from: int = 24, two_from: int = 64, long_list: int = 24):
-        self.spark, self.least, self.one_from, self.two_from, self.long_list = spark, least, one_from, two_from, long_list
+    def __init__(self, spark: SparkSession, least: int = 2, one_from: int = 24, two_from: int = 64, long_list: int = 24, block: int = 64):
+        self.spark, self.least, self.one_from, self.two_from, self.long_list, self.block = spark, least, one_from, two_from, long_list, block
         self.scratch = Scratch(spark, "line-dedup")
 
     def run(self, docs: DataFrame) -> DataFrame:
-        """The columns of ``docs`` with ``text`` deduplicated, and ``n_lines`` and ``removed_lines`` (numbers from 0)."""
+        """The columns of ``docs`` with ``text`` deduplicated, and ``n_lines`` and ``removed_lines`` (numbers from 0), which replace columns of these names."""
         names = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
         keyed = docs.select(F.col("doc_id").alias("k_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_at"), F.col("text").alias("k_text"), F.struct(*[docs[c] for c in names]).alias("k_row"))
         removed = self.removals(docs)
@@ -70,39 +123,53 @@ class LineDedup:
 
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): hashes of distinct lines within the edits allowed."""
-        firsts = classes.filter(F.col("len") >= self.one_from).select("first.doc", "first.at", "first.no").groupBy("doc", "at").agg(F.collect_list("no").alias("nos"))
-        own = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("at"), "text")
-        chosen = own.join(firsts, own.doc.eqNullSafe(firsts.doc) & (own["at"] == firsts["at"])).select(F.explode(F.filter(F.split("text", "\n"), lambda x, i: F.array_contains("nos", i))).alias("raw"))
-        lines = chosen.select(F.btrim("raw", F.lit(_BLANK)).alias("line")).select(F.xxhash64("line").alias("h"), "line", F.char_length("line").alias("len"))
-        lines = self.scratch.table(lines, "lines")
-        posted = self._posted(lines)
-        every = Window.partitionBy("key")
-        met = posted.withColumn("members", F.count("*").over(every)).withColumn("owners", F.sum("own").over(every)).filter("members > 1 and owners > 0")
-        met = self.scratch.table(met.drop("owners"), "met")
+        lines = self._once(self._lines(docs).filter(F.col("len") >= self.one_from), classes)
+        # The lowest bit of a key tells whether it is a line's own segment.
+        posted = self._ways(lines).select((F.shiftleft("key", 1) + F.col("own")).alias("k"), "h")
+        list_ = F.shiftright("k", 1)
+        every = Window.partitionBy(list_)
+        met = posted.withColumn("low", F.min("h").over(every)).withColumn("high", F.max("h").over(every)).withColumn("owned", F.max(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).over(every))
+        met = met.filter("low <> high and owned = 1").groupBy(list_.alias("key"), "h").agg(F.max(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("own"))
+        met = self.scratch.table(met.withColumn("members", F.count("*").over(Window.partitionBy("key"))), "met")
+        texts = self._texts(docs, met.select("h").distinct())
         short, long_ = met.filter(F.col("members") <= self.long_list), met.filter(F.col("members") > self.long_list)
-        pairs = self._pairs(short, F.lit(True)).distinct()
-        a, b = (lines.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
-        apart = self._close(F.col("line_a"), F.col("line_b"))
-        near = pairs.join(a, "a").join(b, "b").filter(apart).select("a", "b")
-        texts = long_.join(lines.select("h", "line"), "h")
-        far = self._pairs(texts, self._close(F.col("line_x"), F.col("line_y")))
-        links = self.scratch.table(near.union(far).distinct(), "links")
-        self.scratch.drop("lines", "met")
+        pairs = self._pairs(short).union(self._pairs(self._refined(texts, long_))).distinct()
+        a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("len").alias(f"len_{s}")) for s in "ab")
+        allowed = F.when(F.least("len_a", "len_b") >= self.two_from, 2).otherwise(1)
+        pairs = pairs.join(a, "a").join(b, "b").filter(F.abs(F.col("len_a") - F.col("len_b")) <= allowed)
+        links = self.scratch.table(pairs.filter(edits(F.col("line_a"), F.col("line_b")) <= allowed).select("a", "b"), "links")
+        self.scratch.drop("met", "texts", "refined")
         return links
 
-    def _pairs(self, met: DataFrame, condition: Column) -> DataFrame:
-        """(a, b): lines that meet in a list where one of them posted its own segment."""
-        x, y = (met.select("key", *[F.col(c).alias(f"{c}_{s}") for c in met.columns if c != "key"]) for s in "xy")
-        meet = (F.col("own_x") == 1) & (F.col("h_x") != F.col("h_y")) & ((F.col("own_y") == 0) | (F.col("h_x") < F.col("h_y")))
-        return x.join(y, "key").filter(meet & condition).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"))
-
-    def _close(self, a: Column, b: Column) -> Column:
-        shorter = F.least(F.char_length(a), F.char_length(b))
-        two = F.levenshtein(a, b, 2)
-        return F.when(shorter >= self.two_from, two >= 0).when(shorter >= self.one_from, (two >= 0) & (two <= 1)).otherwise(False)
-
-    def _posted(self, lines: DataFrame) -> DataFrame:
-        """(key, own, h): a line's own segments, and substrings that could be a segment of an equally long or shorter line.
+    @staticmethod
+    def _once(lines: DataFrame, classes: DataFrame) -> DataFrame:
+        """``lines`` without the repeats of those that make up more than a ten-thousandth of all: at most 10,000, so they are broadcast."""
+        total = classes.agg(F.sum("times")).first()[0] or 0
+        often = classes.filter(F.col("times") * 10_000 > total).filter("times > 1").select(F.col("h").alias("often"), "first")
+        kept = lines.join(F.broadcast(often), F.col("h") == F.col("often"), "left")
+        again = ~(F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.at") == F.col("at")) & (F.col("first.no") == F.col("no")))
+        return kept.filter(F.col("often").isNull() | ~again).select("h", "line", "len")
+
+    def _texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        """(h, line, len) of the wanted lines; their hashes are broadcast where they are few."""
+        wanted = self.scratch.table(wanted, "wanted")
+        few = wanted.count() <= 1 << 20
+        lines = self._lines(docs).filter(F.col("len") >= self.one_from).select("h", "line", "len")
+        return self.scratch.table(lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.min("len").alias("len")), "texts")
+
+    def _pairs(self, met: DataFrame) -> DataFrame:
+        """(a, b): lines that meet in a list where one of them posted its own segment, list by list and block by block."""
+        blocks = F.ceil(F.col("members") / self.block).cast("int")
+        placed = met.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "h", "own")
+        x, y = (placed.select("key", "one", "two", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "h", "own")]) for s in "xy")
+        # Of two blocks, or of one with itself, every pair is looked at from the side of each own segment.
+        apart = (F.col("one") == F.col("two")) | (F.col("block_x") != F.col("block_y"))
+        meet = apart & (F.col("own_x") == 1) & (F.col("h_x") != F.col("h_y")) & ((F.col("own_y") == 0) | (F.col("h_x") < F.col("h_y")))
+        return x.join(y, ["key", "one", "two"]).filter(meet).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+    def _ways(self, lines: DataFrame) -> DataFrame:
+        """(key, own, h, and how it was cut): a line's own segments, and substrings that could be a segment of an equally long or shorter line.
 
         The ways to take a segment are few and the same for all lines, so they are an array literal that is
         exploded; the keys are then plain generated code.
@@ -122,7 +189,37 @@ class LineDedup:
         each = each.withColumn("start", cut(F.col("rank"))).withColumn("width", cut(F.col("rank") + 1) - F.col("start")).withColumn("at", F.col("start") + F.col("shift"))
         each = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("len")))
         key = F.xxhash64("length", "rank", F.substring(F.col("line"), F.col("at") + 1, F.col("width")))
-        return each.select(key.alias("key"), ((F.col("less") == 0) & (F.col("shift") == 0)).cast("int").alias("own"), "h")
+        return each.withColumn("key", F.shiftright(F.shiftleft(key, 1), 1)).withColumn("own", ((F.col("less") == 0) & (F.col("shift") == 0)).cast("bigint"))
+
+    def _refined(self, texts: DataFrame, met: DataFrame) -> DataFrame:
+        """(key, h, own, members): shorter lists in place of the long ones ``met``, that still hold every pair within the edits.
+
+        A segment that is unchanged leaves the edits to the text on its left and on its right. The owner's two
+        texts are cut into edits + 1 pieces; a piece without edits lies in the same text of the other line,
+        shifted by no more than the edits.
+        """
+        rows = self._ways(texts.join(met.select("h").distinct(), "h", "left_semi")).join(met.select("key", "h"), ["key", "h"])
+        ways = F.array(*[F.struct(F.lit(piece).alias("piece"), F.lit(move).alias("move")) for piece in range(_EDITS + 1) for move in range(-_EDITS, _EDITS + 1)])
+        rows = rows.withColumn("w", F.explode(ways)).select("key", "h", "line", "len", "length", "edits", "start", "width", "at", "own", "w.*")
+        rows = rows.filter((F.col("piece") <= F.col("edits")) & (F.abs("move") <= F.col("edits")))
+        left, right = F.col("start"), F.col("length") - F.col("start") - F.col("width")
+        share = F.round((F.col("edits") + 1) * left / (left + right)).cast("int")
+        on_left = F.when(left == 0, 0).when(right == 0, F.col("edits") + 1).otherwise(F.greatest(F.lit(1), F.least(F.col("edits"), share)))
+        rows = rows.withColumn("on_left", on_left).withColumn("is_left", F.col("piece") < F.col("on_left"))
+        n = F.when(F.col("is_left"), F.col("on_left")).otherwise(F.col("edits") + 1 - F.col("on_left"))
+        rank = F.when(F.col("is_left"), F.col("piece")).otherwise(F.col("piece") - F.col("on_left"))
+        whole = F.when(F.col("is_left"), left).otherwise(right)
+        cut = lambda k: F.floor(whole * k / n).cast("int")
+        rows = rows.withColumn("from", cut(rank)).withColumn("upto", cut(rank + 1))
+        begin = F.when(F.col("is_left"), 0).otherwise(F.col("at") + F.col("width"))
+        end = F.when(F.col("is_left"), F.col("at")).otherwise(F.col("len"))
+        rows = rows.withColumn("begin", begin + F.col("from") + F.col("move")).withColumn("n", F.col("upto") - F.col("from"))
+        rows = rows.filter((F.col("begin") >= begin) & (F.col("begin") + F.col("n") <= end))
+        key = F.xxhash64("key", "piece", F.substring(F.col("line"), F.col("begin") + 1, F.col("n")))
+        lists = rows.groupBy(key.alias("key"), "h").agg(F.max(F.col("own") * (F.col("move") == 0).cast("bigint")).alias("own"))
+        lists = self.scratch.table(lists, "refined")
+        members = lists.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("owned")).filter("members > 1 and owned = 1")
+        return lists.join(members.drop("owned"), "key").select("key", "h", "own", "members")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def test_line_dedup_equals_brute_force(spark):
                 x[at : at + rng.integers(0, 2)] = rng.choice(list("xyz"))
             own.append("".join(x))
         texts.append("\n".join(own))
-    for long_list in (2, 24):
-        got = {r.doc_id: r.removed_lines for r in line_dedup.LineDedup(spark, long_list=long_list).run(table(spark, list(enumerate(texts)))).collect()}
+    for how in ({"long_list": 2, "block": 3}, {"long_list": 24}, {"long_list": 10**6, "block": 2}):
+        got = {r.doc_id: r.removed_lines for r in line_dedup.LineDedup(spark, **how).run(table(spark, list(enumerate(texts)))).collect()}
         seen, places = {}, collections.defaultdict(list)
         for i, t in enumerate(texts):
             for j, line in enumerate(t.split("\n")):
@@ -133,6 +133,34 @@ def test_line_dedup_equals_brute_force(spark):
         assert {i: sorted(x) for i, x in got.items() if x} == {i: sorted(x) for i, x in want.items()}
 
 
+def test_bit_parallel_edits_equal_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    rows = [("", ""), ("a", ""), ("", "abc"), ("ab", "ba"), ("abcd", "bcda"), ("é" * 70, "é" * 69 + "x"), ("x" * 5000 + "y", "x" * 5000), ("abc", "abc")]
+    for _ in range(1500):
+        a = "".join(rng.choice(list("abé"), rng.integers(0, 30)))
+        b = list(a)
+        for _ in range(rng.integers(0, 5)):
+            at = rng.integers(len(b) + 1)
+            b[at : at + rng.integers(0, 2)] = rng.choice(list("abé"), rng.integers(0, 2))
+        rows.append((a, "".join(b)))
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup.edits(F.col("a"), F.col("b")).alias("n"))
+    for r in got.collect():
+        if max(len(r.a), len(r.b)) < 100:
+            assert r.n == min(3, edit(r.a, r.b)), (r.a, r.b)
+        else:
+            assert r.n == 1
+
+
+def test_line_dedup_of_a_template(spark):
+    """Many distinct lines share segments; only those with few edits fall together."""
+    rng = np.random.default_rng(10)
+    head, tail = "this notice belongs to the work number", "and must stay with every copy of it that is given away"
+    middles = ["".join(rng.choice(list("0123456789"), 30)) for _ in range(300)]
+    lines = [f"{head} {m} {tail}" for m in middles] + [f"{head} {m[:7]}x{m[8:]} {tail[:-1]}" for m in middles[:40]]
+    out = line_dedup.LineDedup(spark).run(table(spark, list(enumerate(lines)))).collect()
+    assert {r.doc_id for r in out if r.removed_lines} == set(range(300, 340))
+
+
 def test_line_dedup_on_odd_rows(spark, odd, nothing):
     out = line_dedup.LineDedup(spark).run(odd)
     rows = out.collect()
