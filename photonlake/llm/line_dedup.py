@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from photonlake.llm.columns import let
 from photonlake.llm.components import components
 from photonlake.llm.storage import Scratch
 
@@ -30,11 +31,6 @@ _EDITS = 2
 _BAND = (1 << 2 * _EDITS + 1) - 1
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def common_start(a: Column, b: Column) -> Column:
     """Length of the common prefix, up to 2^21 - 1 characters."""
     powers = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
@@ -116,21 +112,20 @@ class LineDedup:
 
     @staticmethod
     def _lines(docs: DataFrame) -> DataFrame:
-        """(doc, at, no, line, h, g, len) of every line that is not blank."""
+        """(doc, at, no, line, h, g, len) of every line that is not blank; ``h`` has 63 bits."""
         rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("at"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
         lines = rows.withColumn("line", F.btrim("raw", F.lit(_BLANK))).filter("line <> ''")
-        return lines.select("doc", "at", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), F.char_length("line").alias("len"))
+        return lines.select("doc", "at", "no", "line", F.shiftright(F.xxhash64("line"), 1).alias("h"), F.xxhash64(F.lit(7), "line").alias("g"), F.char_length("line").alias("len"))
 
     def _links(self, docs: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): hashes of distinct lines within the edits allowed."""
         lines = self._once(self._lines(docs).filter(F.col("len") >= self.one_from), classes)
-        # The lowest bit of a key tells whether it is a line's own segment.
-        posted = self._ways(lines).select((F.shiftleft("key", 1) + F.col("own")).alias("k"), "h")
-        list_ = F.shiftright("k", 1)
-        every = Window.partitionBy(list_)
-        met = posted.withColumn("low", F.min("h").over(every)).withColumn("high", F.max("h").over(every)).withColumn("owned", F.max(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).over(every))
-        met = met.filter("low <> high and owned = 1").groupBy(list_.alias("key"), "h").agg(F.max(F.col("k").bitwiseAND(F.lit(1).cast("bigint"))).alias("own"))
-        met = self.scratch.table(met.withColumn("members", F.count("*").over(Window.partitionBy("key"))), "met")
+        # Nearly all lists hold one line: what is shuffled of each posting is its key, and its line's hash with the lowest bit for an own segment.
+        posted = self._ways(lines).select("key", (F.shiftleft("h", 1) + F.col("own")).alias("mark")).repartition("key")
+        h, own, every = F.shiftright("mark", 1), F.col("mark").bitwiseAND(F.lit(1).cast("bigint")), Window.partitionBy("key")
+        met = posted.select("key", "mark", F.min(h).over(every).alias("low"), F.max(h).over(every).alias("high"), F.max(own).over(every).alias("owned"))
+        met = met.filter("low <> high and owned = 1").groupBy("key", h.alias("h")).agg(F.max(own).alias("own"))
+        met = self.scratch.table(met.withColumn("members", F.count("*").over(every)), "met")
         texts = self._texts(docs, met.select("h").distinct())
         short, long_ = met.filter(F.col("members") <= self.long_list), met.filter(F.col("members") > self.long_list)
         pairs = self._pairs(short).union(self._pairs(self._refined(texts, long_))).distinct()
@@ -189,7 +184,7 @@ class LineDedup:
         each = each.withColumn("start", cut(F.col("rank"))).withColumn("width", cut(F.col("rank") + 1) - F.col("start")).withColumn("at", F.col("start") + F.col("shift"))
         each = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("len")))
         key = F.xxhash64("length", "rank", F.substring(F.col("line"), F.col("at") + 1, F.col("width")))
-        return each.withColumn("key", F.shiftright(F.shiftleft(key, 1), 1)).withColumn("own", ((F.col("less") == 0) & (F.col("shift") == 0)).cast("bigint"))
+        return each.withColumn("key", key).withColumn("own", ((F.col("less") == 0) & (F.col("shift") == 0)).cast("bigint"))
 
     def _refined(self, texts: DataFrame, met: DataFrame) -> DataFrame:
         """(key, h, own, members): shorter lists in place of the long ones ``met``, that still hold every pair within the edits.

@@ -214,6 +214,41 @@ def test_splitting_is_exact_and_spreads(spark):
     assert mean == pytest.approx(8, abs=0.01) and var == pytest.approx(20 * 0.4 * 0.6 * 40 / 59, abs=0.03)
 
 
+def test_shards_get_the_blocks_that_the_tree_drew(spark):
+    """Every draw of a block lies in the shard whose stretch of the source's permutation holds it, as many as were drawn for that shard."""
+    docs = table(spark, [(i, "w " * (1 + i % 5), "en", f"s{i % 3}" if i % 2 else "hot") for i in range(4000)])
+    m = mixing.Mixture(spark)
+    plan = m.plan(docs, "source").collect()
+    blocks = spark.read.parquet(m.scratch.path("blocks"))
+    drawn = {(r.skey, r.shard): r.blocks for r in mixing.split_quotas(blocks.groupBy("skey").agg((F.max("passes") * F.max("n_blocks") + F.sum((F.col("part") > 0).cast("bigint"))).alias("q")), 4, 11).collect()}
+    place = {(r.skey, r.block): (r.place, r.n_blocks) for r in blocks.collect()}
+    seen = collections.defaultdict(set)
+    for r in plan:
+        key = f"s{r.source}"
+        at, n = place[key, r.mark[:3]]
+        for e, shard in enumerate(r.shards):
+            seen[key, shard].add(e * n + at)
+    for key in {k for k, _ in place}:
+        upto = 0
+        for shard in range(16):
+            assert seen[key, shard] <= set(range(upto, upto + drawn[key, shard]))
+            upto += drawn[key, shard]
+        assert sum(len(seen[key, s]) for s in range(16)) >= upto - 1  # the last block may hold no row that fits
+
+
+def test_hypergeometric_is_the_exact_distribution(spark):
+    import math
+    from fractions import Fraction
+
+    for total, marked, drawn in ((60, 24, 20), (10, 3, 10), (7, 0, 3), (5, 5, 2), (4096, 4, 2048), (1, 1, 1)):
+        odds = [Fraction(math.comb(marked, x) * math.comb(total - marked, drawn - x), math.comb(total, drawn)) if 0 <= drawn - x <= total - marked else Fraction(0) for x in range(marked + 1)]
+        us = [(i + 0.5) / 500 for i in range(500)]
+        want = [next(x for x in range(marked + 1) if sum(odds[: x + 1]) >= u) for u in us]
+        args = [F.lit(v).cast("bigint") for v in (total, marked, drawn)]
+        got = spark.createDataFrame([(u,) for u in us], "u double").select("u", mixing.hypergeometric(*args, F.col("u")).alias("k")).orderBy("u").collect()
+        assert [r.k for r in got] == want
+
+
 def test_token_totals_commit_once(spark):
     totals = token_counts.TokenTotals(spark, Scratch(spark, "totals").root)
     rows = spark.createDataFrame([("a", "en", "v1", 10), ("a", "en", "v1", 5), (None, None, "v1", None)], "source string, lang string, tokenizer string, tokens bigint")
