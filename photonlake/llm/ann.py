@@ -2,8 +2,9 @@
 
 Centroids are fitted on a bounded sample with a penalty on long lists; every row is indexed. A vector goes
 to the list of its nearest centroid and, if it lies near a boundary, to those of further centroids as well.
-A row's centroids are found by a best-first walk on a graph of their neighbours, held in memory by each task;
-a query is compared with all centroids and visits the lists at most ``reach`` times as far as the nearest ones that together hold more than ``floor`` rows. List members
+Centroids are found by a best-first walk on a graph of their neighbours, held in memory by each task. A query
+visits the lists at most ``reach`` times as far as the nearest ones that together hold more than ``floor`` rows; its
+walk widens until it has found a centroid further than that, and ends as a comparison with all of them. List members
 are scored by their exact cosine. Long lists are split into blocks, so that no task gets a whole list.
 """
 
@@ -113,26 +114,40 @@ def lists_within(graph: CentroidGraph, queries: np.ndarray, width: int, ratio: f
     return at[0], ids[at]
 
 
-def lists_in_reach(graph: CentroidGraph, queries: np.ndarray, ratio: float, sizes: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: of all lists those at most ``ratio`` times as far as the nearest that hold ``needed`` rows together.
+def lists_in_reach(graph: CentroidGraph, queries: np.ndarray, ratio: float, sizes: np.ndarray, needed: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs in the order of rows: the lists at most ``ratio`` times as far as the nearest that hold ``needed`` rows together.
 
     ``sizes`` counts each row in one list only. If all lists hold fewer, all are taken.
     """
-    sims = queries @ graph.centroids.T
-    ids = np.argsort(-sims, axis=1, kind="stable")
-    far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, ids, axis=1)))
-    enough = np.cumsum(sizes[ids], axis=1) >= needed
-    last = np.where(enough.any(axis=1), enough.argmax(axis=1), ids.shape[1] - 1)[:, None]
-    keep = far <= ratio * np.take_along_axis(far, last, axis=1) + 1e-6
-    at = np.nonzero(keep | (np.arange(ids.shape[1]) <= last))
-    return at[0], ids[at]
+    n, left, rows, lists = len(graph.centroids), np.arange(len(queries)), [], []
+    while len(left):
+        if 4 * width >= n:
+            sims = queries[left] @ graph.centroids.T
+            ids = np.argsort(-sims, axis=1, kind="stable")
+            sims, width = np.take_along_axis(sims, ids, axis=1), n
+        else:
+            ids, sims = graph.walk(queries[left], width)
+        far = np.sqrt(np.maximum(0, 2 - 2 * sims))
+        enough = np.cumsum(np.where(ids >= 0, sizes[ids], 0), axis=1) >= needed
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), ids.shape[1] - 1)[:, None]
+        limit = ratio * np.take_along_axis(far, last, axis=1) + 1e-6
+        done = (enough.any(axis=1) & (far[:, -1] > limit[:, 0])) | (width >= n)
+        keep = ((far <= limit) | (np.arange(ids.shape[1]) <= last)) & (ids >= 0) & done[:, None]
+        at = np.nonzero(keep)
+        rows.append(left[at[0]])
+        lists.append(ids[at])
+        left, width = left[~done], 4 * width
+    row, list_ = np.concatenate(rows), np.concatenate(lists)
+    order = np.argsort(row, kind="stable")
+    return row[order], list_[order]
 
 
 class PostingSearch:
     """The ``k`` nearest by cosine found for every vec_id divisible by ``every``, among all other rows.
 
     ``sample`` bounds the rows that centroids are fitted on and ``most_lists`` the centroids (so what each
-    task holds of them); lists otherwise number ``lists`` or the square root of the rows. The lists that
+    task holds of them: beyond 2.7e8 rows lists grow instead); lists otherwise number ``lists`` or the square root
+    of the rows. The lists that
     ``reach`` is counted from hold ``floor`` rows at least besides the query, and no fewer than ``k``. Zero vectors and rows that
     ``vectors.valid`` leaves out take no part; no valid row gives an empty result.
     """
@@ -149,7 +164,9 @@ class PostingSearch:
         n = rows.count()
         if not n:
             return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-        sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample).select("vector").collect()])
+        chosen = rows.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(self.sample)
+        got = rows.join(F.broadcast(chosen), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").toArrow().column("vector").combine_chunks()
+        sample = got.flatten().to_numpy().reshape(len(got), -1)
         n_lists = min(self.most_lists, self.lists or max(1, math.ceil(math.sqrt(n))))
         graph = self.spark.sparkContext.broadcast(CentroidGraph.build(fit_centroids(unit(sample).astype(np.float32), n_lists)))
         boundary, replicas, reach = self.boundary, self.replicas, self.reach

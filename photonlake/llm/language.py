@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm import bytescan as B
@@ -52,8 +52,14 @@ class TextModel:
 
     @staticmethod
     def fit(labelled: DataFrame, sample: int = 8000) -> TextModel:
-        """From at most ``sample`` rows (text, lang) in the order of a hash of the text; null languages are passed over."""
-        rows = labelled.filter("lang is not null and text is not null").select("text", F.col("lang").cast("string").alias("lang")).orderBy(F.xxhash64("text"), "lang").limit(sample)
+        """From at most ``sample`` rows (text, lang, perhaps doc_id) in the order of a hash of id and text; null languages are passed over.
+
+        The hashes are chosen first and alone; rows alike in all three share one.
+        """
+        rows = labelled.filter("lang is not null and text is not null")
+        keyed = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text", "lang", *[c for c in ("doc_id",) if c in labelled.columns]).alias("key"))
+        chosen = keyed.select("key").orderBy("key").limit(sample).distinct()
+        rows = keyed.join(F.broadcast(chosen), "key", "left_semi").select("text", "lang")
 
         def run(batches):
             counts: dict[str, np.ndarray] = {}
@@ -163,26 +169,37 @@ class LanguageId:
     def _reliability(self, seen: DataFrame, n: int, name: str) -> DataFrame:
         """(sign, name): probability of a sign given each language, smoothed by one over the number of signs."""
         by = seen.filter("sign is not null").groupBy("sign").agg(F.array(*[F.sum(F.col("said")[k]) for k in range(n)]).alias("c"))
-        every = Window.partitionBy(F.lit(1))
-        totals = by.withColumn("signs", F.count("*").over(every))
-        for k in range(n):
-            totals = totals.withColumn(f"t{k}", F.sum(F.col("c")[k]).over(every))
-        return totals.select("sign", F.array(*[(F.col("c")[k] + 1.0 / F.col("signs")) / (F.col(f"t{k}") + 1.0) for k in range(n)]).alias(name))
+        totals = by.agg(F.count("*").alias("signs"), F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("t"))
+        smoothed = F.zip_with("c", "t", lambda c, t: (c + 1.0 / F.col("signs")) / (t + 1.0))
+        return by.crossJoin(F.broadcast(totals)).select("sign", smoothed.alias(name))
+
+
+#: Second labels under which countries register names, as in co.uk.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "net", "or", "org")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Text, declared language and address parts of raw pages."""
+    """Text, declared language and address parts of raw pages.
+
+    Null pages and addresses have none of these; a host without a dot has no suffix and is its own domain.
+    """
     html = F.coalesce("html", F.lit(""))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[#\w]+;", " ")
     declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     full = lambda c: F.when(c != "", c)
     rows = pages.select(F.col("page_id").cast("bigint").alias("id"), text.alias("text"), full(declared).alias("declared"), full(host).alias("host"))
-    return rows.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    labels = F.split("host", r"\.")
+    suffix = F.when(F.size(labels) > 1, F.get(labels, F.size(labels) - 1))
+    by_country = (F.char_length(suffix) == 2) & (F.size(labels) > 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND_LABELS)
+    return rows.withColumn("suffix", suffix).withColumn("domain", F.when(by_country, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))
 
 
 def page_languages(spark: SparkSession, pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """(page_id, lang, probability, text_lang, declared, host) of every page; text models from labelled documents."""
+    """(page_id, lang, probability, text_lang, declared, host) of every page; text models from labelled documents.
+
+    A row per page, repeated page_ids included; an empty table gives one; other columns are left out.
+    """
     found = LanguageId(spark, TextModel.fit(documents)).run(page_rows(pages))
     return found.withColumnRenamed("id", "page_id")
 

@@ -3,11 +3,15 @@
 A logistic regression on the presence of hashed words and word beginnings. It is fitted on a bounded sample
 of labelled texts; besides the log loss it pays for every change of score when the identity terms of a
 labelled text are swapped for others of their kind, so that no group's mention raises a score by itself.
+Each text is swapped as often as its kind has other terms: all its mentions of the kind move on by as many terms.
+What a swap does to the features follows from how often the text has each feature: a feature goes with its last
+occurrence and comes with its first.
 Scoring is one vectorised pass over all texts with a small broadcast weight table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +84,8 @@ class Toxicity:
     the features kept, ``penalty`` weighs the squared score changes. Null labels are passed over; a
     document labelled twice counts as toxic if either label says so. Without both classes among the labels
     every score is the share of toxic labels (one half if there are none). Null and empty texts get the
-    score of a text without features. Labels, lang, source and doc_id are never inputs of a score.
+    score of a text without features. Labels, lang, source and doc_id are never inputs of a score. Rows that
+    repeat a doc_id are scored each by its text; other columns, whatever their names, take no part.
     """
 
     def __init__(self, spark: SparkSession, sample: int = 20_000, chosen: int = 4096, penalty: float = 4.0, ridge: float = 0.5, terms: dict[str, tuple[str, ...]] | None = None):
@@ -129,46 +134,47 @@ class Toxicity:
         out[self.slots] = np.arange(len(self.slots))
         return out
 
-    def _swaps(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(word feature, features that go, features that come) of each swap of a term for another of its kind."""
-        slot = self._slot_of()
-        out = []
-        for terms in self.terms.values():
-            of = [slot[term_features(t)] for t in terms]
-            key = [int(slot[self._word_feature(t)]) for t in terms]
-            out += [(key[i], of[i], of[j]) for i in range(len(terms)) for j in range(len(terms)) if i != j]
-        return out
-
-    @staticmethod
-    def _word_feature(term: str) -> int:
-        raw = np.frombuffer(term.encode(), np.uint8)
-        return int(features(raw, np.array([0, len(raw)]))[2][0])
-
     def _train(self, rows: DataFrame) -> None:
-        slots = self.spark.sparkContext.broadcast(self.slots)
+        shared = self.spark.sparkContext.broadcast((self.slots, self.terms))
 
         def run(batches):
+            slots, terms = shared.value
             table = np.full(1 << BITS, -1, np.int64)
-            table[slots.value] = np.arange(len(slots.value))
+            table[slots] = np.arange(len(slots))
+            swapper = Swapper(terms, table)
             for batch in batches:
                 toxic, done = batch.column(1).to_numpy(), 0
-                for n, row, feature in _present(batch.column(0), table):
-                    cuts = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(toxic[done : done + n]), lists], names=["toxic", "found"])
+                for first, end, data, offsets in B.slices(batch.column(0)):
+                    n = end - first
+                    row, word, feature = features(data, offsets)
+                    slot = table[feature]
+                    row, slot = row[slot >= 0], slot[slot >= 0]
+                    pairs, times = np.unique(row << BITS | slot, return_counts=True)
+                    row, slot = pairs >> BITS, pairs & ((1 << BITS) - 1)
+                    cuts = np.searchsorted(row, np.arange(n + 1))
+                    swaps: list[list[list[int]]] = [[] for _ in range(n)]
+                    for r, mentioned in swapper.mentions(data, offsets).items():
+                        swaps[r] = swapper.changes(mentioned, dict(zip(slot[cuts[r] : cuts[r + 1]].tolist(), times[cuts[r] : cuts[r + 1]].tolist(), strict=True)))
+                    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(slot.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(toxic[done : done + n]), lists, pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["toxic", "found", "swaps"])
                     done += n
 
-        got = rows.select("text", "toxic").mapInArrow(run, "toxic int, found array<int>").toArrow()
+        got = rows.select("text", "toxic").mapInArrow(run, "toxic int, found array<int>, swaps array<array<int>>").toArrow()
         y = got.column("toxic").to_numpy().astype(np.float64)
         found = got.column("found").combine_chunks()
         lengths = np.diff(found.offsets.to_numpy())
         col, row = found.values.to_numpy().astype(np.int64), np.repeat(np.arange(len(y)), lengths)
-        mentions = np.bincount(col, minlength=len(self.slots))
-        swaps = [(mentions[k], np.setdiff1d(a, b), np.setdiff1d(b, a)) for k, a, b in self._swaps()]
-        # A kind's terms are held together a little even where the sample never mentions them.
-        swaps = [(1.0 + n, a, b) for n, a, b in swaps]
+        # A kind's terms are held together a little even where the sample never mentions them: each counts as one text.
+        swaps = Counter(Swapper(self.terms, self._slot_of()).alone())
+        for of_text in got.column("swaps").to_pylist():
+            swaps.update(map(tuple, of_text))
         self.weights, self.bias = fit_logistic(y, row, col, len(self.slots), swaps, self.penalty, self.ridge)
 
+    def _slot_of(self) -> np.ndarray:
+        out = np.full(1 << BITS, -1, np.int64)
+        out[self.slots] = np.arange(len(self.slots))
+        return out
+
     def score(self, docs: DataFrame) -> DataFrame:
         """(doc_id, score) of every row."""
         if not len(self.slots):
@@ -189,27 +195,71 @@ class Toxicity:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
 
 
-def fit_logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, swaps: list[tuple[float, np.ndarray, np.ndarray]], penalty: float, ridge: float, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise log loss + ridge/2 |w|^2 + penalty/2 * sum over swaps of times * (score change)^2.
+class Swapper:
+    """What swaps of identity terms do to the features of a text.
+
+    A change is a list of features that come (slot + 1) and go (-slot - 1).
+    """
+
+    def __init__(self, terms: dict[str, tuple[str, ...]], slot_of: np.ndarray):
+        self.of = {kind: [[int(s) for s in slot_of[term_features(t)] if s >= 0] for t in names] for kind, names in terms.items()}
+        self.place = {t.encode(): (kind, i) for kind, names in terms.items() for i, t in enumerate(names)}
+        self.lengths = np.array(sorted({len(t) for t in self.place}) or [0])
+
+    def mentions(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, Counter]:
+        """How often each row with any of the terms has each: row -> (kind, number) -> times."""
+        starts, ends, bounds = _word_spans(data, offsets)
+        fits = np.flatnonzero(np.isin(ends - starts, self.lengths))
+        row = np.searchsorted(bounds, fits, "right") - 1
+        lowered, out = B.lower(data).tobytes(), {}
+        for r, s, e in zip(row.tolist(), starts[fits].tolist(), ends[fits].tolist(), strict=True):
+            at = self.place.get(lowered[s:e])
+            if at is not None:
+                out.setdefault(r, Counter())[at] += 1
+        return out
+
+    def changes(self, mentioned: Counter, times: dict[int, int]) -> list[list[int]]:
+        """The change of each swap of a text that has the mentioned terms and its features so many times."""
+        out = []
+        for kind, of in self.of.items():
+            own = [(i, n) for (k, i), n in mentioned.items() if k == kind]
+            for move in range(1, len(of)) if own else ():
+                after = Counter()
+                for i, n in own:
+                    for slot in of[i]:
+                        after[slot] -= n
+                    for slot in of[(i + move) % len(of)]:
+                        after[slot] += n
+                change = [(slot + 1) * (1 if by > 0 else -1) for slot, by in sorted(after.items()) if (times.get(slot, 0) > 0) != (times.get(slot, 0) + by > 0)]
+                if change:
+                    out.append(change)
+        return out
+
+    def alone(self) -> list[tuple[int, ...]]:
+        """The changes of texts of one term."""
+        each = [(Counter({(kind, i): 1}), dict.fromkeys(of[i], 1)) for kind, of in self.of.items() for i in range(len(of))]
+        return [tuple(c) for mentioned, times in each for c in self.changes(mentioned, times)]
+
+
+def fit_logistic(y: np.ndarray, row: np.ndarray, col: np.ndarray, n: int, swaps: dict[tuple[int, ...], float], penalty: float, ridge: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise log loss + ridge/2 |w|^2 + penalty/2 * sum over swaps of times * (change of the logit)^2.
 
     Accelerated gradient steps, each feature scaled by a bound of its own curvature.
     """
+    changes, times = list(swaps), np.array(list(swaps.values()), float)
+    signed = np.array([x for c in changes for x in c], np.int64)
+    s_len = np.fromiter(map(len, changes), np.int64, len(changes))
+    s_row, s_col, sign = np.repeat(np.arange(len(changes)), s_len), np.abs(signed) - 1, np.sign(signed).astype(float)
     w, v, b = np.zeros(n), np.zeros(n), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     vb = b
     width = np.bincount(row, minlength=len(y)) + 1.0
-    curve = 0.25 * np.bincount(col, width[row], minlength=n) + ridge
+    curve = 0.25 * np.bincount(col, width[row], minlength=n) + ridge + penalty * np.bincount(s_col, (times * s_len)[s_row], minlength=n)
     bias_curve = 0.25 * width.sum()
-    for times, gone, come in swaps:
-        for k in (gone, come):
-            curve[k] += penalty * times * (len(gone) + len(come))
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, v[col], minlength=len(y)) + vb, -500, 500)))
         error = p - y
-        g = np.bincount(col, error[row], minlength=n) + ridge * v
-        for times, gone, come in swaps:
-            d = penalty * times * (v[gone].sum() - v[come].sum())
-            g[gone] += d
-            g[come] -= d
+        change = penalty * times * np.bincount(s_row, sign * v[s_col], minlength=len(changes))
+        g = np.bincount(col, error[row], minlength=n) + ridge * v + np.bincount(s_col, sign * change[s_row], minlength=n)
         w_new, b_new = v - g / curve, vb - error.sum() / bias_curve
         momentum = t / (t + 3)
         v, vb = w_new + momentum * (w_new - w), b_new + momentum * (b_new - b)

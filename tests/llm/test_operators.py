@@ -435,6 +435,82 @@ def test_toxicity_ignores_neutral_group_mentions(spark):
     assert b[4] > 0.5 and b[1] < 0.5 and b[3] == pytest.approx(1 / (1 + np.exp(-held.bias)))
 
 
+TERMS = {"one": ("muslims", "christians", "jews"), "two": ("women", "woman")}
+
+
+def test_swaps_equal_rewritten_sentences():
+    """The changes of features are those between a sentence and its rewritten form, whatever words share features."""
+    import pyarrow as pa
+
+    texts = ["Muslims and women", "christians, muslims: christianity", "a woman of women", "nobody", "JEWS jews womanly", ""]
+    table_ = np.arange(1 << toxicity.BITS)
+    swapper = toxicity.Swapper(TERMS, table_)
+
+    def present(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return set(toxicity.features(raw, np.array([0, len(raw)]))[2].tolist()) if text else set()
+
+    for _, _, data, offsets in toxicity.B.slices(pa.array(texts)):
+        row, _, feature = toxicity.features(data, offsets)
+        mentions = swapper.mentions(data, offsets)
+        for r, text in enumerate(texts):
+            want = []
+            for names in TERMS.values():
+                for move in range(1, len(names)):
+                    other = re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[(names.index(m[0].lower()) + move) % len(names)], text, flags=re.I)  # noqa: B023
+                    old, new = present(text), present(other)
+                    if old != new:
+                        want.append(sorted([f + 1 for f in new - old] + [-f - 1 for f in old - new]))
+            got = swapper.changes(mentions.get(r, collections.Counter()), collections.Counter(feature[row == r].tolist()))
+            assert sorted(map(sorted, got)) == sorted(want)
+
+
+def test_fit_is_the_dense_optimum():
+    rng = np.random.default_rng(7)
+    x = (rng.random((80, 12)) < 0.3).astype(float)
+    y = (rng.random(80) < 0.2 + 0.6 * x[:, 0]).astype(float)
+    swaps = {(1, -2): 5.0, (3, 4, -5): 2.0, (-1, 6): 1.0}
+    d = np.zeros((3, 12))
+    for i, change in enumerate(swaps):
+        for c in change:
+            d[i, abs(c) - 1] = np.sign(c)
+    quadratic = 0.5 * np.eye(12) + 4.0 * d.T @ (np.array(list(swaps.values()))[:, None] * d)
+    z, w = np.hstack([x, np.ones((80, 1))]), np.zeros(13)
+    full = np.zeros((13, 13))
+    full[:12, :12] = quadratic
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w -= np.linalg.solve(z.T @ ((p * (1 - p))[:, None] * z) + full, z.T @ (p - y) + full @ w)
+    row, col = np.nonzero(x)
+    got, bias = toxicity.fit_logistic(y, row, col, 12, swaps, 4.0, 0.5, rounds=4000)
+    assert np.abs(got - w[:12]).max() < 1e-4 and abs(bias - w[12]) < 1e-4
+
+
+def test_toxicity_scores_on_odd_rows(spark, odd):
+    """Flags, whole texts, ties and repeated rows; held-out accuracy on a planted word."""
+    import zlib
+
+    rng = np.random.default_rng(13)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 12)) + (" vermin" if i % 4 == 0 else ""), "en", "a") for i in range(600)]
+    docs += [(5000, "w " * 60_000 + "vermin", "en", "a"), (5001, None, None, None), (5002, "", "en", "a"), (None, "vermin", "en", "a"), (7, "alpha", "en", "a"), (7, "alpha", "en", "a")]
+    given = table(spark, docs).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(3))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)] + [(1, 0), (2, None), (None, 1)], "doc_id bigint, toxic int")
+    rows = toxicity.toxicity_scores(spark, given, labels).collect()
+    assert len(rows) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    by = {r.doc_id: r for r in rows}
+    out = [r for r in rows if r.held_out and r.doc_id < 600]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in out) >= 0.98 * len(out)
+    assert by[5000].predicted == 1 and by[None].predicted == 1 and by[5001].score == by[5002].score and by[5001].predicted == 0
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = [r for r in queries.op3_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert len(out) > 30 and sum(r.predicted == labels[r.doc_id] for r in out) >= 0.9 * len(out)
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r.score for r in toxicity.toxicity_scores(spark, odd, none).collect()} == {0.5}
@@ -541,6 +617,8 @@ def test_language_evidence(spark):
     )
     got = {r.page_id: r for r in language.page_languages(spark, pages, docs).collect()}
     assert got[1].lang == "de" and got[1].host == "a.example.de" and got[4].lang == "fr" and got[4].declared == "fr"
+    again = language.page_rows(spark.createDataFrame([(1, "http://a.b.co.uk/x", "<p>x"), (2, "http://localhost/", None), (3, "https://w.example.org", "y")], "page_id bigint, url string, html string")).collect()
+    assert [(r.suffix, r.domain) for r in again] == [("uk", "b.co.uk"), (None, "localhost"), ("org", "example.org")]
     assert got[2].lang == language.UNKNOWN and got[3].text_lang == language.UNKNOWN
     assert language.page_languages(spark, pages.limit(0), docs).count() == 0
 
