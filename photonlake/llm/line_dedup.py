@@ -9,7 +9,8 @@ the texts of lines that meet are fetched afterwards.
 
 Lists that many lines share (a template's segment) are refined: what the segment leaves of a line on its left
 and right holds all the edits, so it is cut into t + 1 pieces, of which one again is unchanged. Lists that are
-still long are compared in blocks of members, so that no task gets a whole list.
+still long are compared with one of their lines first, which connects those alike, and then in blocks of members
+of which only links leave a task.
 
 Lines that meet are verified by a banded bit-parallel automaton: bit d of word e tells whether the diagonal d of
 the band is reached with e edits, and one step of all diagonals takes a few operations on whole words.
@@ -17,6 +18,8 @@ the band is reached with e edits, and one step of all diagonals takes a few oper
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,20 @@ def edits(a: Column, b: Column) -> Column:
     return let(common_start(a, b), lambda start: let(both(start), inner))
 
 
+#: Groups of letters whose numbers are compared first.
+_LETTERS = ("ae", "io", "un", "st", "rl", "dm", "ch")
+
+
+def letter_counts(line: Column) -> Column:
+    """How many characters of each group a line has, and how many others; an edit changes two of the numbers by one at most."""
+    left = [F.char_length(F.translate(line, group, "")) for group in _LETTERS]
+    return F.array(*[F.char_length(line) - n for n in left], F.char_length(F.translate(line, "".join(_LETTERS), "")))
+
+
+def _side(texts: DataFrame, side: str) -> DataFrame:
+    return texts.select(F.col("h").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("line", "len", "letters")])
+
+
 def _automaton(m: Column) -> Column:
     x, y = m["x"], m["y"]
     state = lambda at, words: F.struct(at.alias("at"), *[w.alias(f"r{e}") for e, w in enumerate(words)])
@@ -80,7 +97,7 @@ class LineDedup:
     doc_id are told apart by their texts; equal ones share their decisions.
     """
 
-    def __init__(self, spark: SparkSession, least: int = 2, one_from: int = 24, two_from: int = 64, long_list: int = 24, block: int = 64):
+    def __init__(self, spark: SparkSession, least: int = 2, one_from: int = 24, two_from: int = 64, long_list: int = 24, block: int = 512):
         self.spark, self.least, self.one_from, self.two_from, self.long_list, self.block = spark, least, one_from, two_from, long_list, block
         self.scratch = Scratch(spark, "line-dedup")
 
@@ -128,14 +145,18 @@ class LineDedup:
         met = self.scratch.table(met.withColumn("members", F.count("*").over(every)), "met")
         texts = self._texts(docs, met.select("h").distinct())
         short, long_ = met.filter(F.col("members") <= self.long_list), met.filter(F.col("members") > self.long_list)
-        pairs = self._pairs(short).union(self._pairs(self._refined(texts, long_))).distinct()
-        a, b = (texts.select(F.col("h").alias(s), F.col("line").alias(f"line_{s}"), F.col("len").alias(f"len_{s}")) for s in "ab")
-        allowed = F.when(F.least("len_a", "len_b") >= self.two_from, 2).otherwise(1)
-        pairs = pairs.join(a, "a").join(b, "b").filter(F.abs(F.col("len_a") - F.col("len_b")) <= allowed)
-        links = self.scratch.table(pairs.filter(edits(F.col("line_a"), F.col("line_b")) <= allowed).select("a", "b"), "links")
-        self.scratch.drop("met", "texts", "refined")
+        near = self._pairs(short).join(_side(texts, "a"), "a").join(_side(texts, "b"), "b").filter(self._close("a", "b")).select("a", "b")
+        links = self.scratch.table(near.union(self._linked_in_lists(texts, self._refined(texts, long_))).distinct(), "links")
+        self.scratch.drop("met", "texts", "refined", "stars")
         return links
 
+    def _close(self, a: str, b: str) -> Column:
+        """Whether two lines are within the edits allowed; lengths and counts of some letters rule out most pairs that are not."""
+        one, two = (lambda c: F.col(f"{c}_{a}")), (lambda c: F.col(f"{c}_{b}"))
+        allowed = F.when(F.least(one("len"), two("len")) >= self.two_from, 2).otherwise(1)
+        letters = reduce(Column.__add__, [F.abs(one("letters")[k] - two("letters")[k]) for k in range(len(_LETTERS) + 1)])
+        return (F.abs(one("len") - two("len")) <= allowed) & (letters <= 2 * allowed) & (edits(one("line"), two("line")) <= allowed)
+
     @staticmethod
     def _once(lines: DataFrame, classes: DataFrame) -> DataFrame:
         """``lines`` without the repeats of those that make up more than a ten-thousandth of all: at most 10,000, so they are broadcast."""
@@ -146,22 +167,39 @@ class LineDedup:
         return kept.filter(F.col("often").isNull() | ~again).select("h", "line", "len")
 
     def _texts(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(h, line, len) of the wanted lines; their hashes are broadcast where they are few."""
+        """(h, line, len, letters) of the wanted lines; their hashes are broadcast where they are few."""
         wanted = self.scratch.table(wanted, "wanted")
         few = wanted.count() <= 1 << 20
         lines = self._lines(docs).filter(F.col("len") >= self.one_from).select("h", "line", "len")
-        return self.scratch.table(lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.min("len").alias("len")), "texts")
+        return self.scratch.table(lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.min("len").alias("len")).withColumn("letters", letter_counts(F.col("line"))), "texts")
+
+    @staticmethod
+    def _pairs(met: DataFrame) -> DataFrame:
+        """(a, b): lines that meet in a short list where one of them posted its own segment."""
+        x, y = (met.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "own")]) for s in "xy")
+        meet = (F.col("own_x") == 1) & (F.col("h_x") != F.col("h_y")) & ((F.col("own_y") == 0) | (F.col("h_x") < F.col("h_y")))
+        return x.join(y, "key").filter(meet).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+    def _linked_in_lists(self, texts: DataFrame, met: DataFrame) -> DataFrame:
+        """(a, b): links within lists of any length, enough of them to connect what is linked.
 
-    def _pairs(self, met: DataFrame) -> DataFrame:
-        """(a, b): lines that meet in a list where one of them posted its own segment, list by list and block by block."""
+        First all members are compared with one owner. Those within the edits of it are connected; the other pairs
+        are compared in blocks of members, and only links leave a pair of blocks.
+        """
+        told = met.join(met.groupBy("key").agg(F.min(F.when(F.col("own") == 1, F.col("h"))).alias("pivot")), "key")
+        pairs = told.filter("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
+        stars = self.scratch.table(pairs.join(_side(texts, "a"), "a").join(_side(texts, "b"), "b").filter(self._close("a", "b")).select("a", "b"), "stars")
+        told = told.join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("h"), F.col("a").alias("label")), ["pivot", "h"], "left").withColumn("label", F.when(F.col("h") == F.col("pivot"), F.col("h")).otherwise(F.coalesce("label", "h")))
         blocks = F.ceil(F.col("members") / self.block).cast("int")
-        placed = met.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        placed = placed.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "h", "own")
-        x, y = (placed.select("key", "one", "two", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "h", "own")]) for s in "xy")
+        placed = told.withColumn("block", F.pmod(F.xxhash64("h"), blocks).cast("int")).join(texts, "h").withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+        x, y = (placed.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "one", "two", "block", "h", "own", "label", "line", "len", "letters")]) for s in "xy")
         # Of two blocks, or of one with itself, every pair is looked at from the side of each own segment.
-        apart = (F.col("one") == F.col("two")) | (F.col("block_x") != F.col("block_y"))
-        meet = apart & (F.col("own_x") == 1) & (F.col("h_x") != F.col("h_y")) & ((F.col("own_y") == 0) | (F.col("h_x") < F.col("h_y")))
-        return x.join(y, ["key", "one", "two"]).filter(meet).select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+        same = reduce(Column.__and__, [F.col(f"{c}_x") == F.col(f"{c}_y") for c in ("key", "one", "two")])
+        apart = (F.col("one_x") == F.col("two_x")) | (F.col("block_x") != F.col("block_y"))
+        meet = apart & (F.col("own_x") == 1) & (F.col("label_x") != F.col("label_y")) & ((F.col("own_y") == 0) | (F.col("h_x") < F.col("h_y")))
+        met = x.join(y, same & meet & self._close("x", "y"))
+        return met.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).union(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
     def _ways(self, lines: DataFrame) -> DataFrame:
         """(key, own, h, and how it was cut): a line's own segments, and substrings that could be a segment of an equally long or shorter line.
