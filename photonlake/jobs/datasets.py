@@ -197,10 +197,11 @@ def d10(spark, sf):
     return DS.field_of_view_scale(s, "dataset").select("dataset", F.round("scale", 7).alias("scale"), F.round("scale_err", 7).alias("scale_err"))
 
 
-@query("d11_exclusion_mask", "select x::int as px, y::int as py, not (sqrt(power(x - 20, 2) + power(y - 20, 2)) < 5.5 or (abs(x - 10) < 3 and abs(y - 30) < 2)) as mask from range(41) a(x), range(41) b(y)")
+@query("d11_exclusion_mask", " select px, py, counts::bigint as counts, not (sqrt(power(px - 20, 2) + power(py - 20, 2)) < 5.5 or (abs(px - 10) < 3 and abs(py - 30) < 2)) as mask from img", D.SQL)
 def d11(spark, sf):
+    """Pixels of the counts map with whether they may serve for backgrounds."""
     inside = sky.in_circle("px", "py", 20.0, 20.0, 5.5) | sky.in_rectangle("px", "py", 10.0, 30.0, 6.0, 4.0)
-    return M.grid(spark, 41, 41).withColumn("mask", ~inside)
+    return D.image(D.counts_map(D.photons(spark, sf))).withColumn("mask", ~inside)
 
 
 @query("d12_cumulative_info", _SETS + ", t as (select dataset, sum(case when mask_safe then counts else 0 end) as n, sum(case when mask_safe then background else 0 end) as b from sets group by dataset) select dataset, sum(n) over (order by dataset)::bigint as counts, round(sum(b) over (order by dataset), 5) as background, round((sum(n) over (order by dataset))::double - sum(b) over (order by dataset), 5) as excess from t", D.SQL)
@@ -251,10 +252,12 @@ def d17(spark, sf):
     return folded.select(F.col("e_reco").alias("e"), F.round(F.greatest(F.col("value") * 1.5 - 100 + 3 * F.col("e_reco"), F.lit(0.0)), 5).alias("npred"))
 
 
-@query("d18_reco_exposure", "with " + _DISP.removeprefix(", ") + " select e_reco, round(sum(p * power(e_true + 1.5, -2) * (e_true + 1) * 100) / sum(p * power(e_true + 1.5, -2)), 6) as exposure from disp group by e_reco")
+@query("d18_reco_exposure", _DISP + " select e_reco, round(sum(p * counts * (e_true + 1) * 100) / sum(p * counts), 6) as exposure from disp join cube on e = e_true group by e_reco", D.SQL)
 def d18(spark, sf):
-    w = F.col("p") * F.pow(F.col("e_true") + 1.5, F.lit(-2.0))
-    return _dispersion(spark).groupBy("e_reco").agg(F.round(F.sum(w * (F.col("e_true") + 1) * 100) / F.sum(w), 6).alias("exposure"))
+    """Exposure in reconstructed energy: the mean over true energies, weighted by their counts and the dispersion."""
+    spectrum = D.counts_map(D.photons(spark, sf)).groupBy(F.col("e").alias("e_true")).agg(F.sum("counts").alias("n"))
+    w = F.col("p") * F.col("n")
+    return spectrum.join(F.broadcast(_dispersion(spark)), "e_true").groupBy("e_reco").agg(F.round(F.sum(w * (F.col("e_true") + 1) * 100) / F.sum(w), 6).alias("exposure"))
 
 
 @query("d19_energy_range", _SETS + " select px, py, min(e) filter (where mask_safe) as e_min, max(e) filter (where mask_safe) as e_max from sets group by all", D.SQL)

@@ -42,25 +42,19 @@ def v4(spark, sf):
     return d.select("series", r("doubling_time", 7), r("doubling_err", 6), "doubling_coord", r("halving_time", 7), r("halving_err", 6), "halving_coord")
 
 
-@query("v5_structure_function", " select a.series, b.day - a.day as lag, round(sum(power(b.flux - a.flux, 2) * (b.flux / b.err) * (a.flux / a.err)) / sum((b.flux / b.err) * (a.flux / a.err)) / 1e6, 4) as sf, count(*)::bigint as n from curves a join curves b on a.series = b.series and b.day > a.day and b.day - a.day <= 60 group by all", D.SQL)
-def v5(spark, sf):
-    return L.structure_function(D.light_curves(spark, sf), ["series"], "day", 60).select("series", "lag", F.round(F.col("sf") / 1e6, 4).alias("sf"), "n")
-
-
-@query("v6_discrete_correlation", ", z as (select series, day, (flux - avg(flux) over (partition by series)) / sqrt(power(stddev_pop(flux) over (partition by series), 2) - power(avg(err) over (partition by series), 2)) as z from curves), a as (select series // 2 as pair, day, z from z where series % 2 = 0), b as (select series // 2 as pair, day, z from z where series % 2 = 1), c as (select a.pair, floor((a.day - b.day) / 7.0::double)::int as bin, a.z * b.z as p from a join b on a.pair = b.pair and abs(a.day - b.day) < 63) select pair, bin, round(avg(p), 6) as dcf, round(case when count(*) > 1 then sqrt(var_pop(p) * count(*)) / (count(*) - 1) end, 6) as err, count(*)::bigint as n from c group by all", D.SQL)
-def v6(spark, sf):
-    curves = D.light_curves(spark, sf).withColumnRenamed("day", "t").withColumn("pair", F.floor(F.col("series") / 2).cast("bigint"))
-    d = L.discrete_correlation(curves.filter("series % 2 = 0").drop("series"), curves.filter("series % 2 = 1").drop("series"), ["pair"], 7.0, 63.0)
-    return d.select("pair", "bin", F.round("dcf", 6).alias("dcf"), F.round("err", 6).alias("err"), "n")
+_V5 = " select a.series, b.day - a.day as lag, round(sum(power(b.flux - a.flux, 2) * (b.flux / b.err) * (a.flux / a.err)) / sum((b.flux / b.err) * (a.flux / a.err)) / 1e6, 4) as sf, count(*)::bigint as n from curves a join curves b on a.series = b.series and b.day > a.day group by all"
+_V6 = ", z as (select series, day, (flux - avg(flux) over (partition by series)) / sqrt(power(stddev_pop(flux) over (partition by series), 2) - power(avg(err) over (partition by series), 2)) as z from curves), a as (select series // 2 as pair, day, z from z where series % 2 = 0), b as (select series // 2 as pair, day, z from z where series % 2 = 1), c as (select a.pair, floor((a.day - b.day) / 7.0::double)::int as bin, a.z * b.z as p from a join b on a.pair = b.pair) select pair, bin, round(avg(p), 6) as dcf, round(case when count(*) > 1 then sqrt(var_pop(p) * count(*)) / (count(*) - 1) end, 6) as err, count(*)::bigint as n from c group by all"
 
 
-@query("v5_structure_function_all_lags", " select a.series, b.day - a.day as lag, round(sum(power(b.flux - a.flux, 2) * (b.flux / b.err) * (a.flux / a.err)) / sum((b.flux / b.err) * (a.flux / a.err)) / 1e6, 4) as sf, count(*)::bigint as n from curves a join curves b on a.series = b.series and b.day > a.day group by all", D.SQL)
-def v5_all(spark, sf):
+@query("v5_structure_function", _V5, D.SQL)
+@query("v5_structure_function_all_lags", _V5, D.SQL)
+def v5(spark, sf):
     return L.structure_function(D.light_curves(spark, sf), ["series"], "day").select("series", "lag", F.round(F.col("sf") / 1e6, 4).alias("sf"), "n")
 
 
-@query("v6_discrete_correlation_all_lags", ", z as (select series, day, (flux - avg(flux) over (partition by series)) / sqrt(power(stddev_pop(flux) over (partition by series), 2) - power(avg(err) over (partition by series), 2)) as z from curves), a as (select series // 2 as pair, day, z from z where series % 2 = 0), b as (select series // 2 as pair, day, z from z where series % 2 = 1), c as (select a.pair, floor((a.day - b.day) / 7.0::double)::int as bin, a.z * b.z as p from a join b on a.pair = b.pair) select pair, bin, round(avg(p), 6) as dcf, round(case when count(*) > 1 then sqrt(var_pop(p) * count(*)) / (count(*) - 1) end, 6) as err, count(*)::bigint as n from c group by all", D.SQL)
-def v6_all(spark, sf):
+@query("v6_discrete_correlation", _V6, D.SQL)
+@query("v6_discrete_correlation_all_lags", _V6, D.SQL)
+def v6(spark, sf):
     curves = D.light_curves(spark, sf).withColumnRenamed("day", "t").withColumn("pair", F.floor(F.col("series") / 2).cast("bigint"))
     d = L.discrete_correlation(curves.filter("series % 2 = 0").drop("series"), curves.filter("series % 2 = 1").drop("series"), ["pair"], 7.0)
     return d.select("pair", "bin", F.round("dcf", 6).alias("dcf"), F.round("err", 6).alias("err"), "n")
@@ -116,10 +110,10 @@ def w9(spark, sf):
     return D.light_curves(spark, sf).select("series", "day", F.round(F.avg("flux").over(w), 4).alias("flux"), F.round(F.sqrt(F.sum(F.col("err") * F.col("err")).over(w)) / F.count("*").over(w), 5).alias("err"))
 
 
-@query("io6_flux_point_tables", "select series, list(day order by day) as days, list(round(flux, 2) order by day) as fluxes from curves where day % 30 = 0 group by series", D.SQL)
+@query("io6_flux_point_tables", "select series, list(day order by day) as days, list(round(flux, 2) order by day) as fluxes from curves group by series", D.SQL)
 def io6(spark, sf):
     rows = F.sort_array(F.collect_list(F.struct("day", F.round("flux", 2).alias("flux"))))
-    wide = D.light_curves(spark, sf).filter("day % 30 = 0").groupBy("series").agg(rows.alias("r"))
+    wide = D.light_curves(spark, sf).groupBy("series").agg(rows.alias("r"))
     return wide.select("series", F.col("r.day").alias("days"), F.col("r.flux").alias("fluxes"))
 
 
@@ -152,11 +146,11 @@ def e7(spark, sf):
     return g.select("grp", "week", F.round(F.col("a") / F.col("b"), 4).alias("flux"), F.round(F.sqrt(1 / F.col("b")), 5).alias("err"), F.round(F.col("a") * F.col("a") / F.col("b"), 2).alias("ts"))
 
 
-@query("e8_combine_profiles", ", g as (select i::int as i, i * 2000.0::double as x from range(60) t(i)), p as (select series % 10 as grp, i, x, sum(power((x - flux) / err, 2)) as stat from curves, g where day % 50 = 0 group by all) select grp, min_by(x, (stat, x)) as best, round(min(stat), 3) as stat from p group by grp", D.SQL)
+@query("e8_combine_profiles", ", g as (select i::int as i, i * 2000.0::double as x from range(60) t(i)), p as (select series % 10 as grp, i, x, sum(power((x - flux) / err, 2)) as stat from curves, g group by all) select grp, min_by(x, (stat, x)) as best, round(min(stat), 3) as stat from p group by grp", D.SQL)
 def e8(spark, sf):
     """Profiles of all members on one grid, summed; the best value where the sum is least."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i")
-    p = D.light_curves(spark, sf).filter("day % 50 = 0").select((F.col("series") % 10).alias("grp"), "flux", "err", grid)
+    p = D.light_curves(spark, sf).select((F.col("series") % 10).alias("grp"), "flux", "err", grid)
     p = p.withColumn("x", F.col("i") * 2000.0).groupBy("grp", "i", "x").agg(F.sum(F.pow((F.col("x") - F.col("flux")) / F.col("err"), 2)).alias("stat"))
     return p.groupBy("grp").agg(F.min_by("x", F.struct("stat", "x")).alias("best"), F.round(F.min("stat"), 3).alias("stat"))
 
@@ -167,10 +161,10 @@ def c1(spark, sf):
     return D.catalog(spark, sf).select("source_id", F.round(F.coalesce(F.when(k == 0, F.col("lon")), F.when(k == 1, F.col("lon") + 0.5), F.lit(0.0)), 6).alias("ra"), F.round("lat", 6).alias("dec"))
 
 
-@query("c2_flux_bands", ", r as (select vec_id, unnest(range(8)) as band, unnest(flux[1:8]) as flux from bands) select vec_id, band::int as band, round(flux, 7) as flux, case when band % 3 = 2 then null else round(flux * 0.1::double, 7) end as errn, round(flux * 0.2::double, 7) as errp, case when band % 3 = 2 then round(flux + 2 * (flux * 0.2::double), 7) end as ul from r", D.SQL)
+@query("c2_flux_bands", ", r as (select vec_id, unnest(range(len(flux))) as band, unnest(flux) as flux from bands) select vec_id, band::int as band, round(flux, 7) as flux, case when band % 3 = 2 then null else round(flux * 0.1::double, 7) end as errn, round(flux * 0.2::double, 7) as errp, case when band % 3 = 2 then round(flux + 2 * (flux * 0.2::double), 7) end as ul from r", D.SQL)
 def c2(spark, sf):
     """One row per band; where the lower error is missing the upper limit is the flux and twice the upper error."""
-    r = D.band_arrays(spark, sf).select("vec_id", F.posexplode(F.slice("flux", 1, 8)).alias("band", "flux"))
+    r = D.band_arrays(spark, sf).select("vec_id", F.posexplode("flux").alias("band", "flux"))
     errn = F.when(F.col("band") % 3 != 2, F.col("flux") * 0.1)
     errp = F.col("flux") * 0.2
     return r.select("vec_id", "band", F.round("flux", 7).alias("flux"), F.round(errn, 7).alias("errn"), F.round(errp, 7).alias("errp"), F.when(errn.isNull(), F.round(F.col("flux") + 2 * errp, 7)).alias("ul"))
@@ -229,9 +223,9 @@ def c7(spark, sf):
     return best.select("source_id", F.col("m.other").alias("other"), F.round("m.separation", 6).alias("separation"))
 
 
-@query("j11_satellite_tables", ", a as (select source_id, trim(unnest(string_split(aliases, ','))) as component from sources) select s.source_id, s.name, a.component, p.p_name as association from sources s left join a using (source_id) left join part p on p.p_partkey = s.source_id * 2 where s.source_id % 3 = 0", D.SQL)
+@query("j11_satellite_tables", ", a as (select source_id, trim(unnest(string_split(aliases, ','))) as component from sources) select s.source_id, s.name, a.component, p.p_name as association from sources s left join a using (source_id) left join part p on p.p_partkey = s.source_id * 2", D.SQL)
 def j11(spark, sf):
-    src = D.catalog(spark, sf).filter("source_id % 3 = 0")
+    src = D.catalog(spark, sf)
     parts = D.read(spark, sf, "part").select((F.col("p_partkey") / 2).alias("k"), F.col("p_name").alias("association"))
     comps = src.select("source_id", "name", F.explode(F.split("aliases", ",")).alias("c"))
     return comps.join(parts, comps.source_id == parts.k, "left").select("source_id", "name", F.trim("c").alias("component"), "association")

@@ -44,18 +44,13 @@ def a3(spark, sf):
 
 @query("a5_reduce", "select px, sum(counts)::double as total, max(counts)::double as most, min(counts)::double as least, min((counts <> 0)::int)::int as every from cube group by px", D.SQL)
 def a5(spark, sf):
-    cube, out = _cube(spark, sf), None
-    for how, name in (("sum", "total"), ("max", "most"), ("min", "least"), ("all", "every")):
-        part = M.reduce(cube.withColumn("value", F.col("value").cast("double")), ["px"], how).withColumnRenamed("value", name)
-        out = part if out is None else out.join(part, "px")
-    return out
+    return M.reductions(_cube(spark, sf), ["px"], {"total": "sum", "most": "max", "least": "min", "every": "all"})
 
 
 @query("a6_downsample", "select px // 4 as px, py // 4 as py, sum(counts)::bigint as value, round(sum(counts)::double / 16, 6) as mean from img group by all", D.SQL)
 def a6(spark, sf):
-    image = _image(spark, sf)
-    mean = M.downsample(image, 4, preserve_counts=False).select("px", "py", F.round("value", 6).alias("mean"))
-    return M.downsample(image, 4).join(mean, ["px", "py"])
+    """Sums, and from them the means over whole blocks."""
+    return M.downsample(_image(spark, sf), 4).withColumn("mean", F.round(F.col("value") / 16, 6))
 
 
 @query("a7_upsample", "select (px * 2 + i)::int as px, (py * 2 + j)::int as py, round(counts::double / 4, 6) as value from img, range(2) a(i), range(2) b(j)", D.SQL)
@@ -68,9 +63,14 @@ def a9(spark, sf):
     return M.rebin(_cube(spark, sf), "e", [(0, 0), (1, 1), (2, 1)])
 
 
-@query("a10_axis_groups", "select * from (values ('underflow', 0, 1), ('normal', 2, 5), ('overflow', 6, 7)) t(kind, idx_min, idx_max)")
+@query("a10_axis_groups", ", g as (select * from (values ('underflow', 0, 1), ('normal', 2, 5), ('overflow', 6, 7)) t(kind, idx_min, idx_max)) select kind, idx_min, idx_max, count(event_id)::bigint as n from g left join photons on floor(energy + 0.00001234::double) between idx_min and idx_max group by all", D.SQL)
 def a10(spark, sf):
-    return spark.createDataFrame(Axis.from_bounds("x", 0.0, 8.0, 8).groups(2.2, 6.1), "kind string, idx_min int, idx_max int")
+    """Photons below, within and above the axis edges nearest to two bounds."""
+    axis = Axis.from_bounds("x", 0.0, 8.0, 8)
+    groups = spark.createDataFrame(axis.groups(2.2, 6.1), "kind string, idx_min int, idx_max int")
+    n = M.fill(D.photons(spark, sf), {"idx": axis.fill_index(F.col("energy") + 0.00001234)})
+    met = F.broadcast(groups).join(n, F.col("idx").between(F.col("idx_min"), F.col("idx_max")), "inner")
+    return groups.join(met.groupBy("kind").agg(F.sum("value").alias("n")), "kind", "left").select("kind", "idx_min", "idx_max", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 @query("a11_coadd", "select (px + 3) // 5 as px, (py + 1) // 5 as py, sum(counts)::bigint as value from img group by all", D.SQL)
@@ -157,10 +157,7 @@ def a22(spark, sf):
     """Pixels meet the runs of their own and the neighbouring sky cells only."""
     runs = D.observations(D.photons(spark, sf)).groupBy("lon_pnt", "lat_pnt").agg(F.sum("livetime").alias("livetime"))
     pixels = M.grid(spark, 41, 41).withColumn("plon", F.col("px") * 0.1 - 2).withColumn("plat", F.col("py") * 0.1 - 2)
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cells = runs.withColumn("cx", F.explode(F.transform(near, lambda d: F.floor("lon_pnt").cast("int") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: F.floor("lat_pnt").cast("int") + d)))
-    keyed = pixels.withColumn("cx", F.floor("plon").cast("int")).withColumn("cy", F.floor("plat").cast("int"))
-    met = keyed.join(cells, ["cx", "cy"]).filter(sky.separation("plon", "plat", "lon_pnt", "lat_pnt") < 0.50003)
+    met = within(pixels.withColumnsRenamed({"plon": "lon", "plat": "lat"}), runs.withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"}), 0.50003)
     return met.groupBy("px", "py").agg(F.round(F.sum("livetime"), 4).alias("value"))
 
 
@@ -230,14 +227,11 @@ def j9(spark, sf):
     return out.select("event_id", F.round("value", 6).alias("value"))
 
 
-@query("j10_nearest_set_pixel", ", t as (select px, py from img where counts >= (select quantile_cont(counts, 0.95) from img)), q as (select px as qx, py as qy from img where (px + py) % 7 = 0) select qx as px, qy as py, min(power(qx - px, 2) + power(qy - py, 2))::double as d2 from q, t group by all", D.SQL)
+@query("j10_nearest_set_pixel", ", t as (select px, py from img where counts >= (select quantile_cont(counts, 0.95) from img)), q as (select px as qx, py as qy from img) select qx as px, qy as py, min(power(qx - px, 2) + power(qy - py, 2))::double as d2 from q, t group by all", D.SQL)
 def j10(spark, sf):
     image = _image(spark, sf)
-    limit = image.agg(F.percentile("value", 0.95).alias("limit"))
-    set_ = image.crossJoin(F.broadcast(limit)).filter("value >= limit").select(F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("s"))
-    few = set_.agg(F.collect_list("s").alias("spots"))
-    d2 = F.array_min(F.transform("spots", lambda s: F.pow(F.col("px") - s["x"], 2) + F.pow(F.col("py") - s["y"], 2)))
-    return image.filter("(px + py) % 7 = 0").crossJoin(F.broadcast(few)).select("px", "py", d2.alias("d2"))
+    set_ = image.crossJoin(F.broadcast(M.quantile(image, "value", 0.95))).filter("value >= limit")
+    return M.nearest_set(image, set_, 41)
 
 
 _TWO = ", a as (select px, py, counts::bigint as v from cube where e = 0), b as (select px, py, counts::bigint as v from cube where e = 1)"
@@ -294,8 +288,7 @@ _DISK = "(select i, j from range(-2, 3) a(i), range(-2, 3) b(j) where i * i + j
 
 def _mask(spark, sf):
     image = _image(spark, sf)
-    limit = image.agg(F.percentile("value", 0.7).alias("limit"))
-    return image.crossJoin(F.broadcast(limit)).filter("value > limit").select("px", "py", F.lit(1).alias("value"))
+    return image.crossJoin(F.broadcast(M.quantile(image, "value", 0.7))).filter("value > limit").select("px", "py", F.lit(1).alias("value"))
 
 
 @query("m3_dilate", _MASK + f" select distinct (px + i)::int as px, (py + j)::int as py from t, {_DISK} where px + i between 0 and 40 and py + j between 0 and 40", D.SQL)
@@ -390,14 +383,19 @@ def t2(spark, sf):
     return _cube(spark, sf).filter("py = 20").groupBy("px").agg(F.max_by("e", F.struct("value", -F.col("e"))).alias("e_peak"))
 
 
-@query("x1_user_reducer")
+@query("x1_user_reducer", "select px, quantile_cont(counts, 0.25)::double as value from cube group by px", D.SQL)
 def x1(spark, sf):
     return M.reduce_with(_cube(spark, sf), ["px"], lambda s: float(s.quantile(0.25)))
 
 
-@query("x2_per_observation")
+@query("x2_per_observation", "select obs_id, count(*)::bigint as n, max(energy) as hardest from photons group by obs_id", D.SQL)
 def x2(spark, sf):
+    """A user's summary of each run, made of parts of it that are then merged."""
+
     def summary(rows):
         return rows.groupby("obs_id", as_index=False).agg(n=("event_id", "size"), hardest=("energy", "max"))
 
-    return M.per_key(D.photons(spark, sf).select("obs_id", "event_id", "energy"), ["obs_id"], summary, "obs_id bigint, n bigint, hardest double")
+    def merge(parts):
+        return parts.groupby("obs_id", as_index=False).agg(n=("n", "sum"), hardest=("hardest", "max"))
+
+    return M.per_key(D.photons(spark, sf).select("obs_id", "event_id", "energy"), ["obs_id"], summary, "obs_id bigint, n bigint, hardest double", merge)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from photonlake.functions import healpix, sky, special, stats
 from photonlake.jobs.datasets import _RUN_BINS, run_bins, wstat_sql
 from photonlake.jobs.selections import sep_sql
+from photonlake.operators import crossmatch
 from photonlake.operators import maps as M
 from photonlake.operators import responses as R
 from photonlake.operators import selection as S
@@ -17,6 +18,8 @@ from photonlake.streaming.stacking import binned
 
 _CB = ", cb as (select px, py, e, counts::double as n, 0.3::double + (px % 5) * 0.5::double as mu from cube)"
 
+_CBASE = D.SQL + _CB
+
 
 def _counts(spark, sf):
     return D.counts_map(D.photons(spark, sf)).select("px", "py", "e", F.col("counts").alias("n"), (F.lit(0.3) + F.col("px") % 5 * 0.5).alias("mu"))
@@ -104,20 +107,35 @@ def s12(spark, sf):
     return D.light_curves(spark, sf).groupBy("series").agg(F.round(F.sum(F.pow((F.col("flux") - 60000) / F.col("err"), 2)), 2).alias("chi2"))
 
 
-@query("e2_test_statistic_map")
+_RECURSIVE = D.SQL.replace("with photons", "with recursive photons", 1)
+
+
+def _fit_query(name: str, bins: str, keys: str):
+    """Register a fit with its SQL; results are rounded where halvings in any order agree."""
+    rounded = f"select {keys}, round(norm, 6) as norm, round(norm_err, 6) as norm_err, round(ts, 4) as ts from ("
+    head, last = R.fit_sql(bins, keys).rsplit(" select ", 1)[0], R.fit_sql(bins, keys).rsplit(" select ", 1)[1]
+    return query(name, f"{head} {rounded}select {last}) q", _RECURSIVE)
+
+
+def _rounded(fits, *keys):
+    return fits.select(*keys, F.round("norm", 6).alias("norm"), F.round("norm_err", 6).alias("norm_err"), F.round("ts", 4).alias("ts"))
+
+
+@_fit_query("e2_test_statistic_map", "select (px + i)::int as cx, (py + j)::int as cy, counts::double as counts, 0.5::double + px % 3 as background, power(2.0::double, -(i * i + j * j)) * (1 + 0.25::double * (py % 4)) as signal from img, range(-1, 2) a(i), range(-1, 2) b(j)", "cx, cy")
 def e2(spark, sf):
-    """Best norm and its significance per coarse pixel, from the counts in its kernel window."""
+    """Best norm and its significance per pixel: counts in its kernel window against a background model, the source as kernel times exposure."""
     image = D.image(D.counts_map(D.photons(spark, sf)))
     kernel = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(2.0 ** -(i * i + j * j)).alias("w")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = image.withColumn("k", kernel).select((F.col("px") + F.col("k.i")).alias("cx"), (F.col("py") + F.col("k.j")).alias("cy"), F.col("counts").cast("double").alias("counts"), F.lit(2.0).alias("background"), F.col("k.w").alias("signal"))
-    return R.fit_norms(spread.filter("cx % 3 = 0 and cy % 3 = 0"), ["cx", "cy"])
+    exposure = 1 + 0.25 * (F.col("py") % 4)
+    spread = image.withColumn("k", kernel).select((F.col("px") + F.col("k.i")).alias("cx"), (F.col("py") + F.col("k.j")).alias("cy"), F.col("counts").cast("double").alias("counts"), (F.lit(0.5) + F.col("px") % 3).alias("background"), (F.col("k.w") * exposure).alias("signal"))
+    return _rounded(R.fit_norms(spread, ["cx", "cy"]), "cx", "cy")
 
 
-@query("e3_flux_points")
+@_fit_query("e3_flux_points", "select e, counts::double as counts, 0.5::double + px % 3 as background, 1.0::double + py % 2 as signal from cube", "e")
 def e3(spark, sf):
     """Joint norm of all pixels of an energy bin."""
     b = D.counts_map(D.photons(spark, sf)).select("e", F.col("counts").cast("double").alias("counts"), (F.lit(0.5) + F.col("px") % 3).alias("background"), (F.lit(1.0) + F.col("py") % 2).alias("signal"))
-    return R.fit_norms(b, ["e"])
+    return _rounded(R.fit_norms(b, ["e"]), "e")
 
 
 @query("e9_combined_significance")
@@ -127,17 +145,18 @@ def e9(spark, sf):
     return t.filter("df > 0").select("px", "py", "ts", "df", special.chi2_tail("ts", "df").alias("p"), F.signum("x").alias("sign"))
 
 
-@query("e10_resampled_limits")
+@query("e10_resampled_limits", ", g as (select i::int as i, i * 0.05::double as x from range(201) t(i)), p as (select (e > 1)::int as band, i, x, sum(2 * (mu + x - n * ln(mu + x))) as s from cb, g group by all), b as (select band, min(s) as least, min_by(x, (s, x)) as best from p group by band), q as (select p.*, least, best, s - least - 4 as d, lag(s - least - 4) over (partition by band order by i) as d0 from p join b using (band)) select band, round(min(best), 6) as best, round(min(x - 0.05::double * d / (d - d0)), 6) as ul from q where x > best and d >= 0 and d0 < 0 group by band", _CBASE)
 def e10(spark, sf):
-    """Profiles of two bins summed; the limit is where the sum has risen by 4 from its least, linear between grid points."""
+    """Profiles of two bands summed over all their bins; the limit is where the sum has risen by 4 from its least, linear between grid points."""
     g = F.explode(F.sequence(F.lit(0), F.lit(200))).alias("i")
-    p = _counts(spark, sf).filter("px < 6").select((F.col("e") > 1).cast("int").alias("band"), "n", "mu", g).withColumn("x", F.col("i") * 0.05)
-    p = p.groupBy("band", "i", "x").agg(F.sum(stats.cash(F.col("n"), F.col("mu") + F.col("x"))).alias("s"))
+    p = _counts(spark, sf).select((F.col("e") > 1).cast("int").alias("band"), "n", "mu").groupBy("band", "n", "mu").agg(F.count("*").alias("m"))
+    p = p.select("band", "n", "mu", "m", g).withColumn("x", F.col("i") * 0.05)
+    p = p.groupBy("band", "i", "x").agg(F.sum(F.col("m") * stats.cash(F.col("n"), F.col("mu") + F.col("x"))).alias("s"))
     best = p.groupBy("band").agg(F.min("s").alias("least"), F.min_by("x", F.struct("s", "x")).alias("best"))
     w = Window.partitionBy("band").orderBy("i")
-    q = p.join(best, "band").withColumn("d", F.col("s") - F.col("least") - 4).withColumn("d0", F.lag("d").over(w))
+    q = p.join(F.broadcast(best), "band").withColumn("d", F.col("s") - F.col("least") - 4).withColumn("d0", F.lag("d").over(w))
     crossing = F.col("x") - 0.05 * F.col("d") / (F.col("d") - F.col("d0"))
-    return q.filter("x > best and d >= 0 and d0 < 0").groupBy("band").agg(F.min("best").alias("best"), F.min(crossing).alias("ul"))
+    return q.filter("x > best and d >= 0 and d0 < 0").groupBy("band").agg(F.round(F.min("best"), 6).alias("best"), F.round(F.min(crossing), 6).alias("ul"))
 
 
 @query("e11_sensitivity_table")
@@ -149,45 +168,54 @@ def e11(spark, sf):
     return x.select("e", "off", excess.alias("excess"), label.alias("criterion"))
 
 
-@query("e12_flux_profile")
+@_fit_query("e12_flux_profile", "select floor(sqrt(power(px - 20, 2) + power(py - 20, 2)) / 3.0003::double)::int as ring, counts::double as counts, 2.0::double as background, 1.0::double as signal from img", "ring")
 def e12(spark, sf):
     ring = F.floor(F.sqrt(F.pow(F.col("px") - 20, 2) + F.pow(F.col("py") - 20, 2)) / 3.0003).cast("int")
     b = D.image(D.counts_map(D.photons(spark, sf))).select(ring.alias("ring"), F.col("counts").cast("double").alias("counts"), F.lit(2.0).alias("background"), F.lit(1.0).alias("signal"))
-    return R.fit_norms(b, ["ring"])
+    return _rounded(R.fit_norms(b, ["ring"]), "ring")
 
 
 _AEFF = R.Grid((0.1, 1.0, 10.0, 100.0), (0.0, 1.0, 2.0, 3.0), ((1.0, 0.9, 0.5, 0.1), (10.0, 8.0, 4.0, 1.0), (20.0, 16.0, 9.0, 3.0), (25.0, 20.0, 12.0, 5.0)))
 
 
+def _grid_sql(energy: str, offset: str) -> str:
+    """The response between its nodes, of which energies lie a decade apart and offsets a degree."""
+    le, table = f"log10({energy})", str([list(r) for r in _AEFF.values])
+    i, j = f"least(greatest(floor({le})::int + 1, 0), 2)", f"least(greatest(floor({offset})::int, 0), 2)"
+    v = lambda a, b: f"({table}::double[][])[{i} + {1 + a}][{j} + {1 + b}]"
+    a, b = f"({le} + 1 - {i})", f"({offset} - {j})"
+    return f"(case when {le} between -1 and 2 and {offset} between 0 and 3 then (1 - {a}) * ((1 - {b}) * {v(0, 0)} + {b} * {v(0, 1)}) + {a} * ((1 - {b}) * {v(1, 0)} + {b} * {v(1, 1)}) else 0 end)"
+
+
+_PIXEL_RUNS = f", pr as (select px, py, energy, livetime, ontime, away from (select x::int as px, y::int as py, x * 0.5::double - 2 as plon, y * 0.5::double - 2 as plat from range(9) a(x), range(9) b(y)) p join (select lon_pnt, lat_pnt, sum(livetime) as livetime, sum(ontime) as ontime from obs group by all) o on {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} < 2.00003, lateral (select {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} as away), (values (0.5::double), (5.0::double), (50.0::double)) v(energy)), pv as (select *, {_grid_sql('energy', 'away')} as aeff from pr)"
+
+
 def _pixel_runs(spark, sf):
-    """Pixels of half a degree with the runs near them; runs of one pointing are one."""
+    """Pixels of half a degree with the runs within two degrees; runs of one pointing are one."""
     runs = D.observations(D.photons(spark, sf)).groupBy("lon_pnt", "lat_pnt").agg(F.sum("livetime").alias("livetime"), F.sum("ontime").alias("ontime"))
-    pixels = M.grid(spark, 9, 9).withColumn("plon", F.col("px") * 0.5 - 2).withColumn("plat", F.col("py") * 0.5 - 2)
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    cells = runs.withColumn("cx", F.explode(F.transform(near, lambda d: F.floor(F.col("lon_pnt") / 2).cast("int") + d))).withColumn("cy", F.explode(F.transform(near, lambda d: F.floor(F.col("lat_pnt") / 2).cast("int") + d)))
-    keyed = pixels.withColumn("cx", F.floor(F.col("plon") / 2).cast("int")).withColumn("cy", F.floor(F.col("plat") / 2).cast("int"))
-    met = keyed.join(cells, ["cx", "cy"]).withColumn("offset", sky.separation("plon", "plat", "lon_pnt", "lat_pnt")).filter("offset < 2.0")
-    return met.withColumn("energy", F.explode(F.array(*map(F.lit, (0.5, 5.0, 50.0)))))
+    pixels = M.grid(spark, 9, 9).withColumn("lon", F.col("px") * 0.5 - 2).withColumn("lat", F.col("py") * 0.5 - 2)
+    met = crossmatch.within(pixels, runs.withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"}), 2.00003)
+    return met.withColumn("energy", F.explode(F.array(*map(F.lit, (0.5, 5.0, 50.0))))).withColumn("aeff", _AEFF.value(F.col("energy"), F.col("separation")))
 
 
-@query("a23_exposure_map")
+@query("a23_exposure_map", _PIXEL_RUNS + " select px, py, energy, round(sum(aeff * livetime) / 1e6, 6) as exposure from pv group by all", D.SQL)
 def a23(spark, sf):
-    value = F.sum(_AEFF.lookup()(F.col("energy"), F.col("offset")) * F.col("livetime"))
-    return _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(value.alias("exposure"))
+    return _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.round(F.sum(F.col("aeff") * F.col("livetime")) / 1e6, 6).alias("exposure"))
 
 
-@query("a24_effective_livetime")
+@query("a24_effective_livetime", _PIXEL_RUNS + f" select px, py, energy, round(x / {_grid_sql('energy', '0.0')}, 6) as livetime from (select px, py, energy, sum(aeff * livetime) / 1e6 as x from pv group by all)", D.SQL)
 def a24(spark, sf):
-    on_axis = _AEFF.lookup()(F.col("energy"), F.lit(0.0))
-    g = _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.sum(_AEFF.lookup()(F.col("energy"), F.col("offset")) * F.col("livetime")).alias("x"))
-    return g.select("px", "py", "energy", (F.col("x") / on_axis).alias("livetime"))
+    """Live time in 1e6 s that would give the exposure on the axis."""
+    g = _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg((F.sum(F.col("aeff") * F.col("livetime")) / 1e6).alias("x"))
+    return g.select("px", "py", "energy", F.round(F.col("x") / _AEFF.value(F.col("energy"), F.lit(0.0)), 6).alias("livetime"))
 
 
-@query("a25_background_map")
+@query("a25_background_map", _PIXEL_RUNS + " select px, py, energy, round(x * radians(0.5::double) * (sin(radians(py * 0.5::double - 2 + 0.25::double)) - sin(radians(py * 0.5::double - 2 - 0.25::double))), 5) as background from (select px, py, energy, sum(aeff * 1e-3::double * ontime) as x from pv group by all)", D.SQL)
 def a25(spark, sf):
-    rate = _AEFF.lookup()(F.col("energy"), F.col("offset")) * 1e-3
-    solid = sky.car_solid_angle("py", -2.0, 0.5)
-    return _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.sum(rate * F.col("ontime") * solid).alias("background"))
+    g = _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.sum(F.col("aeff") * 1e-3 * F.col("ontime")).alias("x"))
+    lat = F.col("py") * 0.5 - 2
+    solid = F.radians(F.lit(0.5)) * (F.sin(F.radians(lat + 0.25)) - F.sin(F.radians(lat - 0.25)))
+    return g.select("px", "py", "energy", F.round(F.col("x") * solid, 5).alias("background"))
 
 
 _OFFS = f", off as (select event_id, energy, {sep_sql('p.lon', 'p.lat', 'o.lon_pnt', 'o.lat_pnt')} as away from photons p join obs o using (obs_id))"
@@ -201,20 +229,20 @@ def r1(spark, sf):
     return R.nearest_bin(placed, table, "energy", "away").select("event_id", "value")
 
 
-@query("r2_psf_containment", ", p as (select vec_id, i as rad_i, i * 0.05::double + 0.025::double as rad, flux[i + 1] as v, (i * 0.05::double + 0.025::double) * 0.05::double as solid from bands, range(32) t(i)), c as (select vec_id, rad, abs(sum(v * solid) over (partition by vec_id order by rad rows between unbounded preceding and current row) / sum(v * solid) over (partition by vec_id) - 0.68::double) as miss from p) select vec_id, round(min_by(rad, (miss, rad)), 6) as radius from c group by vec_id", D.SQL)
+@query("r2_psf_containment", ", p as (select vec_id, i as rad_i, i * 0.05::double + 0.025::double as rad, flux[i + 1] as v, (i * 0.05::double + 0.025::double) * 0.05::double as solid from bands, lateral (select unnest(range(len(flux))) as i) t), c as (select vec_id, rad, abs(sum(v * solid) over (partition by vec_id order by rad rows between unbounded preceding and current row) / sum(v * solid) over (partition by vec_id) - 0.68::double) as miss from p) select vec_id, round(min_by(rad, (miss, rad)), 6) as radius from c group by vec_id", D.SQL)
 def r2(spark, sf):
-    p = D.band_arrays(spark, sf).select("vec_id", F.posexplode(F.slice("flux", 1, 32)).alias("i", "value"))
+    p = D.band_arrays(spark, sf).select("vec_id", F.posexplode("flux").alias("i", "value"))
     rad = F.col("i") * 0.05 + 0.025
     p = p.select("vec_id", rad.alias("rad"), "value", (rad * 0.05).alias("solid"))
     return R.psf_containment(p, ["vec_id"], 0.68).select("vec_id", F.round("radius", 6).alias("radius"))
 
 
-_EDISP = ", d as (select vec_id, (i // 8 + 1)::double as e_true, (i % 8 + 1)::double * 0.7::double as e_reco, flux[i + 1] as p from bands, range(32) t(i))"
+_EDISP = ", d as (select vec_id, (i // 8 + 1)::double as e_true, (i % 8 + 1)::double * 0.7::double as e_reco, flux[i + 1] as p from bands, lateral (select unnest(range(len(flux))) as i) t)"
 _MOMENTS = ", g as (select vec_id, e_true, sum(p) as n, sum(p * e_reco) as a, sum(p * e_reco * e_reco) as b from d group by all)"
 
 
 def _edisp(spark, sf):
-    p = D.band_arrays(spark, sf).select("vec_id", F.posexplode(F.slice("flux", 1, 32)).alias("i", "p"))
+    p = D.band_arrays(spark, sf).select("vec_id", F.posexplode("flux").alias("i", "p"))
     return p.select("vec_id", (F.floor(F.col("i") / 8) + 1).cast("double").alias("e_true"), ((F.col("i") % 8 + 1) * 0.7).alias("e_reco"), "p")
 
 

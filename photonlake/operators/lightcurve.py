@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -75,31 +80,62 @@ def pairs(df: DataFrame, keys: list[str], order: str, longest: int | None = None
     return met.filter((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= longest)).drop("_b")
 
 
-def structure_function(df: DataFrame, keys: list[str], order: str, longest: int | None = None) -> DataFrame:
-    """Weighted mean squared difference by lag."""
-    w = (F.col("f2") / F.col("e2")) * (F.col("f1") / F.col("e1"))
-    d = (F.col("f2") - F.col("f1")) * (F.col("f2") - F.col("f1"))
-    return pairs(df, keys, order, longest).groupBy(*keys, (F.col("t2") - F.col("t1")).alias("lag")).agg((F.sum(d * w) / F.sum(w)).alias("sf"), F.count("*").alias("n"))
+def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], width: int = 256) -> DataFrame:
+    """(keys, lag, sums, n): sums over all pairs of rows (keys, t, ...) of ``x`` and ``y``, by a binned difference of times.
+
+    A series is cut into blocks of ``width`` in time, and pairs of blocks meet by series; the pairs of rows of two
+    blocks exist only as matrices. ``lag`` turns the matrix t(y) - t(x) into integers and a mask, ``terms`` the
+    blocks' columns into matrices to sum.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        block = F.floor(F.col("t") / width).alias("block")
+        return df.groupBy(*keys, block).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])).alias(name)).drop("block")
+
+    met = blocks(x, "_x").join(blocks(y, "_y"), keys)
+    kept = [f for f in met.schema.fields if f.name in keys]
+    kept = [T.StructField(f.name, f.dataType) for f in kept]
+    schema = T.StructType([*kept, T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            at = [batch.schema.get_field_index(f.name) for f in kept]
+            for r in range(batch.num_rows):
+                a, b = ({f.name: v.values.field(f.name).to_numpy(zero_copy_only=False) for f in v.type.value_type} for v in (batch.column(c)[r] for c in ("_x", "_y")))
+                a, b = {k: v[:, None] for k, v in a.items()}, {k: v[None, :] for k, v in b.items()}
+                bins, use = lag(b["t"] - a["t"])
+                found, place = np.unique(bins[use], return_inverse=True)
+                added = [np.bincount(place, m[use], minlength=len(found)) for m in terms(a, b)]
+                one = batch.slice(r, 1).take(pa.array(np.zeros(len(found), np.int64)))
+                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in at), pa.array(found.astype(np.int64)), *(pa.array(x, pa.float64()) for x in added), pa.array(np.bincount(place, minlength=len(found)).astype(np.int64))], names=schema.names)
 
+    return met.mapInArrow(run, schema).groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
 
-def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float, longest: float | None = None, width: float = 256) -> DataFrame:
+
+def structure_function(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Weighted mean squared difference of all later-than pairs, by lag rounded to a whole number."""
+    rows = _valid(df).filter("flux is not null").select(*keys, F.col(order).alias("t"), "flux", (F.col("flux") / F.col("err")).alias("w"))
+
+    def terms(a, b):
+        w = a["w"] * b["w"]
+        return [(b["flux"] - a["flux"]) ** 2 * w, w]
+
+    sums = pair_sums(rows, rows, keys, lambda d: (np.rint(d).astype(np.int64), d > 0), terms, ["d", "w"])
+    return sums.select(*keys, "lag", (F.col("d") / F.col("w")).alias("sf"), "n")
+
+
+def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float) -> DataFrame:
     """Mean product of two normalised series by binned lag t1 - t2, with its error; rows (keys..., t, flux, err)."""
 
-    def normal(df: DataFrame, s: str) -> DataFrame:
+    def normal(df: DataFrame) -> DataFrame:
         w = Window.partitionBy(*keys)
         z = (F.col("flux") - F.avg("flux").over(w)) / F.sqrt(F.pow(F.stddev_pop("flux").over(w), 2) - F.pow(F.avg("err").over(w), 2))
-        return _valid(df).filter("flux is not null").select(*keys, F.col("t").alias(f"t{s}"), z.alias(f"z{s}")).filter(f"z{s} is not null and not isnan(z{s})")
+        return _valid(df).filter("flux is not null").select(*keys, "t", z.alias("z")).filter("z is not null and not isnan(z)")
 
-    x, y = normal(a, "1"), normal(b, "2")
-    if longest is None:
-        met = _bucket_pairs(x, y, keys, width)
-    else:
-        x = x.withColumn("_b", F.floor(F.col("t1") / longest))
-        y = y.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t2") / longest) + d)))
-        met = x.join(y, [*keys, "_b"]).filter(F.abs(F.col("t1") - F.col("t2")) < longest)
-    met = met.withColumn("lag", F.col("t1") - F.col("t2"))
-    g = met.groupBy(*keys, F.floor(F.col("lag") / tau).cast("int").alias("bin")).agg(F.avg(F.col("z1") * F.col("z2")).alias("dcf"), F.count("*").alias("n"), F.var_pop(F.col("z1") * F.col("z2")).alias("v"))
-    return g.select(*keys, "bin", "dcf", F.when(F.col("n") > 1, F.sqrt(F.col("v") * F.col("n")) / (F.col("n") - 1)).alias("err"), "n")
+    terms = lambda x, y: [x["z"] * y["z"], (x["z"] * y["z"]) ** 2]
+    g = pair_sums(normal(a), normal(b), keys, lambda d: (np.floor(-d / tau).astype(np.int64), np.ones(d.shape, bool)), terms, ["p", "q"])
+    var = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("p") / F.col("n"), 2), F.lit(0.0))
+    return g.select(*keys, F.col("lag").cast("int").alias("bin"), (F.col("p") / F.col("n")).alias("dcf"), F.when(F.col("n") > 1, F.sqrt(var * F.col("n")) / (F.col("n") - 1)).alias("err"), "n")
 
 
 def merge_until(df: DataFrame, keys: list[str], order: str, sums: list[str], enough: callable) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -24,10 +25,15 @@ def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
 
 def reduce(df: DataFrame, keep: list[str], how: str = "sum", value: str = "value", weight: Column | None = None) -> DataFrame:
     """Reduce over all bins but ``keep``; NaN is passed over. ``how``: sum, max, min, prod, any, all, mean."""
+    return reductions(df, keep, {value: how}, value, weight)
+
+
+def reductions(df: DataFrame, keep: list[str], wanted: dict[str, str], value: str = "value", weight: Column | None = None) -> DataFrame:
+    """Several reductions, new name -> how, in one aggregation."""
     x = F.when(~F.isnan(value), F.col(value).cast("double"))
     x = x if weight is None else x * weight
-    out = {"sum": F.sum(x), "max": F.max(x), "min": F.min(x), "mean": F.avg(x), "prod": F.product(x), "any": F.max((x != 0).cast("int")), "all": F.min((x != 0).cast("int"))}[how]
-    return df.groupBy(*keep).agg(out.alias(value))
+    out = {"sum": F.sum(x), "max": F.max(x), "min": F.min(x), "mean": F.avg(x), "prod": F.product(x), "any": F.max((x != 0).cast("int")), "all": F.min((x != 0).cast("int"))}
+    return df.groupBy(*keep).agg(*[out[how].alias(name) for name, how in wanted.items()])
 
 
 def reduce_with(df: DataFrame, keep: list[str], f: Callable[[pd.Series], float], value: str = "value") -> DataFrame:
@@ -36,9 +42,44 @@ def reduce_with(df: DataFrame, keep: list[str], f: Callable[[pd.Series], float],
     return df.groupBy(*keep).agg(udf(F.col(value).cast("double")).alias(value))
 
 
-def per_key(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Run a user's function on the rows of each observation, data set or interval."""
-    return df.groupBy(*keys).applyInPandas(f, schema)
+def per_key(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 16) -> DataFrame:
+    """Run a user's function on the rows of each observation, data set or interval.
+
+    With ``merge``, which turns results of parts into one of the same schema, a key's rows are dealt to ``parts`` tasks first.
+    """
+    if merge is None:
+        return df.groupBy(*keys).applyInPandas(f, schema)
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    return dealt.groupBy(*keys, "_part").applyInPandas(lambda rows: f(rows.drop(columns="_part")), schema).groupBy(*keys).applyInPandas(merge, schema)
+
+
+def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
+    """(limit,): the interpolated quantile of a column of few distinct values, such as counts, from how often each occurs."""
+    by = df.groupBy(value).agg(F.count("*").alias("times"))
+    upto = by.withColumn("upto", F.sum("times").over(Window.orderBy(value)))
+    at = (F.col("n") - 1) * q
+    ranked = upto.crossJoin(F.broadcast(by.agg(F.sum("times").alias("n"))))
+    low, high = (F.min(F.when(F.col("upto") > k, F.col(value))) for k in (F.floor(at), F.ceil(at)))
+    return ranked.groupBy("n").agg(low.alias("low"), high.alias("high")).select((F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("limit"))
+
+
+def nearest_set(pixels: DataFrame, set_: DataFrame, size: int) -> DataFrame:
+    """(px, py, d2): squared distance of each pixel to the nearest set one, on a map of at most ``size`` pixels a side.
+
+    Pixels meet the set ones of their own and the neighbouring cells. Cells grow by four in each round, and only pixels
+    that have found none within a cell's width go on.
+    """
+    left, out, width = pixels.select("px", "py"), [], 2
+    while True:
+        cell = lambda c, d=width: F.floor(F.col(c) / d)
+        near = set_.select(F.col("px").alias("sx"), F.col("py").alias("sy"), F.explode(F.sequence(cell("px") - 1, cell("px") + 1)).alias("cx"), cell("py").alias("_y")).withColumn("cy", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
+        met = left.withColumn("cx", cell("px")).withColumn("cy", cell("py")).join(near, ["cx", "cy"])
+        d2 = F.min(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
+        found = met.groupBy("px", "py").agg(d2.alias("d2")).filter(F.col("d2") <= width * width)
+        out.append(found)
+        if width >= 2 * size:
+            return functools.reduce(DataFrame.union, out)
+        left, width = left.join(found, ["px", "py"], "left_anti"), 4 * width
 
 
 def downsample(df: DataFrame, factor: int, preserve_counts: bool = True, others: tuple[str, ...] = ()) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -20,25 +18,22 @@ class Grid:
     values: tuple[tuple[float, ...], ...]
     fill: float = 0.0
 
-    def at(self, energy: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Linear in log energy and in offset."""
-        le, nodes, offs, v = np.log(energy), np.log(self.energy), np.array(self.offset), np.array(self.values)
-        i = np.clip(np.searchsorted(nodes, le, "right") - 1, 0, len(nodes) - 2)
-        j = np.clip(np.searchsorted(offs, offset, "right") - 1, 0, len(offs) - 2)
-        a, b = (le - nodes[i]) / (nodes[i + 1] - nodes[i]), (offset - offs[j]) / (offs[j + 1] - offs[j])
-        out = (1 - a) * ((1 - b) * v[i, j] + b * v[i, j + 1]) + a * ((1 - b) * v[i + 1, j] + b * v[i + 1, j + 1])
-        inside = (le >= nodes[0]) & (le <= nodes[-1]) & (offset >= offs[0]) & (offset <= offs[-1])
-        return np.where(inside, out, self.fill)
+    def value(self, energy: Column, offset: Column) -> Column:
+        """Linear in log energy and in offset; the nodes are literals of the expression."""
+        le, nodes = F.log(energy), [math.log(e) for e in self.energy]
+        at = lambda x, edges: F.least(F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda n: n <= x)) - 1, F.lit(0)), F.lit(len(edges) - 2))
+        table = F.array(*[F.array(*map(F.lit, row)) for row in self.values])
+        nodes_, offs = F.array(*map(F.lit, nodes)), F.array(*map(F.lit, self.offset))
 
-    def lookup(self):
-        """Arrow UDF of (energy, offset); the grid travels with the function."""
-        grid = self
+        def inner(k: Column) -> Column:
+            i, j = k["i"], k["j"]
+            a = (le - nodes_[i]) / (nodes_[i + 1] - nodes_[i])
+            b = (offset - offs[j]) / (offs[j + 1] - offs[j])
+            return (1 - a) * ((1 - b) * table[i][j] + b * table[i][j + 1]) + a * ((1 - b) * table[i + 1][j] + b * table[i + 1][j + 1])
 
-        @F.pandas_udf(T.DoubleType())
-        def f(energy: pd.Series, offset: pd.Series) -> pd.Series:
-            return pd.Series(grid.at(energy.to_numpy(float), offset.to_numpy(float)))
-
-        return f
+        inside = (le >= nodes[0]) & (le <= nodes[-1]) & (offset >= self.offset[0]) & (offset <= self.offset[-1])
+        spot = F.struct(at(le, nodes).alias("i"), at(offset, self.offset).alias("j"))
+        return F.when(inside, F.element_at(F.transform(F.array(spot), inner), 1)).otherwise(self.fill)
 
 
 def nearest_bin(df: DataFrame, table: DataFrame, energy: str, offset: str) -> DataFrame:
@@ -62,39 +57,56 @@ def dispersion_moments(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "e_true", mean.alias("mean"), ((mean - F.col("e_true")) / F.col("e_true")).alias("bias"), (F.sqrt(F.greatest(F.col("b") / F.col("n") - mean * mean, F.lit(0.0))) / F.col("e_true")).alias("resolution"))
 
 
-def fit_norm(counts: np.ndarray, background: np.ndarray, signal: np.ndarray) -> tuple[float, float, float]:
-    """(norm, error, ts) that maximise the Poisson likelihood of background + norm * signal.
-
-    The derivative is monotone where all predictions are positive, so bisection is safe.
-    """
-    use = signal > 0
-    n, b, s = counts[use], background[use], signal[use]
-    if not len(n):
-        return np.nan, np.nan, np.nan
-    low = -float((b / s).min())
-    if n.sum() == 0:
-        return low, np.nan, float(2 * low * s.sum())
-    f = lambda x: float((s * (1 - n / np.maximum(x * s + b, 1e-300))).sum())
-    a, z = low + 1e-9 * (1 + abs(low)), float((n / s).max()) + 1.0
-    for _ in range(80):
-        mid = (a + z) / 2
-        a, z = (mid, z) if f(mid) < 0 else (a, mid)
-    norm = (a + z) / 2
-    mu = np.maximum(norm * s + b, 1e-300)
-    null = np.maximum(b, 1e-25)
-    xlog = lambda x, y: np.where(x > 0, x * np.log(y), 0.0)
-    ts = 2 * ((null - xlog(n, null)) - (mu - xlog(n, mu))).sum()
-    return norm, float(1 / np.sqrt((n * s * s / (mu * mu)).sum())), float(ts)
+#: Halvings of the interval that holds a norm.
+HALVINGS = 60
 
 
 def fit_norms(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, norm, norm_err, ts) per group of bins (counts, background, signal): one flux point, one map pixel."""
-    fields = [f for f in df.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("norm", "norm_err", "ts")]])
+    """(keys, norm, norm_err, ts) per group of bins (counts, background, signal): one flux point, one map pixel.
 
-    def run(key, rows):
-        values = fit_norm(*(rows[c].to_numpy(float) for c in ("counts", "background", "signal")))
-        return pd.DataFrame([[*key, *values]], columns=[f.name for f in schema.fields])
-
-    order = [f.name for f in fields]
-    return df.groupBy(*order).applyInPandas(run, schema)
+    The norm maximises the Poisson likelihood of background + norm * signal. Its derivative grows with the norm where
+    all predictions are positive, so the interval is halved. Bins alike are one entry with a multiplicity, counted by
+    an aggregation with partial sums, so that a group's row has one entry per distinct bin. Without counts the norm is
+    the lowest that leaves no prediction negative, without an error; without signal there is none.
+    """
+    bins = df.groupBy(*keys, "counts", "background", "signal").agg(F.count("*").alias("times"))
+    item = F.struct(F.col("counts").cast("double").alias("n"), F.col("background").cast("double").alias("b"), F.col("signal").cast("double").alias("s"), F.col("times").cast("double").alias("m"))
+    rows = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("signal") > 0, item))).alias("x"))
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda t, x: t + x["m"] * f(x))
+    rows = rows.withColumn("lowest", -F.array_min(F.transform("x", lambda x: x["b"] / x["s"]))).withColumn("highest", F.array_max(F.transform("x", lambda x: x["n"] / x["s"])) + 1.0)
+    rows = rows.withColumn("all", total(lambda x: x["n"])).withColumn("signals", total(lambda x: x["s"]))
+    tiny = F.lit(1e-300)
+
+    def halve(z: Column, _: Column) -> Column:
+        middle = (z["low"] + z["high"]) / 2
+        slope = total(lambda x: x["s"] * (1 - x["n"] / F.greatest(middle * x["s"] + x["b"], tiny)))
+        return F.struct(F.when(slope < 0, middle).otherwise(z["low"]).alias("low"), F.when(slope < 0, z["high"]).otherwise(middle).alias("high"))
+
+    begin = F.struct((F.col("lowest") + 1e-9 * (1 + F.abs("lowest"))).alias("low"), F.col("highest").alias("high"))
+    rows = rows.withColumn("norm", F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), begin, halve, lambda z: (z["low"] + z["high"]) / 2))
+    mu, null = (lambda x: F.greatest(F.col("norm") * x["s"] + x["b"], tiny)), (lambda x: F.greatest(x["b"], F.lit(1e-25)))
+    stat = lambda x, y: y - F.when(x["n"] > 0, x["n"] * F.log(y)).otherwise(0.0)
+    ts = total(lambda x: 2 * (stat(x, null(x)) - stat(x, mu(x))))
+    error = 1 / F.sqrt(total(lambda x: x["n"] * x["s"] * x["s"] / (mu(x) * mu(x))))
+    none, empty = F.size("x") == 0, F.col("all") == 0
+    return rows.select(
+        *keys,
+        F.when(none, None).when(empty, F.col("lowest")).otherwise(F.col("norm")).alias("norm"),
+        F.when(none | empty, None).otherwise(error).alias("norm_err"),
+        F.when(none, None).when(empty, 2 * F.col("lowest") * F.col("signals")).otherwise(ts).alias("ts"),
+    )
+
+
+def fit_sql(bins: str, keys: str) -> str:
+    """The same fit in SQL over ``bins`` (keys, counts, background, signal), as a recursion of halvings."""
+    on = " and ".join(f"x.{k} = r.{k}" for k in keys.split(", "))
+    return (
+        f", x as ({bins}), z as (select {keys}, -min(background / signal) as lowest, max(counts / signal) + 1.0 as highest, sum(counts) as total, sum(signal) as signals from x group by {keys}), "
+        f"r as (select {keys}, 0 as step, lowest + 1e-9::double * (1 + abs(lowest)) as low, highest as high from z union all "
+        f"select {keys}, step + 1, case when slope < 0 then (low + high) / 2 else low end, case when slope < 0 then high else (low + high) / 2 end from ("
+        f"select r.*, (select sum(signal * (1 - counts / greatest((low + high) / 2 * signal + background, 1e-300::double))) from x where {on}) as slope from r where step < {HALVINGS})), "
+        f"v as (select {keys}, (low + high) / 2 as norm, lowest, total, signals from r join z using ({keys}) where step = {HALVINGS}), "
+        f"w as (select {keys}, norm, lowest, total, signals, 1 / sqrt(nullif(sum(counts * signal * signal / power(greatest(norm * signal + background, 1e-300::double), 2)), 0)) as err, "
+        f"sum(2 * (background - norm * signal - background + case when counts > 0 then counts * (ln(greatest(norm * signal + background, 1e-300::double)) - ln(background)) else 0 end)) as ts from v join x using ({keys}) group by all) "
+        f"select {keys}, case when total = 0 then lowest else norm end as norm, case when total > 0 then err end as norm_err, case when total = 0 then 2 * lowest * signals else ts end as ts from w"
+    )
