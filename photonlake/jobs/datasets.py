@@ -121,17 +121,6 @@ def d4(spark, sf):
     return DS.weighted_mean(met.withColumnRenamed("phase", "value"), ["e"], "value", "livetime").select("e", F.round("value", 7).alias("value"))
 
 
-@query("d5_safe_masks", f", pk as (select e from (select e, sum(counts) as n from cube group by e) order by n desc, e limit 1) select event_id from (select event_id, obs_id, floor(energy / 2.500013::double)::int as e, {sep_sql('lon', 'lat', 'lon_pnt', 'lat_pnt')} as away from photons join obs using (obs_id)) v, pk where away < 1.20003 and v.e >= 1 + obs_id % 3 and v.e >= pk.e", D.SQL)
-def d5(spark, sf):
-    """Events inside the offset limit, above each run's energy threshold and above the bin where most are."""
-    events = D.photons(spark, sf)
-    placed = S.with_pointing(events, D.observations(events), "lon_pnt", "lat_pnt").withColumn("e", F.floor(F.col("energy") / 2.500013).cast("int"))
-    spectrum = placed.filter("e between 0 and 3").groupBy("e").count()
-    peak = spectrum.agg(F.max_by("e", F.struct("count", -F.col("e"))).alias("peak"))
-    safe = (sky.separation("lon", "lat", "lon_pnt", "lat_pnt") < 1.20003) & (F.col("e") >= 1 + F.col("obs_id") % 3) & (F.col("e") >= F.col("peak"))
-    return placed.crossJoin(F.broadcast(peak)).filter(safe).select("event_id")
-
-
 @query("d6_wobble_regions", f"select obs_id, k::int as region, round(lon_pnt + cos(k * pi() / 2) * -lon_pnt - sin(k * pi() / 2) * -lat_pnt, 6) + 0.0::double as lon, round(lat_pnt + sin(k * pi() / 2) * -lon_pnt + cos(k * pi() / 2) * -lat_pnt, 6) + 0.0::double as lat from obs, (values (1), (2), (3)) v(k) where sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt) * sqrt(2) > 2 * 0.2003 and not (lon_pnt + cos(k * pi() / 2) * -lon_pnt - sin(k * pi() / 2) * -lat_pnt > 1.4 )", D.SQL)
 def d6(spark, sf):
     """Off regions at quarter turns, dropped where they would overlap each other or lie in the excluded strip lon > 1.4."""
@@ -212,14 +201,6 @@ def d12(spark, sf):
     return out.select("dataset", "counts", F.round("bg", 5).alias("background"), F.round(F.col("counts") - F.col("bg"), 5).alias("excess"))
 
 
-@query("d13_reduce_observations", f"select floor((lon + 2.0005::double) / 0.4::double)::int as px, floor((lat + 2.0005::double) / 0.4::double)::int as py, count(*)::bigint as counts, count(distinct obs_id)::bigint as runs from photons join obs using (obs_id) where {sep_sql('lon', 'lat', 'lon_pnt', 'lat_pnt')} < 1.00003 group by all", D.SQL)
-def d13(spark, sf):
-    events = D.photons(spark, sf)
-    safe = S.with_pointing(events, D.observations(events), "lon_pnt", "lat_pnt").filter(sky.separation("lon", "lat", "lon_pnt", "lat_pnt") < 1.00003)
-    px, py = (F.floor((F.col(c) + 2.0005) / 0.4).cast("int") for c in ("lon", "lat"))
-    return safe.groupBy(px.alias("px"), py.alias("py")).agg(F.count("*").alias("counts"), F.countDistinct("obs_id").alias("runs"))
-
-
 @query("d14_residuals", _SETS + " select dataset, px, py, e, round(counts - background, 6) as diff, round((counts - background) / background, 6) as relative, round((counts - background) / sqrt(background), 6) as scaled from sets", D.SQL)
 def d14(spark, sf):
     r = DS.residuals(F.col("counts"), F.col("background"))
@@ -309,22 +290,6 @@ def m9(spark, sf):
     return full.select("px", "py").join(first, ["px", "py"], "left").select("px", "py", F.col("f.scale").alias("scale"), F.round("f.v", 6).alias("value"))
 
 
-_THETA = f", th as (select obs_id, livetime, floor((lon * lon + lat * lat) / 0.0500007::double)::int as b_on, floor((power(lon - 2 * lon_pnt, 2) + power(lat - 2 * lat_pnt, 2)) / 0.0500007::double)::int as b_off from photons join obs using (obs_id) where sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt) > 0.4)"
-
-
-@query("a19_theta_squared", _THETA + " select b::int as bin, (select count(*) from th where b_on = b)::bigint as counts, (select count(*) from th where b_off = b)::bigint as counts_off from range(6) r(b)", D.SQL)
-def a19(spark, sf):
-    events = D.photons(spark, sf)
-    obs = D.observations(events).filter(F.sqrt(F.col("lon_pnt") * F.col("lon_pnt") + F.col("lat_pnt") * F.col("lat_pnt")) > 0.4)
-    placed = S.with_pointing(events, obs, "lon_pnt", "lat_pnt")
-    on = F.floor((F.col("lon") * F.col("lon") + F.col("lat") * F.col("lat")) / 0.0500007).cast("int")
-    dx, dy = F.col("lon") - 2 * F.col("lon_pnt"), F.col("lat") - 2 * F.col("lat_pnt")
-    off = F.floor((dx * dx + dy * dy) / 0.0500007).cast("int")
-    sides = F.explode(F.array(F.struct(on.alias("bin"), F.lit(1).alias("on")), F.struct(off.alias("bin"), F.lit(0).alias("on"))))
-    h = placed.select(sides.alias("s")).filter("s.bin between 0 and 5").groupBy(F.col("s.bin").alias("bin")).agg(F.sum("s.on").alias("counts"), F.sum(1 - F.col("s.on")).alias("counts_off"))
-    return spark.range(6).select(F.col("id").cast("int").alias("bin")).join(h, "bin", "left").na.fill(0)
-
-
 @query("a4_radius_cut_counts", f", v as (select obs_id, floor(energy / {E_BIN}::double)::int as e, lon * lon + lat * lat as r2, power(lon - 2 * lon_pnt, 2) + power(lat - 2 * lat_pnt, 2) as q2 from photons join obs using (obs_id) where energy < 10), w as (select *, power(0.50003::double - 0.1 * e, 2) as lim from v) select obs_id, count(*) filter (where r2 <= lim)::bigint as counts, count(*) filter (where q2 <= lim)::bigint as counts_off from w group by obs_id", D.SQL)
 def a4(spark, sf):
     events = D.photons(spark, sf)

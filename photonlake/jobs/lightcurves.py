@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from photonlake.functions import stats
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import crossmatch
-from photonlake.operators import intervals as I
 from photonlake.operators import lightcurve as L
 from photonlake.registry import query
 from photonlake.sources import domain as D
@@ -117,15 +116,6 @@ def io6(spark, sf):
     return wide.select("series", F.col("r.day").alias("days"), F.col("r.flux").alias("fluxes"))
 
 
-@query("e5_light_curve", ", w as (select i::int as w_idx, 1704067200 + i * 259200 as lo, 1704067200 + (i + 1) * 259200 as hi from range(10) t(i)), x as (select w_idx, floor(energy / 5.00003::double)::int as e, count(*) as n from photons join w on t_us // 1000000 > lo and t_us // 1000000 <= hi where energy < 20 group by all) select w_idx as t_idx, e, n::bigint as counts, round(n / 259200.0::double, 9) as rate, round(sqrt(n::double) / 259200, 9) as err from x", D.SQL)
-def e5(spark, sf):
-    """Counts and rate per time and energy bin; bins of three days."""
-    bins = spark.range(10).select(F.col("id").cast("int").alias("t_idx"), (1704067200 + F.col("id") * 259200).alias("t_lo"), (1704067200 + (F.col("id") + 1) * 259200).alias("t_hi"))
-    events = D.photons(spark, sf).filter("energy < 20").select(F.floor(F.col("t_us") / 1000000).alias("t"), F.floor(F.col("energy") / 5.00003).cast("int").alias("e"))
-    g = I.time_bin(events, "t", bins).filter("t_idx >= 0").groupBy("t_idx", "e").agg(F.count("*").alias("counts"))
-    return g.select("t_idx", "e", "counts", F.round(F.col("counts") / 259200.0, 9).alias("rate"), F.round(F.sqrt("counts") / 259200, 9).alias("err"))
-
-
 _POWER = "amplitude * 1e-3::double * (power(10, 1 - index) - power(1, 1 - index)) / (1 - index)"
 
 
