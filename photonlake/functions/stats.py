@@ -63,6 +63,12 @@ def wstat_counts(n: Column, off: Column, alpha: Column, mu: Column | None = None
     return {"excess": excess, "error": F.sqrt(n + alpha * alpha * off), "ts": ts, "sqrt_ts": signed_root(excess, ts)}
 
 
+def chi2_asymmetric(flux: Column, model: Column, errn: Column, errp: Column) -> Column:
+    """Squared residual in units of the error on the model's side."""
+    pull = (flux - model) / F.when(flux > model, errn).otherwise(errp)
+    return pull * pull
+
+
 def nan_to_null(x: Column) -> Column:
     """Values that were not measured, as aggregates skip them."""
     return F.when(~F.isnan(x), x)

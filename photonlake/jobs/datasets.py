@@ -212,6 +212,12 @@ def d15(spark, sf):
     return _sets(spark, sf).filter("px between 3 and 7 and mask_safe").groupBy("dataset", "e").agg(F.sum("counts").alias("counts"), F.sum("background").alias("background"))
 
 
+@query("d15_to_image", _SETS + " select dataset, px, py, sum(case when mask_safe then counts else 0 end)::bigint as counts, sum(case when mask_safe then background else 0 end)::double as background, bool_or(mask_safe) as mask_safe from sets where e between 1 and 2 and px between 2 and 8 group by all", D.SQL)
+def d15_image(spark, sf):
+    """Cut out, sliced in energy and summed over it, where safe."""
+    return DS.stack(_sets(spark, sf).filter("e between 1 and 2 and px between 2 and 8"), ["dataset", "px", "py"])
+
+
 _DISP = ", disp as (select a::int as e_true, b::int as e_reco, case when a = b then 0.6 when abs(a - b) = 1 then 0.2 else 0.0 end::double as p from range(4) x(a), range(4) y(b))"
 
 
@@ -226,11 +232,18 @@ def d16(spark, sf):
     return DS.fold(true, _dispersion(spark).filter("p > 0"), ["px", "py"]).select("px", "py", "e_reco", F.round("value", 6).alias("value"))
 
 
-@query("d17_predicted_counts", _DISP + ", s as (select e_reco as e, sum(counts * p) as v from cube join disp on e = e_true group by e_reco) select e, round(greatest(v * 1.5::double - 100 + 3 * e, 0), 5) as npred from s", D.SQL)
+@query("d17_predicted_counts", _DISP + ", live as (select sum(livetime) as t from obs), m as (select i::int as e_true, sum(amplitude * 1e-9::double * (power(i + 0.5::double, 1 - index) - power(i + 1.5::double, 1 - index)) / (index - 1)) as f from sources, range(4) t(i) group by i), n as (select e_reco as e, sum(f * (e_true + 1) * t * p) as v from m join disp using (e_true), live group by e_reco), b as (select e, sum(counts) * 0.3::double - 60 as b from cube group by e) select e, round(v, 5) as sources, round(b, 5) as background, round(greatest(v + b, 0), 5) as npred from n join b using (e)", D.SQL)
 def d17(spark, sf):
-    spectrum = D.counts_map(D.photons(spark, sf)).groupBy(F.col("e").alias("e_true")).agg(F.sum("counts").alias("value"))
-    folded = DS.fold(spectrum, _dispersion(spark), [])
-    return folded.select(F.col("e_reco").alias("e"), F.round(F.greatest(F.col("value") * 1.5 - 100 + 3 * F.col("e_reco"), F.lit(0.0)), 5).alias("npred"))
+    """All catalog sources through exposure and dispersion, and the background: summed and not below zero."""
+    events = D.photons(spark, sf)
+    live = D.observations(events).agg(F.sum("livetime").alias("t"))
+    e, g = F.col("e_true"), F.col("index")
+    flux = F.col("amplitude") * 1e-9 * (F.pow(e + 0.5, 1 - g) - F.pow(e + 1.5, 1 - g)) / (g - 1)
+    bins = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("e_true")
+    true = D.catalog(spark, sf).select("index", "amplitude", bins).groupBy("e_true").agg(F.sum(flux).alias("f")).crossJoin(F.broadcast(live))
+    folded = DS.fold(true.select("e_true", (F.col("f") * (e + 1) * F.col("t")).alias("value")), _dispersion(spark), []).select(F.col("e_reco").alias("e"), F.col("value").alias("v"))
+    background = D.counts_map(events).groupBy("e").agg((F.sum("counts") * 0.3 - 60).alias("b"))
+    return folded.join(background, "e").select("e", F.round("v", 5).alias("sources"), F.round("b", 5).alias("background"), F.round(F.greatest(F.col("v") + F.col("b"), F.lit(0.0)), 5).alias("npred"))
 
 
 @query("d18_reco_exposure", _DISP + " select e_reco, round(sum(p * counts * (e_true + 1) * 100) / sum(p * counts), 6) as exposure from disp join cube on e = e_true group by e_reco", D.SQL)
@@ -273,9 +286,9 @@ def e13(spark, sf):
     return s.select("px", "py", "band", "counts", F.round(c["excess"], 5).alias("excess"), F.round(c["error"], 6).alias("error"))
 
 
-@query("m9_adaptive_smoothing", _FULL + ", b as (select avg(counts) as m from g), " + ", ".join(f"s{k} as (select px + i as px, py + j as py, sum(counts)::double as c, count(*) as a from g, (select i, j from range(-{k}, {k + 1}) a(i), range(-{k}, {k + 1}) b(j) where i * i + j * j <= {k * k}) group by all)" for k in (1, 2, 3)) + ", h as (select g.px, g.py, " + ", ".join(f"s{k}.c as c{k}, s{k}.a as a{k}, (s{k}.c - m * s{k}.a) / sqrt(s{k}.c + m * s{k}.a) as z{k}" for k in (1, 2, 3)) + " from g join s1 using (px, py) join s2 using (px, py) join s3 using (px, py), b) select px, py, case when z1 >= 1.5 then 1 when z2 >= 1.5 then 2 when z3 >= 1.5 then 3 end::int as scale, round(case when z1 >= 1.5 then c1 / a1 when z2 >= 1.5 then c2 / a2 when z3 >= 1.5 then c3 / a3 end, 6) as value from h", D.SQL)
+@query("m9_adaptive_smoothing", _FULL + ", b as (select avg(counts) as m from g), " + ", ".join(f"s{k} as (select px + i as px, py + j as py, sum(counts)::double as c, count(*) as a from g, (select i, j from range(-{k}, {k + 1}) a(i), range(-{k}, {k + 1}) b(j) where i * i + j * j <= {k * k}) group by all)" for k in (1, 2, 3)) + ", h as (select g.px, g.py, " + ", ".join(f"s{k}.c as c{k}, s{k}.a as a{k}, (s{k}.c - m * s{k}.a) / sqrt(s{k}.c + m * s{k}.a) as z{k}" for k in (1, 2, 3)) + " , g.counts from g join s1 using (px, py) join s2 using (px, py) join s3 using (px, py), b) select px, py, case when z1 >= 1.5 then 1 when z2 >= 1.5 then 2 when z3 >= 1.5 then 3 end::int as scale, round(coalesce(case when z1 >= 1.5 then c1 / a1 when z2 >= 1.5 then c2 / a2 when z3 >= 1.5 then c3 / a3 end, avg(case when not coalesce(z1 >= 1.5 or z2 >= 1.5 or z3 >= 1.5, false) then counts end) over ()), 6) as value from h", D.SQL)
 def m9(spark, sf):
-    """The smallest disk whose counts stand out from the mean background; null where none does."""
+    """The mean over the smallest disk whose counts stand out from the mean background; where none does, the mean of such pixels."""
     full = _full(spark, sf)
     mean = full.agg(F.avg("counts").alias("m"))
     found = None
@@ -287,7 +300,9 @@ def m9(spark, sf):
         found = one if found is None else found.union(one)
     z = (F.col("c") - F.col("m") * F.col("a")) / F.sqrt(F.col("c") + F.col("m") * F.col("a"))
     first = found.crossJoin(F.broadcast(mean)).filter(z >= 1.5).groupBy("px", "py").agg(F.min(F.struct("scale", (F.col("c") / F.col("a")).alias("v"))).alias("f"))
-    return full.select("px", "py").join(first, ["px", "py"], "left").select("px", "py", F.col("f.scale").alias("scale"), F.round("f.v", 6).alias("value"))
+    placed = full.select("px", "py", "counts").join(first, ["px", "py"], "left")
+    rest = placed.filter("f is null").agg(F.avg("counts").alias("rest"))
+    return placed.crossJoin(F.broadcast(rest)).select("px", "py", F.col("f.scale").alias("scale"), F.round(F.coalesce("f.v", "rest"), 6).alias("value"))
 
 
 @query("a4_radius_cut_counts", f", v as (select obs_id, floor(energy / {E_BIN}::double)::int as e, lon * lon + lat * lat as r2, power(lon - 2 * lon_pnt, 2) + power(lat - 2 * lat_pnt, 2) as q2 from photons join obs using (obs_id) where energy < 10), w as (select *, power(0.50003::double - 0.1 * e, 2) as lim from v) select obs_id, count(*) filter (where r2 <= lim)::bigint as counts, count(*) filter (where q2 <= lim)::bigint as counts_off from w group by obs_id", D.SQL)

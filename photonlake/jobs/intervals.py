@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from photonlake.operators import intervals as I
 from photonlake.registry import query
 from photonlake.sources import domain as D
+from photonlake.sources import store
 
 _UNION = """
 , m as (select obs_id, start, stop, max(stop) over (partition by obs_id order by start, stop rows between unbounded preceding and 1 preceding) as reach from gti)
@@ -17,7 +18,10 @@ _UNION = """
 
 @query("io2_intervals", "select obs_id, min(start) as first, max(stop) as last, count(*)::bigint as n from gti group by obs_id", D.SQL)
 def io2(spark, sf):
-    return D.intervals(spark, sf).groupBy("obs_id").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.count("*").alias("n"))
+    """Intervals written as seconds after a reference and read back."""
+    path = store.new_folder(spark, "intervals")
+    store.write_intervals(D.intervals(spark, sf), path, 694224000)
+    return store.read_intervals(spark, path).groupBy("obs_id").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.count("*").alias("n"))
 
 
 @query("w1_interval_union", _UNION + "select * from merged", D.SQL)

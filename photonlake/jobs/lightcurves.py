@@ -11,6 +11,7 @@ from photonlake.operators import crossmatch
 from photonlake.operators import lightcurve as L
 from photonlake.registry import query
 from photonlake.sources import domain as D
+from photonlake.sources import store
 
 _FV = ", v as (select series, avg(flux) as m, var_samp(flux) as v, avg(err * err) as s, count(*)::double as n from curves group by series), f as (select *, sqrt(abs(v - s)) / m as f from v)"
 _ERR = "round(sqrt(power(sqrt(2 / n) * s / (m * m), 2) + power(sqrt(s / n) * 2 * f / m, 2)) / (2 * f), 7)"
@@ -111,9 +112,13 @@ def w9(spark, sf):
 
 @query("io6_flux_point_tables", "select series, list(day order by day) as days, list(round(flux, 2) order by day) as fluxes from curves group by series", D.SQL)
 def io6(spark, sf):
-    rows = F.sort_array(F.collect_list(F.struct("day", F.round("flux", 2).alias("flux"))))
-    wide = D.light_curves(spark, sf).groupBy("series").agg(rows.alias("r"))
-    return wide.select("series", F.col("r.day").alias("days"), F.col("r.flux").alias("fluxes"))
+    """Flux points written in three shapes, each read back from the one before."""
+    points, folder = D.light_curves(spark, sf), store.new_folder(spark, "flux-points")
+    for shape in ("long", "light_curve", "wide"):
+        store.write_flux_points(points, f"{folder}/{shape}", shape)
+        points = store.read_flux_points(spark, f"{folder}/{shape}")
+    wide = spark.read.parquet(f"{folder}/wide")
+    return wide.select("series", "days", F.transform("fluxes", lambda x: F.round(x, 2)).alias("fluxes"))
 
 
 _POWER = "amplitude * 1e-3::double * (power(10, 1 - index) - power(1, 1 - index)) / (1 - index)"
@@ -129,20 +134,30 @@ def e6(spark, sf):
     return q.select("source_id", F.round(n * dref, 9).alias("dnde"), F.round(n * dref * 9, 8).alias("e2dnde"), F.round(n * ref, 9).alias("flux"), F.round(s * ref, 9).alias("flux_err"), F.round(F.signum(n - 1) * F.abs(n - 1) / s, 6).alias("sqrt_ts"), ((n + 2 * s) * ref < s * 3 * ref).alias("is_ul"))
 
 
-@query("e7_combine_gaussian", "select series % 10 as grp, day // 7 as week, round(sum(flux / (err * err)) / sum(1 / (err * err)), 4) as flux, round(sqrt(1 / sum(1 / (err * err))), 5) as err, round(power(sum(flux / (err * err)), 2) / sum(1 / (err * err)), 2) as ts from curves group by all", D.SQL)
+@query("e7_combine_gaussian", "select series % 10 as grp, day // 7 as week, round(sum(flux / (err * err)) / sum(1 / (err * err)), 4) as flux, round(sqrt(1 / sum(1 / (err * err))), 5) as err, round(power(sum(flux / (err * err)), 2) / sum(1 / (err * err)), 2) as ts, count(*)::bigint as n from curves where err > 0 and (series + day) % 4 <> 0 group by all", D.SQL)
 def e7(spark, sf):
+    """Inverse-variance means over the points that are valid."""
     w = 1 / (F.col("err") * F.col("err"))
-    g = D.light_curves(spark, sf).groupBy((F.col("series") % 10).alias("grp"), F.floor(F.col("day") / 7).cast("bigint").alias("week")).agg(F.sum(F.col("flux") * w).alias("a"), F.sum(w).alias("b"))
-    return g.select("grp", "week", F.round(F.col("a") / F.col("b"), 4).alias("flux"), F.round(F.sqrt(1 / F.col("b")), 5).alias("err"), F.round(F.col("a") * F.col("a") / F.col("b"), 2).alias("ts"))
+    valid = D.light_curves(spark, sf).filter((F.col("err") > 0) & ((F.col("series") + F.col("day")) % 4 != 0))
+    g = valid.groupBy((F.col("series") % 10).alias("grp"), F.floor(F.col("day") / 7).cast("bigint").alias("week")).agg(F.sum(F.col("flux") * w).alias("a"), F.sum(w).alias("b"), F.count("*").alias("n"))
+    return g.select("grp", "week", F.round(F.col("a") / F.col("b"), 4).alias("flux"), F.round(F.sqrt(1 / F.col("b")), 5).alias("err"), F.round(F.col("a") * F.col("a") / F.col("b"), 2).alias("ts"), "n")
 
 
-@query("e8_combine_profiles", ", g as (select i::int as i, i * 2000.0::double as x from range(60) t(i)), p as (select series % 10 as grp, i, x, sum(power((x - flux) / err, 2)) as stat from curves, g group by all) select grp, min_by(x, (stat, x)) as best, round(min(stat), 3) as stat from p group by grp", D.SQL)
+_E8 = ", g as (select i::int as i, i * 2000.0::double as x from range(60) t(i)), u as (select series % 10 as grp, i, x, (x - flux) / err as t, least(greatest(floor((x - flux) / err), -5), 4) as k from curves, g), p as (select grp, i, x, sum(k * k + (t - k) * (2 * k + 1)) as stat from u group by all), m as (select grp, min_by(x, (stat, x)) as best, min(stat) as least from p group by grp), q as (select grp, x, best, least, stat - least - 4 as d, lag(stat - least - 4) over (partition by grp order by i) as d0 from p join m using (grp)) select grp, min(best) as best, round(min(least), 2) as stat, round(min(case when x > best and d >= 0 and d0 < 0 then x - 2000 * d / (d - d0) end), 3) as upper from q group by grp"
+
+
+@query("e8_combine_profiles", _E8, D.SQL)
 def e8(spark, sf):
-    """Profiles of all members on one grid, summed; the best value where the sum is least."""
+    """Profiles known at whole numbers of errors from -5 to 5, interpolated to one grid and summed; the best value, and where the sum has risen by 4."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i")
-    p = D.light_curves(spark, sf).select((F.col("series") % 10).alias("grp"), "flux", "err", grid)
-    p = p.withColumn("x", F.col("i") * 2000.0).groupBy("grp", "i", "x").agg(F.sum(F.pow((F.col("x") - F.col("flux")) / F.col("err"), 2)).alias("stat"))
-    return p.groupBy("grp").agg(F.min_by("x", F.struct("stat", "x")).alias("best"), F.round(F.min("stat"), 3).alias("stat"))
+    p = D.light_curves(spark, sf).select((F.col("series") % 10).alias("grp"), "flux", "err", grid).withColumn("x", F.col("i") * 2000.0)
+    t = (F.col("x") - F.col("flux")) / F.col("err")
+    k = F.least(F.greatest(F.floor(t), F.lit(-5)), F.lit(4))
+    p = p.groupBy("grp", "i", "x").agg(F.sum(k * k + (t - k) * (2 * k + 1)).alias("stat"))
+    best = p.groupBy("grp").agg(F.min_by("x", F.struct("stat", "x")).alias("best"), F.min("stat").alias("least"))
+    q = p.join(F.broadcast(best), "grp").withColumn("d", F.col("stat") - F.col("least") - 4).withColumn("d0", F.lag("d").over(Window.partitionBy("grp").orderBy("i")))
+    upper = F.when((F.col("x") > F.col("best")) & (F.col("d") >= 0) & (F.col("d0") < 0), F.col("x") - 2000 * F.col("d") / (F.col("d") - F.col("d0")))
+    return q.groupBy("grp").agg(F.min("best").alias("best"), F.round(F.min("least"), 2).alias("stat"), F.round(F.min(upper), 3).alias("upper"))
 
 
 @query("c1_positions", "select source_id, round(coalesce(case when source_id % 3 = 0 then lon end, case when source_id % 3 = 1 then lon + 0.5 end, 0), 6) as ra, round(lat, 6) as dec from sources", D.SQL)
@@ -170,19 +185,36 @@ _MODELS = {
     "pl": ("amplitude * power(e, -index)", lambda a, g, e: a * F.pow(e, -g)),
     "ecpl": ("amplitude * power(e, -index) * exp(-e / 20)", lambda a, g, e: a * F.pow(e, -g) * F.exp(-e / 20)),
     "lp": ("amplitude * power(e, -index - 0.1::double * ln(e))", lambda a, g, e: a * F.pow(e, -g - 0.1 * F.log(e))),
+    "pl2": ("amplitude * (1 - index) / (power(50, 1 - index) - power(0.5::double, 1 - index)) * power(e, -index)", lambda a, g, e: a * (1 - g) / (F.pow(F.lit(50.0), 1 - g) - F.pow(F.lit(0.5), 1 - g)) * F.pow(e, -g)),
     "bpl": ("amplitude * power(e / 3, case when e < 3 then -index else -index - 0.5 end)", lambda a, g, e: a * F.pow(e / 3, F.when(e < 3, -g).otherwise(-g - 0.5))),
 }
 
 
-@query("c4_spectra", ", g as (select unnest([0.5, 1.7, 4.9, 13.1, 40.3])::double as e), m as (select *, case source_id % 4 when 0 then 'pl' when 1 then 'ecpl' when 2 then 'lp' else 'bpl' end as model from sources) select source_id, e, round(case model " + " ".join(f"when '{n}' then {s}" for n, (s, _) in _MODELS.items()) + " end, 7) as dnde from m, g", D.SQL)
-def c4(spark, sf):
+_DNDE = ", g as (select unnest([0.5, 1.7, 4.9, 13.1, 40.3])::double as e), d as (select source_id, e, case source_id % 5 " + " ".join(f"when {i} then {s}" for i, (s, _) in enumerate(_MODELS.values())) + " end as dnde from sources, g)"
+
+
+def _dnde(spark, sf):
     """Each source's model on an energy grid that is part of the expression."""
     src = D.catalog(spark, sf).withColumn("e", F.explode(F.array(*map(F.lit, (0.5, 1.7, 4.9, 13.1, 40.3)))))
     value = None
     for i, (_, f) in enumerate(_MODELS.values()):
         v = f(F.col("amplitude"), F.col("index"), F.col("e"))
-        value = F.when(F.col("source_id") % 4 == i, v) if value is None else value.when(F.col("source_id") % 4 == i, v)
-    return src.select("source_id", "e", F.round(value, 7).alias("dnde"))
+        value = F.when(F.col("source_id") % 5 == i, v) if value is None else value.when(F.col("source_id") % 5 == i, v)
+    return src.select("source_id", "e", value.alias("dnde"))
+
+
+@query("c4_spectra", _DNDE + " select source_id, e, round(dnde, 7) as dnde from d", D.SQL)
+def c4(spark, sf):
+    return _dnde(spark, sf).withColumn("dnde", F.round("dnde", 7))
+
+
+_SEGMENTS = ", s as (select source_id, e, dnde, lead(e) over w as e2, lead(dnde) over w as d2 from d window w as (partition by source_id order by e)), t as (select *, ln(d2 / dnde) / ln(e2 / e) as b from s where e2 is not null)"
+
+
+@query("c5_trapezoid", _DNDE + _SEGMENTS + " select source_id, round(sum(case when abs(b + 1) < 1e-10 then e * dnde * ln(e2 / e) else e * dnde / (b + 1) * (power(e2 / e, b + 1) - 1) end), 6) as flux from t group by source_id", D.SQL)
+def c5_trapezoid(spark, sf):
+    """The integral of any model from its values on a grid, a power law between neighbours."""
+    return L.integrate_log_log(_dnde(spark, sf), ["source_id"], "e", "dnde").select("source_id", F.round("integral", 6).alias("flux"))
 
 
 @query("c5_power_law_integrals", "select source_id, round(amplitude * (power(10, 1 - index) - 1) / (1 - index), 7) as flux, round(case when abs(index - 2) < 1e-9 then amplitude * ln(10) else amplitude * (power(10, 2 - index) - 1) / (2 - index) end, 7) as eflux, round(power(0.5::double, -1 / index), 7) as half_at from sources", D.SQL)

@@ -14,6 +14,7 @@ from photonlake.operators import selection as S
 from photonlake.operators.crossmatch import within
 from photonlake.registry import query
 from photonlake.sources import domain as D
+from photonlake.sources import store
 
 
 def _cube(spark, sf):
@@ -110,6 +111,12 @@ def a16(spark, sf):
     return run.select("e", F.round(F.col("value") / F.col("total"), 8).alias("share"), F.round("upto", 4).alias("upto"))
 
 
+@query("a16_integral", " select px, py, round(sum(counts * greatest(least((e + 1) * 2.500013::double, 7.9) - greatest(e * 2.500013::double, 1.3), 0) / 2.500013::double), 6) as value from cube group by all", D.SQL)
+def a16_integral(spark, sf):
+    """The integral between two energies of each pixel, its cumulative spectrum being linear inside a bin."""
+    return M.integral(_cube(spark, sf), ["px", "py"], 2.500013, 1.3, 7.9).select("px", "py", F.round("value", 6).alias("value"))
+
+
 @query("a17_event_summary", "select obs_id, count(*)::bigint as n, round(min(energy), 6) as e_min, round(max(energy), 6) as e_max, round(median(energy), 6) as e_median, round(count(*) / nullif((max(t_us) - min(t_us))::double / 1e6::double, 0), 8) as rate from photons group by obs_id", D.SQL)
 def a17(spark, sf):
     span = (F.max("t_us") - F.min("t_us")) / 1e6
@@ -282,6 +289,21 @@ def m2(spark, sf):
     return M.smooth_box(_image(spark, sf), 2, 41, 41).filter("value > 1e-9").select("px", "py", F.round("value", 6).alias("value"))
 
 
+def _smooth_sql(kernel: str) -> str:
+    """Smoothing with a kernel table (i, j, w) and mirrored borders."""
+    return f", g as (select x::int as px, y::int as py from range(41) a(x), range(41) b(y)), k as ({kernel}), d as (select px, py, w, {_MIRROR.format(v='px + i')} as sx, {_MIRROR.format(v='py + j')} as sy from g, k) select d.px, d.py, round(sum(w * coalesce(counts, 0)) / (select sum(w) from k), 6) as value from d left join img on img.px = sx and img.py = sy group by all having sum(coalesce(counts, 0)) > 0"
+
+
+@query("m2_smooth_gauss", _smooth_sql("select i, j, exp(-(i * i + j * j) / 2.42::double) as w from range(-4, 5) a(i), range(-4, 5) b(j)"), D.SQL)
+def m2_gauss(spark, sf):
+    return M.smooth_gauss(_image(spark, sf), 1.1, 41, 41).select("px", "py", F.round("value", 6).alias("value"))
+
+
+@query("m2_smooth_disk", _smooth_sql("select i, j, 1.0::double as w from range(-3, 4) a(i), range(-3, 4) b(j) where i * i + j * j <= 9"), D.SQL)
+def m2_disk(spark, sf):
+    return M.smooth_disk(_image(spark, sf), 3, 41, 41).select("px", "py", F.round("value", 6).alias("value"))
+
+
 _MASK = ", t as (select px, py from img where counts > (select quantile_cont(counts, 0.7) from img))"
 _DISK = "(select i, j from range(-2, 3) a(i), range(-2, 3) b(j) where i * i + j * j <= 4)"
 
@@ -364,13 +386,18 @@ def u5(spark, sf):
 
 @query("io4_sparse_map", "select (py * 41 + px)::int as pix, e as channel, counts::bigint as value from cube where counts > 0", D.SQL)
 def io4(spark, sf):
-    return _cube(spark, sf).filter("value > 0").select((F.col("py") * 41 + F.col("px")).alias("pix"), F.col("e").alias("channel"), "value")
+    """A cube written in sparse form, read back as a map and numbered again."""
+    path = store.new_folder(spark, "sparse-map")
+    store.write_sparse_map(_cube(spark, sf), path, 41)
+    return store.read_sparse_map(spark, path, 41).select((F.col("py") * 41 + F.col("px")).alias("pix"), F.col("e").alias("channel"), "value")
 
 
 @query("io5_spectrum_table", "select e as channel, sum(counts)::bigint as counts, round(e * 2.500013::double, 6) as e_min, round((e + 1) * 2.500013::double, 6) as e_max from cube group by e", D.SQL)
 def io5(spark, sf):
-    s = _cube(spark, sf).groupBy(F.col("e").alias("channel")).agg(F.sum("value").alias("counts"))
-    return s.select("channel", "counts", F.round(F.col("channel") * 2.500013, 6).alias("e_min"), F.round((F.col("channel") + 1) * 2.500013, 6).alias("e_max"))
+    """A spectrum written by channel and edges, and read back."""
+    path = store.new_folder(spark, "spectrum")
+    store.write_spectrum(_cube(spark, sf).groupBy("e").agg(F.sum("value").alias("counts")), path, 2.500013)
+    return spark.read.parquet(path).select("channel", "counts", F.round("e_min", 6).alias("e_min"), F.round("e_max", 6).alias("e_max"))
 
 
 @query("t1_top_pixels", "select px, py, counts::bigint as value from img order by counts desc, px, py limit 25", D.SQL)

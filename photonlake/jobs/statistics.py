@@ -14,6 +14,7 @@ from photonlake.operators import responses as R
 from photonlake.operators import selection as S
 from photonlake.registry import query
 from photonlake.sources import domain as D
+from photonlake.sources import store
 from photonlake.streaming.stacking import binned
 
 _CB = ", cb as (select px, py, e, counts::double as n, 0.3::double + (px % 5) * 0.5::double as mu from cube)"
@@ -107,6 +108,13 @@ def s12(spark, sf):
     return D.light_curves(spark, sf).groupBy("series").agg(F.round(F.sum(F.pow((F.col("flux") - 60000) / F.col("err"), 2)), 2).alias("chi2"))
 
 
+@query("s12_flux_chi2_asymmetric", "select series, round(sum(power((flux - 60000) / case when flux > 60000 then 0.8::double * err else 1.2::double * err end, 2)), 2) as chi2 from curves group by series", D.SQL)
+def s12_asymmetric(spark, sf):
+    """Each point's error towards the model: the lower one where the flux lies above it, else the upper one."""
+    errn, errp = F.col("err") * 0.8, F.col("err") * 1.2
+    return D.light_curves(spark, sf).groupBy("series").agg(F.round(F.sum(stats.chi2_asymmetric(F.col("flux"), F.lit(60000.0), errn, errp)), 2).alias("chi2"))
+
+
 _RECURSIVE = D.SQL.replace("with photons", "with recursive photons", 1)
 
 
@@ -292,16 +300,19 @@ def q3(spark, sf):
 
 @query("io3_index_tables", "select obs_id, count(*)::bigint as files from (select obs_id, unnest(['events', 'gti']) as kind from obs) group by obs_id", D.SQL)
 def io3(spark, sf):
-    index = D.observations(D.photons(spark, sf)).select("obs_id", F.explode(F.array(F.lit("events"), F.lit("gti"))).alias("kind"))
-    return index.groupBy("obs_id").agg(F.count("*").alias("files"))
+    """The index of a store, written with a copy of all runs and read back."""
+    events, path = D.photons(spark, sf), store.new_folder(spark, "store")
+    store.copy_observations({"events": events, "gti": D.intervals(spark, sf)}, D.observations(events), path)
+    return spark.read.parquet(f"{path}/index").groupBy("obs_id").agg(F.count("*").alias("files"))
 
 
 @query("io7_copy_subset", "select obs_id, event_type, count(*)::bigint as n from photons where obs_id in (select obs_id from obs where n_events > 70) and event_type in ('click', 'view') group by all", D.SQL)
 def io7(spark, sf):
-    events = D.photons(spark, sf)
+    """A subset of runs and kinds copied to a new store, and counted there."""
+    events, path = D.photons(spark, sf), store.new_folder(spark, "subset")
     wanted = D.observations(events).filter("n_events > 70").select("obs_id")
-    subset = events.join(wanted, "obs_id", "left_semi").filter(F.col("event_type").isin("click", "view"))
-    return subset.groupBy("obs_id", "event_type").agg(F.count("*").alias("n"))
+    store.copy_observations({"events": events.filter(F.col("event_type").isin("click", "view"))}, wanted, path)
+    return store.read_copy(spark, path, "events").groupBy("obs_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("p13_sky_pixels")

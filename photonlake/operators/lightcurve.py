@@ -138,6 +138,16 @@ def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float
     return g.select(*keys, F.col("lag").cast("int").alias("bin"), (F.col("p") / F.col("n")).alias("dcf"), F.when(F.col("n") > 1, F.sqrt(var * F.col("n")) / (F.col("n") - 1)).alias("err"), "n")
 
 
+def integrate_log_log(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, integral) of positive values on a grid, a power law between neighbours (its logarithm where the index is -1)."""
+    w = Window.partitionBy(*keys).orderBy(x)
+    d = df.withColumn("_x", F.lead(x).over(w)).withColumn("_y", F.lead(y).over(w)).filter("_x is not null")
+    ratio = F.col("_x") / F.col(x)
+    b = F.log(F.col("_y") / F.col(y)) / F.log(ratio)
+    part = F.when(F.abs(b + 1) < 1e-10, F.col(x) * F.col(y) * F.log(ratio)).otherwise(F.col(x) * F.col(y) / (b + 1) * (F.pow(ratio, b + 1) - 1))
+    return d.groupBy(*keys).agg(F.sum(part).alias("integral"))
+
+
 def merge_until(df: DataFrame, keys: list[str], order: str, sums: list[str], enough: callable) -> DataFrame:
     """Merge adjacent bins greedily: a group closes when ``enough`` of its running sums holds; a last, unfinished one stays.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -171,16 +172,45 @@ def ring(inner: float, width: float) -> list[tuple[int, int, int]]:
     return [(i, j, 1) for i in range(-n, n + 1) for j in range(-n, n + 1) if inner * inner <= i * i + j * j <= (inner + width) ** 2]
 
 
+def _mirrored(axis: str, d: Column, size: int) -> Column:
+    """The targets that a pixel serves at a distance: itself moved, and the mirror images of those beyond a border."""
+    return F.filter(F.array(F.col(axis) + d, -1 - F.col(axis) + d, 2 * size - 1 - F.col(axis) + d), lambda t: (t >= 0) & (t < size))
+
+
+def _smooth_axes(df: DataFrame, weights: list[tuple[int, float]], width: int, height: int) -> DataFrame:
+    """Two passes of one dimension each with a symmetric kernel that sums to one, the map mirrored at its borders."""
+    out = df.select("px", "py", F.col("value").cast("double").alias("value"))
+    kernel = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in weights])
+    for axis, size, other in (("px", width, "py"), ("py", height, "px")):
+        targets = F.flatten(F.transform(kernel, lambda k: F.transform(_mirrored(axis, k["d"], size), lambda t: F.struct(t.alias("t"), k["w"].alias("w")))))  # noqa: B023
+        out = out.select(other, F.explode(targets).alias("k"), "value").groupBy(other, F.col("k.t").alias(axis)).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
+    return out.select("px", "py", "value")
+
+
 def smooth_box(df: DataFrame, half: int, width: int, height: int) -> DataFrame:
-    """Mean over a square, the map mirrored at its borders; two passes of one dimension each."""
-    out, n = df.select("px", "py", F.col("value").cast("double").alias("value")), 2 * half + 1
-    for axis, size in (("px", width), ("py", height)):
-        # A pixel serves the targets within reach, and the mirror images of those beyond a border.
-        mirrored = F.transform(F.array(*[F.lit(d) for d in range(-half, half + 1)]), lambda d: F.filter(F.array(F.col(axis) + d, -1 - F.col(axis) + d, 2 * size - 1 - F.col(axis) + d), lambda t: (t >= 0) & (t < size)))
-        targets = F.explode(F.flatten(mirrored))
-        other = "py" if axis == "px" else "px"
-        out = out.select(other, targets.alias(axis), "value").groupBy("px", "py").agg((F.sum("value") / n).alias("value"))
-    return out
+    """Mean over a square."""
+    return _smooth_axes(df, [(d, 1 / (2 * half + 1)) for d in range(-half, half + 1)], width, height)
+
+
+def smooth_gauss(df: DataFrame, sigma: float, width: int, height: int, truncate: float = 4.0) -> DataFrame:
+    """Gaussian of ``sigma`` pixels, cut at ``truncate`` sigmas."""
+    half = int(truncate * sigma)
+    raw = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-half, half + 1)]
+    return _smooth_axes(df, [(d - half, w / sum(raw)) for d, w in enumerate(raw)], width, height)
+
+
+def smooth_disk(df: DataFrame, radius: float, width: int, height: int) -> DataFrame:
+    """Mean over a disk; a pixel serves the products of its targets in both directions."""
+    kernel = disk(radius)
+    spread = df.filter("value <> 0").withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j, _ in kernel])))
+    spread = spread.withColumn("tx", F.explode(_mirrored("px", F.col("k.i"), width))).withColumn("ty", F.explode(_mirrored("py", F.col("k.j"), height)))
+    return spread.groupBy(F.col("tx").alias("px"), F.col("ty").alias("py")).agg((F.sum("value") / len(kernel)).alias("value"))
+
+
+def integral(cube: DataFrame, keys: list[str], e_width: float, low: float, high: float) -> DataFrame:
+    """(keys, value): the spectrum (e, value) of each key between two energies, a bin counting by the share of it inside."""
+    inside = F.greatest(F.least((F.col("e") + 1) * e_width, F.lit(high)) - F.greatest(F.col("e") * e_width, F.lit(low)), F.lit(0.0))
+    return cube.groupBy(*keys).agg(F.sum(F.col("value") * inside / e_width).alias("value"))
 
 
 def dilate(mask: DataFrame, radius: float, width: int, height: int) -> DataFrame:
