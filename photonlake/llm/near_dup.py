@@ -30,8 +30,12 @@ from photonlake.llm.shingles import full_sets, sketches
 from photonlake.llm.storage import Scratch, bounded_batches
 
 
+#: Strips that the blocks of a long list are dealt to.
+STRIPS = 16
+
+
 def least_shared(k: int, share: float) -> int:
-    """Retained values that two sets of that Jaccard similarity share but for one pair in about 10**9."""
+    """Retained values that two sets of that Jaccard similarity share, but for six pairs in 10**9 (the tail of 27 of 64 at 0.75)."""
     return max(1, math.floor(k * share - 6 * math.sqrt(k * share * (1 - share))))
 
 
@@ -82,7 +86,8 @@ class NearDuplicates:
         values = heads.select(F.col("rep").alias("id"), classes.n_shingles.alias("n"), F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
         shared = values.groupBy("value").agg(F.count("*").alias("holders")).filter("holders > 1")
         own = Window.partitionBy("id", "n")
-        ranked = values.join(shared, "value").withColumn("rank", F.row_number().over(own.orderBy("holders", "value")))
+        total = sketched.agg(F.sum(F.size("sketch"))).first()[0] or 0
+        ranked = self._with_lists(values, self.scratch.table(shared, "shared"), "holders", total).withColumn("rank", F.row_number().over(own.orderBy("holders", "value")))
         ranked = ranked.withColumn("common", F.count("*").over(own)).withColumn("central", F.sum("holders").over(own) / F.col("held"))
         whole = F.col("n") * 100 <= self.k * self.percent
         overlap = F.when(whole, F.ceil(F.col("n") * self.percent / 100)).otherwise(F.lit(self.least))
@@ -90,16 +95,31 @@ class NearDuplicates:
         kept = ranked.filter(F.col("rank") <= prefix)
         return kept.select("value", "id", "n", "central")
 
+    @staticmethod
+    def _with_lists(rows: DataFrame, lists: DataFrame, members: str, total: int) -> DataFrame:
+        """``rows`` (value, id, ...) that have a list, with its columns; ``lists`` is a written table with one row a value.
+
+        Lists of more than a ten-thousandth of all ``total`` rows are at most 10,000. They are broadcast, and their
+        rows are shuffled by id, so that no task gets all rows of one of them.
+        """
+        names = [c for c in lists.columns if c != "value"]
+        own = lambda c: F.struct(*[F.col(n) for n in names]).alias(c)
+        often = lists.filter(F.col(members) * 10_000 > total).select("value", own("_often"))
+        other = lists.filter(F.col(members) * 10_000 <= total).select(F.col("value").alias("_key"), own("_other"))
+        told = rows.join(F.broadcast(often), "value", "left").withColumn("_at", F.when(F.col("_often").isNull(), F.col("value")).otherwise(F.xxhash64("id", "value")))
+        met = told.join(other, F.col("_at") == F.col("_key"), "left").withColumn("_list", F.coalesce("_often", "_other")).filter("_list is not null")
+        return met.select(*rows.columns, "_list.*")
+
     def _stars(self, sketched: DataFrame, docs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rounds in which every list that still spans components compares all its members with its next pivot.
 
         Returns all verified pairs, and the lists that are left: (value, id, n, component, state of each round).
         """
-        known, open_, states = None, postings.withColumn("component", F.col("id")), []
+        known, open_, states, total = None, postings.withColumn("component", F.col("id")), [], postings.count()
         for round_ in range(self.rounds):
-            lists = open_.groupBy("value").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
-            lists = lists.filter("low <> high").select("value", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc"))
-            met = self.scratch.table(open_.join(lists, "value").filter("id <> pivot").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")), f"met-{round_}")
+            lists = open_.groupBy("value").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"), "n", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+            lists = self.scratch.table(lists.filter("low <> high").select("value", "size", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")), f"lists-{round_}")
+            met = self.scratch.table(self._with_lists(open_, lists, "size", total).drop("size").filter("id <> pivot").withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")), f"met-{round_}")
             pairs = met.filter(F.col("component") != F.col("pc")).filter(_sizes_fit("n", "pn", self.percent)).select("a", "b").distinct()
             if known is not None:
                 pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -119,7 +139,8 @@ class NearDuplicates:
     def _rest(self, sketched: DataFrame, docs: DataFrame, open_: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs of different components that still share a list and that no pivot rules out: (a, b, linked)."""
         lists = open_.groupBy("value").agg(F.count("*").alias("members"), F.min("n").alias("n_least"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        met = self.scratch.table(open_.join(lists.select("value", "members", "n_least"), "value"), "rest-lists")
+        lists = self.scratch.table(lists.select("value", "members", "n_least"), "rest-sizes")
+        met = self.scratch.table(self._with_lists(open_, lists, "members", open_.count()), "rest-lists")
         x, y = (met.filter(F.col("members") <= self.long_list).select("value", *[F.col(c).alias(f"{c}_{s}") for c in met.columns if c != "value"]) for s in "xy")
         pairs = x.join(y, "value").filter("id_x < id_y and component_x <> component_y").filter(_sizes_fit("n_x", "n_y", self.percent))
         for r in range(self.rounds):
@@ -140,10 +161,15 @@ class NearDuplicates:
         sets = values.join(shared, "v").groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("v").alias("values"))
         most = F.size("values")
         kept = met.join(sets, "id").filter(100 * most >= self.percent * (F.col("n") + F.greatest("n_least", F.floor(F.col("n") * self.percent / 100)) - most))
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / 256)).cast("int").alias("block")
-        blocks = kept.select("value", block, F.struct("id", "n", "component", "values").alias("m")).groupBy("value", "block").agg(F.collect_list("m").alias("m"))
+        many = F.ceil(F.col("members") / 256).cast("int")
+        block = F.pmod(F.xxhash64("id"), many).cast("int").alias("block")
+        blocks = kept.select("value", block, many.alias("blocks"), F.struct("id", "n", "component", "values").alias("m")).groupBy("value", "block", "blocks").agg(F.collect_list("m").alias("m"))
         blocks = self.scratch.table(blocks, "rest-blocks")
-        x, y = (blocks.select("value", F.col("block").alias(f"block_{s}"), F.col("m").alias(f"m_{s}")) for s in "xy")
+        # Blocks fall into strips, and a pair of strips is a group of its own, so that a list is spread over many tasks.
+        strip = F.pmod("block", F.lit(STRIPS)).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.least(F.col("blocks"), F.lit(STRIPS)) - 1))
+        x = blocks.select("value", strip.alias("one"), others.alias("two"), F.col("block").alias("block_x"), F.col("m").alias("m_x"))
+        y = blocks.select("value", others.alias("one"), strip.alias("two"), F.col("block").alias("block_y"), F.col("m").alias("m_y"))
         percent = self.percent
 
         def run(batches):
@@ -152,7 +178,7 @@ class NearDuplicates:
                     a, b = _links_between(mx.values, my.values, percent)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], names=["a", "b", "linked"])
 
-        met_blocks = x.join(y, "value").filter("block_x <= block_y").select("m_x", "m_y")
+        met_blocks = x.join(y, ["value", "one", "two"]).filter("block_x <= block_y").select("m_x", "m_y")
         return self.scratch.table(met_blocks.mapInArrow(run, "a bigint, b bigint, linked boolean").distinct(), "rest-long")
 
     def _verified(self, sketched: DataFrame, docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
