@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm import bytescan as B
+from photonlake.llm.skew import with_groups
 from photonlake.llm.storage import Scratch, bounded_batches
 
 #: The answer where no letters speak and nothing is declared.
@@ -146,14 +147,17 @@ class LanguageId:
         total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
         overall = everything.select(F.transform("c", lambda x: x / total).alias("p"))
         domains = counts("domain").crossJoin(F.broadcast(overall)).select("domain", smoothed("c", F.col("p"), self.domain_weight).alias("domain_p"))
-        of_host = counts("host", "domain").select("host", F.col("domain").alias("d"), F.col("c").alias("host_c"))
+        of_host = seen.groupBy("host", "domain").agg(sums.alias("c"), F.count("*").alias("rows")).select("host", F.col("domain").alias("d"), F.col("c").alias("host_c"), "rows")
         hosts = of_host.join(domains, F.col("d").eqNullSafe(domains.domain), "left").filter("host is not null")
-        hosts = hosts.groupBy("host").agg(F.first("domain_p", ignorenulls=True).alias("domain_p"), F.array(*[F.sum(F.col("host_c")[k]) for k in range(n)]).alias("host_c"))
+        hosts = hosts.groupBy("host").agg(F.first("domain_p", ignorenulls=True).alias("domain_p"), F.array(*[F.sum(F.col("host_c")[k]) for k in range(n)]).alias("host_c"), F.sum("rows").alias("rows"))
+        hosts = self.scratch.table(hosts, "hosts")
         known = F.when(F.array_contains(codes, F.lower("declared")), F.lower("declared")).otherwise("other")
         declared = self._reliability(seen.withColumn("sign", F.when(F.col("declared").isNotNull(), known)), n, "declared_p").withColumnRenamed("sign", "d_sign")
-        suffixes = self._reliability(seen.withColumn("sign", F.col("suffix")), n, "suffix_p").withColumnRenamed("sign", "s_sign")
-        joined = seen.withColumn("d_sign", F.when(F.col("declared").isNotNull(), known)).join(F.broadcast(declared), "d_sign", "left").join(suffixes, seen.suffix == suffixes.s_sign, "left")
-        joined = joined.join(hosts.withColumnRenamed("host", "h"), F.col("host") == F.col("h"), "left").crossJoin(F.broadcast(overall))
+        suffixes = self.scratch.table(self._reliability(seen.withColumn("sign", F.col("suffix")), n, "suffix_p").withColumnRenamed("sign", "suffix"), "suffixes")
+        total = seen.count()
+        joined = seen.withColumn("d_sign", F.when(F.col("declared").isNotNull(), known)).join(F.broadcast(declared.drop("rows")), "d_sign", "left")
+        joined = with_groups(joined, suffixes, "suffix", "rows", total, ["id"]).select(*joined.columns, "group.suffix_p")
+        joined = with_groups(joined, hosts, "host", "rows", total, ["id"]).select(*joined.columns, "group.domain_p", "group.host_c").crossJoin(F.broadcast(overall))
         others = F.zip_with("host_c", "said", lambda c, s: F.greatest(c - s, F.lit(0.0)))
         prior = F.when(F.col("host_c").isNull(), F.col("p")).otherwise(smoothed(others, F.coalesce("domain_p", "p"), self.host_weight))
         logs = F.zip_with("logs", prior, lambda a, b: a + F.log(b))
@@ -167,11 +171,11 @@ class LanguageId:
         return out.select("id", F.when(silent, F.lit(UNKNOWN)).otherwise(F.element_at(codes, F.array_position("fused", best).cast("int"))).alias("lang"), best.alias("probability"), text_lang.alias("text_lang"), "declared", "host")
 
     def _reliability(self, seen: DataFrame, n: int, name: str) -> DataFrame:
-        """(sign, name): probability of a sign given each language, smoothed by one over the number of signs."""
-        by = seen.filter("sign is not null").groupBy("sign").agg(F.array(*[F.sum(F.col("said")[k]) for k in range(n)]).alias("c"))
+        """(sign, name, rows): probability of a sign given each language, smoothed by one over the number of signs, and how often it occurs."""
+        by = seen.filter("sign is not null").groupBy("sign").agg(F.array(*[F.sum(F.col("said")[k]) for k in range(n)]).alias("c"), F.count("*").alias("rows"))
         totals = by.agg(F.count("*").alias("signs"), F.array(*[F.sum(F.col("c")[k]) for k in range(n)]).alias("t"))
         smoothed = F.zip_with("c", "t", lambda c, t: (c + 1.0 / F.col("signs")) / (t + 1.0))
-        return by.crossJoin(F.broadcast(totals)).select("sign", smoothed.alias(name))
+        return by.crossJoin(F.broadcast(totals)).select("sign", smoothed.alias(name), "rows")
 
 
 #: Second labels under which countries register names, as in co.uk.

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from photonlake.llm.components import components
 from photonlake.llm.shingles import full_sets, sketches
+from photonlake.llm.skew import with_groups
 from photonlake.llm.storage import Scratch, bounded_batches
 
 
@@ -97,18 +98,9 @@ class NearDuplicates:
 
     @staticmethod
     def _with_lists(rows: DataFrame, lists: DataFrame, members: str, total: int) -> DataFrame:
-        """``rows`` (value, id, ...) that have a list, with its columns; ``lists`` is a written table with one row a value.
-
-        Lists of more than a ten-thousandth of all ``total`` rows are at most 10,000. They are broadcast, and their
-        rows are shuffled by id, so that no task gets all rows of one of them.
-        """
-        names = [c for c in lists.columns if c != "value"]
-        own = lambda c: F.struct(*[F.col(n) for n in names]).alias(c)
-        often = lists.filter(F.col(members) * 10_000 > total).select("value", own("_often"))
-        other = lists.filter(F.col(members) * 10_000 <= total).select(F.col("value").alias("_key"), own("_other"))
-        told = rows.join(F.broadcast(often), "value", "left").withColumn("_at", F.when(F.col("_often").isNull(), F.col("value")).otherwise(F.xxhash64("id", "value")))
-        met = told.join(other, F.col("_at") == F.col("_key"), "left").withColumn("_list", F.coalesce("_often", "_other")).filter("_list is not null")
-        return met.select(*rows.columns, "_list.*")
+        """``rows`` (value, id, ...) that have a list, with its columns."""
+        met = with_groups(rows, lists, "value", members, total, ["id", "value"]).filter("group is not null")
+        return met.select(*rows.columns, "group.*")
 
     def _stars(self, sketched: DataFrame, docs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rounds in which every list that still spans components compares all its members with its next pivot.

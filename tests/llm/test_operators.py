@@ -659,6 +659,25 @@ def test_pipeline_stages(spark):
     assert re.fullmatch("[a-z]{2}", rows[0].lang)
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, nothing):
+    """Null and empty texts, repeated rows, null ids, clashing columns and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, "")
+        seen[name] = out.collect()
+        if name != "byte_bpe":
+            assert out.columns == odd.columns and all(r.component == "y" and r.removed == 7 for r in seen[name])
+        assert stage(spark, nothing, "").count() == 0
+    assert {r.doc_id for r in seen["language_id"]} <= {1, 2, 3, 8, 9, 10, 11, None}  # what has no letters goes
+    texts = [r.text for r in seen["line_dedup"]]
+    assert texts.count(BASE) == 1 and None in texts and "" in texts
+    assert sorted(r.doc_id for r in seen["near_dedup"] if r.doc_id is not None) == [1, 4, 5, 6, 8, 10, 11]
+    assert max(collections.Counter((r.doc_id, r.text) for r in seen["source_mix"]).values()) <= 6  # a row that is there twice is two rows
+    assert len(seen["byte_bpe"]) == 12 and all(r.round_trip for r in seen["byte_bpe"])
+
+
 def test_pipeline_drops_lines_that_occur_twice(spark):
     import corpus_pipeline
 
