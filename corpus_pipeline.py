@@ -1,7 +1,7 @@
 """The corpus pipeline: language identification, line and near-duplicate removal, source mixing, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the
-shared folder and rereads it for the next stage.
+shared folder and rereads it for the next stage. Columns beside those of documents pass through; an empty table stays one.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from photonlake.llm.storage import Scratch, bounded_batches
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known, with that language."""
+    """Documents whose language is known, with that language; null and empty texts, and texts without letters, go."""
     return language.document_languages(spark, docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that occurred before; documents that consisted of nothing else go."""
+    """Texts without lines that occurred before; documents that consisted of nothing else go. Null and empty texts stay."""
     out = LineDedup(spark).run(docs)
     emptied = (F.size("removed_lines") > 0) & (F.btrim("text", F.lit(" \t\r\n\x0b\x0c")) == "")
     out = out.filter(~F.coalesce(emptied, F.lit(False)))
@@ -33,19 +33,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id (all rows of that id). Rows without an id or without words stay."""
     kept = NearDuplicates(spark).run(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for, by shard and in shuffled order within each."""
+    """Documents as often as their source's target weight asks for, by shard and in shuffled order within each. Null sources are one source."""
     drawn = Mixture(spark).draw(docs)
     return drawn.repartitionByRange("mix_shard", "mix_order").sortWithinPartitions("mix_shard", "mix_order").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding: doc_id, source, lang, n_tokens, ids, round_trip."""
+    """Token ids of every document, checked by decoding: doc_id, source, lang, n_tokens, ids, round_trip. A null text has no ids."""
     bounded_batches(spark)
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
