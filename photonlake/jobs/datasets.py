@@ -156,11 +156,8 @@ def _full(spark, sf):
 
 
 def _ring(full, inner, width):
-    ring = M.ring(inner, width)
-    outside = full.filter("not excl")
-    n = M.convolve(outside.select("px", "py", F.col("counts").alias("value")), ring, bounds=(41, 41)).withColumnRenamed("value", "counts_off")
-    a = M.convolve(outside.select("px", "py", F.lit(1).alias("value")), ring, bounds=(41, 41)).withColumnRenamed("value", "acceptance_off")
-    return a.join(n, ["px", "py"], "left").withColumn("counts_off", F.coalesce("counts_off", F.lit(0)))
+    """Counts and acceptance of each pixel's ring, in one scatter."""
+    return M.convolve_sums(full.filter("not excl"), M.ring(inner, width), {"counts_off": F.col("counts"), "acceptance_off": F.lit(1)}, (41, 41))
 
 
 @query("d8_ring_background", _FULL + f", r as (select px + i as px, py + j as py, sum(counts) as o, count(*) as a from g, {_ring_sql(4, 6)} where not excl group by all) select g.px, g.py, coalesce(o, 0)::bigint as counts_off, round(1.0::double / a, 7) as alpha, round(o::double / a, 7) as background from g left join r using (px, py)", D.SQL)
@@ -293,10 +290,7 @@ def m9(spark, sf):
     mean = full.agg(F.avg("counts").alias("m"))
     found = None
     for k in (1, 2, 3):
-        disk = M.disk(k)
-        c = M.convolve(full.select("px", "py", F.col("counts").alias("value")), disk, bounds=(41, 41)).withColumnRenamed("value", "c")
-        a = M.convolve(full.select("px", "py", F.lit(1).alias("value")), disk, bounds=(41, 41)).withColumnRenamed("value", "a")
-        one = a.join(c, ["px", "py"], "left").withColumn("c", F.coalesce("c", F.lit(0))).withColumn("scale", F.lit(k))
+        one = M.convolve_sums(full, M.disk(k), {"c": F.col("counts"), "a": F.lit(1)}, (41, 41)).withColumn("scale", F.lit(k))
         found = one if found is None else found.union(one)
     z = (F.col("c") - F.col("m") * F.col("a")) / F.sqrt(F.col("c") + F.col("m") * F.col("a"))
     first = found.crossJoin(F.broadcast(mean)).filter(z >= 1.5).groupBy("px", "py").agg(F.min(F.struct("scale", (F.col("c") / F.col("a")).alias("v"))).alias("f"))

@@ -120,13 +120,16 @@ def a16_integral(spark, sf):
 @query("a17_event_summary", "select obs_id, count(*)::bigint as n, round(min(energy), 6) as e_min, round(max(energy), 6) as e_max, round(median(energy), 6) as e_median, round(count(*) / nullif((max(t_us) - min(t_us))::double / 1e6::double, 0), 8) as rate from photons group by obs_id", D.SQL)
 def a17(spark, sf):
     span = (F.max("t_us") - F.min("t_us")) / 1e6
-    return D.photons(spark, sf).groupBy("obs_id").agg(F.count("*").alias("n"), F.round(F.min("energy"), 6).alias("e_min"), F.round(F.max("energy"), 6).alias("e_max"), F.round(F.percentile("energy", 0.5), 6).alias("e_median"), F.round(F.count("*") / F.nullif(span, F.lit(0.0)), 8).alias("rate"))
+    events = D.photons(spark, sf)
+    sums = events.groupBy("obs_id").agg(F.count("*").alias("n"), F.round(F.min("energy"), 6).alias("e_min"), F.round(F.max("energy"), 6).alias("e_max"), F.round(F.count("*") / F.nullif(span, F.lit(0.0)), 8).alias("rate"))
+    middle = M.quantiles(events, ["obs_id"], e_median=("energy", 0.5))
+    return sums.join(middle, "obs_id", "left").withColumn("e_median", F.round("e_median", 6))
 
 
 @query("a18_median_position", f", m as (select obs_id, median(lon) as mlon, median(lat) as mlat from photons group by obs_id) select event_id, round({sep_sql('lon', 'lat', 'mlon', 'mlat')}, 6) as away from photons join m using (obs_id)", D.SQL)
 def a18(spark, sf):
     events = D.photons(spark, sf)
-    middle = events.groupBy("obs_id").agg(F.percentile("lon", 0.5).alias("mlon"), F.percentile("lat", 0.5).alias("mlat"))
+    middle = M.quantiles(events, ["obs_id"], mlon=("lon", 0.5), mlat=("lat", 0.5))
     return events.join(middle, "obs_id").select("event_id", F.round(sky.separation("lon", "lat", "mlon", "mlat"), 6).alias("away"))
 
 
@@ -141,14 +144,13 @@ def _offsets(spark, sf):
 @query("a20_offset_squared", _OFF + " select floor(away * away / 0.250007::double)::int as bin, count(*)::bigint as n from off where away <= (select quantile_cont(away, 0.9) from off) group by all", D.SQL)
 def a20(spark, sf):
     off = _offsets(spark, sf)
-    limit = off.agg(F.percentile("away", 0.9).alias("limit"))
-    kept = off.crossJoin(F.broadcast(limit)).filter("away <= limit")
+    kept = off.filter(F.col("away") <= M.overall_quantile(off, "away", 0.9))
     return kept.groupBy(F.floor(F.col("away") * F.col("away") / 0.250007).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("a20_containment_radius", _OFF + " select obs_id, round(quantile_cont(away, 0.68), 7) as r68 from off group by obs_id", D.SQL)
 def a20r(spark, sf):
-    return _offsets(spark, sf).groupBy("obs_id").agg(F.round(F.percentile("away", 0.68), 7).alias("r68"))
+    return M.quantiles(_offsets(spark, sf), ["obs_id"], r68=("away", 0.68)).withColumn("r68", F.round("r68", 7))
 
 
 @query("a21_energy_offset", _OFF + " select floor(energy / 2.500013::double)::int as e, floor(away / 0.500003::double)::int as o, count(*)::bigint as value from off group by all", D.SQL)

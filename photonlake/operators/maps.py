@@ -64,6 +64,46 @@ def quantile(df: DataFrame, value: str, q: float) -> DataFrame:
     return ranked.groupBy("n").agg(low.alias("low"), high.alias("high")).select((F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at))).alias("limit"))
 
 
+def quantiles(df: DataFrame, keys: list[str], **wanted: tuple[str, float]) -> DataFrame:
+    """(keys, names): exact interpolated quantiles per key, name=(column, q), by ranks in sorted, spillable windows."""
+    out = None
+    for name, (value, q) in wanted.items():
+        by = Window.partitionBy(*keys)
+        rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), (F.row_number().over(by.orderBy(value)) - 1).alias("_r"), ((F.count("*").over(by) - 1) * q).alias("_at"))
+        near = rows.filter((F.col("_r") == F.floor("_at")) | (F.col("_r") == F.ceil("_at"))).groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first("_at").alias("_at"))
+        one = near.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))).alias(name))
+        out = one if out is None else out.join(one, keys)
+    return out
+
+
+def overall_quantile(df: DataFrame, value: str, q: float, rows: int = 1_000_000) -> float | None:
+    """The exact interpolated quantile of a whole column; null values are passed over.
+
+    Approximate quantiles close a bracket around the rank until ``rows`` rows at most are left in it, which are then sorted.
+    """
+    v = F.col(value).cast("double")
+    inside, below = df.filter(v.isNotNull()).select(v.alias("v")), 0
+    n = left = inside.count()
+    if not n:
+        return None
+    at = (n - 1) * q
+    while left > rows:
+        share = [min(1.0, max(0.0, (k - below) / left)) for k in (math.floor(at) - left / 1000, math.ceil(at) + left / 1000)]
+        low, high = inside.agg(F.percentile_approx("v", share, 10_000).alias("b")).first()["b"]
+        closer = inside.filter(F.col("v").between(low, high))
+        before, now = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+        if not below + before <= math.floor(at) or math.ceil(at) >= below + before + now:
+            break
+        if low == high:
+            return low
+        if now == left:
+            break
+        inside, below, left = closer, below + before, now
+    rank = F.row_number().over(Window.orderBy("v")) - 1 + below
+    a, b = inside.select("v", rank.alias("r")).filter(F.col("r").isin(math.floor(at), math.ceil(at))).agg(F.min("v"), F.max("v")).first()
+    return a + (b - a) * (at - math.floor(at))
+
+
 def nearest_set(pixels: DataFrame, set_: DataFrame, size: int) -> DataFrame:
     """(px, py, d2): squared distance of each pixel to the nearest set one, on a map of at most ``size`` pixels a side.
 
@@ -139,6 +179,14 @@ def convolve(df: DataFrame, kernel: list[tuple[int, int, float]], keys: tuple[st
     return out if bounds is None else out.filter(F.col("px").between(0, bounds[0] - 1) & F.col("py").between(0, bounds[1] - 1))
 
 
+def convolve_sums(df: DataFrame, kernel: list[tuple[int, int, float]], sums: dict[str, Column], bounds: tuple[int, int]) -> DataFrame:
+    """(px, py, sums): several columns scattered over one kernel at once, zeros included."""
+    offsets = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dx, dy, w in kernel]))
+    out = df.select("px", "py", *[c.alias(n) for n, c in sums.items()], offsets.alias("_k"))
+    out = out.groupBy((F.col("px") + F.col("_k.dx")).alias("px"), (F.col("py") + F.col("_k.dy")).alias("py")).agg(*[F.sum(F.col(n) * F.col("_k.w")).alias(n) for n in sums])
+    return out.filter(F.col("px").between(0, bounds[0] - 1) & F.col("py").between(0, bounds[1] - 1))
+
+
 def convolve_tiles(df: DataFrame, kernel: np.ndarray, tile: int = 256) -> DataFrame:
     """Convolution with a large kernel of odd size: square tiles with a halo, each by one Fourier transform.
 

@@ -82,6 +82,20 @@ def test_nearest_set_and_quantiles(spark):
         assert maps.quantile(df, "value", q).first().limit == pytest.approx(np.quantile(values, q))
 
 
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v)) for k in range(3) for v in rng.normal(size=200 + k)] + [(0, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    of = lambda k: np.array([v for j, v in rows if j == k and v is not None])
+    got = {r.k: (r.a, r.b) for r in maps.quantiles(df, ["k"], a=("v", 0.5), b=("v", 0.87)).collect()}
+    assert got == {k: (pytest.approx(np.quantile(of(k), 0.5)), pytest.approx(np.quantile(of(k), 0.87))) for k in range(3)}
+    many = np.round(rng.normal(size=5000), 2)
+    df = spark.createDataFrame([(float(v),) for v in many], "v double")
+    for q in (0.0, 0.003, 0.5, 0.9, 1.0):
+        assert maps.overall_quantile(df, "v", q, rows=100) == pytest.approx(np.quantile(many, q))
+    assert maps.overall_quantile(df.limit(0), "v", 0.5) is None
+
+
 def test_smoothing_keeps_the_sum_and_mirrors(spark):
     image = spark.createDataFrame([(0, 0, 8.0), (5, 3, 2.0)], "px int, py int, value double")
     for out in (maps.smooth_gauss(image, 1.0, 7, 6), maps.smooth_disk(image, 2, 7, 6), maps.smooth_box(image, 1, 7, 6)):
