@@ -224,13 +224,43 @@ class TokenFiles:
             counts[id_] = n
         return Table.scaled(counts)
 
-    def read(self, folder: str) -> DataFrame:
-        """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
-        blocks = self.spark.read.parquet(f"{folder}/blocks")
+    def _shared_table(self, folder: str):
         frequency = np.zeros(self.vocabulary, np.int64)
         for id_, n in self.spark.read.parquet(f"{folder}/table").collect():
             frequency[id_] = n
-        shared = self.spark.sparkContext.broadcast(Table(frequency))
+        return self.spark.sparkContext.broadcast(Table(frequency))
+
+    def stretches(self, folder: str) -> DataFrame:
+        """(part, block, stretch, first, ids): the ids between two checkpoints, each decoded from its own states and words.
+
+        Stretches of one block go to different tasks, so that a very long document is decoded in parallel as well.
+        ``first`` is the place of the first id in its block; ids are little-endian unsigned 32-bit integers.
+        """
+        shared = self._shared_table(folder)
+        rows = self.spark.read.parquet(f"{folder}/blocks").select("part", "block", "lanes", "n_tokens", "table_crc32", "at", "states", "words", F.posexplode("at").alias("stretch", "begin"))
+        end = F.coalesce(F.get("at", F.col("stretch") + 1), (F.octet_length("words") / 4).cast("bigint"))
+        cut = lambda c, lo, n: F.substring(F.col(c), (lo + 1).cast("int"), n.cast("int")).alias(c)
+        first = F.col("stretch") * CHECKPOINT * F.col("lanes")
+        size = F.least(F.col("n_tokens") - first, F.lit(CHECKPOINT) * F.col("lanes"))
+        rows = rows.select("part", "block", "stretch", first.cast("bigint").alias("first"), size.cast("bigint").alias("n"), "lanes", "table_crc32", cut("states", F.col("stretch") * F.col("lanes") * 8, F.col("lanes") * 8), cut("words", F.col("begin") * 4, (end - F.col("begin")) * 4))
+
+        def run(batches):
+            slots = shared.value.slots()
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    if r["table_crc32"] != shared.value.crc32:
+                        raise ValueError(f"block {r['part']}/{r['block']}: coded with another table")
+                    one = {"lanes": r["lanes"], "n_tokens": r["n"], "words": r["words"], "states": r["states"], "at": [0]}
+                    out.append(decode_stretch(one, 0, shared.value, slots).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.binary())], names=["part", "block", "stretch", "first", "ids"])
+
+        return rows.repartition("part", "block", "stretch").mapInArrow(run, "part int, block int, stretch int, first bigint, ids binary")
+
+    def read(self, folder: str) -> DataFrame:
+        """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
+        blocks = self.spark.read.parquet(f"{folder}/blocks")
+        shared = self._shared_table(folder)
 
         def run(batches):
             slots = shared.value.slots()

@@ -569,6 +569,24 @@ def test_many_blocks_and_one_longer_than_a_block(spark, monkeypatch):
     assert spark.read.parquet(f"{folder}/blocks").count() >= 4
 
 
+def test_stretches_of_a_long_document_decode_apart(spark):
+    import zlib
+
+    import public_tokenizers
+
+    rng = np.random.default_rng(8)
+    texts = ["one two", " ".join(f"w{i}" for i in rng.integers(0, 90, 150_000)), None]
+    files = rans.TokenFiles(spark, rans.library_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), 50257)
+    folder = files.write(table(spark, list(enumerate(texts))).coalesce(1))
+    parts = files.stretches(folder).orderBy("part", "block", "first").collect()
+    assert len(parts) >= 4 and max(r.stretch for r in parts) >= 2
+    by_block = collections.defaultdict(bytes)
+    for r in parts:
+        assert len(by_block[r.part, r.block]) == 4 * r.first
+        by_block[r.part, r.block] += bytes(r.ids)
+    assert {(r.part, r.block): r.ids_crc32 for r in spark.read.parquet(f"{folder}/blocks").collect()} == {k: zlib.crc32(v) for k, v in by_block.items()}
+
+
 def digests(given):
     import hashlib
 
