@@ -641,6 +641,52 @@ def test_language_evidence(spark):
     assert language.page_languages(spark, pages.limit(0), docs).count() == 0
 
 
+def test_language_fusion_equals_a_plain_computation(spark):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = np.random.default_rng(14)
+    texts = [(r.lang, r.text.split()) for r in docs.filter("text is not null and lang is not null").limit(60).collect()]
+    pages = []
+    for i in range(150):
+        lang, words = texts[rng.integers(len(texts))]
+        host = rng.choice(["big.example.com", "a.example.de", "b.example.de", "x.y.co.uk", "localhost", ""], p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])
+        tag = rng.choice([f" lang='{lang}'", " lang='de'", " lang='xx'", ""])
+        body = " ".join(words[: rng.integers(0, 12)]) if i % 7 else ""
+        pages.append((i // 2 * 2, f"http://{host}/p" if host else None, f"<html{tag}><p>{body}</p>" if i % 11 else None))
+    given = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    model = language.TextModel.fit(docs)
+    names, rows = model.languages, language.page_rows(given).collect()
+    logs = model.evidence(pa.array([r.text or "" for r in rows]))
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    flat = logs.max(axis=1) == logs.min(axis=1)
+    said = np.array([np.zeros(len(names)) if f else softmax(x) for f, x in zip(flat, logs, strict=True)])
+    overall = (said.sum(axis=0) + 1) / (said.sum() + len(names))
+    total = lambda key: {k: sum(said[i] for i, r in enumerate(rows) if key(r) == k) for k in {key(r) for r in rows}}
+    domains = {k: (c + overall * 20) / (c.sum() + 20) for k, c in total(lambda r: r.domain).items()}
+    hosts = total(lambda r: r.host)
+    sign = lambda r: None if r.declared is None else r.declared if r.declared in names else "other"
+
+    def reliability(key):
+        by = {k: c for k, c in total(key).items() if k is not None}
+        return {k: (c + 1 / len(by)) / (sum(by.values()) + 1) for k, c in by.items()}
+
+    declared, suffix = reliability(sign), reliability(lambda r: r.suffix)
+    want = collections.Counter()
+    for i, r in enumerate(rows):
+        others = np.maximum(hosts[r.host] - said[i], 0)
+        prior = overall if r.host is None else (others + domains[r.domain] * 8) / (others.sum() + 8)
+        fused = softmax(logs[i] + np.log(prior) + np.log(declared.get(sign(r), 1.0)) + np.log(suffix.get(r.suffix, 1.0)))
+        silent = flat[i] and r.declared is None and r.host is None and r.suffix is None
+        want[r.id, language.UNKNOWN if silent else names[int(fused.argmax())], round(float(fused.max()), 6), language.UNKNOWN if flat[i] else names[int(said[i].argmax())]] += 1
+    got = language.page_languages(spark, given.withColumn("lang", F.lit("clash")).withColumn("said", F.lit(1)), docs).collect()
+    assert collections.Counter((r.page_id, r.lang, round(r.probability, 6), r.text_lang) for r in got) == want
+
+
 def test_document_languages_keep_clean_texts(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = language.document_languages(spark, docs)
