@@ -80,34 +80,43 @@ def pairs(df: DataFrame, keys: list[str], order: str, longest: int | None = None
     return met.filter((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= longest)).drop("_b")
 
 
-def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], width: int = 256) -> DataFrame:
+def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], later: bool = False, width: int = 1024) -> DataFrame:
     """(keys, lag, sums, n): sums over all pairs of rows (keys, t, ...) of ``x`` and ``y``, by a binned difference of times.
 
-    A series is cut into blocks of ``width`` in time, and pairs of blocks meet by series; the pairs of rows of two
-    blocks exist only as matrices. ``lag`` turns the matrix t(y) - t(x) into integers and a mask, ``terms`` the
-    blocks' columns into matrices to sum.
+    A series is cut into blocks of ``width`` in time, and pairs of blocks meet by series (with ``later`` only those that
+    hold a later ``y``); the pairs of rows of two blocks exist only as matrices. ``lag`` turns the matrix t(y) - t(x)
+    into integers and a mask, ``terms`` the blocks' columns into matrices to sum.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        block = F.floor(F.col("t") / width).alias("block")
-        return df.groupBy(*keys, block).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])).alias(name)).drop("block")
+        rows = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys]))
+        return df.groupBy(*keys, F.floor(F.col("t") / width).alias(f"{name}_at")).agg(rows.alias(name))
 
     met = blocks(x, "_x").join(blocks(y, "_y"), keys)
-    kept = [f for f in met.schema.fields if f.name in keys]
-    kept = [T.StructField(f.name, f.dataType) for f in kept]
+    met = (met.filter("_y_at >= _x_at") if later else met).select(*keys, "_x", "_y")
+    kept = [T.StructField(f.name, f.dataType) for f in met.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            at = [batch.schema.get_field_index(f.name) for f in kept]
+            row, out = [], [[] for _ in range(len(sums) + 2)]
             for r in range(batch.num_rows):
                 a, b = ({f.name: v.values.field(f.name).to_numpy(zero_copy_only=False) for f in v.type.value_type} for v in (batch.column(c)[r] for c in ("_x", "_y")))
                 a, b = {k: v[:, None] for k, v in a.items()}, {k: v[None, :] for k, v in b.items()}
                 bins, use = lag(b["t"] - a["t"])
-                found, place = np.unique(bins[use], return_inverse=True)
-                added = [np.bincount(place, m[use], minlength=len(found)) for m in terms(a, b)]
-                one = batch.slice(r, 1).take(pa.array(np.zeros(len(found), np.int64)))
-                yield pa.RecordBatch.from_arrays([*(one.column(i) for i in at), pa.array(found.astype(np.int64)), *(pa.array(x, pa.float64()) for x in added), pa.array(np.bincount(place, minlength=len(found)).astype(np.int64))], names=schema.names)
+                bins = bins[use]
+                if not len(bins):
+                    continue
+                low = bins.min()
+                n = np.bincount(bins - low)
+                found = np.flatnonzero(n)
+                columns = [found + low, *(np.bincount(bins - low, m[use])[found] for m in terms(a, b)), n[found]]
+                row.append(np.full(len(found), r))
+                for held, c in zip(out, columns, strict=True):
+                    held.append(c)
+            if row:
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(at) for f in kept), *(pa.array(np.concatenate(c)) for c in out)], names=schema.names)
 
     return met.mapInArrow(run, schema).groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
 
@@ -120,7 +129,7 @@ def structure_function(df: DataFrame, keys: list[str], order: str) -> DataFrame:
         w = a["w"] * b["w"]
         return [(b["flux"] - a["flux"]) ** 2 * w, w]
 
-    sums = pair_sums(rows, rows, keys, lambda d: (np.rint(d).astype(np.int64), d > 0), terms, ["d", "w"])
+    sums = pair_sums(rows, rows, keys, lambda d: (np.rint(d).astype(np.int64), d > 0), terms, ["d", "w"], later=True)
     return sums.select(*keys, "lag", (F.col("d") / F.col("w")).alias("sf"), "n")
 
 

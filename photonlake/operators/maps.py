@@ -43,7 +43,7 @@ def reduce_with(df: DataFrame, keep: list[str], f: Callable[[pd.Series], float],
     return df.groupBy(*keep).agg(udf(F.col(value).cast("double")).alias(value))
 
 
-def per_key(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 16) -> DataFrame:
+def per_key(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 4) -> DataFrame:
     """Run a user's function on the rows of each observation, data set or interval.
 
     With ``merge``, which turns results of parts into one of the same schema, a key's rows are dealt to ``parts`` tasks first.
