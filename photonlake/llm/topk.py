@@ -77,7 +77,8 @@ def _reach(square: np.ndarray | float, apart: np.ndarray) -> np.ndarray:
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, to_pivot: np.ndarray, pivots: np.ndarray, longest: float, k: int, floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Best (ids, scores) of each query in one block; ``floor`` holds scores that k candidates are known to reach, and is raised."""
     from_query, square = query_distances(q, pivots, longest)
-    possible = ceilings(to_pivot.min(axis=0), to_pivot.max(axis=0), from_query, square) >= floor
+    # Negated, so that lengths beyond doubles (ceilings that are no numbers) rule nothing out.
+    possible = ~(ceilings(to_pivot.min(axis=0), to_pivot.max(axis=0), from_query, square) < floor)
     nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
     out = []
     for i in range(len(q)):
@@ -192,7 +193,7 @@ class PivotSearch:
                         if len(got) >= k:
                             floor[i] = np.partition(got, -k)[-k]
                     from_query, square = query_distances(q, pivots, longest)
-                    to = [shelf for shelf, low, high in ranges if (ceilings(low, high, from_query, square) >= floor).any()]
+                    to = [shelf for shelf, low, high in ranges if not (ceilings(low, high, from_query, square) < floor).all()]
                     row = batch.slice(r, 1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.array(to, np.int32)), *(c.take(pa.array(np.zeros(len(to), np.int64))) for c in row.columns), pa.array([floor.tolist()] * len(to), pa.list_(pa.int64()))],
