@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photonlake.llm import bpe, language, line_dedup, mixing, rans, token_counts, topk, toxicity
+from photonlake.llm import bpe, language, line_dedup, mixing, prefix_trie, rans, token_counts, topk, toxicity
 from photonlake.llm.ann import PostingSearch
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import table
@@ -54,6 +54,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PostingSearch(spark).run(table(spark, sf_dir, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark, table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
@@ -65,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": topk.SQL,
     "op8_source_mix": mixing.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
