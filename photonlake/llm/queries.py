@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from photonlake.llm import bpe, language, line_dedup, mixing, prefix_trie, rans, token_counts, topk, toxicity
+from photonlake.llm import bpe, language, line_dedup, mixing, phrases, prefix_trie, rans, token_counts, topk, toxicity
 from photonlake.llm.ann import PostingSearch
+from photonlake.llm.embedding_dedup import SQL as _NEAR_VECTORS
+from photonlake.llm.embedding_dedup import GraphNearDuplicates
 from photonlake.llm.near_dup import NearDuplicates
 from photonlake.llm.storage import table
 
@@ -54,10 +56,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PostingSearch(spark).run(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GraphNearDuplicates(spark).run(table(spark, sf_dir, "embeddings"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(spark, table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrase_collocations(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_near_duplicates": op2_near_duplicates,
@@ -69,11 +79,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_line_dedup": op9_line_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_embedding_near_duplicates": op11_embedding_near_duplicates,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": topk.SQL,
     "op8_source_mix": mixing.SQL,
+    "op11_embedding_near_duplicates": _NEAR_VECTORS,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_phrase_collocations": phrases.SQL,
 }
