@@ -142,11 +142,11 @@ class GraphNearDuplicates:
     ``run`` returns a row per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable),
     kept. Rows whose id, label or vector is null, whose vector is empty, zero or holds a null or non-finite component, link with
     nothing; vectors of different lengths have no cosine. Every row counts as a vector; rows that repeat a vec_id
-    belong to one component. ``sample`` bounds the rows that centroids are fitted on, ``most_shards`` the centroids. The share
+    belong to one component. ``sample`` bounds the rows that centroids are fitted on, ``most_shards`` the centroids; a cluster of four times ``shard_rows`` is cut. The share
     of a sample's links that was found is kept in ``recall``.
     """
 
-    def __init__(self, spark: SparkSession, threshold: float = 0.93, shard_rows: int = 1024, replicas: int = 3, degree: int = 16, width: int = 32, sample: int = 32768, most_shards: int = 16384, audit: int = 512, target: float = 0.97):
+    def __init__(self, spark: SparkSession, threshold: float = 0.93, shard_rows: int = 512, replicas: int = 3, degree: int = 16, width: int = 32, sample: int = 65536, most_shards: int = 16384, audit: int = 512, target: float = 0.97):
         self.spark, self.threshold, self.shard_rows, self.replicas, self.degree, self.width = spark, threshold, shard_rows, replicas, degree, width
         self.sample, self.most_shards, self.audit, self.target = sample, most_shards, audit, target
         self.recall: float | None = None
@@ -181,8 +181,8 @@ class GraphNearDuplicates:
         rest = others.join(ids, "vec_id", "left").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.coalesce("known", "vec_id").alias("component_id"))
         return told.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
-    def _centroids(self, classes: DataFrame, total: int, rows: int) -> dict[tuple[object, int], CentroidGraph]:
-        """Centroids of the labels of more than ``rows`` classes, of which there are at most ``most_shards``."""
+    def _centroids(self, classes: DataFrame, total: int, rows: int, replicas: int) -> dict[tuple[object, int], CentroidGraph]:
+        """Centroids of the labels of more than ``rows`` classes, of which there are at most ``most_shards``: as many as give clusters of ``rows`` with all replicas."""
         big = {(r["label"], r["dim"]): r["count"] for r in classes.groupBy("label", "dim").count().filter(F.col("count") > rows).collect()}
         if not big:
             return {}
@@ -195,13 +195,13 @@ class GraphNearDuplicates:
             at = [i for i in order.tolist() if groups[i] == key]
             if len(at) > 1:
                 x = unit(stack(drawn.column("vector").take(pa.array(at)))).astype(np.float32)
-                out[key] = CentroidGraph.build(fit_centroids(x, min(len(at), math.ceil(n / rows))))
+                out[key] = CentroidGraph.build(fit_centroids(x, min(len(at), math.ceil(n * replicas / rows))))
         return out
 
     def _found(self, classes: DataFrame, total: int, replicas: int, width: int, whole: bool, attempt: int) -> DataFrame:
         """(cid, n, root): a row per class and task: links counted there, and the first class it is connected to."""
-        rows = max(self.shard_rows, math.ceil(total / self.most_shards))
-        graphs = self.spark.sparkContext.broadcast({} if whole else self._centroids(classes, total, rows))
+        rows = max(self.shard_rows, math.ceil(total * replicas / self.most_shards))
+        graphs = self.spark.sparkContext.broadcast({} if whole else self._centroids(classes, total, rows, replicas))
         kind = dict(classes.dtypes)
 
         def place(batches):
@@ -225,12 +225,12 @@ class GraphNearDuplicates:
         placed = classes.select("label", "dim", "cid", "copies", "vector").mapInArrow(place, f"{base}, clusters array<int>")
         members = placed.withColumn("cluster", F.explode("clusters"))
         if whole:
-            parts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / self.shard_rows).cast("int").alias("parts"))
+            parts = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / (2 * self.shard_rows)).cast("int").alias("parts"))
             members = members.join(parts, ["label", "dim"])
         else:
             members = self.scratch.table(members, f"members-{attempt}")
-            # Only clusters of labels with centroids hold more than twice ``rows`` classes: at most ``most_shards`` rows.
-            large = members.groupBy(*_SHARD).count().filter(F.col("count") > 2 * rows).select(*_SHARD, F.ceil(F.col("count") / self.shard_rows).cast("int").alias("parts"))
+            # Only clusters of labels with centroids hold more than ``rows`` classes: fewer than twice ``most_shards`` rows.
+            large = members.groupBy(*_SHARD).count().filter(F.col("count") > 4 * self.shard_rows).select(*_SHARD, F.ceil(F.col("count") / (2 * self.shard_rows)).cast("int").alias("parts"))
             members = members.join(F.broadcast(large), _SHARD, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         members = members.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         members = self.scratch.table(members, f"parts-{attempt}")
