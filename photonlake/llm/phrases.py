@@ -1,13 +1,14 @@
 """Collocations: frequent phrases of two to five words of each language, by sorted suffixes.
 
-1. A first scan counts words and pairs of words in a fixed number of buckets. A bucket's count is at least that of each
-   word or pair in it, so what lies in a bucket below the threshold is rare for certain.
-2. A second scan takes a suffix at every word: the words from there to the end of its piece, five at most, up to the first
-   rare word or pair. Equal suffixes of a block of texts are one row with a weight. Suffixes are routed by language and
-   their first two words; those of very common pairs are dealt to several tasks, by the whole suffix.
-3. Each task sorts pointers to its suffixes by a multikey three-way quicksort, down to the fifth word. The weight of a
-   partition of equal words is the count of that phrase; partitions below the threshold are abandoned, but for pairs
-   that were dealt to several tasks, whose counts are added up.
+1. A first scan counts words in a fixed number of buckets. A bucket's count is at least that of each word in it, so
+   words in a bucket below the threshold are rare for certain. Pairs are counted in few buckets to find very common ones.
+2. A second scan takes a suffix at every word that may be frequent: the words from there to the end of its piece, five at
+   most, up to the first rare one. Equal suffixes of a block of texts are one with a weight. Suffixes are routed by
+   language and their first two words, those of very common pairs by all their words; a block sends each shard one
+   packed row.
+3. Each shard sorts pointers to its suffixes by a multikey three-way quicksort, down to the fifth word. The weight of a
+   partition of equal words is the count of that phrase; partitions of two words and more below the threshold are abandoned.
+   Counts of single words, and those of pairs that went to several shards, are partial and added up.
 4. Joins of the counts score every cut of a candidate.
 """
 
@@ -20,8 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photonlake.llm import bytescan as B
@@ -32,6 +33,7 @@ _BLANK, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[0x20, 0x09]] = True
 _BREAK[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BLOCK = 1 << 16
+_NONE = pa.array([None], pa.string()), pa.array([None], pa.int64())
 
 
 class Tokens:
@@ -57,14 +59,18 @@ class Tokens:
         self.follows = np.zeros(len(starts), bool)
         self.follows[1:] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
 
-    def buckets(self, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    def buckets(self, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The bucket of every word, and of every word with the one before it."""
         _, _, data, offsets = next(B.slices(self.words, 1 << 62))
         own, _ = B.word_hashes(data, offsets)
         tongue = B.mix(np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], _U) + _U(1))
-        h, t = own[self.ids], tongue[self.lang]
-        pair = B.mix(h[:-1] * _U(0x9FB21C651E98DF25) + h[1:] + t[1:])
-        return (B.mix(h + t) >> _U(64 - word_bits)).astype(np.int64), (pair >> _U(64 - pair_bits)).astype(np.int64)
+        self.hashes = B.mix(own[self.ids] + tongue[self.lang])
+        pair = self.pair(self.hashes[:-1], self.hashes[1:])
+        return tuple((h >> _U(64 - b)).astype(np.int64) for h, b in zip((self.hashes, pair), bits, strict=True))
+
+    @staticmethod
+    def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return B.mix(left * _U(0x9FB21C651E98DF25) + right)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[Tokens]:
@@ -86,28 +92,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[
         yield tokens()
 
 
-def sort_suffixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(a row, depth, weight) of every prefix of two or more words that weighs ``least`` or more.
+def sort_suffixes(words: np.ndarray, weight: np.ndarray, least: int, split: bool = False) -> Iterator[tuple[int, int, int]]:
+    """(a row, depth, weight) of every prefix of the suffixes that weighs ``least`` or more.
 
-    ``words`` has a column for the language and five for the words, -1 where a suffix has ended. Partitions are kept as
-    arrays of row numbers; those that weigh less than ``least`` are given up, and small ones are counted one by one.
+    ``words`` has a column for the language and five for the words, -1 where a suffix has ended. Partitions are arrays of row
+    numbers. Those that agree in two words and weigh less than ``least`` are given up; prefixes of one word are told
+    whatever they weigh, and all are where suffixes with equal beginnings are ``split`` over several calls. Small partitions
+    are counted one by one.
     """
     todo = [(np.arange(len(words)), 0)]
     deepest = words.shape[1] - 1
+    enough = lambda depth, n: split or depth < 2 or n >= least
     while todo:
         rows, depth = todo.pop()
-        if not len(rows) or weight[rows].sum() < least:
+        if not len(rows) or not enough(depth, weight[rows].sum()):
             continue
         if len(rows) <= 16:
             seen, where = Counter(), {}
-            for r in rows.tolist():
-                key = tuple(words[r].tolist())
-                for d in range(max(depth, 2), deepest + 1):
+            for key, n, r in zip(map(tuple, words[rows].tolist()), weight[rows].tolist(), rows.tolist(), strict=True):
+                for d in range(max(depth, 1), deepest + 1):
                     if key[d] < 0:
                         break
-                    seen[key[: d + 1]] += int(weight[r])
+                    seen[key[: d + 1]] += n
                     where[key[: d + 1]] = r
-            yield from ((where[k], len(k) - 1, n) for k, n in seen.items() if n >= least)
+            yield from ((where[k], len(k) - 1, n) for k, n in seen.items() if enough(len(k) - 1, n))
             continue
         value = words[rows, depth]
         pivot = np.sort(value[[0, len(value) // 2, -1]])[1]
@@ -115,11 +123,10 @@ def sort_suffixes(words: np.ndarray, weight: np.ndarray, least: int) -> Iterator
         todo += [(rows[value < pivot], depth), (rows[value > pivot], depth)]
         if pivot >= 0:
             n = int(weight[equal].sum())
-            if n >= least:
-                if depth >= 2:
-                    yield int(equal[0]), depth, n
-                if depth < deepest:
-                    todo.append((equal, depth + 1))
+            if depth >= 1 and enough(depth, n):
+                yield int(equal[0]), depth, n
+            if depth < deepest and enough(depth + 1, n):
+                todo.append((equal, depth + 1))
 
 
 class Collocations:
@@ -127,14 +134,15 @@ class Collocations:
 
     Texts are lower-cased (A-Z) and cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and at blanks and tabs into words. A null text
     is empty and a null language ``und``; repeated rows count as often as they stand there; other columns are not read.
-    ``word_bits`` and ``pair_bits`` fix the number of buckets, and with them what a task holds and what is broadcast;
-    with more text than they tell apart, fewer suffixes are left out before the routing, and results are the same.
+    ``word_bits`` fixes the number of buckets of words, and with it what a task holds and what is broadcast; with more
+    text than they tell apart, fewer rare words are left out before the routing, and results are the same. A shard gets
+    about ``shard_words`` words; pairs whose bucket (of ``pair_bits``) counts more than ``hot`` go to several.
     """
 
     LONGEST = 5
 
-    def __init__(self, spark: SparkSession, least: int = 100, word_bits: int = 20, pair_bits: int = 22, hot: int = 50_000):
-        self.spark, self.least, self.word_bits, self.pair_bits, self.hot = spark, least, word_bits, pair_bits, hot
+    def __init__(self, spark: SparkSession, least: int = 100, word_bits: int = 22, pair_bits: int = 16, shard_words: int = 2_000_000, hot: int = 400_000):
+        self.spark, self.least, self.bits, self.shard_words, self.hot = spark, least, (word_bits, pair_bits), shard_words, hot
         self.scratch = Scratch(spark, "phrases")
         bounded_batches(spark)
 
@@ -143,144 +151,149 @@ class Collocations:
         texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
         sketched = self.scratch.table(self._sketched(texts), "sketched")
         totals = self.scratch.table(sketched.filter("block is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        suffixes = self.scratch.table(self._suffixes(texts, self._frequent(sketched)), "suffixes")
+        words = totals.agg(F.sum("n")).first()[0] or 0
+        shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), words // self.shard_words)
+        packed = self._packed(texts, *self._buckets(sketched), shards)
+        partial = self._sorted(packed.repartitionById(shards, F.col("shard")))
+        counts = partial.groupBy("lang", "phrase", "k").agg(F.sum("count").alias("count")).filter(F.col("count") >= self.least)
+        counts = self.scratch.table(counts, "counts")
         self.scratch.drop("sketched")
-        words = suffixes.filter("k = 1").groupBy("lang", "phrase", "k").agg(F.sum("weight").alias("count"))
-        longer = self._sorted(suffixes.filter("k > 1")).groupBy("lang", "phrase", "k").agg(F.sum("count").alias("count"))
-        counts = self.scratch.table(words.union(longer).filter(F.col("count") >= self.least), "counts")
-        self.scratch.drop("suffixes")
         return counts, totals
 
     def _sketched(self, texts: DataFrame) -> DataFrame:
-        """(block, part, lang, n): buckets of a task, each at most ``least``, and its words by language."""
-        least, bits = self.least, (self.word_bits, self.pair_bits)
+        """(block, part, lang, n): bucket counts of a task, those of words at most ``least``, and its words by language."""
+        least, bits = self.least, self.bits
 
         def run(batches):
-            held = [np.zeros(1 << b, np.int32) for b in bits]
+            words, pairs = np.zeros(1 << bits[0], np.int32), np.zeros(1 << bits[1], np.int64)
             n: Counter[str] = Counter()
             for t in _blocks(batches):
                 if not len(t.ids):
                     continue
-                word, pair = t.buckets(*bits)
-                for at, one in zip(held, (word, pair[t.follows[1:]]), strict=True):
-                    np.minimum(at + np.bincount(one, minlength=len(at)), least, out=at, casting="unsafe")
+                word, pair = t.buckets(bits)
+                np.minimum(words + np.bincount(word, minlength=len(words)), least, out=words, casting="unsafe")
+                pairs += np.bincount(pair[t.follows[1:]], minlength=len(pairs))
                 n.update(dict(zip(t.langs.to_pylist(), np.bincount(t.lang, minlength=len(t.langs)).tolist(), strict=True)))
-            flat = np.concatenate(held)
-            used = [b for b in range(-(-len(flat) // _BLOCK)) if flat[b * _BLOCK : (b + 1) * _BLOCK].any()]
-            kind = np.uint8 if least < 256 else np.int32
-            for b in used:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([flat[b * _BLOCK : (b + 1) * _BLOCK].astype(kind).tobytes()]), pa.array([None], pa.string()), pa.array([None], pa.int64())], names=["block", "part", "lang", "n"])
+            for lo in range(0, len(words), _BLOCK):
+                if words[lo : lo + _BLOCK].any():
+                    packed = zstandard.compress(words[lo : lo + _BLOCK].astype(np.uint8 if least < 256 else np.int32).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([lo // _BLOCK], pa.int32()), pa.array([packed]), *_NONE], names=["block", "part", "lang", "n"])
+            if pairs.any():
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zstandard.compress(pairs.tobytes())]), *_NONE], names=["block", "part", "lang", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(n), pa.int32()), pa.array([None] * len(n), pa.binary()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["block", "part", "lang", "n"])
 
         return texts.mapInArrow(run, "block int, part binary, lang string, n bigint")
 
-    def _frequent(self, sketched: DataFrame) -> np.ndarray:
-        """A bit for every bucket whose count reaches ``least``; as many as there are buckets, whatever the corpus."""
-        least, kind = self.least, np.uint8 if self.least < 256 else np.int32
+    def _buckets(self, sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Bits for the buckets of words whose count reaches ``least`` and for those of very common pairs; as many as there are buckets, whatever the corpus.
+
+        A worker adds the parts of one block after the other and holds the sums of its blocks.
+        """
+        least, hot = self.least, self.hot
 
         def run(batches):
             held: dict[int, np.ndarray] = {}
             for batch in batches:
-                for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    one = np.frombuffer(part.as_buffer(), kind).astype(np.int32)
-                    held[block] = np.minimum(held[block] + one, least) if block in held else one
-            bits = [np.packbits(v >= least).tobytes() for v in held.values()]
+                for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    kind = np.int64 if block < 0 else np.uint8 if least < 256 else np.int32
+                    one = np.frombuffer(zstandard.decompress(part), kind).astype(np.int64)
+                    total = held[block] + one if block in held else one
+                    held[block] = total if block < 0 else np.minimum(total, least)
+            bits = [np.packbits(v > hot if k < 0 else v >= least).tobytes() for k, v in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bits"])
 
         parts = sketched.filter("block is not null").select("block", "part").repartition("block").mapInArrow(run, "block int, bits binary")
-        out = np.zeros((1 << self.word_bits) + (1 << self.pair_bits), bool)
+        words, pairs = (np.zeros(1 << b, bool) for b in self.bits)
         for r in parts.collect():
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-            out[r["block"] * _BLOCK : r["block"] * _BLOCK + _BLOCK] = bits[: len(out) - r["block"] * _BLOCK]
-        return out
+            into, lo = (pairs, 0) if r["block"] < 0 else (words, r["block"] * _BLOCK)
+            into[lo : lo + len(bits)] = bits[: len(into) - lo]
+        return words, pairs
 
-    def _suffixes(self, texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """(lang, phrase, k, weight): suffixes as far as they can be frequent, equal ones of a block as one."""
-        held = self.spark.sparkContext.broadcast(np.packbits(frequent))
-        bits, longest = (self.word_bits, self.pair_bits), self.LONGEST
-        names = ["lang", "phrase", "k", "weight"]
-
-        def row_batch(t: Tokens, lang, parts, weight):
-            phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
-            return pa.RecordBatch.from_arrays([t.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(lang), len(parts), np.int32)), pa.array(weight)], names=names)
+    def _packed(self, texts: DataFrame, frequent: np.ndarray, common: np.ndarray, shards: int) -> DataFrame:
+        """(shard, langs, words, suffixes): the distinct suffixes of a block for a shard, by their places in its words, with weights."""
+        held = self.spark.sparkContext.broadcast((np.packbits(frequent), np.packbits(common)))
+        bits, longest = self.bits, self.LONGEST
 
         def run(batches):
-            known = np.unpackbits(held.value).astype(bool)
+            known, often = (np.unpackbits(x).astype(bool) for x in held.value)
             for t in _blocks(batches):
                 if not len(t.ids):
                     continue
-                word, pair = t.buckets(*bits)
-                usable = known[word]
-                times = np.bincount((t.lang.astype(np.int64) * len(t.words) + t.ids)[usable], minlength=1)
-                at = np.flatnonzero(times)
-                yield row_batch(t, at // len(t.words), [t.words.take(pa.array(at % len(t.words)))], times[at])
-                joined = np.zeros(len(t.ids) + longest, bool)  # whether a word goes on from the one before
-                joined[1 : len(t.ids)] = t.follows[1:] & usable[1:] & usable[:-1] & known[(1 << bits[0]) + pair]
-                alive, depth = np.ones(len(t.ids), bool), np.ones(len(t.ids), np.int32)
+                word, pair = t.buckets(bits)
+                usable, n = known[word], len(t.ids)
+                joined = np.zeros(n + longest, bool)  # whether a word goes on from the one before
+                joined[1:n] = t.follows[1:] & usable[1:] & usable[:-1]
+                alive, depth = usable.copy(), usable.astype(np.int32)
                 for j in range(1, longest):
-                    alive &= joined[j : j + len(t.ids)]
+                    alive &= joined[j : j + n]
                     depth += alive
-                for k in range(2, longest + 1):
-                    start = np.flatnonzero(depth == k)
-                    if not len(start):
-                        continue
-                    columns = {"lang": pa.array(t.lang[start])} | {f"w{j}": pa.array(t.ids[start + j]) for j in range(k)}
-                    same = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-                    parts = [t.words.take(same.column(f"w{j}").combine_chunks()) for j in range(k)]
-                    yield row_batch(t, same.column("lang").to_numpy(), parts, same.column("count_all").to_numpy())
-
-        return texts.mapInArrow(run, "lang string, phrase string, k int, weight bigint")
-
-    def _sorted(self, suffixes: DataFrame) -> DataFrame:
-        """(lang, phrase, k, count) of the phrases of two words and more, from tasks that sort their suffixes."""
-        rows = suffixes.withColumn("route", F.xxhash64("lang", F.substring_index("phrase", " ", 2)))
-        sizes = self.scratch.table(rows.groupBy("route").agg(F.count("*").alias("size")), "routes")
-        total = sizes.agg(F.sum("size")).first()[0] or 0
-        # At most 10,000 routes hold a ten-thousandth of the rows each.
-        common = sizes.filter(F.col("size") > max(self.hot, total // 10_000)).select("route", F.ceil(F.col("size") / self.hot).cast("int").alias("parts"))
-        placed = rows.join(F.broadcast(common), "route", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("phrase"), F.col("parts")), F.lit(0)))
-        placed = placed.select(F.xxhash64("route", "part").alias("key"), "lang", "phrase", "weight", F.col("parts").isNotNull().alias("split"))
+                start = np.flatnonzero(depth)
+                # The lead is the first word, or the first two; very common ones are told apart by all words.
+                padded = np.append(t.hashes, np.zeros(longest, _U))
+                lead = np.where(depth[start] > 1, t.pair(padded[start], padded[start + 1]), t.hashes[start])
+                split = (depth[start] > 1) & often[np.append(pair, 0)[start]]
+                whole = lead.copy()
+                for j in range(2, longest):
+                    whole = np.where(depth[start] > j, t.pair(whole, padded[start + j]), whole)
+                shard = (B.mix(np.where(split, whole, lead)) % _U(shards)).astype(np.int64)
+                ids = np.append(t.ids, np.full(longest, -1, t.ids.dtype))
+                columns = {"shard": shard, "split": split, "lang": t.lang[start]} | {f"w{j}": np.where(depth[start] > j, ids[start + j], -1) for j in range(longest)}
+                same = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")])
+                table = np.stack([same.column(c).to_numpy().astype(np.int32) for c in [*columns, "count_all"]], axis=1)
+                table = table[np.argsort(table[:, 0], kind="stable")]
+                cuts = np.append(np.flatnonzero(np.diff(table[:, 0], prepend=-1)), len(table))
+                out: list[list] = [[], [], [], []]
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    part = table[lo:hi, 1:]
+                    used = np.unique(part[:, 2 : 2 + longest])
+                    part[:, 2 : 2 + longest] = np.searchsorted(used, part[:, 2 : 2 + longest]) - (used[0] < 0)
+                    for column, x in zip(out, (int(table[lo, 0]), t.langs.to_pylist(), t.words.take(pa.array(used[used >= 0])).to_pylist(), zstandard.compress(np.ascontiguousarray(part.T).tobytes())), strict=True):
+                        column.append(x)
+                types = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names=["shard", "langs", "words", "suffixes"])
+
+        return texts.mapInArrow(run, "shard int, langs array<string>, words array<string>, suffixes binary")
+
+    def _sorted(self, packed: DataFrame) -> DataFrame:
+        """(lang, phrase, k, count) of the words and phrases of each shard; those of several shards are partial."""
         least, longest = self.least, self.LONGEST
 
-        def chunk(held: list[pa.RecordBatch]):
-            table = pa.Table.from_batches(held).combine_chunks()
-            phrase, lang = table.column(1).combine_chunks(), table.column(0).combine_chunks().dictionary_encode()
-            parts = pc.split_pattern(phrase, " ")
-            words = parts.flatten().dictionary_encode().indices.to_numpy()
-            ends = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-            size = np.diff(ends)
-            matrix = np.full((len(phrase), longest + 1), -1, np.int32)
-            matrix[:, 0] = lang.indices.to_numpy()
-            row = np.repeat(np.arange(len(phrase)), size)
-            matrix[row, 1 + np.arange(len(words)) - ends[row]] = words
-            weight, split = table.column(2).to_numpy(), table.column(3).to_numpy()
-            for mine, limit in ((np.flatnonzero(~split), least), (np.flatnonzero(split), 1)):
-                found = list(sort_suffixes(matrix[mine], weight[mine], limit))
-                if not found:
-                    continue
-                at, k, n = (np.array(c, np.int64) for c in zip(*found, strict=True))
-                at = mine[at]
-                text = [" ".join(p[:d]) for p, d in zip(parts.take(pa.array(at)).to_pylist(), k.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(at))), pa.array(text, pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], names=["lang", "phrase", "k", "count"])
+        def numbered(parts: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+            """One dictionary for all lists of strings, and the place of each string in it."""
+            flat = pa.concat_arrays(parts).dictionary_encode()
+            ends = np.cumsum([len(p) for p in parts])[:-1]
+            return flat.dictionary, np.split(flat.indices.to_numpy(), ends)
 
         def run(batches):
-            held, size, last = [], 0, None
+            langs, words, tables = [], [], []
             for batch in batches:
-                key = batch.column(0).to_numpy()
-                cuts = np.flatnonzero(np.diff(key)) + 1
-                if size >= 200_000 and (key[0] != last or len(cuts)):
-                    cut = 0 if key[0] != last else int(cuts[0])
-                    if cut:
-                        held.append(batch.slice(0, cut).select([1, 2, 3, 4]))
-                    yield from chunk(held)
-                    held, size, batch = [], 0, batch.slice(cut)
-                held.append(batch.select([1, 2, 3, 4]))
-                size += batch.num_rows
-                last = key[-1]
-            if held:
-                yield from chunk(held)
-
-        return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "lang string, phrase string, k int, count bigint")
+                for r in range(batch.num_rows):
+                    langs.append(batch.column(1)[r].values)
+                    words.append(batch.column(2)[r].values)
+                    tables.append(np.frombuffer(zstandard.decompress(batch.column(3)[r].as_py()), np.int32).reshape(longest + 3, -1))
+            if not tables:
+                return
+            (tongues, of_lang), (names, of_word) = numbered(langs), numbered(words)
+            sizes = [t.shape[1] for t in tables]
+            matrix, weight, split = np.empty((sum(sizes), longest + 1), np.int32), np.empty(sum(sizes), np.int64), np.empty(sum(sizes), bool)
+            at = 0
+            for t, size, own_lang, own_word in zip(tables, sizes, of_lang, of_word, strict=True):
+                here = slice(at, at + size)
+                split[here], weight[here], matrix[here, 0] = t[0] == 1, t[-1], own_lang[t[1]]
+                matrix[here, 1:] = np.where(t[2:-1] < 0, -1, own_word[np.maximum(t[2:-1], 0)]).T
+                at += size
+            tables.clear()
+            for mine, parted in ((np.flatnonzero(~split), False), (np.flatnonzero(split), True)):
+                found = list(sort_suffixes(matrix[mine], weight[mine], least, parted))
+                for lo in range(0, len(found), 1 << 16):
+                    row, k, n = (np.array(c, np.int64) for c in zip(*found[lo : lo + (1 << 16)], strict=True))
+                    row = mine[row]
+                    spelt = names.take(pa.array(matrix[row, 1:].ravel(), mask=matrix[row, 1:].ravel() < 0)).to_pylist()
+                    text = [" ".join(spelt[longest * i : longest * i + d]) for i, d in enumerate(k.tolist())]
+                    yield pa.RecordBatch.from_arrays([tongues.take(pa.array(matrix[row, 0])), pa.array(text, pa.string()), pa.array(k.astype(np.int32)), pa.array(n)], names=["lang", "phrase", "k", "count"])
+
+        return packed.mapInArrow(run, "lang string, phrase string, k int, count bigint")
 
     def run(self, docs: DataFrame, top: int = 2000) -> DataFrame:
         """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
