@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from photonlake.operators import intervals as I
+from photonlake.operators import scan
 from photonlake.registry import query
 from photonlake.sources import domain as D
 from photonlake.sources import store
@@ -37,7 +38,7 @@ select min(start) as start, max(stop) as stop from k group by island""",
     D.SQL,
 )
 def w1_global(spark, sf):
-    return I.union_global(D.intervals(spark, sf), 30 * 86400)
+    return scan.interval_union(D.intervals(spark, sf))
 
 
 @query("g1_durations", "select obs_id, sum(stop - start)::bigint as duration, count(*)::bigint as n from gti group by obs_id", D.SQL)

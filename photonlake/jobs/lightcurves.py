@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from photonlake.functions import stats
 from photonlake.jobs.selections import sep_sql
-from photonlake.operators import crossmatch
 from photonlake.operators import lightcurve as L
+from photonlake.operators.nearest import nearest_on_sky
 from photonlake.registry import query
 from photonlake.sources import domain as D
 from photonlake.sources import store
@@ -237,12 +237,11 @@ def c6(spark, sf):
     )
 
 
-@query("c7_nearest_source", f", p as (select s.source_id, o.source_id as other, {sep_sql('s.lon', 's.lat', 'o.lon', 'o.lat')} as d from sources s, sources o where s.source_id <> o.source_id) select source_id, min_by(other, (d, other)) as other, round(min(d), 6) as separation from p where d < 15.0001 group by source_id", D.SQL)
+@query("c7_nearest_source", f", p as (select s.source_id, o.source_id as other, {sep_sql('s.lon', 's.lat', 'o.lon', 'o.lat')} as d from sources s, sources o where s.source_id <> o.source_id) select source_id, min_by(other, (d, other)) as other, round(min(d), 6) as separation from p group by source_id", D.SQL)
 def c7(spark, sf):
     src = D.catalog(spark, sf).select("source_id", "lon", "lat")
-    met = crossmatch.within(src, src.withColumnsRenamed({"source_id": "other", "lon": "lon2", "lat": "lat2"}), 15.0001).filter("other <> source_id")
-    best = met.groupBy("source_id").agg(F.min(F.struct("separation", "other")).alias("m"))
-    return best.select("source_id", F.col("m.other").alias("other"), F.round("m.separation", 6).alias("separation"))
+    best = nearest_on_sky(src, src.withColumnRenamed("source_id", "other"), "source_id", "other", distinct_from_itself=True)
+    return best.select("source_id", "other", F.round("separation", 6).alias("separation"))
 
 
 @query("j11_satellite_tables", ", a as (select source_id, trim(unnest(string_split(aliases, ','))) as component from sources) select s.source_id, s.name, a.component, p.p_name as association from sources s left join a using (source_id) left join part p on p.p_partkey = s.source_id * 2", D.SQL)

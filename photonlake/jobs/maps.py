@@ -10,6 +10,7 @@ from photonlake.functions import sky
 from photonlake.functions.axis import Axis
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import maps as M
+from photonlake.operators import scan
 from photonlake.operators import selection as S
 from photonlake.operators.crossmatch import within
 from photonlake.registry import query
@@ -240,7 +241,7 @@ def j9(spark, sf):
 def j10(spark, sf):
     image = _image(spark, sf)
     set_ = image.crossJoin(F.broadcast(M.quantile(image, "value", 0.95))).filter("value >= limit")
-    return M.nearest_set(image, set_, 41)
+    return M.nearest_set(image, set_)
 
 
 _TWO = ", a as (select px, py, counts::bigint as v from cube where e = 0), b as (select px, py, counts::bigint as v from cube where e = 1)"
@@ -354,18 +355,19 @@ def m7(spark, sf):
 def w3(spark, sf):
     rad = F.floor(F.sqrt(F.pow(F.col("px") - 20, 2) + F.pow(F.col("py") - 20, 2)) / 2.0003).cast("int")
     rings = _image(spark, sf).groupBy(rad.alias("rad")).agg(F.avg("value").alias("v")).select("rad", (F.col("v") * 2 * F.pi() * (F.col("rad") + 0.5)).alias("value"))
-    return M.cumulative(rings, [], "rad").select("rad", F.round("before", 5).alias("before"), F.round("upto", 5).alias("upto"))
+    run = scan.running(scan.sliced(rings, [], ["rad"], store.Rounds(spark, "radial")), [], ["rad"], sums={"upto": F.col("value")})
+    return run.select("rad", F.round(F.col("upto") - F.col("value"), 5).alias("before"), F.round("upto", 5).alias("upto"))
 
 
 @query("w4_containment_level", ", c as (select e, counts, abs(sum(counts) over (partition by e order by counts desc, px, py rows between unbounded preceding and current row)::double / sum(counts) over (partition by e) - 0.68::double) as miss from cube) select e, min_by(counts, (miss, counts))::bigint as level from c group by e", D.SQL)
 def w4(spark, sf):
-    return M.containment(_cube(spark, sf), ["e"], 0.68, [F.desc("value"), F.col("px"), F.col("py")], "value").withColumnRenamed("value", "level")
+    return scan.containment(_cube(spark, sf), ["e"], 0.68, [F.desc("value"), F.col("px"), F.col("py")], "value").withColumnRenamed("value", "level")
 
 
 @query("w5_containment_radius", ", d as (select e, counts, px, py, sqrt(power(px - 20, 2) + power(py - 20, 2)) as r from cube), c as (select e, r, abs(sum(counts) over (partition by e order by r, px, py rows between unbounded preceding and current row)::double / sum(counts) over (partition by e) - 0.68::double) as miss from d) select e, round(min_by(r, (miss, r)), 6) as radius from c group by e", D.SQL)
 def w5(spark, sf):
     far = _cube(spark, sf).withColumn("r", F.sqrt(F.pow(F.col("px") - 20, 2) + F.pow(F.col("py") - 20, 2)))
-    return M.containment(far, ["e"], 0.68, [F.col("r"), F.col("px"), F.col("py")], "r").select("e", F.round("r", 6).alias("radius"))
+    return scan.containment(far, ["e"], 0.68, [F.col("r"), F.col("px"), F.col("py")], "r").select("e", F.round("r", 6).alias("radius"))
 
 
 @query("u2_stack_maps", "select 'low' as band, px, py, counts::bigint as value from cube where e = 0 union all select 'high', px, py, counts::bigint from cube where e = 3", D.SQL)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from photonlake.functions import sky, stats
 from photonlake.jobs.datasets import RADIUS
 from photonlake.jobs.selections import sep_sql
-from photonlake.jobs.statistics import _AEFF, _LIMA, _grid_sql
+from photonlake.jobs.statistics import _LIMA, runs_with_responses
 from photonlake.operators import crossmatch
+from photonlake.operators import irf as I
 from photonlake.operators import maps as M
 from photonlake.operators import reduction as R
 from photonlake.operators import selection as S
@@ -19,13 +20,17 @@ from photonlake.sources import domain as D
 
 E = 2.500013
 
-_RESP = f"""
-, spec as (select obs_id, floor(energy / {E}::double)::int as e, count(*)::double as n from photons group by all),
-resp as (
-  select o.obs_id, i::int as e, i * {E}::double as e_lo, (i + 1) * {E}::double as e_hi, power(i + 1.0::double, 1 + o.obs_id % 3) as aeff,
-    0.4::double * power(0.5::double, i) - 0.05::double * (o.obs_id % 4) as bias, coalesce(n, 0)::double as bkg,
-    case when o.obs_id % 2 = 1 then {E}::double end as lo_thres, case when o.obs_id % 5 = 0 then 3 * {E}::double end as hi_thres
-  from obs o cross join range(4) t(i) left join spec s on s.obs_id = o.obs_id and s.e = i
+_FROM = 0.1  # the first bin's background is integrated from here on
+_AWAY = sep_sql("0.0", "0.0", "lon_pnt", "lat_pnt")
+_RESP = (
+    D.IRF_SQL
+    + f"""
+, rb as (select *, greatest(e_lo, {_FROM}::double) as x0, (e_lo + e_hi) / 2 as mid from (select *, i::int as e, i * {E}::double as e_lo, (i + 1) * {E}::double as e_hi, {_AWAY} as away from runs_irf, range(4) t(i))
+), rm as (select *, {I.value_sql('aeff', 'mid', 'away')} as a, {I.value_sql('bias', 'mid', 'away')} as d from {I.placed_sql('rb', 'mid', 'away')}
+), r0 as (select *, {I.value_sql('bkg', 'x0', 'away', log=True)} as y0 from {I.placed_sql('(select * exclude (ii, jj) from rm)', 'x0', 'away')}
+), r1 as (select *, {I.value_sql('bkg', 'e_hi', 'away', log=True)} as y1 from {I.placed_sql('(select * exclude (ii, jj) from r0)', 'e_hi', 'away')}
+), resp as (
+  select obs_id, e, e_lo, e_hi, a as aeff, d as bias, {I.integral_sql('x0', 'y0', 'e_hi', 'y1')} as bkg, lo_thres, hi_thres from r1
 ), edge as (
   select *, max(aeff) over (partition by obs_id) as most, ln((e_lo + e_hi) / 2) as c, lead(bias) over w as nb, lead(ln((e_lo + e_hi) / 2)) over w as nc
   from resp window w as (partition by obs_id order by e)
@@ -37,29 +42,25 @@ resp as (
     e_lo >= coalesce(crossing, case when least > 0.1::double then last else 0 end) as edisp_bias, e_lo >= peak as bkg_peak, bkg > 0 as bkg_invalid
   from resp r join thr using (obs_id)
 )"""
+)
 
 
-def responses(events, obs):
-    """The response of each run by energy bin; the background is its spectrum."""
-    k, e = F.col("obs_id"), F.col("e").cast("double")
-    spectrum = events.groupBy("obs_id", F.floor(F.col("energy") / E).cast("int").alias("e")).agg(F.count("*").cast("double").alias("n"))
-    bins = obs.select("obs_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("e")).join(spectrum, ["obs_id", "e"], "left")
-    return bins.select(
-        "obs_id",
-        "e",
-        (F.col("e") * E).alias("e_lo"),
-        ((F.col("e") + 1) * E).alias("e_hi"),
-        F.pow(e + 1, 1 + k % 3).alias("aeff"),
-        (0.4 * F.pow(F.lit(0.5), e) - 0.05 * (k % 4)).alias("bias"),
-        F.coalesce("n", F.lit(0.0)).alias("bkg"),
-        F.when(k % 2 == 1, E).alias("lo_thres"),
-        F.when(k % 5 == 0, 3 * E).alias("hi_thres"),
-    )
+def responses(runs):
+    """The response of each run (with its node arrays) by energy bin, at the offset of the pointing from the source.
+
+    Area and bias are those at the bin's center, the background is its rate over the bin.
+    """
+    away = sky.separation(0.0, 0.0, "lon_pnt", "lat_pnt")
+    edges = [_FROM, *(E * i for i in range(1, 5))]
+    rows = runs.withColumn("away", away).withColumn("_bkg", I.per_bin(F.col("bkg"), edges, F.col("away")))
+    at = lambda kind, i: I.value(F.col(kind), F.lit((i * E + (i + 1) * E) / 2), F.col("away"))
+    bins = [F.struct(F.lit(i).alias("e"), F.lit(i * E).alias("e_lo"), F.lit((i + 1) * E).alias("e_hi"), at("aeff", i).alias("aeff"), at("bias", i).alias("bias"), F.get("_bkg", F.lit(i)).alias("bkg")) for i in range(4)]
+    return rows.select("obs_id", F.explode(F.array(*bins)).alias("b"), "lo_thres", "hi_thres").select("obs_id", "b.*", "lo_thres", "hi_thres")
 
 
 def _safe(spark, sf):
     events = D.photons(spark, sf)
-    return R.safe_bins(responses(events, D.observations(events)), ["obs_id"], aeff_percent=20.0)
+    return R.safe_bins(responses(runs_with_responses(spark, sf, D.observations(events))), ["obs_id"], aeff_percent=20.0)
 
 
 def _by_method(method: str) -> None:
@@ -91,38 +92,44 @@ _D13 = _RESP + f"""
   select floor((lon + 2.25013::double) / 0.5::double)::int as px, floor((lat + 2.25013::double) / 0.5::double)::int as py, ok.e, count(*) as n
   from photons join obs using (obs_id) join ok on ok.obs_id = photons.obs_id and ok.e = floor(energy / {E}::double)
   where {sep_sql('lon', 'lat', 'lon_pnt', 'lat_pnt')} < 1.00003 group by all
-), pt as (select lon_pnt, lat_pnt, e, (e + 0.5::double) * {E}::double as en, sum(livetime) as livetime, sum(ontime) as ontime from obs join ok using (obs_id) group by all
 ), pp as (
-  select px, py, e, livetime, ontime, en, away from (select x::int as px, y::int as py, x * 0.5::double - 2 as plon, y * 0.5::double - 2 as plat from range(9) a(x), range(9) b(y)) p
-  join pt on {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} < 1.00003, lateral (select {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} as away)
-), ex as (select px, py, e, sum({_grid_sql('en', 'away')} * livetime) / 1e6 as exposure, sum({_grid_sql('en', 'away')} * 1e-3::double * ontime) as bg from pp group by all)
-select coalesce(ex.px, ev.px) as px, coalesce(ex.py, ev.py) as py, coalesce(ex.e, ev.e) as e, coalesce(n, 0)::bigint as counts, round(coalesce(exposure, 0), 5) as exposure,
+  select px, py, ok.e, livetime, ontime, away, en, off, aeff, bkg, (ok.e + 0.5::double) * {E}::double as mid, greatest(ok.e * {E}::double, {_FROM}::double) as x0, (ok.e + 1) * {E}::double as x1
+  from (select x::int as px, y::int as py, x * 0.5::double - 2 as plon, y * 0.5::double - 2 as plat from range(9) a(x), range(9) b(y)) p
+  join runs_irf o on {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} < 1.00003 join ok using (obs_id), lateral (select {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} as away)
+), p1 as (select *, {I.value_sql('aeff', 'mid', 'away')} as a from {I.placed_sql('pp', 'mid', 'away')}
+), p2 as (select *, {I.value_sql('bkg', 'x0', 'away', log=True)} as y0 from {I.placed_sql('(select * exclude (ii, jj) from p1)', 'x0', 'away')}
+), p3 as (select *, {I.value_sql('bkg', 'x1', 'away', log=True)} as y1 from {I.placed_sql('(select * exclude (ii, jj) from p2)', 'x1', 'away')}
+), ex as (select px, py, e, sum(a * livetime) / 1e6 as exposure, sum({I.integral_sql('x0', 'y0', 'x1', 'y1')} * ontime) as bg from p3 group by all)
+select coalesce(ex.px, ev.px) as px, coalesce(ex.py, ev.py) as py, coalesce(ex.e, ev.e) as e, coalesce(n, 0)::bigint as counts, round(coalesce(exposure, 0), 4) as exposure,
   round(coalesce(bg, 0) * radians(0.5::double) * (sin(radians(coalesce(ex.py, ev.py) * 0.5::double - 1.75::double)) - sin(radians(coalesce(ex.py, ev.py) * 0.5::double - 2.25::double))), 4) as background, exposure is not null as mask_safe
 from ex full join ev on ex.px = ev.px and ex.py = ev.py and ex.e = ev.e"""
 
 
 @query("d13_reduce_observations", _D13, D.SQL)
 def d13(spark, sf):
-    """Counts, exposure and background of all runs on one map, each run inside its offset limit and its safe bins only.
+    """Counts, exposure and background of all runs on one map, each run inside its offset limit and its safe bins only, by its own response.
 
-    Runs of one pointing are added up per energy bin before they meet the pixels.
+    A run's safe bins are an array on its row, so that a pixel meets a run once.
     """
     events = D.photons(spark, sf)
     obs = D.observations(events)
+    responses_ = runs_with_responses(spark, sf, obs)
     safe = _safe(spark, sf).filter(_ALL).select("obs_id", "e")
     placed = S.with_pointing(events, obs, "lon_pnt", "lat_pnt").withColumn("e", F.floor(F.col("energy") / E).cast("int"))
     near = placed.filter(sky.separation("lon", "lat", "lon_pnt", "lat_pnt") < 1.00003).join(safe, ["obs_id", "e"], "left_semi")
     px, py = (F.floor((F.col(c) + 2.25013) / 0.5).cast("int") for c in ("lon", "lat"))
     counts = M.fill(near, {"px": px, "py": py, "e": F.col("e")}).withColumnRenamed("value", "counts")
-    runs = obs.join(safe, "obs_id").groupBy(F.col("lon_pnt").alias("lon2"), F.col("lat_pnt").alias("lat2"), "e").agg(F.sum("livetime").alias("livetime"), F.sum("ontime").alias("ontime"))
+    runs = responses_.join(safe.groupBy("obs_id").agg(F.collect_set("e").alias("safe")), "obs_id").withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"})
     pixels = M.grid(spark, 9, 9).withColumn("lon", F.col("px") * 0.5 - 2).withColumn("lat", F.col("py") * 0.5 - 2)
-    met = crossmatch.within(pixels, runs, 1.00003).withColumn("aeff", _AEFF.value((F.col("e") + 0.5) * E, F.col("separation")))
-    maps = met.groupBy("px", "py", "e").agg((F.sum(F.col("aeff") * F.col("livetime")) / 1e6).alias("exposure"), F.sum(F.col("aeff") * 1e-3 * F.col("ontime")).alias("bg"))
+    met = crossmatch.within(pixels, runs, 1.00003).withColumn("bg", I.per_bin(F.col("bkg"), [_FROM, *(E * i for i in range(1, 5))], F.col("separation")))
+    areas = F.array(*[I.value(F.col("aeff"), F.lit((i + 0.5) * E), F.col("separation")) for i in range(4)])
+    met = met.select("px", "py", "livetime", "ontime", "safe", F.posexplode(F.arrays_zip(areas.alias("a"), F.col("bg").alias("b"))).alias("e", "v")).filter(F.array_contains("safe", F.col("e")))
+    maps = met.groupBy("px", "py", "e").agg((F.sum(F.col("v.a") * F.col("livetime")) / 1e6).alias("exposure"), F.sum(F.col("v.b") * F.col("ontime")).alias("bg"))
     both = maps.join(counts, ["px", "py", "e"], "full_outer")
     lat = F.col("py") * 0.5 - 2
     solid = math.radians(0.5) * (F.sin(F.radians(lat + 0.25)) - F.sin(F.radians(lat - 0.25)))
     zero = F.lit(0.0)
-    return both.select("px", "py", "e", F.coalesce("counts", F.lit(0)).cast("bigint").alias("counts"), F.round(F.coalesce("exposure", zero), 5).alias("exposure"), F.round(F.coalesce("bg", zero) * solid, 4).alias("background"), F.col("exposure").isNotNull().alias("mask_safe"))
+    return both.select("px", "py", "e", F.coalesce("counts", F.lit(0)).cast("bigint").alias("counts"), F.round(F.coalesce("exposure", zero), 4).alias("exposure"), F.round(F.coalesce("bg", zero) * solid, 4).alias("background"), F.col("exposure").isNotNull().alias("mask_safe"))
 
 
 _EX = (0.9, 0.3, 0.25)
@@ -186,12 +193,13 @@ def a19(spark, sf):
 
 
 _T0, _WIDTH, _PART = 1704067200, 259200, 100000
-_E5 = f"""
-, sets as (
+_E5 = f"""{D.IRF_SQL}
+, area as (select obs_id, {I.value_sql('aeff', '5.0::double', 'sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt)')} as area from {I.placed_sql('runs_irf', '5.0::double', 'sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt)')}
+), sets as (
   select obs_id, floor(t_us / 1e6::double / {_PART}) as part, min(t_us)::double / 1e6::double as t0, max(t_us)::double / 1e6::double as t1,
     count(*) filter (where sqrt(lon * lon + lat * lat) < {RADIUS}) as n, count(*) filter (where sqrt(power(lon - 2 * lon_pnt, 2) + power(lat - 2 * lat_pnt, 2)) < {RADIUS}) as o,
-    (max(t_us) - min(t_us))::double / 1e6::double * 0.95::double * {_grid_sql('5.0::double', 'sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt)')} as x
-  from photons join obs using (obs_id) where sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt) > {RADIUS} and energy < 20 group by obs_id, part, lon_pnt, lat_pnt
+    (max(t_us) - min(t_us))::double / 1e6::double * 0.95::double * area as x
+  from photons join obs using (obs_id) join area using (obs_id) where sqrt(lon_pnt * lon_pnt + lat_pnt * lat_pnt) > {RADIUS} and energy < 20 group by obs_id, part, lon_pnt, lat_pnt, area
 ), w as (select *, floor(((t0 + t1) / 2 - {_T0}) / {_WIDTH})::int as t_idx from sets
 ), s as (
   select t_idx, count(*) as n_sets, sum(n)::double as n, sum(o)::double as o, sum(x) as x, 1.0::double as a from w
@@ -204,11 +212,12 @@ def e5(spark, sf):
     """Data sets of parts of runs, stacked in bins of three days: flux in 1e-6 per area and second, its error, limit and significance."""
     events = D.photons(spark, sf).filter("energy < 20")
     away = F.sqrt(F.col("lon_pnt") * F.col("lon_pnt") + F.col("lat_pnt") * F.col("lat_pnt"))
-    placed = S.with_pointing(events, D.observations(D.photons(spark, sf)).filter(away > RADIUS), "lon_pnt", "lat_pnt")
+    runs = runs_with_responses(spark, sf, D.observations(D.photons(spark, sf)).filter(away > RADIUS), ["aeff"]).withColumn("area", I.value(F.col("aeff"), F.lit(5.0), away))
+    placed = S.with_pointing(events, runs, "lon_pnt", "lat_pnt", "area")
     on, off = sky.in_circle("lon", "lat", 0.0, 0.0, RADIUS), sky.in_circle("lon", "lat", F.col("lon_pnt") * 2, F.col("lat_pnt") * 2, RADIUS)
     part = F.floor(F.col("t_us") / 1e6 / _PART)
-    sets = placed.groupBy("obs_id", part.alias("part"), "lon_pnt", "lat_pnt").agg((F.min("t_us") / 1e6).alias("t0"), (F.max("t_us") / 1e6).alias("t1"), F.count_if(on).alias("counts"), F.count_if(off).alias("counts_off"))
-    sets = sets.withColumn("exposure", (F.col("t1") - F.col("t0")) * D.LIVE_FRACTION * _AEFF.value(F.lit(5.0), away))
+    sets = placed.groupBy("obs_id", part.alias("part"), "area").agg((F.min("t_us") / 1e6).alias("t0"), (F.max("t_us") / 1e6).alias("t1"), F.count_if(on).alias("counts"), F.count_if(off).alias("counts_off"))
+    sets = sets.withColumn("exposure", (F.col("t1") - F.col("t0")) * D.LIVE_FRACTION * F.col("area"))
     s = R.light_curve(sets, _T0, _WIDTH, 10, 600.0).filter("exposure > 0")
     c = stats.wstat_counts(F.col("counts"), F.col("counts_off"), F.lit(1.0))
     per = lambda x: F.round(x / F.col("exposure") * 1e6, 5)

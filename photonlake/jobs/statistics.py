@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from photonlake.functions import healpix, sky, special, stats
 from photonlake.jobs.datasets import _RUN_BINS, run_bins, wstat_sql
 from photonlake.jobs.selections import sep_sql
-from photonlake.operators import crossmatch
+from photonlake.operators import crossmatch, fits
+from photonlake.operators import irf as I
 from photonlake.operators import maps as M
 from photonlake.operators import responses as R
 from photonlake.operators import selection as S
@@ -136,14 +138,25 @@ def e2(spark, sf):
     kernel = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(2.0 ** -(i * i + j * j)).alias("w")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     exposure = 1 + 0.25 * (F.col("py") % 4)
     spread = image.withColumn("k", kernel).select((F.col("px") + F.col("k.i")).alias("cx"), (F.col("py") + F.col("k.j")).alias("cy"), F.col("counts").cast("double").alias("counts"), (F.lit(0.5) + F.col("px") % 3).alias("background"), (F.col("k.w") * exposure).alias("signal"))
-    return _rounded(R.fit_norms(spread, ["cx", "cy"]), "cx", "cy")
+    return _rounded(fits.fit_norms(spread, ["cx", "cy"]), "cx", "cy")
+
+
+@_fit_query("e2_test_statistic_tiles", "select px + i as cx, py + j as cy, counts::double as counts, 0.5::double + px % 3 + 0.013::double * py as background, power(2.0::double, -(i * i + j * j) / 4.0::double) * (1 + 0.25::double * (py % 4)) as signal from img, range(-3, 4) a(i), range(-3, 4) b(j)", "cx, cy")
+def e2_tiles(spark, sf):
+    """The same with a wide kernel and a background that differs in every row of pixels, by tiles with a halo."""
+    image = D.image(D.counts_map(D.photons(spark, sf)))
+    n = np.arange(-3, 4)
+    kernel = 2.0 ** (-(n[:, None] ** 2 + n**2) / 4.0)
+    pixels = image.select("px", "py", "counts", (F.lit(0.5) + F.col("px") % 3 + 0.013 * F.col("py")).alias("background"), (1 + 0.25 * (F.col("py") % 4)).alias("exposure"))
+    found = fits.fit_map(pixels, kernel, tile=16).withColumnsRenamed({"px": "cx", "py": "cy"})
+    return _rounded(found.withColumn("norm_err", F.nanvl("norm_err", F.lit(None))), "cx", "cy")
 
 
 @_fit_query("e3_flux_points", "select e, counts::double as counts, 0.5::double + px % 3 as background, 1.0::double + py % 2 as signal from cube", "e")
 def e3(spark, sf):
     """Joint norm of all pixels of an energy bin."""
     b = D.counts_map(D.photons(spark, sf)).select("e", F.col("counts").cast("double").alias("counts"), (F.lit(0.5) + F.col("px") % 3).alias("background"), (F.lit(1.0) + F.col("py") % 2).alias("signal"))
-    return _rounded(R.fit_norms(b, ["e"]), "e")
+    return _rounded(fits.fit_norms(b, ["e"]), "e")
 
 
 @query("e9_combined_significance")
@@ -180,50 +193,61 @@ def e11(spark, sf):
 def e12(spark, sf):
     ring = F.floor(F.sqrt(F.pow(F.col("px") - 20, 2) + F.pow(F.col("py") - 20, 2)) / 3.0003).cast("int")
     b = D.image(D.counts_map(D.photons(spark, sf))).select(ring.alias("ring"), F.col("counts").cast("double").alias("counts"), F.lit(2.0).alias("background"), F.lit(1.0).alias("signal"))
-    return _rounded(R.fit_norms(b, ["ring"]), "ring")
+    return _rounded(fits.fit_norms(b, ["ring"]), "ring")
 
 
-_AEFF = R.Grid((0.1, 1.0, 10.0, 100.0), (0.0, 1.0, 2.0, 3.0), ((1.0, 0.9, 0.5, 0.1), (10.0, 8.0, 4.0, 1.0), (20.0, 16.0, 9.0, 3.0), (25.0, 20.0, 12.0, 5.0)))
+KINDS = ["aeff", "bias", "bkg"]
+#: Energies at which exposures are given, and the edges of the background's bins.
+_CENTERS, _EDGES = [0.5, 5.0, 50.0], [0.5, 1.0, 2.0, 4.0, 8.0]
 
 
-def _grid_sql(energy: str, offset: str) -> str:
-    """The response between its nodes, of which energies lie a decade apart and offsets a degree."""
-    le, table = f"log10({energy})", str([list(r) for r in _AEFF.values])
-    i, j = f"least(greatest(floor({le})::int + 1, 0), 2)", f"least(greatest(floor({offset})::int, 0), 2)"
-    v = lambda a, b: f"({table}::double[][])[{i} + {1 + a}][{j} + {1 + b}]"
-    a, b = f"({le} + 1 - {i})", f"({offset} - {j})"
-    return f"(case when {le} between -1 and 2 and {offset} between 0 and 3 then (1 - {a}) * ((1 - {b}) * {v(0, 0)} + {b} * {v(0, 1)}) + {a} * ((1 - {b}) * {v(1, 0)} + {b} * {v(1, 1)}) else 0 end)"
+def runs_with_responses(spark, sf, obs, kinds=KINDS):
+    """Each run with the node arrays of its own response."""
+    return I.with_responses(D.run_responses(spark, sf, obs), I.folded(D.response_nodes(spark, sf), "irf_id", kinds), "irf_id")
 
 
-_PIXEL_RUNS = f", pr as (select px, py, energy, livetime, ontime, away from (select x::int as px, y::int as py, x * 0.5::double - 2 as plon, y * 0.5::double - 2 as plat from range(9) a(x), range(9) b(y)) p join (select lon_pnt, lat_pnt, sum(livetime) as livetime, sum(ontime) as ontime from obs group by all) o on {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} < 2.00003, lateral (select {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} as away), (values (0.5::double), (5.0::double), (50.0::double)) v(energy)), pv as (select *, {_grid_sql('energy', 'away')} as aeff from pr)"
+_PIXEL_RUNS = (
+    D.IRF_SQL
+    + f", pr as (select px, py, obs_id, energy, livetime, ontime, away, en, off, aeff, bkg from (select x::int as px, y::int as py, x * 0.5::double - 2 as plon, y * 0.5::double - 2 as plat from range(9) a(x), range(9) b(y)) p join runs_irf o on {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} < 2.00003, lateral (select {sep_sql('plon', 'plat', 'lon_pnt', 'lat_pnt')} as away), (select unnest({{energies}}) as energy) q)"
+    + f", pv as (select *, {I.value_sql('aeff', 'energy', 'away')} as a, {I.value_sql('bkg', 'energy', 'away', log=True)} as b from {I.placed_sql('pr', 'energy', 'away')})"
+    + f", ax as (select *, {I.value_sql('aeff', 'energy', '0.0::double')} as a0 from {I.placed_sql('(select * exclude (ii, jj) from pv)', 'energy', '0.0::double')})"
+)
+_CENTER_RUNS, _EDGE_RUNS = (_PIXEL_RUNS.replace("{energies}", f"{x}::double[]") for x in (_CENTERS, _EDGES))
 
 
-def _pixel_runs(spark, sf):
-    """Pixels of half a degree with the runs within two degrees; runs of one pointing are one."""
-    runs = D.observations(D.photons(spark, sf)).groupBy("lon_pnt", "lat_pnt").agg(F.sum("livetime").alias("livetime"), F.sum("ontime").alias("ontime"))
+def _pixel_runs(spark, sf, *kinds):
+    """Pixels of half a degree with the runs within two degrees, and the responses of those."""
+    runs = runs_with_responses(spark, sf, D.observations(D.photons(spark, sf)), list(kinds))
     pixels = M.grid(spark, 9, 9).withColumn("lon", F.col("px") * 0.5 - 2).withColumn("lat", F.col("py") * 0.5 - 2)
-    met = crossmatch.within(pixels, runs.withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"}), 2.00003)
-    return met.withColumn("energy", F.explode(F.array(*map(F.lit, (0.5, 5.0, 50.0))))).withColumn("aeff", _AEFF.value(F.col("energy"), F.col("separation")))
+    return crossmatch.within(pixels, runs.withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"}), 2.00003)
+
+
+def _exposure(spark, sf):
+    energy = F.get(F.array(*map(F.lit, _CENTERS)), F.col("e")).alias("energy")
+    return I.exposure(_pixel_runs(spark, sf, "aeff"), ["px", "py"], _CENTERS).select("px", "py", energy, "exposure", "livetime")
 
 
-@query("a23_exposure_map", _PIXEL_RUNS + " select px, py, energy, round(sum(aeff * livetime) / 1e6, 6) as exposure from pv group by all", D.SQL)
+@query("a23_exposure_map", _CENTER_RUNS + " select px, py, energy, round(sum(a * livetime) / 1e6, 5) as exposure from pv group by all", D.SQL)
 def a23(spark, sf):
-    return _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.round(F.sum(F.col("aeff") * F.col("livetime")) / 1e6, 6).alias("exposure"))
+    return _exposure(spark, sf).select("px", "py", "energy", F.round(F.col("exposure") / 1e6, 5).alias("exposure"))
 
 
-@query("a24_effective_livetime", _PIXEL_RUNS + f" select px, py, energy, round(x / {_grid_sql('energy', '0.0')}, 6) as livetime from (select px, py, energy, sum(aeff * livetime) / 1e6 as x from pv group by all)", D.SQL)
+@query("a24_effective_livetime", _CENTER_RUNS + " select px, py, energy, round(sum(case when a0 > 0 then a / a0 else 0 end * livetime) / 1e6, 5) as livetime from ax group by all", D.SQL)
 def a24(spark, sf):
     """Live time in 1e6 s that would give the exposure on the axis."""
-    g = _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg((F.sum(F.col("aeff") * F.col("livetime")) / 1e6).alias("x"))
-    return g.select("px", "py", "energy", F.round(F.col("x") / _AEFF.value(F.col("energy"), F.lit(0.0)), 6).alias("livetime"))
+    return _exposure(spark, sf).select("px", "py", "energy", F.round(F.col("livetime") / 1e6, 5).alias("livetime"))
 
 
-@query("a25_background_map", _PIXEL_RUNS + " select px, py, energy, round(x * radians(0.5::double) * (sin(radians(py * 0.5::double - 2 + 0.25::double)) - sin(radians(py * 0.5::double - 2 - 0.25::double))), 5) as background from (select px, py, energy, sum(aeff * 1e-3::double * ontime) as x from pv group by all)", D.SQL)
+_SOLID_SQL = "radians(0.5::double) * (sin(radians(py * 0.5::double - 2 + 0.25::double)) - sin(radians(py * 0.5::double - 2 - 0.25::double)))"
+
+
+@query("a25_background_map", _EDGE_RUNS + f", bins as (select px, py, ontime, energy, b, lead(energy) over w as energy1, lead(b) over w as b1, (row_number() over w - 1)::int as e from pv window w as (partition by px, py, obs_id order by energy)) select px, py, e, round(sum({I.integral_sql('energy', 'b', 'energy1', 'b1')} * ontime) * {_SOLID_SQL}, 4) as background from bins where e < 4 group by px, py, e", D.SQL)
 def a25(spark, sf):
-    g = _pixel_runs(spark, sf).groupBy("px", "py", "energy").agg(F.sum(F.col("aeff") * 1e-3 * F.col("ontime")).alias("x"))
+    """Counts of the background in each pixel and energy bin: the rates of all runs, integrated by power laws between the bin's edges."""
+    g = I.background(_pixel_runs(spark, sf, "bkg"), ["px", "py"], _EDGES)
     lat = F.col("py") * 0.5 - 2
     solid = F.radians(F.lit(0.5)) * (F.sin(F.radians(lat + 0.25)) - F.sin(F.radians(lat - 0.25)))
-    return g.select("px", "py", "energy", F.round(F.col("x") * solid, 5).alias("background"))
+    return g.select("px", "py", "e", F.round(F.col("rate") * solid, 4).alias("background"))
 
 
 _OFFS = f", off as (select event_id, energy, {sep_sql('p.lon', 'p.lat', 'o.lon_pnt', 'o.lat_pnt')} as away from photons p join obs o using (obs_id))"
@@ -237,6 +261,15 @@ def r1(spark, sf):
     return R.nearest_bin(placed, table, "energy", "away").select("event_id", "value")
 
 
+@query("r1_response_interpolated", D.IRF_SQL + f", w as (select event_id, energy, {sep_sql('p.lon', 'p.lat', 'o.lon_pnt', 'o.lat_pnt')} as away, en, off, aeff, bias from photons p join runs_irf o using (obs_id)) select event_id, round({I.value_sql('aeff', 'energy', 'away')}, 6) as aeff, round({I.value_sql('bias', 'energy', 'away')}, 6) as bias from {I.placed_sql('w', 'energy', 'away')}", D.SQL)
+def r1_interpolated(spark, sf):
+    """The area and the bias of its run's own response at each photon's energy and offset."""
+    events = D.photons(spark, sf)
+    runs = runs_with_responses(spark, sf, D.observations(events), ["aeff", "bias"])
+    placed = S.with_pointing(events, runs, "lon_pnt", "lat_pnt", "aeff", "bias").withColumn("away", sky.separation("lon", "lat", "lon_pnt", "lat_pnt"))
+    return placed.select("event_id", *[F.round(I.value(F.col(c), F.col("energy"), F.col("away")), 6).alias(c) for c in ("aeff", "bias")])
+
+
 @query("r2_psf_containment", ", p as (select vec_id, i as rad_i, i * 0.05::double + 0.025::double as rad, flux[i + 1] as v, (i * 0.05::double + 0.025::double) * 0.05::double as solid from bands, lateral (select unnest(range(len(flux))) as i) t), c as (select vec_id, rad, abs(sum(v * solid) over (partition by vec_id order by rad rows between unbounded preceding and current row) / sum(v * solid) over (partition by vec_id) - 0.68::double) as miss from p) select vec_id, round(min_by(rad, (miss, rad)), 6) as radius from c group by vec_id", D.SQL)
 def r2(spark, sf):
     p = D.band_arrays(spark, sf).select("vec_id", F.posexplode("flux").alias("i", "value"))

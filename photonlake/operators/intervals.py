@@ -22,20 +22,6 @@ def union(df: DataFrame, keys: list[str], merge_equal: bool = True, overlap_ok:
     return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
 
 
-def union_global(df: DataFrame, slice_s: int) -> DataFrame:
-    """Union over all rows without one task sorting them all: merge within time slices, then what reaches over their edges.
-
-    An interval belongs to the slice of its start. Of what the slices leave, only those that cross the edge of their
-    slice, and those that start inside such a one, can still merge.
-    """
-    at = lambda c: F.floor(F.col(c) / slice_s)
-    islands = union(df.select("start", "stop", at("start").alias("slice")), ["slice"])
-    crossing = islands.filter(at("stop") > F.col("slice"))
-    covered = crossing.select(F.explode(F.sequence(F.col("slice") + 1, at("stop"))).alias("slice"), "stop").groupBy("slice").agg(F.max("stop").alias("until"))
-    marked = islands.join(covered, "slice", "left").withColumn("open", (at("stop") > F.col("slice")) | F.coalesce(F.col("start") <= F.col("until"), F.lit(False)))
-    return marked.filter("not open").select("start", "stop").union(union(marked.filter("open").select("start", "stop"), []).select("start", "stop"))
-
-
 def crop(df: DataFrame, low, high, inverted: bool = False) -> DataFrame:
     """Intervals cut to a window; inverted, those that do not touch it at all."""
     touches = (F.col("start") <= high) & (F.col("stop") > low)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Callable
 
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photonlake.operators import nearest
+
 
 def fill(events: DataFrame, bins: dict[str, Column], weight: Column | None = None) -> DataFrame:
     """Counts, or summed weights, per bin; rows with a null bin lie outside. Partial sums precede the shuffle of bins."""
@@ -79,48 +80,50 @@ def quantiles(df: DataFrame, keys: list[str], **wanted: tuple[str, float]) -> Da
 def overall_quantile(df: DataFrame, value: str, q: float, rows: int = 1_000_000) -> float | None:
     """The exact interpolated quantile of a whole column; null values are passed over.
 
-    Approximate quantiles close a bracket around the rank until ``rows`` rows at most are left in it, which are then sorted.
+    The two ranks next to it are looked up. For each, approximate quantiles close a bracket around the rank; how many values lie below,
+    at and between its ends tells whether the rank is at an end (however many values tie there) or inside,
+    until ``rows`` values at most are left, which are then sorted.
     """
     v = F.col(value).cast("double")
-    inside, below = df.filter(v.isNotNull()).select(v.alias("v")), 0
-    n = left = inside.count()
+    inside = df.filter(v.isNotNull()).select(v.alias("v"))
+    n = inside.count()
     if not n:
         return None
     at = (n - 1) * q
-    while left > rows:
-        share = [min(1.0, max(0.0, (k - below) / left)) for k in (math.floor(at) - left / 1000, math.ceil(at) + left / 1000)]
-        low, high = inside.agg(F.percentile_approx("v", share, 10_000).alias("b")).first()["b"]
-        closer = inside.filter(F.col("v").between(low, high))
-        before, now = inside.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-        if not below + before <= math.floor(at) or math.ceil(at) >= below + before + now:
-            break
-        if low == high:
-            return low
-        if now == left:
-            break
-        inside, below, left = closer, below + before, now
-    rank = F.row_number().over(Window.orderBy("v")) - 1 + below
-    a, b = inside.select("v", rank.alias("r")).filter(F.col("r").isin(math.floor(at), math.ceil(at))).agg(F.min("v"), F.max("v")).first()
+    a = _ranked(inside, math.floor(at), n, rows)
+    b = a if math.ceil(at) == math.floor(at) else _ranked(inside, math.ceil(at), n, rows)
     return a + (b - a) * (at - math.floor(at))
 
 
-def nearest_set(pixels: DataFrame, set_: DataFrame, size: int) -> DataFrame:
-    """(px, py, d2): squared distance of each pixel to the nearest set one, on a map of at most ``size`` pixels a side.
-
-    Pixels meet the set ones of their own and the neighbouring cells. Cells grow by four in each round, and only pixels
-    that have found none within a cell's width go on.
-    """
-    left, out, width = pixels.select("px", "py"), [], 2
-    while True:
-        cell = lambda c, d=width: F.floor(F.col(c) / d)
-        near = set_.select(F.col("px").alias("sx"), F.col("py").alias("sy"), F.explode(F.sequence(cell("px") - 1, cell("px") + 1)).alias("cx"), cell("py").alias("_y")).withColumn("cy", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1)))
-        met = left.withColumn("cx", cell("px")).withColumn("cy", cell("py")).join(near, ["cx", "cy"])
-        d2 = F.min(F.pow(F.col("px") - F.col("sx"), 2) + F.pow(F.col("py") - F.col("sy"), 2))
-        found = met.groupBy("px", "py").agg(d2.alias("d2")).filter(F.col("d2") <= width * width)
-        out.append(found)
-        if width >= 2 * size:
-            return functools.reduce(DataFrame.union, out)
-        left, width = left.join(found, ["px", "py"], "left_anti"), 4 * width
+def _ranked(values: DataFrame, rank: int, n: int, rows: int) -> float:
+    """The value of a rank (from 0) among ``n`` values."""
+    inside, below, left = values, 0, n
+    while left > rows:
+        share = [min(1.0, max(0.0, (rank - below + d) / left)) for d in (-left / 1000, left / 1000)]
+        low, high = inside.agg(F.percentile_approx("v", share, 10_000).alias("b")).first()["b"]
+        x = F.col("v")
+        before, first, between, last = inside.agg(F.count_if(x < low), F.count_if(x == low), F.count_if((x > low) & (x < high)), F.count_if((x == high) & (x > low))).first()
+        place = rank - below
+        if before <= place < before + first:
+            return low
+        if before + first + between <= place < before + first + between + last:
+            return high
+        if place < before:
+            inside, left = inside.filter(x < low), before
+        elif place < before + first + between:
+            inside, below, left = inside.filter((x > low) & (x < high)), below + before + first, between
+        else:
+            gone = before + first + between + last
+            inside, below, left = inside.filter(x > high), below + gone, left - gone
+    return inside.orderBy("v").offset(rank - below).limit(1).first()["v"]
+
+
+def nearest_set(pixels: DataFrame, set_: DataFrame) -> DataFrame:
+    """(px, py, d2): squared distance of each pixel to the nearest set one; without any there is no row."""
+    number = (F.shiftleft(F.col("px").cast("bigint"), 32) + F.col("py")).alias("_pixel")
+    found = nearest.nearest(pixels.select(number, "px", "py").distinct(), set_.select(number, "px", "py").distinct().withColumnRenamed("_pixel", "_set"), ["px", "py"], "_pixel", "_set")
+    px = F.shiftright(F.col("_pixel") + (1 << 31), 32)
+    return found.select(px.cast("int").alias("px"), (F.col("_pixel") - F.shiftleft(px, 32)).cast("int").alias("py"), F.col("distance").alias("d2"))
 
 
 def downsample(df: DataFrame, factor: int, preserve_counts: bool = True, others: tuple[str, ...] = ()) -> DataFrame:
@@ -284,11 +287,3 @@ def cumulative(df: DataFrame, keys: list[str], order: str, value: str = "value")
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.withColumn("upto", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("before", F.col("upto") - F.col(value)).withColumn("total", F.sum(value).over(Window.partitionBy(*keys)))
-
-
-def containment(df: DataFrame, keys: list[str], fraction: float, order: list[Column], what: str) -> DataFrame:
-    """The ``what`` of the row at which the share of the sorted running sum comes closest to ``fraction``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("value").over(w) / F.sum("value").over(Window.partitionBy(*keys))
-    near = df.withColumn("miss", F.abs(share - fraction))
-    return near.groupBy(*keys).agg(F.min(F.struct("miss", what)).alias("m")).select(*keys, F.col(f"m.{what}").alias(what))

@@ -1,41 +1,11 @@
-"""Instrument responses: lookups on small grids, exposure and background maps, norm fits."""
+"""Instrument responses: lookups in bins and moments; norm fits in SQL."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Grid:
-    """A response on nodes of energy (logarithmic) and offset; what lies outside takes ``fill``."""
-
-    energy: tuple[float, ...]
-    offset: tuple[float, ...]
-    values: tuple[tuple[float, ...], ...]
-    fill: float = 0.0
-
-    def value(self, energy: Column, offset: Column) -> Column:
-        """Linear in log energy and in offset; the nodes are literals of the expression."""
-        le, nodes = F.log(energy), [math.log(e) for e in self.energy]
-        at = lambda x, edges: F.least(F.greatest(F.size(F.filter(F.array(*map(F.lit, edges)), lambda n: n <= x)) - 1, F.lit(0)), F.lit(len(edges) - 2))
-        table = F.array(*[F.array(*map(F.lit, row)) for row in self.values])
-        nodes_, offs = F.array(*map(F.lit, nodes)), F.array(*map(F.lit, self.offset))
-
-        def inner(k: Column) -> Column:
-            i, j = k["i"], k["j"]
-            a = (le - nodes_[i]) / (nodes_[i + 1] - nodes_[i])
-            b = (offset - offs[j]) / (offs[j + 1] - offs[j])
-            return (1 - a) * ((1 - b) * table[i][j] + b * table[i][j + 1]) + a * ((1 - b) * table[i + 1][j] + b * table[i + 1][j + 1])
-
-        inside = (le >= nodes[0]) & (le <= nodes[-1]) & (offset >= self.offset[0]) & (offset <= self.offset[-1])
-        spot = F.struct(at(le, nodes).alias("i"), at(offset, self.offset).alias("j"))
-        return F.when(inside, F.element_at(F.transform(F.array(spot), inner), 1)).otherwise(self.fill)
-
-
 def nearest_bin(df: DataFrame, table: DataFrame, energy: str, offset: str) -> DataFrame:
     """Rows with the value of the response bin (e_lo, e_hi, o_lo, o_hi, value) they fall in; null outside. The table is an axis product."""
     inside = (F.col(energy) >= F.col("e_lo")) & (F.col(energy) < F.col("e_hi")) & (F.col(offset) >= F.col("o_lo")) & (F.col(offset) < F.col("o_hi"))
@@ -61,42 +31,6 @@ def dispersion_moments(df: DataFrame, keys: list[str]) -> DataFrame:
 HALVINGS = 60
 
 
-def fit_norms(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, norm, norm_err, ts) per group of bins (counts, background, signal): one flux point, one map pixel.
-
-    The norm maximises the Poisson likelihood of background + norm * signal. Its derivative grows with the norm where
-    all predictions are positive, so the interval is halved. Bins alike are one entry with a multiplicity, counted by
-    an aggregation with partial sums, so that a group's row has one entry per distinct bin. Without counts the norm is
-    the lowest that leaves no prediction negative, without an error; without signal there is none.
-    """
-    bins = df.groupBy(*keys, "counts", "background", "signal").agg(F.count("*").alias("times"))
-    item = F.struct(F.col("counts").cast("double").alias("n"), F.col("background").cast("double").alias("b"), F.col("signal").cast("double").alias("s"), F.col("times").cast("double").alias("m"))
-    rows = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("signal") > 0, item))).alias("x"))
-    total = lambda f: F.aggregate("x", F.lit(0.0), lambda t, x: t + x["m"] * f(x))
-    rows = rows.withColumn("lowest", -F.array_min(F.transform("x", lambda x: x["b"] / x["s"]))).withColumn("highest", F.array_max(F.transform("x", lambda x: x["n"] / x["s"])) + 1.0)
-    rows = rows.withColumn("all", total(lambda x: x["n"])).withColumn("signals", total(lambda x: x["s"]))
-    tiny = F.lit(1e-300)
-
-    def halve(z: Column, _: Column) -> Column:
-        middle = (z["low"] + z["high"]) / 2
-        slope = total(lambda x: x["s"] * (1 - x["n"] / F.greatest(middle * x["s"] + x["b"], tiny)))
-        return F.struct(F.when(slope < 0, middle).otherwise(z["low"]).alias("low"), F.when(slope < 0, z["high"]).otherwise(middle).alias("high"))
-
-    begin = F.struct((F.col("lowest") + 1e-9 * (1 + F.abs("lowest"))).alias("low"), F.col("highest").alias("high"))
-    rows = rows.withColumn("norm", F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), begin, halve, lambda z: (z["low"] + z["high"]) / 2))
-    mu, null = (lambda x: F.greatest(F.col("norm") * x["s"] + x["b"], tiny)), (lambda x: F.greatest(x["b"], F.lit(1e-25)))
-    stat = lambda x, y: y - F.when(x["n"] > 0, x["n"] * F.log(y)).otherwise(0.0)
-    ts = total(lambda x: 2 * (stat(x, null(x)) - stat(x, mu(x))))
-    error = 1 / F.sqrt(total(lambda x: x["n"] * x["s"] * x["s"] / (mu(x) * mu(x))))
-    none, empty = F.size("x") == 0, F.col("all") == 0
-    return rows.select(
-        *keys,
-        F.when(none, None).when(empty, F.col("lowest")).otherwise(F.col("norm")).alias("norm"),
-        F.when(none | empty, None).otherwise(error).alias("norm_err"),
-        F.when(none, None).when(empty, 2 * F.col("lowest") * F.col("signals")).otherwise(ts).alias("ts"),
-    )
-
-
 def fit_sql(bins: str, keys: str) -> str:
     """The same fit in SQL over ``bins`` (keys, counts, background, signal), as a recursion of halvings."""
     on = " and ".join(f"x.{k} = r.{k}" for k in keys.split(", "))

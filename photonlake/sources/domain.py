@@ -83,6 +83,32 @@ def band_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.abs(x)).alias("flux"))
 
 
+def response_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(irf_id, kind, energy, offset, value): effective area, energy bias and background rate of each response, on eight energies and eight offsets of its own.
+
+    Embeddings lend their values; those of fewer than 64 components are no response.
+    """
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("irf_id"), F.col("embedding").cast("array<double>").alias("x")).filter(F.size("x") >= 64)
+    k = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")
+    n = v.select("irf_id", "x", k).withColumn("c", F.abs(F.get("x", F.col("k")))).withColumn("i", F.floor(F.col("k") / 8).cast("double")).withColumn("j", (F.col("k") % 8).cast("double"))
+    energy = 0.05 * (1 + 0.1 * (F.col("irf_id") % 4)) * F.pow(F.lit(4.0), "i")
+    offset = 0.4 * (1 + 0.05 * (F.col("irf_id") % 3)) * F.col("j")
+    kinds = {
+        "aeff": (F.col("i") + 1) * (F.col("i") + 1) / (1 + 0.3 * F.col("j")) * (1 + F.col("c") / 2),
+        "bias": 0.8 / ((F.col("i") + 1) * (F.col("i") + 1)) - 0.05 * F.col("c"),
+        "bkg": (0.1 + F.col("c")) / ((F.col("i") + 1) * (F.col("i") + 1) * (F.col("i") + 1) * (F.col("j") + 1)),
+    }
+    values = F.explode(F.array(*[F.struct(F.lit(name).alias("kind"), x.alias("value")) for name, x in kinds.items()])).alias("v")
+    return n.select("irf_id", energy.alias("energy"), offset.alias("offset"), values).select("irf_id", "v.kind", "energy", "offset", "v.value")
+
+
+def run_responses(spark: SparkSession, sf_dir: str, obs: DataFrame) -> DataFrame:
+    """The runs with the name of their response and the energies that it gives as safe (null: none)."""
+    n = read(spark, sf_dir, "embeddings").agg(F.count("*").alias("n_irf"))
+    named = obs.crossJoin(F.broadcast(n)).withColumn("irf_id", F.col("obs_id") % F.col("n_irf")).drop("n_irf")
+    return named.withColumn("lo_thres", F.when(F.col("irf_id") % 2 == 1, 2.5)).withColumn("hi_thres", F.when(F.col("irf_id") % 5 == 0, 7.6))
+
+
 def counts_map(events: DataFrame) -> DataFrame:
     """(px, py, e, counts): a counts cube with 41 x 41 pixels of 0.1 degrees and four energy bins of 2.5."""
     px = F.floor((F.col("lon") + 2.0005) / 0.1).cast("int")
@@ -122,6 +148,21 @@ with photons as (
 )
 """
 
+#: Responses, their values in lists, for each run (after ``SQL``).
+IRF_SQL = """
+, irf as (
+  select vec_id as irf_id, list_transform(range(8), lambda i: 0.05::double * (1 + 0.1::double * (vec_id % 4)) * power(4.0::double, i)) as en,
+    list_transform(range(8), lambda j: 0.4::double * (1 + 0.05::double * (vec_id % 3)) * j) as off,
+    list_transform(range(64), lambda k: (k // 8 + 1) * (k // 8 + 1) / (1 + 0.3::double * (k % 8)) * (1 + abs(embedding[k + 1]::double) / 2)) as aeff,
+    list_transform(range(64), lambda k: 0.8::double / ((k // 8 + 1) * (k // 8 + 1)) - 0.05::double * abs(embedding[k + 1]::double)) as bias,
+    list_transform(range(64), lambda k: (0.1::double + abs(embedding[k + 1]::double)) / ((k // 8 + 1) * (k // 8 + 1) * (k // 8 + 1) * (k % 8 + 1))) as bkg
+  from embeddings
+), runs_irf as (
+  select obs.*, irf.*, case when irf_id % 2 = 1 then 2.5::double end as lo_thres, case when irf_id % 5 = 0 then 7.6::double end as hi_thres
+  from obs join irf on irf_id = obs_id % (select count(*) from embeddings)
+)
+"""
+
 
 def image(cube: DataFrame) -> DataFrame:
     """(px, py, counts): the cube summed over energy."""

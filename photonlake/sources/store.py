@@ -81,3 +81,16 @@ def copy_observations(tables: dict[str, DataFrame], wanted: DataFrame, path: str
 
 def read_copy(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}").drop("part")
+
+
+class Rounds:
+    """Tables that the rounds of an iteration write and reread below a new folder, so that plans do not grow and a lost executor costs a reread."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.n = spark, new_folder(spark, label), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from photonlake.functions import healpix, special, stats
 from photonlake.functions.axis import Axis
-from photonlake.operators import crossmatch, intervals, lightcurve, maps
+from photonlake.operators import crossmatch, intervals, lightcurve, maps, scan
 from photonlake.operators import selection as S
 
 
@@ -90,7 +90,7 @@ def test_interval_union(spark):
     merged = intervals.union(gti, ["k"])
     assert pairs_of(merged, "start", "stop") == [(1, 4), (5, 8)]
     assert pairs_of(intervals.union(merged, ["k"]), "start", "stop") == [(1, 4), (5, 8)]
-    assert pairs_of(intervals.union_global(gti.drop("k"), 3), "start", "stop") == [(1, 4), (5, 8)]
+    assert pairs_of(scan.interval_union(gti.drop("k"), 3), "start", "stop") == [(1, 4), (5, 8)]
     touching = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], "k int, start bigint, stop bigint")
     assert len(intervals.union(touching, ["k"]).collect()) == 1
     assert len(intervals.union(touching, ["k"], merge_equal=False).collect()) == 2

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photonlake.operators import intervals, lightcurve, maps, reduction, responses
+from photonlake.operators import fits, lightcurve, maps, reduction, scan
 from photonlake.sources import store
 
 
@@ -58,7 +58,7 @@ def test_norms_maximise_the_likelihood(spark):
     rows = [(k, float(rng.poisson(3 + k)), 1.0 + (i % 3), 0.5 + (i % 2)) for k in range(4) for i in range(40)]
     rows += [(7, 0.0, 2.0, 1.0), (7, 0.0, 1.0, 2.0), (8, 5.0, 1.0, 0.0)]
     df = spark.createDataFrame(rows, "k int, counts double, background double, signal double")
-    got = {r.k: r for r in responses.fit_norms(df, ["k"]).collect()}
+    got = {r.k: r for r in fits.fit_norms(df, ["k"]).collect()}
     for k in range(4):
         n, b, s = np.array([r[1:] for r in rows if r[0] == k]).T
         stat = lambda x: 2 * (b + x * s - n * np.log(b + x * s)).sum()  # noqa: B023, E731
@@ -74,7 +74,7 @@ def test_nearest_set_and_quantiles(spark):
     pixels = [(int(i % 30), int(i // 30)) for i in range(900)]
     spots = [(3, 4), (28, 29), (0, 27)]
     frame = lambda rows: spark.createDataFrame(rows, "px int, py int")
-    got = {(r.px, r.py): r.d2 for r in maps.nearest_set(frame(pixels), frame(spots), 30).collect()}
+    got = {(r.px, r.py): r.d2 for r in maps.nearest_set(frame(pixels), frame(spots)).collect()}
     assert got == {p: min((p[0] - x) ** 2 + (p[1] - y) ** 2 for x, y in spots) for p in pixels}
     values = rng.poisson(4, 501)
     df = spark.createDataFrame([(int(v),) for v in values], "value int")
@@ -93,6 +93,10 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(float(v),) for v in many], "v double")
     for q in (0.0, 0.003, 0.5, 0.9, 1.0):
         assert maps.overall_quantile(df, "v", q, rows=100) == pytest.approx(np.quantile(many, q))
+    ties = spark.createDataFrame([(float(i % 5 == 0),) for i in range(5001)] + [(0.5,)] * 7, "v double")
+    values = np.array([r.v for r in ties.collect()])
+    for q in (0.0, 0.1, 0.7999, 0.8003, 0.81, 1.0):
+        assert maps.overall_quantile(ties, "v", q, rows=10) == pytest.approx(np.quantile(values, q))
     assert maps.overall_quantile(df.limit(0), "v", 0.5) is None
 
 
@@ -135,8 +139,9 @@ def test_global_union_over_slices(spark):
             want[-1][1] = max(want[-1][1], b)
         else:
             want.append([a, b])
-    got = intervals.union_global(spark.createDataFrame(rows, "start bigint, stop bigint"), 250).collect()
-    assert sorted([r.start, r.stop] for r in got) == want
+    for slices in (1, 3, 40):
+        got = scan.interval_union(spark.createDataFrame(rows, "start bigint, stop bigint"), slices).collect()
+        assert sorted([r.start, r.stop] for r in got) == want
 
 
 def test_stores_round_trip(spark, tmp_path):
