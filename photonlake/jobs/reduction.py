@@ -52,10 +52,10 @@ def responses(runs):
     """
     away = sky.separation(0.0, 0.0, "lon_pnt", "lat_pnt")
     edges = [_FROM, *(E * i for i in range(1, 5))]
-    rows = runs.withColumn("away", away).withColumn("_bkg", I.per_bin(F.col("bkg"), edges, F.col("away")))
-    at = lambda kind, i: I.value(F.col(kind), F.lit((i * E + (i + 1) * E) / 2), F.col("away"))
-    bins = [F.struct(F.lit(i).alias("e"), F.lit(i * E).alias("e_lo"), F.lit((i + 1) * E).alias("e_hi"), at("aeff", i).alias("aeff"), at("bias", i).alias("bias"), F.get("_bkg", F.lit(i)).alias("bkg")) for i in range(4)]
-    return rows.select("obs_id", F.explode(F.array(*bins)).alias("b"), "lo_thres", "hi_thres").select("obs_id", "b.*", "lo_thres", "hi_thres")
+    mid = [(i * E + (i + 1) * E) / 2 for i in range(4)]
+    values = [I.at_energies(F.col("aeff"), mid, away).alias("aeff"), I.at_energies(F.col("bias"), mid, away).alias("bias"), I.per_bin(F.col("bkg"), [_FROM, *(E * i for i in range(1, 5))], away).alias("bkg")]
+    rows = runs.select("obs_id", "lo_thres", "hi_thres", F.posexplode(F.arrays_zip(*values)).alias("e", "b"))
+    return rows.select("obs_id", "e", (F.col("e") * E).alias("e_lo"), ((F.col("e") + 1) * E).alias("e_hi"), "b.*", "lo_thres", "hi_thres")
 
 
 def _safe(spark, sf):
@@ -122,7 +122,7 @@ def d13(spark, sf):
     runs = responses_.join(safe.groupBy("obs_id").agg(F.collect_set("e").alias("safe")), "obs_id").withColumnsRenamed({"lon_pnt": "lon2", "lat_pnt": "lat2"})
     pixels = M.grid(spark, 9, 9).withColumn("lon", F.col("px") * 0.5 - 2).withColumn("lat", F.col("py") * 0.5 - 2)
     met = crossmatch.within(pixels, runs, 1.00003).withColumn("bg", I.per_bin(F.col("bkg"), [_FROM, *(E * i for i in range(1, 5))], F.col("separation")))
-    areas = F.array(*[I.value(F.col("aeff"), F.lit((i + 0.5) * E), F.col("separation")) for i in range(4)])
+    areas = I.at_energies(F.col("aeff"), [(i + 0.5) * E for i in range(4)], F.col("separation"))
     met = met.select("px", "py", "livetime", "ontime", "safe", F.posexplode(F.arrays_zip(areas.alias("a"), F.col("bg").alias("b"))).alias("e", "v")).filter(F.array_contains("safe", F.col("e")))
     maps = met.groupBy("px", "py", "e").agg((F.sum(F.col("v.a") * F.col("livetime")) / 1e6).alias("exposure"), F.sum(F.col("v.b") * F.col("ontime")).alias("bg"))
     both = maps.join(counts, ["px", "py", "e"], "full_outer")

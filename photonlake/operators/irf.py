@@ -91,11 +91,19 @@ def with_responses(runs: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     return runs.join(tables, key)
 
 
+def at_energies(table: Column, energies: list[float], offset: Column, log: bool = False) -> Column:
+    """An array of the response's values at several energies."""
+    return F.transform(F.array(*map(F.lit, energies)), lambda e: value(table, e, offset, log))
+
+
 def per_bin(table: Column, edges: list[float], offset: Column, log: bool = True) -> Column:
     """An array of the response's integral over each energy bin between ``edges``, by power laws through the values at the edges."""
-    at = [value(table, F.lit(e), offset, log) for e in edges]
-    pieces = zip(edges[:-1], edges[1:], range(len(edges) - 1), strict=True)
-    return F.element_at(F.transform(F.array(F.array(*at)), lambda y: F.array(*[loglog_integral(F.lit(a), y[i], F.lit(b), y[i + 1]) for a, b, i in pieces])), 1)
+    x = F.array(*map(F.lit, edges))
+
+    def bins(y: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(edges) - 2)), lambda i: loglog_integral(F.get(x, i), F.get(y, i), F.get(x, i + 1), F.get(y, i + 1)))
+
+    return F.element_at(F.transform(F.array(at_energies(table, edges, offset, log)), bins), 1)
 
 
 def exposure(met: DataFrame, keys: list[str], centers: list[float], area: str = "aeff") -> DataFrame:
@@ -103,11 +111,10 @@ def exposure(met: DataFrame, keys: list[str], centers: list[float], area: str =
 
     ``exposure`` sums area times live time over the runs, ``livetime`` the live time that would give it on the axis.
     """
-    zero = F.lit(0.0)
-    pieces = [F.struct(F.lit(i).alias("e"), value(F.col(area), F.lit(c), F.col("separation")).alias("a"), value(F.col(area), F.lit(c), zero).alias("axis")) for i, c in enumerate(centers)]
-    spread = met.select(*keys, "livetime", F.explode(F.array(*pieces)).alias("p"))
+    both = F.arrays_zip(at_energies(F.col(area), centers, F.col("separation")).alias("a"), at_energies(F.col(area), centers, F.lit(0.0)).alias("axis"))
+    spread = met.select(*keys, "livetime", F.posexplode(both).alias("e", "p"))
     share = F.when(F.col("p.axis") > 0, F.col("p.a") / F.col("p.axis")).otherwise(0.0)
-    return spread.groupBy(*keys, F.col("p.e").alias("e")).agg(F.sum(F.col("p.a") * F.col("livetime")).alias("exposure"), F.sum(share * F.col("livetime")).alias("livetime"))
+    return spread.groupBy(*keys, "e").agg(F.sum(F.col("p.a") * F.col("livetime")).alias("exposure"), F.sum(share * F.col("livetime")).alias("livetime"))
 
 
 def background(met: DataFrame, keys: list[str], edges: list[float], rate: str = "bkg") -> DataFrame:
