@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.llm import bytescan as B
+from photonlake.llm.columns import let
 from photonlake.llm.skew import with_groups
 from photonlake.llm.storage import Scratch, bounded_batches
 
@@ -182,14 +183,34 @@ class LanguageId:
 SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "net", "or", "org")
 
 
+def _without(html: Column, opener: str, closer: str, stray: str) -> Column:
+    """The text without what lies between an opener and the next closer (patterns of bounded length); a closer without an opener becomes ``stray``.
+
+    The text is split at the closers and each piece is looked at once, so the time grows with the length, whatever stays open.
+    """
+
+    def kept(piece: Column, i: Column, last: Column) -> Column:
+        at = F.regexp_instr(piece, F.lit(opener))
+        return F.when(i == last, piece).when(at > 0, F.concat(F.substring(piece, F.lit(1), at - 1), F.lit(" "))).otherwise(F.concat(piece, F.lit(stray)))
+
+    def joined(pieces: Column) -> Column:
+        return F.array_join(F.transform(pieces, lambda p, i: kept(p, i, F.size(pieces) - 1)), "")
+
+    return let(F.split(html, closer), joined)
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """Text, declared language and address parts of raw pages.
 
-    Null pages and addresses have none of these; a host without a dot has no suffix and is its own domain.
+    Comments, scripts, styles, tags and entities are no text. What is not closed stays; a tag ends at the next angle bracket, so
+    that the time grows with the page's length. Null pages and addresses have none of these; a host without a dot has no suffix and is its own domain.
     """
     html = F.coalesce("html", F.lit(""))
-    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&[#\w]+;", " ")
-    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    text = _without(html, "<!--", "-->", "-->")
+    for name in ("script", "style"):
+        text = _without(text, rf"(?i)<{name}\b", rf"(?i)</{name}>", " ")
+    text = F.regexp_replace(text, r"<[^<>]*>|&[#\w]+;", " ")
+    declared = F.lower(F.regexp_extract(html, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     full = lambda c: F.when(c != "", c)
     rows = pages.select(F.col("page_id").cast("bigint").alias("id"), text.alias("text"), full(declared).alias("declared"), full(host).alias("host"))

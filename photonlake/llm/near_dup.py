@@ -49,10 +49,12 @@ class NearDuplicates:
 
     ``run`` returns a row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable),
     kept. Rows without words link with nothing; rows with a null doc_id take no part and are kept; rows
-    that repeat a doc_id belong together by that id.
+    that repeat a doc_id belong together by that id, and so does what their texts are linked with. ``exact`` holds whole sets
+    in place of sketches, so that no pair at the threshold is missed; it posts a quarter of all shingles.
     """
 
-    def __init__(self, spark: SparkSession, percent: int = 75, k: int = 64, rounds: int = 2, long_list: int = 24):
+    def __init__(self, spark: SparkSession, percent: int = 75, k: int = 64, rounds: int = 2, long_list: int = 24, exact: bool = False):
+        k = (1 << 31) - 1 if exact else k
         self.spark, self.percent, self.k, self.rounds, self.long_list = spark, percent, k, rounds, long_list
         self.least = least_shared(k, percent / 100)
         self.far = least_shared(k, max(0.0, 2 * percent / 100 - 1))
@@ -66,12 +68,22 @@ class NearDuplicates:
         postings = self.scratch.table(self._postings(sketched, classes), "postings")
         known, open_ = self._stars(sketched, docs, postings)
         rest = self._rest(sketched, docs, open_, known)
-        links = known.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
-        found = components(links, self.scratch, "all")
         mine = sketched.select("doc_id", "n_shingles", "f1", "f2")
         own = mine.filter("doc_id is not null and n_shingles > 0").join(classes.select("n_shingles", "f1", "f2", "rep"), ["n_shingles", "f1", "f2"])
+        links = known.filter("linked").select("a", "b").union(rest.filter("linked").select("a", "b"))
+        repeated = self.scratch.table(mine.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1"), "repeated")
+        again = not repeated.isEmpty()
+        if again:
+            # All classes of a repeated id are linked through the smallest of them.
+            of_id = self.scratch.table(own.join(repeated, "doc_id", "left_semi").select("doc_id", "rep").distinct(), "repeated-classes")
+            first = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"))
+            links = links.union(of_id.join(first, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b"))
+        found = components(links, self.scratch, "all")
         placed = own.join(found, own.rep == found.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
         alone = mine.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        if again:
+            known_ids = placed.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))
+            alone = alone.join(known_ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("of_id", "component_id").alias("component_id"))
         return placed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
     def _classes(self, sketched: DataFrame) -> DataFrame:

@@ -54,6 +54,38 @@ def test_near_duplicates_on_odd_rows(spark, odd, nothing):
     assert NearDuplicates(spark).run(nothing).count() == 0
 
 
+def test_near_duplicates_belong_together_by_id(spark):
+    """An id with two unlike texts connects what either is linked with; its empty rows go with it."""
+    other = " ".join(f"u{i}" for i in range(40))
+    df = table(spark, [(3, BASE, "en", "a"), (5, BASE, "en", "a"), (5, other, "en", "a"), (9, other, "en", "a"), (9, "", "en", "a"), (11, "", "en", "a"), (11, None, "en", "a")])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in NearDuplicates(spark).run(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False), (11, 11, True), (11, 11, True)]
+
+
+def test_near_duplicates_exactly_at_the_threshold(spark):
+    """Whole sets in place of sketches: pairs that share exactly three quarters of their shingles, and those that just do not."""
+    words = [f"v{i}" for i in range(600)]
+    docs = []
+    for n in range(12, 212, 8):  # the two texts of a pair share their first n shingles of n + n / 6 each: 6 n / 8 n
+        extra = n // 6
+        if n % 6 == 0:
+            docs += [(len(docs), " ".join([f"p{n}"] + words[: n + 3] + [f"a{n}x{i}" for i in range(extra - 1)])), (len(docs) + 1, " ".join([f"p{n}"] + words[: n + 3] + [f"b{n}x{i}" for i in range(extra - 1 + n // 96)]))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r.component_id for r in NearDuplicates(spark, exact=True).run(table(spark, docs)).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     docs = []

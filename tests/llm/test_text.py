@@ -8,9 +8,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from photonlake.llm import bpe, bytescan, rans, shingles
+from photonlake.llm.language import page_rows
 
 PARTS = ["a", "b", "Z", "é", "ß", "中", "ू", "𝒳", "🙂", "1", "²", "Ⅷ", "'", "s", "t", "re", "ve", "ll", " ", "  ", "\n", "\t", " ", " ", "　", "-", "_", "\x1c", "\x85", "don't", "I'LL", " 's", "''s", "'sx", "<|endoftext|>", "​", "\r\n"]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -148,3 +150,24 @@ def test_slices_cover_long_and_sliced_columns():
     column = pa.array(["abc", None, "", "x" * 100, "de"]).slice(1)
     rows = [(data.tobytes(), offsets.tolist()) for _, _, data, offsets in bytescan.slices(column, 10)]
     assert b"".join(d for d, _ in rows) == b"x" * 100 + b"de"
+
+
+def test_pages_that_stay_open_take_linear_time(spark):
+    """Five megabytes of angle brackets, of open comments, scripts and html tags."""
+    import time
+
+    parts = {0: "<", 1: "<!--", 2: "<script", 3: "<html lang", 4: "&a", 5: "-->", 6: "</style>"}
+    pages = spark.createDataFrame([(k,) for k in parts], "page_id bigint")
+    html = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)])[F.col("page_id")]
+    pages = pages.withColumn("html", F.repeat(html, F.floor(5_000_000 / F.length(html)).cast("int"))).withColumn("url", F.lit("http://a.b.de/"))
+    began = time.time()
+    assert page_rows(pages).agg(F.sum(F.length("text"))).first()[0] > 0
+    assert time.time() - began < 60
+
+
+def test_comments_scripts_and_styles_go(spark):
+    html = 'a<!-- x <!-- y --> b <script src="1">if (a < b) "<p>"</SCRIPT>c<STYLE>p {}</style>d --> e<b class="x">f</b> &amp; <!-- open g <html lang=de>'
+    rows = spark.createDataFrame([(1, None, html), (2, "x", None), (3, "", "")], "page_id bigint, url string, html string")
+    got = {r.id: r for r in page_rows(rows).collect()}
+    assert got[1].text.split() == "a b c d --> e f <!-- open g".split() and got[1].declared == "de"
+    assert got[2].text == "" and got[2].declared is None and got[3].host is None
