@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from photonlake.functions import tails
+
 #: Fixed value: predicted counts below this are raised to it.
 TRUNCATION = 1e-25
 
@@ -69,6 +71,12 @@ def chi2_asymmetric(flux: Column, model: Column, errn: Column, errp: Column) ->
     return pull * pull
 
 
+def chi2_with_limits(flux: Column, model: Column, errn: Column, errp: Column, limit: Column) -> Column:
+    """As ``chi2_asymmetric``; a point with an upper ``limit`` (else null) counts by the complementary error function of the model's distance from it."""
+    share = tails.erfc((limit - model) / limit) / tails.erfc(F.lit(1.0))
+    return F.when(limit.isNull(), chi2_asymmetric(flux, model, errn, errp)).otherwise(2 * F.log(share))
+
+
 def nan_to_null(x: Column) -> Column:
     """Values that were not measured, as aggregates skip them."""
     return F.when(~F.isnan(x), x)

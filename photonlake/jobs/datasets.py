@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from photonlake.functions import sky, stats
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import datasets as DS
+from photonlake.operators import reproject as RP
 from photonlake.operators import maps as M
 from photonlake.operators import selection as S
 from photonlake.registry import query
@@ -101,6 +102,39 @@ def d2(spark, sf):
     return DS.stack(_sets(spark, sf), ["px", "py", "e"])
 
 
+_WHOLE = (
+    _SETS
+    + """, image as (select dataset, px, py, bool_or(mask_safe) as safe from sets group by all
+), ex as (select dataset, px, py, t::int as e_true, (1 + dataset + px + 0.5::double * t) as exposure from (select distinct dataset, px, py from sets), range(3) r(t)
+), live as (select (obs_id % 4)::int as dataset, sum(livetime) as livetime from obs group by 1)"""
+)
+
+
+def _whole(spark, sf):
+    """The four data sets with exposures in three true energies, live times and intervals."""
+    sets = _sets(spark, sf)
+    energies = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("e_true")
+    exposure = sets.select("dataset", "px", "py").distinct().select("dataset", "px", "py", energies).withColumn("exposure", 1 + F.col("dataset") + F.col("px") + 0.5 * F.col("e_true"))
+    of = (F.col("obs_id") % 4).cast("int").alias("dataset")
+    live = D.observations(D.photons(spark, sf)).groupBy(of).agg(F.sum("livetime").alias("livetime"))
+    return DS.stack_whole(sets, ["px", "py"], "e", exposure, "e_true", live, D.intervals(spark, sf).select(of, "start", "stop"))
+
+
+@query("d2_stack_exposure", _WHOLE + " select px, py, e_true, sum(case when safe then exposure else 0 end) as exposure from ex join image using (dataset, px, py) group by all", D.SQL)
+def d2_exposure(spark, sf):
+    return _whole(spark, sf)["exposure"]
+
+
+@query("d2_stack_livetime", _WHOLE + " select round(sum(livetime), 4) as livetime, count(*)::bigint as n_sets from live where dataset in (select dataset from sets where mask_safe)", D.SQL)
+def d2_livetime(spark, sf):
+    return _whole(spark, sf)["livetime"].withColumn("livetime", F.round("livetime", 4))
+
+
+@query("d2_stack_intervals", _WHOLE + ", g as (select * from gti where (obs_id % 4)::int in (select dataset from sets where mask_safe)), m as (select start, stop, max(stop) over (order by start, stop rows between unbounded preceding and 1 preceding) as reach from g), k as (select *, sum(case when reach is null or start > reach then 1 else 0 end) over (order by start, stop rows between unbounded preceding and current row) as island from m) select min(start) as start, max(stop) as stop from k group by island", D.SQL)
+def d2_intervals(spark, sf):
+    return _whole(spark, sf)["intervals"]
+
+
 _ONOFF = _RUN_BINS + ", oo as (select obs_id, e, counts, counts_off, 1.0::double + (obs_id % 3) as acceptance, 2.0::double + (obs_id % 5) as acceptance_off, (obs_id + e) % 6 <> 0 as mask_safe from runs)"
 
 
@@ -243,6 +277,43 @@ def d17(spark, sf):
     return folded.join(background, "e").select("e", F.round("v", 5).alias("sources"), F.round("b", 5).alias("background"), F.round(F.greatest(F.col("v") + F.col("b"), F.lit(0.0)), 5).alias("npred"))
 
 
+_PLANE = RP.Plane("car", 0.0, 0.0, 0.1, 0.1, 19.505, 19.505, 41, 41)
+_SIGMAS = {(e, o): 1.4 - 0.2 * e + 0.35 * o for e in range(4) for o in range(4)}
+_D17 = (
+    _DISP
+    + f""", live as (select sum(livetime) as t from obs), kern as (
+  select e_true, ob, dx, dy, w / sum(w) over (partition by e_true, ob) as p from (
+    select e::int as e_true, o::int as ob, i::int as dx, j::int as dy, exp(-(i * i + j * j) / (2 * power(1.4::double - 0.2::double * e + 0.35::double * o, 2))) as w from range(4) a(e), range(4) b(o), range(-4, 5) c(i), range(-4, 5) d(j))
+), fs as (
+  select i::int as e_true, ((source_id * 7919) % 4001)::double / 1000 - 2 as slon, ((source_id * 104729) % 4001)::double / 1000 - 2 as slat,
+    amplitude * 1e-9::double * (power(i + 0.5::double, 1 - index) - power(i + 1.5::double, 1 - index)) / (index - 1) as flux from sources, range(4) t(i)
+), spot as (
+  select e_true, flux, floor(slon / 0.1::double + 19.505::double + 0.5)::int as px, floor(slat / 0.1::double + 19.505::double + 0.5)::int as py, floor({sep_sql('slon', 'slat', '0.0', '0.0')} / 0.80007::double)::int as ob from fs
+), sp as (
+  select a.px + dx as px, a.py + dy as py, e_true, sum(flux * t * (e_true + 1) * (1 + 0.002::double * a.px) * p) as n from spot a join kern using (e_true, ob), live
+  where a.px between 0 and 40 and a.py between 0 and 40 and a.px + dx between 0 and 40 and a.py + dy between 0 and 40 group by 1, 2, 3
+), pr as (
+  select px, py, e_reco as e, n * p as v from sp join disp using (e_true) union all select px, py, e, counts * 0.3::double - 0.5::double from cube
+) select px, py, e, round(greatest(sum(v), 0), 5) as npred from pr group by px, py, e"""
+)
+
+
+@query("d17_predicted_map", _D17, D.SQL)
+def d17_map(spark, sf):
+    """Counts by pixel and energy: each source with the exposure of its pixel, a point spread of its energy and distance, the dispersion, and the background."""
+    events = D.photons(spark, sf)
+    live = D.observations(events).agg(F.sum("livetime").alias("t"))
+    e, g, k = F.col("e_true"), F.col("index"), F.col("source_id")
+    flux = F.col("amplitude") * 1e-9 * (F.pow(e + 0.5, 1 - g) - F.pow(e + 1.5, 1 - g)) / (g - 1)
+    lon, lat = F.pmod(k * 7919, F.lit(4001)) / 1000 - 2, F.pmod(k * 104729, F.lit(4001)) / 1000 - 2
+    sources = D.catalog(spark, sf).select("source_id", "index", "amplitude", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("e_true")).select(lon.alias("lon"), lat.alias("lat"), "e_true", flux.alias("flux"))
+    pixels = M.grid(spark, 41, 41).withColumn("e_true", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    exposure = pixels.crossJoin(F.broadcast(live)).select("px", "py", "e_true", (F.col("t") * (e + 1) * (1 + 0.002 * F.col("px"))).alias("exposure"))
+    background = D.counts_map(events).select("px", "py", "e", (F.col("counts") * 0.3 - 0.5).alias("value"))
+    kernel = RP.gaussian_kernels(spark, _SIGMAS, 4)
+    return RP.predict(sources, _PLANE, exposure, kernel, _dispersion(spark), background, 0.80007).withColumn("npred", F.round("npred", 5))
+
+
 @query("d18_reco_exposure", _DISP + " select e_reco, round(sum(p * counts * (e_true + 1) * 100) / sum(p * counts), 6) as exposure from disp join cube on e = e_true group by e_reco", D.SQL)
 def d18(spark, sf):
     """Exposure in reconstructed energy: the mean over true energies, weighted by their counts and the dispersion."""

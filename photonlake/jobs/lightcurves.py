@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from photonlake.functions import stats
+from photonlake.functions import stats, tails
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import lightcurve as L
 from photonlake.operators.nearest import nearest_on_sky
@@ -32,6 +32,15 @@ def v3(spark, sf):
     return L.constancy(D.light_curves(spark, sf), ["series"]).select("series", F.round("chi2", 2).alias("chi2"), "df")
 
 
+@query("v3_constancy_p_value", f", c as (select obs_id as series, floor(t_us / 86400000000)::bigint as day, count(*)::double as flux from photons group by all), m as (select *, avg(flux) over (partition by series) as m from c), q as (select series, sum((flux - m) * (flux - m) / m) as chi2, (count(*) - 1)::bigint as df from m group by series) select series, round(chi2, 5) as chi2, df, round({tails.gamma_tail_sql('(df / 2.0::double)', '(chi2 / 2)')}, 8) as p from q where df > 0", D.SQL)
+def v3_p(spark, sf):
+    """Photons of each run by day against a constant rate: chi-square and its probability."""
+    day = F.floor(F.col("t_us") / 86400000000).cast("bigint").alias("day")
+    counts = D.photons(spark, sf).groupBy(F.col("obs_id").alias("series"), day).agg(F.count("*").cast("double").alias("flux")).withColumn("err", F.lit(0.0))
+    c = L.constancy(counts, ["series"]).filter("df > 0")
+    return c.select("series", F.round("chi2", 5).alias("chi2"), "df", F.round(tails.chi2_tail(F.col("chi2"), F.col("df")), 8).alias("p"))
+
+
 _DT = ", p as (select series, day as t2, flux as f2, err as e2, lag(day) over w as t1, lag(flux) over w as f1, lag(err) over w as e1 from curves window w as (partition by series order by day)), q as (select series, (t1 + t2)::double / 2 as mid, (t2 - t1) / log2(f2 / f1) as dt, abs((t2 - t1) * ln(2) / power(ln(f2 / f1), 2) * sqrt(power(e2 / f2, 2) + power(e1 / f1, 2))) as de from p where f1 is not null and f1 <> f2)"
 
 
@@ -46,20 +55,37 @@ _V5 = " select a.series, b.day - a.day as lag, round(sum(power(b.flux - a.flux,
 _V6 = ", z as (select series, day, (flux - avg(flux) over (partition by series)) / sqrt(power(stddev_pop(flux) over (partition by series), 2) - power(avg(err) over (partition by series), 2)) as z from curves), a as (select series // 2 as pair, day, z from z where series % 2 = 0), b as (select series // 2 as pair, day, z from z where series % 2 = 1), c as (select a.pair, floor((a.day - b.day) / 7.0::double)::int as bin, a.z * b.z as p from a join b on a.pair = b.pair) select pair, bin, round(avg(p), 6) as dcf, round(case when count(*) > 1 then sqrt(var_pop(p) * count(*)) / (count(*) - 1) end, 6) as err, count(*)::bigint as n from c group by all"
 
 
+def _structure(spark, sf, rows):
+    return L.structure_function(D.light_curves(spark, sf), ["series"], "day", rows).select("series", "lag", F.round(F.col("sf") / 1e6, 4).alias("sf"), "n")
+
+
 @query("v5_structure_function", _V5, D.SQL)
-@query("v5_structure_function_all_lags", _V5, D.SQL)
 def v5(spark, sf):
-    return L.structure_function(D.light_curves(spark, sf), ["series"], "day").select("series", "lag", F.round(F.col("sf") / 1e6, 4).alias("sf"), "n")
+    return _structure(spark, sf, 512)
 
 
-@query("v6_discrete_correlation", _V6, D.SQL)
-@query("v6_discrete_correlation_all_lags", _V6, D.SQL)
-def v6(spark, sf):
+@query("v5_structure_function_all_lags", _V5, D.SQL)
+def v5_blocks(spark, sf):
+    """The same in blocks so small that each series is many pairs of blocks."""
+    return _structure(spark, sf, 128)
+
+
+def _correlation(spark, sf, rows):
     curves = D.light_curves(spark, sf).withColumnRenamed("day", "t").withColumn("pair", F.floor(F.col("series") / 2).cast("bigint"))
-    d = L.discrete_correlation(curves.filter("series % 2 = 0").drop("series"), curves.filter("series % 2 = 1").drop("series"), ["pair"], 7.0)
+    d = L.discrete_correlation(curves.filter("series % 2 = 0").drop("series"), curves.filter("series % 2 = 1").drop("series"), ["pair"], 7.0, rows)
     return d.select("pair", "bin", F.round("dcf", 6).alias("dcf"), F.round("err", 6).alias("err"), "n")
 
 
+@query("v6_discrete_correlation", _V6, D.SQL)
+def v6(spark, sf):
+    return _correlation(spark, sf, 512)
+
+
+@query("v6_discrete_correlation_all_lags", _V6, D.SQL)
+def v6_blocks(spark, sf):
+    return _correlation(spark, sf, 128)
+
+
 @query("w2_time_ordered", "select obs_id, count(*) filter (where d <= 0)::bigint as unordered from (select obs_id, t_us - lag(t_us) over (partition by obs_id order by event_id) as d from photons) group by obs_id", D.SQL)
 def w2(spark, sf):
     step = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("obs_id").orderBy("event_id"))

@@ -10,6 +10,7 @@ from photonlake.functions import sky
 from photonlake.functions.axis import Axis
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import maps as M
+from photonlake.operators import reproject as RP
 from photonlake.operators import scan
 from photonlake.operators import selection as S
 from photonlake.operators.crossmatch import within
@@ -75,17 +76,63 @@ def a10(spark, sf):
     return groups.join(met.groupBy("kind").agg(F.sum("value").alias("n")), "kind", "left").select("kind", "idx_min", "idx_max", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-@query("a11_coadd", "select (px + 3) // 5 as px, (py + 1) // 5 as py, sum(counts)::bigint as value from img group by all", D.SQL)
+#: The image's own pixels, a tangent plane beside their middle, and one in Galactic coordinates.
+_CAR = RP.Plane("car", 0.0, 0.0, 0.1, 0.1, 19.505, 19.505, 41, 41)
+_TAN = RP.Plane("tan", 0.31, -0.27, -0.23, 0.23, 9.137, 8.871, 19, 18)
+_GAL = RP.Plane("tan", 96.8, -60.1, -0.17, 0.17, 14.137, 15.871, 30, 31, "galactic")
+
+
+def _tan_pixel_sql(lon: str, lat: str, p: RP.Plane) -> tuple[str, str]:
+    """Pixel coordinates of a position on a tangent plane."""
+    a, d = f"radians({lon} - {p.lon0}::double)", f"radians({lat})"
+    sin0, cos0 = f"sin(radians({p.lat0}::double))", f"cos(radians({p.lat0}::double))"
+    w = f"(sin({d}) * {sin0} + cos({d}) * {cos0} * cos({a}))"
+    x, y = f"degrees(cos({d}) * sin({a}) / {w})", f"degrees((sin({d}) * {cos0} - cos({d}) * {sin0} * cos({a})) / {w})"
+    return f"{x} / {p.step_lon}::double + {p.px0}::double", f"{y} / {p.step_lat}::double + {p.py0}::double"
+
+
+def _tan_sky_sql(px: str, py: str, p: RP.Plane) -> tuple[str, str]:
+    x, y = f"radians(({px} - {p.px0}::double) * {p.step_lon}::double)", f"radians(({py} - {p.py0}::double) * {p.step_lat}::double)"
+    sin0, cos0 = f"sin(radians({p.lat0}::double))", f"cos(radians({p.lat0}::double))"
+    turn = f"atan2({x}, {cos0} - {y} * {sin0})"
+    return f"{p.lon0}::double + degrees({turn})", f"degrees(atan2(({sin0} + {y} * {cos0}) * cos({turn}), {cos0} - {y} * {sin0}))"
+
+
+def _turned_sql(lon: str, lat: str, matrix) -> tuple[str, str]:
+    v = f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))", f"sin(radians({lat}))"
+    x, y, z = ("(" + " + ".join(f"{m}::double * {c}" for m, c in zip(row, v, strict=True)) + ")" for row in matrix)
+    return f"degrees(atan2({y}, {x}))", f"degrees(asin({z}))"
+
+
+def _fine(n: int, source: str = "img") -> str:
+    """Centers of the parts of each pixel of the image, in degrees."""
+    at = lambda c, k: f"({c} + ({k} + 0.5::double) / {n} - 0.5::double - 19.505::double) * 0.1::double"
+    return f"(select *, {at('px', 'i')} as lon, {at('py', 'j')} as lat from {source}, range({n}) a(i), range({n}) b(j))"
+
+
+def _on_sql(target: RP.Plane, columns: str, rows: str, x: str, y: str) -> str:
+    return f", placed as (select * from (select * exclude (px, py), floor(x + 0.5)::int as px, floor(y + 0.5)::int as py from (select *, {x} as x, {y} as y from {rows})) where px between 0 and {target.width - 1} and py between 0 and {target.height - 1}) select px, py, {columns} from placed group by all"
+
+
+@query("a11_coadd", _on_sql(_TAN, "e, sum(counts)::double as value", _fine(1, "cube"), *_tan_pixel_sql("lon", "lat", _TAN)), D.SQL)
 def a11(spark, sf):
-    moved = _image(spark, sf).select(F.floor((F.col("px") + 3) / 5).cast("int").alias("px"), F.floor((F.col("py") + 1) / 5).cast("int").alias("py"), "value")
-    return moved.groupBy("px", "py").agg(F.sum("value").alias("value"))
+    """The cube's pixels added up where their centers fall on a tangent plane, energy by energy."""
+    return RP.reproject(_cube(spark, sf), _CAR, _TAN, others=("e",))
+
+
+_TO_GAL = _turned_sql("lon", "lat", sky.GALACTIC)
 
 
-@query("a12_reproject", ", up as (select px * 3 + i as px, py * 3 + j as py, counts::double / 9 as v from img, range(3) a(i), range(3) b(j)) select ((px + 1) // 4)::int as px, ((py + 2) // 4)::int as py, round(sum(v), 6) as value from up group by all", D.SQL)
+@query("a12_reproject", _on_sql(_GAL, "round(sum(counts) / 25, 6)::double as value", f"(select *, {_TO_GAL[0]} as gl, {_TO_GAL[1]} as gb from {_fine(5)})", *_tan_pixel_sql("gl", "gb", _GAL)), D.SQL)
 def a12(spark, sf):
-    fine = M.upsample(_image(spark, sf), 3)
-    target = fine.select(F.floor((F.col("px") + 1) / 4).cast("int").alias("px"), F.floor((F.col("py") + 2) / 4).cast("int").alias("py"), "value")
-    return target.groupBy("px", "py").agg(F.round(F.sum("value"), 6).alias("value"))
+    """Counts from equatorial plate-carree pixels onto a tangent plane in Galactic coordinates, each in 25 parts."""
+    return RP.reproject(_image(spark, sf), _CAR, _GAL, factor=5).withColumn("value", F.round("value", 6))
+
+
+@query("a12_reproject_mean", _on_sql(_TAN, "round(avg(counts), 6)::double as value", _fine(4), *_tan_pixel_sql("lon", "lat", _TAN)), D.SQL)
+def a12_mean(spark, sf):
+    """A quantity that is no count: the mean of the parts in each pixel."""
+    return RP.reproject(_image(spark, sf), _CAR, _TAN, factor=4, preserve_counts=False).withColumn("value", F.round("value", 6))
 
 
 @query("a13_sum_in_region", "select e, sum(counts)::bigint as value from cube where sqrt(power(px - 20, 2) + power(py - 20, 2)) < 7.3 group by e", D.SQL)
@@ -259,11 +306,13 @@ def j14(spark, sf):
     return M.dot(_cube(spark, sf), F.broadcast(weights), ["e"], ["px"])
 
 
-@query("j15_interpolate_map", ", g as (select x::int as tx, y::int as ty, x * 1.7::double + 0.3 as fx, y * 1.7::double + 0.3 as fy from range(23) a(x), range(23) b(y)), d as (select tx, ty, floor(fx)::int + i as px, floor(fy)::int + j as py, (case when i = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) * (case when j = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) as w from g, range(2) a(i), range(2) b(j)) select tx, ty, round(sum(w * coalesce(counts, 0)), 6) as value from d left join img using (px, py) group by all", D.SQL)
+_FROM_GAL = _turned_sql("gl", "gb", tuple(zip(*sky.GALACTIC, strict=True)))
+
+
+@query("j15_interpolate_map", f", g as (select tx, ty, {_tan_sky_sql('tx', 'ty', _GAL)[0]} as gl, {_tan_sky_sql('tx', 'ty', _GAL)[1]} as gb from (select x::int as tx, y::int as ty from range({_GAL.width}) a(x), range({_GAL.height}) b(y))), w as (select tx, ty, {_FROM_GAL[0]} / 0.1::double + 19.505::double as fx, {_FROM_GAL[1]} / 0.1::double + 19.505::double as fy from g), d as (select tx, ty, floor(fx)::int + i as px, floor(fy)::int + j as py, (case when i = 1 then fx - floor(fx) else 1 - (fx - floor(fx)) end) * (case when j = 1 then fy - floor(fy) else 1 - (fy - floor(fy)) end) as w from w, range(2) a(i), range(2) b(j)) select tx, ty, round(sum(w * coalesce(counts, 0)), 6) as value from d left join img using (px, py) group by all", D.SQL)
 def j15(spark, sf):
-    target = M.grid(spark, 23, 23).toDF("tx", "ty")
-    out = M.interpolate(target, F.col("tx") * 1.7 + 0.3, F.col("ty") * 1.7 + 0.3, _image(spark, sf))
-    return out.select("tx", "ty", F.round("value", 6).alias("value"))
+    """The image between its pixels at those of a tangent plane in Galactic coordinates."""
+    return RP.interpolate(_image(spark, sf), _CAR, _GAL).select(F.col("px").alias("tx"), F.col("py").alias("ty"), F.round("value", 6).alias("value"))
 
 
 _KERNEL = [(-1, 0, 1), (0, 0, 2), (1, 0, 1), (0, 1, 1), (0, -1, 1)]
@@ -321,9 +370,14 @@ def m3(spark, sf):
     return M.dilate(_mask(spark, sf), 2, 41, 41).select("px", "py")
 
 
-@query("m3_erode", _MASK + " select (px + i)::int as px, (py + j)::int as py from t, (select i, j from range(-1, 2) a(i), range(-1, 2) b(j) where i * i + j * j <= 1) where px + i between 0 and 40 and py + j between 0 and 40 group by all having count(*) = 5", D.SQL)
+_DENSE = ", t as (select px, py from img where counts >= (select quantile_cont(counts, 0.1) from img))"
+
+
+@query("m3_erode", _DENSE + " select (px + i)::int as px, (py + j)::int as py from t, (select i, j from range(-1, 2) a(i), range(-1, 2) b(j) where i * i + j * j <= 1) where px + i between 0 and 40 and py + j between 0 and 40 group by all having count(*) = 5", D.SQL)
 def m3e(spark, sf):
-    return M.erode(spark, _mask(spark, sf), 1, 41, 41).select("px", "py")
+    image = _image(spark, sf)
+    dense = image.crossJoin(F.broadcast(M.quantile(image, "value", 0.1))).filter("value >= limit").select("px", "py", F.lit(1).alias("value"))
+    return M.erode(spark, dense, 1, 41, 41).select("px", "py")
 
 
 @query("m4_peaks", ", u as (select px + i as px, py + j as py, max(counts) as top from img, range(-2, 3) a(i), range(-2, 3) b(j) group by all) select img.px, img.py, counts::bigint as value from img join u using (px, py) where counts > 3 and counts >= top", D.SQL)

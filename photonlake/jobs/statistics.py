@@ -6,18 +6,19 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from photonlake.functions import healpix, sky, special, stats
+from photonlake.functions import healpix, sky, special, stats, tails
 from photonlake.jobs.datasets import _RUN_BINS, run_bins, wstat_sql
 from photonlake.jobs.selections import sep_sql
 from photonlake.operators import crossmatch, fits
 from photonlake.operators import irf as I
 from photonlake.operators import maps as M
+from photonlake.operators import quality
 from photonlake.operators import responses as R
 from photonlake.operators import selection as S
 from photonlake.registry import query
 from photonlake.sources import domain as D
 from photonlake.sources import store
-from photonlake.streaming.stacking import binned
+from photonlake.streaming.stacking import StackStore, binned
 
 _CB = ", cb as (select px, py, e, counts::double as n, 0.3::double + (px % 5) * 0.5::double as mu from cube)"
 
@@ -73,10 +74,13 @@ def s6(spark, sf):
     return t.select("e", "counts", "counts_off", F.round(alpha, 7).alias("alpha"), F.round(F.col("counts") - alpha * F.col("counts_off"), 6).alias("excess"))
 
 
-@query("s7_p_values")
+_TS = "2 * (mu - n + n * ln(n / mu))"
+
+
+@query("s7_p_values", _CB + f", t as (select px, py, e, greatest({_TS}, 0) as ts from cb) select px, py, e, round(0.5::double * {tails.erfc_sql('sqrt(ts / 2)')}, 8) as p, round({tails.gamma_tail_sql('1.5::double', '(ts / 2)')}, 8) as p3 from t", D.SQL)
 def s7(spark, sf):
-    c = stats.cash_counts(F.col("n"), F.col("mu"))
-    return _counts(spark, sf).select("px", "py", "e", special.p_value(c["ts"]).alias("p"), special.chi2_tail(c["ts"], F.lit(3)).alias("p3"))
+    ts = stats.cash_counts(F.col("n"), F.col("mu"))["ts"]
+    return _counts(spark, sf).select("px", "py", "e", F.round(tails.one_sided_p(ts), 8).alias("p"), F.round(tails.chi2_tail(ts, F.lit(3)), 8).alias("p3"))
 
 
 @query("s8_asymmetric_errors")
@@ -117,6 +121,13 @@ def s12_asymmetric(spark, sf):
     return D.light_curves(spark, sf).groupBy("series").agg(F.round(F.sum(stats.chi2_asymmetric(F.col("flux"), F.lit(60000.0), errn, errp)), 2).alias("chi2"))
 
 
+@query("s12_flux_chi2_limits", f", u as (select series, flux, err, case when day % 5 = 0 then flux + 2 * err end as ul from curves), v as (select *, (ul - 60000) / ul as a from u) select series, round(sum(case when ul is null then power((flux - 60000) / err, 2) else 2 * ln({tails.erfc_sql('a')} / {tails.erfc_sql('1.0::double')}) end), 2) as stat from v group by series", D.SQL)
+def s12_limits(spark, sf):
+    """Every fifth day is an upper limit, which counts by the complementary error function of its distance from the model."""
+    c = D.light_curves(spark, sf).withColumn("ul", F.when(F.col("day") % 5 == 0, F.col("flux") + 2 * F.col("err")))
+    return c.groupBy("series").agg(F.round(F.sum(stats.chi2_with_limits(F.col("flux"), F.lit(60000.0), F.col("err"), F.col("err"), F.col("ul"))), 2).alias("stat"))
+
+
 _RECURSIVE = D.SQL.replace("with photons", "with recursive photons", 1)
 
 
@@ -159,11 +170,11 @@ def e3(spark, sf):
     return _rounded(fits.fit_norms(b, ["e"]), "e")
 
 
-@query("e9_combined_significance")
+@query("e9_combined_significance", _CB + f", t as (select px, py, sum(ts) as ts, count(*) filter (where ts > 0)::int as df, sum(n - mu) as x from (select *, {_TS} as ts from cb) group by px, py) select px, py, round(ts, 6) as ts, df, round({tails.gamma_tail_sql('(df / 2.0::double)', '(ts / 2)')}, 8) as p, sign(x)::double as sign from t where df > 0", D.SQL)
 def e9(spark, sf):
     c = stats.cash_counts(F.col("n"), F.col("mu"))
     t = _counts(spark, sf).select("px", "py", c["ts"].alias("ts"), c["excess"].alias("x")).groupBy("px", "py").agg(F.sum("ts").alias("ts"), F.count_if(F.col("ts") > 0).cast("int").alias("df"), F.sum("x").alias("x"))
-    return t.filter("df > 0").select("px", "py", "ts", "df", special.chi2_tail("ts", "df").alias("p"), F.signum("x").alias("sign"))
+    return t.filter("df > 0").select("px", "py", F.round("ts", 6).alias("ts"), "df", F.round(tails.chi2_tail(F.col("ts"), F.col("df")), 8).alias("p"), F.signum("x").alias("sign"))
 
 
 @query("e10_resampled_limits", ", g as (select i::int as i, i * 0.05::double as x from range(201) t(i)), p as (select (e > 1)::int as band, i, x, sum(2 * (mu + x - n * ln(mu + x))) as s from cb, g group by all), b as (select band, min(s) as least, min_by(x, (s, x)) as best from p group by band), q as (select p.*, least, best, s - least - 4 as d, lag(s - least - 4) over (partition by band order by i) as d0 from p join b using (band)) select band, round(min(best), 6) as best, round(min(x - 0.05::double * d / (d - d0)), 6) as ul from q where x > best and d >= 0 and d0 < 0 group by band", _CBASE)
@@ -326,6 +337,40 @@ def q2(spark, sf):
     return none.union(empty)
 
 
+#: Runs and events with a fault of each kind planted in some of them.
+_FAULTY = f""", runs_q as (select obs_id, t0 / 1e6::double + case when obs_id % 7 = 1 then 1 else 0 end as start, t1 / 1e6::double - case when obs_id % 7 = 2 then 1 else 0 end as stop from obs where obs_id % 13 <> 5
+), ev as (select obs_id, event_id, t_us / 1e6::double as time, 120 + 10 * lon as ra, 20 + 10 * lat as dec, case when event_id % 997 = 3 then -1 else energy end as en from photons where obs_id % 11 <> 4)"""
+_FAULTS = """, w as (select obs_id, time, en, event_id, lag(time) over (partition by obs_id order by event_id, time) as b from ev
+), g as (select obs_id, min(time) as a, max(time) as z, bool_or(time <= b) as d, bool_or(en is null or en <= 0) as bad, bool_or(event_id % 499 = 7) as apart from w group by obs_id
+), j as (select coalesce(r.obs_id, g.obs_id) as obs_id, r.obs_id as run, start, stop, a, z, d, bad, apart from runs_q r full join g on r.obs_id = g.obs_id)
+select 'error' as level, 'events' as "table", obs_id, 'no events' as msg from j where a is null union all select 'error', 'events', obs_id, 'events of no run' from j where run is null
+union all select 'error', 'events', obs_id, 'events before the run''s start' from j where a < start - 1e-6 union all select 'error', 'events', obs_id, 'events after the run''s stop' from j where z > stop + 1e-6
+union all select 'error', 'events', obs_id, 'events not in order of time' from j where d union all select 'error', 'events', obs_id, 'galactic and equatorial coordinates disagree' from j where apart
+union all select 'warning', 'events', obs_id, 'energies that are not positive' from j where bad union all select 'error', 'events', null, 'missing column time_mjd'"""
+
+
+@query("q1_event_rules", _FAULTY + _FAULTS, D.SQL)
+def q1_rules(spark, sf):
+    """Columns by the schema, then events against their runs, with faults planted in some: each is found, and nothing else."""
+    photons = D.photons(spark, sf)
+    k = F.col("obs_id")
+    runs = D.observations(photons).filter(k % 13 != 5).select("obs_id", (F.col("t0") / 1e6 + F.when(k % 7 == 1, 1).otherwise(0)).alias("start"), (F.col("t1") / 1e6 - F.when(k % 7 == 2, 1).otherwise(0)).alias("stop"))
+    energy = F.when(F.col("event_id") % 997 == 3, -1.0).otherwise(F.col("energy"))
+    events = photons.filter(k % 11 != 4).select("obs_id", "event_id", (F.col("t_us") / 1e6).alias("time"), (120 + 10 * F.col("lon")).alias("ra"), (20 + 10 * F.col("lat")).alias("dec"), energy.alias("energy"))
+    glon, glat = sky.to_galactic("ra", "dec")
+    events = events.withColumn("glon", glon).withColumn("glat", glat + F.when(F.col("event_id") % 499 == 7, 0.01).otherwise(0.0))
+    return quality.columns(spark, events, "events", quality.REQUIRED["events"] | {"time_mjd": ("double",)}).unionByName(quality.events(events, runs))
+
+
+@query("q2_interval_rules", ", i as (select obs_id, start::double as start, (case when obs_id % 17 = 0 then start else stop end)::double as stop from gti), r as (select o_custkey as obs_id, min(epoch_us(o_orderdate) // 1000000)::double + case when o_custkey % 5 = 1 then 10 else 0 end as start, 4e9::double as stop from orders where o_custkey % 9 <> 2 group by o_custkey union all select -1, 0, 1), g as (select obs_id, min(start) as a, max(stop) as z, bool_or(stop <= start) as e from i group by obs_id), j as (select coalesce(r.obs_id, g.obs_id) as obs_id, r.obs_id as run, start, stop, a, z, e from r full join g on r.obs_id = g.obs_id) select 'error' as level, 'intervals' as \"table\", obs_id, 'no interval' as msg from j where a is null union all select 'error', 'intervals', obs_id, 'intervals of no run' from j where run is null union all select 'error', 'intervals', obs_id, 'interval is empty' from j where e union all select 'warning', 'intervals', obs_id, 'intervals reach out of the run' from j where a < start or z > stop", D.SQL)
+def q2_rules(spark, sf):
+    gti, k = D.intervals(spark, sf), F.col("obs_id")
+    rows = gti.select("obs_id", F.col("start").cast("double").alias("start"), F.when(k % 17 == 0, F.col("start")).otherwise(F.col("stop")).cast("double").alias("stop"))
+    runs = gti.filter(k % 9 != 2).groupBy("obs_id").agg(F.min("start").cast("double").alias("start")).select("obs_id", (F.col("start") + F.when(k % 5 == 1, 10).otherwise(0)).alias("start"), F.lit(4e9).alias("stop"))
+    runs = runs.union(spark.range(1).select(F.lit(-1).cast("bigint"), F.lit(0.0), F.lit(1.0)))
+    return quality.columns(spark, rows, "intervals").unionByName(quality.intervals(rows, runs))
+
+
 @query("q3_duplicate_ids", "select obs_id, start, count(*)::bigint as n from gti group by all having count(*) > 1", D.SQL)
 def q3(spark, sf):
     return D.intervals(spark, sf).groupBy("obs_id", "start").agg(F.count("*").alias("n")).filter("n > 1")
@@ -379,8 +424,12 @@ def m8(spark, sf):
 
 @query("x3_incremental_stack", "select time_bucket(interval '1 day', time)::timestamp as start, floor(energy / 2.500013::double)::int as e, count(*)::bigint as counts, round(sum(energy), 5) as energy from photons group by all", D.SQL)
 def x3(spark, sf):
-    """The batch form of the streaming job, one part of the events after the other, merged by sums."""
-    events = D.photons(spark, sf)
-    parts = binned(events.filter("obs_id % 2 = 0"), "1 day").union(binned(events.filter("obs_id % 2 = 1"), "1 day"))
-    merged = parts.groupBy("start", "e").agg(F.sum("counts").alias("counts"), F.round(F.sum("energy"), 5).alias("energy"))
-    return merged.select(F.col("start").cast("timestamp_ntz").alias("start"), "e", "counts", "energy")
+    """The events of four groups of runs, merged into a stored stack one after the other; the second is played twice, and a snapshot taken before the last."""
+    events, path = D.photons(spark, sf), store.new_folder(spark, "stack")
+    stack = StackStore(spark, path, ["start", "e"], ["counts", "energy"])
+    for number, part in enumerate((0, 1, 1, 2, 3)):
+        batch = number - (number > 1)
+        stack.add(binned(events.filter(F.col("obs_id") % 4 == part), "1 day"), batch)
+        if part == 2:
+            stack.compact()
+    return stack.read().select(F.col("start").cast("timestamp_ntz").alias("start"), "e", "counts", F.round("energy", 5).alias("energy"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photonlake.operators import scan
+
 
 def clean(x: Column) -> Column:
     """Zero where a value is missing or not finite."""
@@ -27,6 +29,24 @@ def stack(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(safe("counts").alias("counts"), safe("background").alias("background"), F.bool_or("mask_safe").alias("mask_safe"))
 
 
+def stack_whole(bins: DataFrame, pixel: list[str], energy: str, exposure: DataFrame, true_energy: str, livetime: DataFrame, intervals: DataFrame) -> dict[str, DataFrame]:
+    """Every part of the stack of data sets, each by one aggregation over all of them.
+
+    ``bins`` (dataset, pixel, energy, counts, background, mask_safe), ``exposure`` (dataset, pixel, true energy, exposure), ``livetime``
+    (dataset, livetime), ``intervals`` (dataset, start, stop). A set's exposure counts in the pixels where any of its bins is safe,
+    its live time and intervals if there is one anywhere; intervals of all sets are united.
+    """
+    safe_pixels = bins.groupBy("dataset", *pixel).agg(F.bool_or("mask_safe").alias("_safe"))
+    used = bins.filter("mask_safe").select("dataset").distinct()
+    masked = exposure.join(safe_pixels, ["dataset", *pixel])
+    return {
+        "bins": stack(bins, [*pixel, energy]),
+        "exposure": masked.groupBy(*pixel, true_energy).agg(F.sum(F.when(F.col("_safe"), clean(F.col("exposure"))).otherwise(0.0)).alias("exposure")),
+        "livetime": livetime.join(used, "dataset").agg(F.sum("livetime").alias("livetime"), F.count("*").alias("n_sets")),
+        "intervals": scan.interval_union(intervals.join(used, "dataset", "left_semi")),
+    }
+
+
 def stack_on_off(df: DataFrame, keys: list[str]) -> DataFrame:
     """On and off counts and acceptances where safe; the stacked off acceptance keeps the summed background.
 

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from photonlake.operators import scan
+from photonlake.sources.store import Rounds
+
 
 def _valid(df: DataFrame) -> DataFrame:
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
@@ -80,20 +83,39 @@ def pairs(df: DataFrame, keys: list[str], order: str, longest: int | None = None
     return met.filter((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= longest)).drop("_b")
 
 
-def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], later: bool = False, width: int = 1024) -> DataFrame:
-    """(keys, lag, sums, n): sums over all pairs of rows (keys, t, ...) of ``x`` and ``y``, by a binned difference of times.
+def _blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """(keys, block, m, n, first, last): the rows of a series in order of t, in blocks of ``rows``, with the number of blocks and the block's times.
 
-    A series is cut into blocks of ``width`` in time, and pairs of blocks meet by series (with ``later`` only those that
-    hold a later ``y``); the pairs of rows of two blocks exist only as matrices. ``lag`` turns the matrix t(y) - t(x)
-    into integers and a mask, ``terms`` the blocks' columns into matrices to sum.
+    Ranks are running counts over slices of the whole table, so that a long series is not sorted in one task.
     """
+    cut = scan.sliced(df, keys, ["t"], Rounds(df.sparkSession, "blocks"))
+    ranked = scan.running(cut, keys, ["t"], sums={"_rank": F.lit(1)}).withColumn("block", F.floor((F.col("_rank") - 1) / rows).cast("int"))
+    item = F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])
+    blocks = ranked.groupBy(*keys, "block").agg(F.collect_list(item).alias("m"), F.min("t").alias("first"), F.max("t").alias("last"))
+    counts = blocks.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    return blocks.join(counts, keys)
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys]))
-        return df.groupBy(*keys, F.floor(F.col("t") / width).alias(f"{name}_at")).agg(rows.alias(name))
 
-    met = blocks(x, "_x").join(blocks(y, "_y"), keys)
-    met = (met.filter("_y_at >= _x_at") if later else met).select(*keys, "_x", "_y")
+def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], later: bool = False, rows: int = 512, longest: float | None = None) -> DataFrame:
+    """(keys, lag, sums, n): sums over all pairs of rows (keys, t, ...) of ``x`` and ``y``, by a binned difference of times.
+
+    A series is cut into blocks of ``rows`` rows by rank in time, and each pair of blocks is a group of its own (with ``later`` only pairs
+    that hold a later ``y``, with ``longest`` only those that hold one within that lag); the pairs of rows of two blocks exist only
+    as matrices. ``lag`` turns the matrix t(y) - t(x) into integers and a mask, ``terms`` the blocks' columns into matrices to sum.
+    """
+    own = _blocks(x, keys, rows)
+    bx, by = own, own if y is x else _blocks(y, keys, rows)
+    sides = []
+    for one, other, names in ((bx, by, ("_i", "_j")), (by, bx, ("_j", "_i"))):
+        span = other.select(*keys, F.col("block").alias("_o"), F.col("first").alias("_of"), F.col("last").alias("_ol"))
+        met = one.join(span, keys)
+        ahead = (F.col("_ol") - F.col("first"), F.col("_of") - F.col("last")) if names[0] == "_i" else (F.col("last") - F.col("_of"), F.col("first") - F.col("_ol"))
+        if later:
+            met = met.filter(ahead[0] > 0)
+        if longest is not None:
+            met = met.filter(ahead[1] <= longest)
+        sides.append(met.select(*keys, F.col("block").alias(names[0]), F.col("_o").alias(names[1]), F.col("m").alias("_x" if names[0] == "_i" else "_y")))
+    met = sides[0].join(sides[1], [*keys, "_i", "_j"]).select(*keys, "_x", "_y")
     kept = [T.StructField(f.name, f.dataType) for f in met.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
 
@@ -121,19 +143,21 @@ def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms:
     return met.mapInArrow(run, schema).groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
 
 
-def structure_function(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Weighted mean squared difference of all later-than pairs, by lag rounded to a whole number."""
+def structure_function(df: DataFrame, keys: list[str], order: str, rows: int = 512, longest: float | None = None) -> DataFrame:
+    """Weighted mean squared difference of all later-than pairs (up to a lag, if any is named), by lag rounded to a whole number."""
+    block = rows
     rows = _valid(df).filter("flux is not null").select(*keys, F.col(order).alias("t"), "flux", (F.col("flux") / F.col("err")).alias("w"))
 
     def terms(a, b):
         w = a["w"] * b["w"]
         return [(b["flux"] - a["flux"]) ** 2 * w, w]
 
-    sums = pair_sums(rows, rows, keys, lambda d: (np.rint(d).astype(np.int64), d > 0), terms, ["d", "w"], later=True)
+    use = lambda d: (d > 0) if longest is None else (d > 0) & (d <= longest)
+    sums = pair_sums(rows, rows, keys, lambda d: (np.rint(d).astype(np.int64), use(d)), terms, ["d", "w"], later=True, rows=block, longest=longest)
     return sums.select(*keys, "lag", (F.col("d") / F.col("w")).alias("sf"), "n")
 
 
-def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float) -> DataFrame:
+def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float, rows: int = 512) -> DataFrame:
     """Mean product of two normalised series by binned lag t1 - t2, with its error; rows (keys..., t, flux, err)."""
 
     def normal(df: DataFrame) -> DataFrame:
@@ -142,7 +166,7 @@ def discrete_correlation(a: DataFrame, b: DataFrame, keys: list[str], tau: float
         return _valid(df).filter("flux is not null").select(*keys, "t", z.alias("z")).filter("z is not null and not isnan(z)")
 
     terms = lambda x, y: [x["z"] * y["z"], (x["z"] * y["z"]) ** 2]
-    g = pair_sums(normal(a), normal(b), keys, lambda d: (np.floor(-d / tau).astype(np.int64), np.ones(d.shape, bool)), terms, ["p", "q"])
+    g = pair_sums(normal(a), normal(b), keys, lambda d: (np.floor(-d / tau).astype(np.int64), np.ones(d.shape, bool)), terms, ["p", "q"], rows=rows)
     var = F.greatest(F.col("q") / F.col("n") - F.pow(F.col("p") / F.col("n"), 2), F.lit(0.0))
     return g.select(*keys, F.col("lag").cast("int").alias("bin"), (F.col("p") / F.col("n")).alias("dcf"), F.when(F.col("n") > 1, F.sqrt(var * F.col("n")) / (F.col("n") - 1)).alias("err"), "n")
 

@@ -264,21 +264,34 @@ def integral(cube: DataFrame, keys: list[str], e_width: float, low: float, high:
     return cube.groupBy(*keys).agg(F.sum(F.col("value") * inside / e_width).alias("value"))
 
 
+def _within(mask: DataFrame, radius: float) -> DataFrame:
+    """(px, py) within the radius of a set pixel: the least squared distance along rows, then across them, each pixel visited 2 radius + 1 times twice."""
+    n = int(radius)
+    steps = F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("d")
+    along = mask.select("px", "py", steps).groupBy((F.col("px") + F.col("d")).alias("px"), "py").agg(F.min(F.col("d") * F.col("d")).alias("d2"))
+    across = along.select("px", "py", "d2", steps).filter(F.col("d2") + F.col("d") * F.col("d") <= radius * radius)
+    return across.select("px", (F.col("py") + F.col("d")).alias("py")).distinct()
+
+
 def dilate(mask: DataFrame, radius: float, width: int, height: int) -> DataFrame:
     """Pixels with a set pixel within the radius."""
-    return convolve(mask, disk(radius), bounds=(width, height)).filter("value > 0").select("px", "py", F.lit(1).alias("value"))
+    near = _within(mask, radius)
+    return near.filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)).select("px", "py", F.lit(1).alias("value"))
 
 
 def erode(spark: SparkSession, mask: DataFrame, radius: float, width: int, height: int) -> DataFrame:
     """Pixels whose whole disk is set; outside the map nothing is."""
-    kernel = disk(radius)
-    return convolve(mask, kernel, bounds=(width, height)).filter(F.col("value") == len(kernel)).select("px", "py", F.lit(1).alias("value"))
+    n = int(radius)
+    bare = grid(spark, width, height).join(mask.select("px", "py"), ["px", "py"], "left_anti")
+    inner = mask.filter(F.col("px").between(n, width - 1 - n) & F.col("py").between(n, height - 1 - n)).select("px", "py")
+    return inner.join(_within(bare, radius), ["px", "py"], "left_anti").select("px", "py", F.lit(1).alias("value"))
 
 
 def peaks(df: DataFrame, threshold: float, min_distance: int) -> DataFrame:
-    """Pixels above the threshold that no pixel of their box exceeds, highest first."""
-    reach = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-min_distance, min_distance + 1) for j in range(-min_distance, min_distance + 1)]))
-    around = df.withColumn("_k", reach).groupBy((F.col("px") + F.col("_k.i")).alias("px"), (F.col("py") + F.col("_k.j")).alias("py")).agg(F.max("value").alias("top"))
+    """Pixels above the threshold that no pixel of their box exceeds, highest first: maxima along rows, then across them."""
+    steps = F.explode(F.sequence(F.lit(-min_distance), F.lit(min_distance))).alias("_d")
+    along = df.select("px", "py", "value", steps).groupBy((F.col("px") + F.col("_d")).alias("px"), "py").agg(F.max("value").alias("top"))
+    around = along.select("px", "py", "top", steps).groupBy("px", (F.col("py") + F.col("_d")).alias("py")).agg(F.max("top").alias("top"))
     return df.join(around, ["px", "py"]).filter((F.col("value") > threshold) & (F.col("value") >= F.col("top"))).drop("top").orderBy(F.desc("value"), "px", "py")
 
 
