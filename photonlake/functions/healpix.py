@@ -136,3 +136,27 @@ def center_of(nside: int):
         return pd.DataFrame({"lon": lon, "lat": lat})
 
     return f
+
+
+def pixel_sql(rows: str, lon: str, lat: str, nside: int) -> str:
+    """A subquery: the columns of ``rows`` with the ring and nested numbers of the pixel that holds a position, and its center (c_lon, c_lat)."""
+    n = nside
+    bits = lambda c, shift: f"list_sum(list_transform(range(20), lambda k: ((({c}) >> k) & 1) << (2 * k + {shift})))"
+    ring, phi = (f"{list(map(int, t))}[face + 1]" for t in (FACE_RING, FACE_PHI))
+    return f"""(
+  select * exclude (z, tt, up, down, quarter, s, face, x, y, jr, nr, shift, raw, jp),
+    (case when jr < {n} then 2 * nr * (nr - 1) when jr > {3 * n} then {12 * n * n} - 2 * (nr + 1) * nr else {2 * n * (n - 1)} + (jr - {n}) * {4 * n} end + jp - 1)::bigint as ring,
+    (face * {n * n} + {bits('x', 0)} + {bits('y', 1)})::bigint as nest, 90.0::double * (jp - (shift + 1) / 2.0::double) / nr as c_lon,
+    degrees(asin(case when jr < {n} then 1 - nr * nr / {3.0 * n * n}::double when jr > {3 * n} then nr * nr / {3.0 * n * n}::double - 1 else ({2 * n} - jr) * 2 / {3.0 * n}::double end)) as c_lat
+  from (select *, case when raw > 4 * nr then raw - 4 * nr when raw < 1 then raw + 4 * nr else raw end as jp
+  from (select *, ({phi} * nr + x - y + 1 + shift) // 2 as raw
+  from (select *, case when jr < {n} or jr > {3 * n} then 0 else (jr - {n}) & 1 end as shift
+  from (select *, case when jr < {n} then jr when jr > {3 * n} then {4 * n} - jr else {n} end as nr
+  from (select *, {ring} * {n} - x - y - 1 as jr
+  from (select *,
+    case when abs(z) <= 2 / 3.0::double then case when up // {n} = down // {n} then (up // {n}) % 4 + 4 when up // {n} < down // {n} then (up // {n}) % 4 else (down // {n}) % 4 + 8 end when z >= 0 then quarter else quarter + 8 end as face,
+    case when abs(z) <= 2 / 3.0::double then down % {n} when z >= 0 then {n} - least(floor((1 - tt + quarter) * s)::bigint, {n - 1}) - 1 else least(floor((tt - quarter) * s)::bigint, {n - 1}) end as x,
+    case when abs(z) <= 2 / 3.0::double then {n - 1} - up % {n} when z >= 0 then {n} - least(floor((tt - quarter) * s)::bigint, {n - 1}) - 1 else least(floor((1 - tt + quarter) * s)::bigint, {n - 1}) end as y
+  from (select *, floor({n} * (0.5::double + tt) - {n} * z * 0.75::double)::bigint as up, floor({n} * (0.5::double + tt) + {n} * z * 0.75::double)::bigint as down,
+    least(floor(tt), 3)::bigint as quarter, {n} * sqrt(3 * greatest(1 - abs(z), 0)) as s
+  from (select *, sin(radians({lat})) as z, (({lon}) - 360 * floor(({lon}) / 360)) / 90 as tt from {rows})))))))))"""

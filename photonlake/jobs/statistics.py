@@ -83,11 +83,28 @@ def s7(spark, sf):
     return _counts(spark, sf).select("px", "py", "e", F.round(tails.one_sided_p(ts), 8).alias("p"), F.round(tails.chi2_tail(ts, F.lit(3)), 8).alias("p3"))
 
 
-@query("s8_asymmetric_errors")
+def _halved(rows: str, keys: str, f: str, steps: int = 70) -> str:
+    """SQL for roots by halving: ``rows`` (keys, low, high) with ``f`` of ``x`` below zero on the low side; the middle is ``x``."""
+    return (
+        f"select {keys}, (low + high) / 2 as x from (with recursive r as (select {keys}, 0 as step, low, high from {rows} union all select {keys}, step + 1, case when f < 0 then x else low end, case when f < 0 then high else x end "
+        f"from (select *, {f} as f from (select *, (low + high) / 2 as x from r where step < {steps}))) select * from r where step = {steps})"
+    )
+
+
+#: How far the statistic of n counts has risen where the prediction is y.
+_RISE = "2 * (y - n - case when n > 0 then n * ln(y / n) else 0 end)"
+_S8 = (
+    _CB
+    + f", k as (select distinct n, mu from cb), up as ({_halved('(select n, mu, 0.0::double as low, 2 * (sqrt(n) + 1) as high from k)', 'n, mu', _RISE.replace('y', '(n + x)') + ' - 1')}), "
+    + f"down as ({_halved('(select n, mu, 0.0::double as low, least(2 * (sqrt(n) + 1), n - 1e-12::double) as high from k where n > 0)', 'n, mu', _RISE.replace('y', '(n - x)') + ' - 1')}) "
+)
+
+
+@query("s8_asymmetric_errors", _S8 + "select px, py, e, n::bigint as n, mu, round(down.x, 6) as errn, round(up.x, 6) as errp from cb join up using (n, mu) join down using (n, mu)", D.SQL)
 def s8(spark, sf):
     """Distinct (n, mu) pairs are solved once and joined back: a map of many bins has few of them."""
     c = _counts(spark, sf)
-    solved = c.select("n", "mu").distinct().withColumn("x", special.cash_errors(F.col("n").cast("double"), F.col("mu"))).select("n", "mu", "x.errn", "x.errp")
+    solved = c.select("n", "mu").distinct().withColumn("x", special.cash_errors(F.col("n").cast("double"), F.col("mu"))).select("n", "mu", F.round("x.errn", 6).alias("errn"), F.round("x.errp", 6).alias("errp"))
     return c.join(solved, ["n", "mu"])
 
 
@@ -393,28 +410,34 @@ def io7(spark, sf):
     return store.read_copy(spark, path, "events").groupBy("obs_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("p13_sky_pixels")
+_WIDE = "(select event_id, lon * 90 as wlon, lat * 44 as wlat from photons)"
+
+
+@query("p13_sky_pixels", f" select event_id, ring, nest, nest as swapped, round(c_lon, 9) as lon, round(c_lat, 9) as lat from {healpix.pixel_sql(_WIDE, 'wlon', 'wlat', 64)}", D.SQL)
 def p13(spark, sf):
     """Pixel numbers in both schemes, swapped back and forth, and the center."""
     e = D.photons(spark, sf).select("event_id", (F.col("lon") * 90).alias("lon"), (F.col("lat") * 44).alias("lat"))
     e = e.withColumn("ring", healpix.pixel_of(64)("lon", "lat")).withColumn("nest", healpix.pixel_of(64, True)("lon", "lat"))
-    return e.withColumn("swapped", healpix.swap(64, True)("ring")).withColumn("c", healpix.center_of(64)("ring")).select("event_id", "ring", "nest", "swapped", "c.lon", "c.lat")
+    return e.withColumn("swapped", healpix.swap(64, True)("ring")).withColumn("c", healpix.center_of(64)("ring")).select("event_id", "ring", "nest", "swapped", F.round("c.lon", 9).alias("lon"), F.round("c.lat", 9).alias("lat"))
 
 
-@query("a2_fill_sky_pixels")
+@query("a2_fill_sky_pixels", f" select ring as ipix, count(*)::bigint as value from {healpix.pixel_sql(_WIDE, 'wlon', 'wlat', 32)} group by ring", D.SQL)
 def a2(spark, sf):
     e = D.photons(spark, sf)
     return M.fill(e, {"ipix": healpix.pixel_of(32)(F.col("lon") * 90, F.col("lat") * 44)})
 
 
-@query("a8_change_resolution")
+@query("a8_change_resolution", f" select nest >> 4 as ipix, count(*)::bigint as value from {healpix.pixel_sql(_WIDE, 'wlon', 'wlat', 32)} group by 1", D.SQL)
 def a8(spark, sf):
     """Nested pixels two levels coarser, by shifting their numbers."""
     fine = M.fill(D.photons(spark, sf), {"ipix": healpix.pixel_of(32, True)(F.col("lon") * 90, F.col("lat") * 44)})
     return fine.groupBy(F.shiftright("ipix", 4).alias("ipix")).agg(F.sum("value").alias("value"))
 
 
-@query("m8_sky_to_plane")
+_GRID = "(select x::int as px, y::int as py, x * 0.2::double - 2 as glon, y * 0.2::double - 2 as glat from range(21) a(x), range(21) b(y))"
+
+
+@query("m8_sky_to_plane", f", m as (select ring, count(*)::bigint as value from {healpix.pixel_sql('photons', 'lon', 'lat', 64)} group by ring) select px, py, value from {healpix.pixel_sql(_GRID, 'glon', 'glat', 64)} g left join m using (ring)", D.SQL)
 def m8(spark, sf):
     """A sky-pixel map looked up at the centers of a plane map."""
     sky_map = M.fill(D.photons(spark, sf), {"ipix": healpix.pixel_of(64)("lon", "lat")})
