@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from photonlake.functions import healpix, sky, special, stats, tails
 from photonlake.jobs.datasets import _RUN_BINS, run_bins, wstat_sql
 from photonlake.jobs.selections import sep_sql
-from photonlake.operators import crossmatch, fits
+from photonlake.operators import crossmatch, fits, fluxes
 from photonlake.operators import irf as I
 from photonlake.operators import maps as M
 from photonlake.operators import quality
@@ -108,16 +108,33 @@ def s8(spark, sf):
     return c.join(solved, ["n", "mu"])
 
 
-@query("s9_upper_limits")
+_START = "greatest(n - a * o, 0)"
+_SPAN = "(2 * (sqrt(n + a * a * o) + 1))"
+_S9 = (
+    _RUN_BINS
+    + _W
+    + f", k as (select distinct n, o, a from wb), ul as ({_halved(f'(select n, o, a, {_START} as low, {_START} + 2 * 3 * {_SPAN} + 9 as high from k)', 'n, o, a', wstat_sql('n', 'o', 'a', 'x') + ' - ' + wstat_sql('n', 'o', 'a', _START) + ' - 9')}), "
+    + f"ep as ({_halved(f'(select n, o, a, n - a * o as low, n - a * o + {_SPAN} as high from k)', 'n, o, a', wstat_sql('n', 'o', 'a', 'x') + ' - ' + wstat_sql('n', 'o', 'a', '(n - a * o)') + ' - 1')}) "
+)
+
+
+@query("s9_upper_limits", _S9 + "select obs_id, e, n::bigint as counts, o::bigint as counts_off, round(ul.x, 5) as ul, round(ep.x - (n - a * o), 5) as errp from wb join ul using (n, o, a) join ep using (n, o, a)", D.SQL)
 def s9(spark, sf):
     c = _wbins(spark, sf).withColumn("x", special.wstat_errors(F.col("counts").cast("double"), F.col("counts_off").cast("double"), F.col("a")))
-    return c.select("obs_id", "e", "counts", "counts_off", F.col("x.ul").alias("ul"), F.col("x.errp").alias("errp"))
+    return c.select("obs_id", "e", "counts", "counts_off", F.round("x.ul", 5).alias("ul"), F.round("x.errp", 5).alias("errp"))
 
 
-@query("s10_sensitivity_excess")
+_S10 = (
+    _RUN_BINS
+    + ", k as (select e, sum(counts_off)::double as o, 0.2::double as a from runs group by e)"
+    + f", ex as ({_halved('(select e, o, a, 1e-9::double as low, a * o * 10 + 600 as high from k)', 'e, o, a', 'sqrt(greatest(' + wstat_sql('(a * o + x)', 'o', 'a', '0.0::double') + ' - ' + wstat_sql('(a * o + x)', 'o', 'a', 'x') + ', 0)) - 5')}) "
+)
+
+
+@query("s10_sensitivity_excess", _S10 + "select e, o as off, round(x, 5) as excess from ex", D.SQL)
 def s10(spark, sf):
     t = _wbins(spark, sf).groupBy("e").agg(F.sum("counts_off").cast("double").alias("off"))
-    return t.select("e", "off", special.sensitivity_excess(F.col("off"), F.lit(0.2), F.lit(5.0)).alias("excess"))
+    return t.select("e", "off", special.sensitivity_excess(F.col("off"), F.lit(0.2), F.lit(5.0)).alias("excess")).withColumn("excess", F.round("excess", 5))
 
 
 @query("s11_likelihood_sum", _CB + " select e, round(sum(case when (px + py) % 4 = 0 then 0 else 0.5::double + 0.5 * (px % 2) end * 2 * (mu - n * ln(mu))), 4) as stat from cb group by e", D.SQL)
@@ -187,6 +204,46 @@ def e3(spark, sf):
     return _rounded(fits.fit_norms(b, ["e"]), "e")
 
 
+_E6 = (
+    D.SQL
+    + """, k as (
+  select e, count(*) filter (where away < 0.90003)::double as n, greatest(count(*) filter (where away >= 0.90003 and away < 1.60003) * 0.46153::double, 1) as mu
+  from (select floor(energy / 2.500013::double)::int as e, sqrt(lon * lon + lat * lat) as away from photons) where e between 0 and 3 group by e
+)"""
+    + f", up as ({_halved('(select e, n, 0.0::double as low, 2 * (sqrt(n) + 1) as high from k)', 'e, n', _RISE.replace('y', '(n + x)') + ' - 1')})"
+    + f", down as ({_halved('(select e, n, 0.0::double as low, least(2 * (sqrt(n) + 1), n - 1e-12::double) as high from k where n > 0)', 'e, n', _RISE.replace('y', '(n - x)') + ' - 1')})"
+    + f", lim as ({_halved('(select e, n, mu, greatest(n - mu, 0) as low, greatest(n - mu, 0) + 12 * (sqrt(n) + 1) + 9 as high from k)', 'e, n, mu', _RISE.replace('y', '(mu + x)') + ' - (' + _RISE.replace('y', '(mu + greatest(n - mu, 0))') + ') - 9')})"
+    + """, q as (
+  select k.e, k.n, k.mu, down.x as errn, up.x as errp, lim.x as ul, 2 * (k.mu - k.n + k.n * ln(k.n / k.mu)) as ts, 50.0::double * (k.e + 1) as npred, 0.5::double + 2.5::double * k.e as lo, 3.0::double + 2.5::double * k.e as hi
+  from k join up using (e) join down using (e) join lim using (e)
+), f as (select *, 2e-3::double * power(2.0::double, 2.3::double) * (power(hi, -1.3::double) - power(lo, -1.3::double)) / -1.3::double as flux1, 2e-3::double * power(sqrt(lo * hi) / 2, -2.3::double) as dnde1 from q)
+select e, round((n - mu) / npred * flux1, 9) as flux, round(sqrt(n) / npred * flux1, 9) as flux_err, round(errn / npred * flux1, 9) as flux_errn, round(errp / npred * flux1, 9) as flux_errp, round(ul / npred * flux1, 9) as flux_ul,
+  round(ul / npred * dnde1 * lo * hi, 8) as e2dnde_ul, round(errp / npred * dnde1, 9) as dnde_errp, round(case when n > mu then 1 else -1 end * sqrt(greatest(ts, 0)), 6) as sqrt_ts, case when n > mu then 1 else -1 end * sqrt(greatest(ts, 0)) < 2 as is_ul from f"""
+)
+
+
+@query("e6_flux_asymmetric", _E6)
+def e6_asymmetric(spark, sf):
+    """Flux points of the source region by energy: norms from counts over the background of a ring, with errors to both sides and limits where the likelihood has risen."""
+    away = F.sqrt(F.col("lon") * F.col("lon") + F.col("lat") * F.col("lat"))
+    e = F.floor(F.col("energy") / 2.500013).cast("int")
+    k = D.photons(spark, sf).select(e.alias("e"), away.alias("away")).filter("e between 0 and 3").groupBy("e").agg(F.count_if(F.col("away") < 0.90003).cast("double").alias("n"), F.greatest(F.count_if((F.col("away") >= 0.90003) & (F.col("away") < 1.60003)) * 0.46153, F.lit(1.0)).alias("mu"))
+    n, mu, npred = F.col("n"), F.col("mu"), 50.0 * (F.col("e") + 1)
+    points = k.filter("n > 0").withColumn("x", special.cash_errors(n, mu)).select("e", ((n - mu) / npred).alias("norm"), (F.sqrt(n) / npred).alias("norm_err"), (F.col("x.errn") / npred).alias("norm_errn"), (F.col("x.errp") / npred).alias("norm_errp"), (F.col("x.ul") / npred).alias("norm_ul"), stats.cash_counts(n, mu)["ts"].alias("ts"))
+    model = fluxes.power_law(F.lit(2.3), F.lit(2e-3), F.lit(2.0), 0.5 + 2.5 * F.col("e"), 3.0 + 2.5 * F.col("e"))
+    q = fluxes.quantities(points, ["e"], model)
+    return q.select("e", *[F.round(c, 9).alias(c) for c in ("flux", "flux_err", "flux_errn", "flux_errp", "flux_ul")], F.round("e2dnde_ul", 8).alias("e2dnde_ul"), F.round("dnde_errp", 9).alias("dnde_errp"), F.round("sqrt_ts", 6).alias("sqrt_ts"), "is_ul")
+
+
+@query("c3_pulse_profiles", ", b as (select event_type, least(floor(phase * 20), 19)::int as phase_bin, 0.5::double + (event_id % 4) * 0.1::double as w, unnest(list_filter([case when energy >= 0.1 then 'all' end, case when energy >= 0.1 and energy < 1 then 'low' end, case when energy >= 1 and energy < 5 then 'mid' end, case when energy >= 5 and energy < 1000 then 'high' end], lambda x: x is not null)) as band from photons where energy < 1000 and phase is not null) select event_type, band, phase_bin, round(sum(w), 6) as value, round(sqrt(sum(w * w)), 6) as unc from b group by all", D.SQL)
+def c3_pulses(spark, sf):
+    """Weighted counts by pulse phase in each energy band, with their uncertainties."""
+    bands = [("all", 0.1, 1000.0), ("low", 0.1, 1.0), ("mid", 1.0, 5.0), ("high", 5.0, 1000.0)]
+    events = D.photons(spark, sf).filter("phase is not null")
+    out = fluxes.pulse_profiles(events, ["event_type"], "phase", "energy", bands, 20, 0.5 + F.col("event_id") % 4 * 0.1)
+    return out.select("event_type", "band", "phase_bin", F.round("value", 6).alias("value"), F.round("unc", 6).alias("unc"))
+
+
 @query("e9_combined_significance", _CB + f", t as (select px, py, sum(ts) as ts, count(*) filter (where ts > 0)::int as df, sum(n - mu) as x from (select *, {_TS} as ts from cb) group by px, py) select px, py, round(ts, 6) as ts, df, round({tails.gamma_tail_sql('(df / 2.0::double)', '(ts / 2)')}, 8) as p, sign(x)::double as sign from t where df > 0", D.SQL)
 def e9(spark, sf):
     c = stats.cash_counts(F.col("n"), F.col("mu"))
@@ -208,13 +265,13 @@ def e10(spark, sf):
     return q.filter("x > best and d >= 0 and d0 < 0").groupBy("band").agg(F.round(F.min("best"), 6).alias("best"), F.round(F.min(crossing), 6).alias("ul"))
 
 
-@query("e11_sensitivity_table")
+@query("e11_sensitivity_table", _S10 + "select e, off, round(greatest(sig, syst, 10), 5) as excess, case when greatest(sig, syst, 10) = sig then 'significance' when greatest(sig, syst, 10) = 10 then 'gamma' else 'bkg' end as criterion from (select e, o as off, x as sig, o * 0.2::double * 0.05::double as syst from ex)", D.SQL)
 def e11(spark, sf):
     t = run_bins(spark, sf).groupBy("e").agg(F.sum("counts_off").cast("double").alias("off"))
     x = t.withColumn("significance", special.sensitivity_excess(F.col("off"), F.lit(0.2), F.lit(5.0))).withColumn("systematic", F.col("off") * 0.2 * 0.05)
     excess = F.greatest("significance", "systematic", F.lit(10.0))
     label = F.when(excess == F.col("significance"), "significance").when(excess == 10.0, "gamma").otherwise("bkg")
-    return x.select("e", "off", excess.alias("excess"), label.alias("criterion"))
+    return x.select("e", "off", F.round(excess, 5).alias("excess"), label.alias("criterion"))
 
 
 @_fit_query("e12_flux_profile", "select floor(sqrt(power(px - 20, 2) + power(py - 20, 2)) / 3.0003::double)::int as ring, counts::double as counts, 2.0::double as background, 1.0::double as signal from img", "ring")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.functions import sky, stats, tails
-from photonlake.operators import datasets, lightcurve, maps, quality
+from photonlake.operators import datasets, fluxes, lightcurve, maps, quality
 from photonlake.operators import reproject as RP
 from photonlake.streaming.stacking import StackStore, binned, stream_into
 
@@ -207,3 +207,18 @@ def test_pairs_of_a_dense_series_up_to_a_lag(spark):
         a, b = flux[:-d], flux[d:]
         assert got[d] == (pytest.approx(((b - a) ** 2 * a * b).sum() / (a * b).sum()), n - d)
     assert set(got) == set(range(1, 8))
+
+
+def test_flux_quantities_scale_with_their_models(spark):
+    df = spark.createDataFrame([(1, 2.0, 0.5, 0.4, 0.6, 3.0, 16.0), (2, -0.1, 0.5, None, 0.6, 1.1, 0.04)], "k int, norm double, norm_err double, norm_errn double, norm_errp double, norm_ul double, ts double")
+    model = fluxes.power_law(F.lit(2.0), F.lit(3.0), F.lit(1.0), F.lit(1.0), F.lit(4.0))
+    a, b = fluxes.quantities(df, ["k"], model).orderBy("k").collect()
+    assert (a.flux, a.flux_errn, a.flux_ul) == (pytest.approx(2 * 3 * 0.75), pytest.approx(0.4 * 3 * 0.75), pytest.approx(3 * 3 * 0.75))
+    assert a.eflux == pytest.approx(2 * 3 * math.log(4)) and a.dnde == pytest.approx(2 * 3 / 4) and a.e2dnde == pytest.approx(6)
+    assert (a.sqrt_ts, a.is_ul) == (4.0, False) and (b.sqrt_ts, b.is_ul, b.flux_errn) == (pytest.approx(-0.2), True, None)
+
+
+def test_pulse_profiles(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (0.49, 1.0), (0.5, 7.0), (1.0, 7.0)], "phase double, energy double")
+    got = {(r.band, r.phase_bin): (r.value, r.unc) for r in fluxes.pulse_profiles(df, [], "phase", "energy", [("all", 0.0, 99.0), ("high", 5.0, 99.0)], 2, F.lit(3.0)).collect()}
+    assert got == {("all", 0): (6.0, pytest.approx(3 * math.sqrt(2))), ("all", 1): (6.0, pytest.approx(3 * math.sqrt(2))), ("high", 1): (6.0, pytest.approx(3 * math.sqrt(2)))}
