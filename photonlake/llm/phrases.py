@@ -1,14 +1,15 @@
 """Collocations: frequent phrases of two to five words of each language, by sorted suffixes.
 
-1. A first scan counts words in a fixed number of buckets. A bucket's count is at least that of each word in it, so
-   words in a bucket below the threshold are rare for certain. Pairs are counted in few buckets to find very common ones.
-2. A second scan takes a suffix at every word that may be frequent: the words from there to the end of its piece, five at
-   most, up to the first rare one. Equal suffixes of a block of texts are one with a weight. Suffixes are routed by
-   language and their first two words, those of very common pairs by all their words; a block sends each shard one
-   packed row.
+1. A first scan counts words and pairs of words in a fixed number of buckets. A bucket's count is at least that of each
+   word or pair in it, so what lies in a bucket below the threshold is rare for certain. Pairs and triples are also counted in
+   few buckets, to find very common ones.
+2. A second scan takes a suffix at every word: the words from there to the end of its piece, five at most, up to the first rare
+   word or pair. Equal suffixes of a block of texts are one with a weight. Suffixes are routed by language and their first
+   two words, those of very common pairs by three, of very common triples by all; words alone are routed by
+   themselves. A block sends each shard one packed, sorted row.
 3. Each shard sorts pointers to its suffixes by a multikey three-way quicksort, down to the fifth word. The weight of a
-   partition of equal words is the count of that phrase; partitions of two words and more below the threshold are abandoned.
-   Counts of single words, and those of pairs that went to several shards, are partial and added up.
+   partition of equal words is the count of that phrase; partitions below the threshold are abandoned, but for beginnings
+   shorter than what a suffix was routed by, whose counts are partial and added up.
 4. Joins of the counts score every cut of a candidate.
 """
 
@@ -59,20 +60,28 @@ class Tokens:
         self.follows = np.zeros(len(starts), bool)
         self.follows[1:] = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
 
-    def buckets(self, bits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of every word, and of every word with the one before it."""
+    def hashed(self) -> None:
+        """Hashes of every word, and of every word with the one and the two after it."""
         _, _, data, offsets = next(B.slices(self.words, 1 << 62))
         own, _ = B.word_hashes(data, offsets)
         tongue = B.mix(np.array([zlib.crc32(x.encode()) for x in self.langs.to_pylist()], _U) + _U(1))
-        self.hashes = B.mix(own[self.ids] + tongue[self.lang])
-        pair = self.pair(self.hashes[:-1], self.hashes[1:])
-        return tuple((h >> _U(64 - b)).astype(np.int64) for h, b in zip((self.hashes, pair), bits, strict=True))
+        self.one = B.mix(own[self.ids] + tongue[self.lang])
+        after = np.append(self.one, np.zeros(2, _U))
+        self.two = self.pair(self.one, after[1:-1])
+        self.three = self.pair(self.two, after[2:])
+        follows = np.append(self.follows, [False, False])
+        self.has_two = follows[1:-1]
+        self.has_three = self.has_two & follows[2:]
 
     @staticmethod
     def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return B.mix(left * _U(0x9FB21C651E98DF25) + right)
 
 
+def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> _U(64 - bits)).astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[Tokens]:
     """Tokens of blocks of about ``most`` bytes of (text, lang); a longer text is a block of its own."""
     held, size = [], 0
@@ -92,17 +101,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[
         yield tokens()
 
 
-def sort_suffixes(words: np.ndarray, weight: np.ndarray, least: int, split: bool = False) -> Iterator[tuple[int, int, int]]:
+def sort_suffixes(words: np.ndarray, weight: np.ndarray, least: int, whole: int = 1) -> Iterator[tuple[int, int, int]]:
     """(a row, depth, weight) of every prefix of the suffixes that weighs ``least`` or more.
 
     ``words`` has a column for the language and five for the words, -1 where a suffix has ended. Partitions are arrays of row
-    numbers. Those that agree in two words and weigh less than ``least`` are given up; prefixes of one word are told
-    whatever they weigh, and all are where suffixes with equal beginnings are ``split`` over several calls. Small partitions
-    are counted one by one.
+    numbers. Those that agree in ``whole`` words (all suffixes that begin with these are here) and weigh less than ``least`` are given up;
+    shorter prefixes are told whatever they weigh. Small partitions are counted one by one.
     """
     todo = [(np.arange(len(words)), 0)]
     deepest = words.shape[1] - 1
-    enough = lambda depth, n: split or depth < 2 or n >= least
+    enough = lambda depth, n: depth < whole or n >= least
     while todo:
         rows, depth = todo.pop()
         if not len(rows) or not enough(depth, weight[rows].sum()):
@@ -134,15 +142,15 @@ class Collocations:
 
     Texts are lower-cased (A-Z) and cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and at blanks and tabs into words. A null text
     is empty and a null language ``und``; repeated rows count as often as they stand there; other columns are not read.
-    ``word_bits`` fixes the number of buckets of words, and with it what a task holds and what is broadcast; with more
-    text than they tell apart, fewer rare words are left out before the routing, and results are the same. A shard gets
-    about ``shard_words`` words; pairs whose bucket (of ``pair_bits``) counts more than ``hot`` go to several.
+    ``word_bits`` and ``pair_bits`` fix the numbers of buckets, and with them what a task holds and what is broadcast; with more
+    text than they tell apart, fewer rare words and pairs are left out before the routing, and results are the same. A shard is
+    meant for ``shard_words`` words; pairs and triples whose bucket (of ``common_bits``) counts more than ``hot`` go to several.
     """
 
     LONGEST = 5
 
-    def __init__(self, spark: SparkSession, least: int = 100, word_bits: int = 22, pair_bits: int = 16, shard_words: int = 2_000_000, hot: int = 400_000):
-        self.spark, self.least, self.bits, self.shard_words, self.hot = spark, least, (word_bits, pair_bits), shard_words, hot
+    def __init__(self, spark: SparkSession, least: int = 100, word_bits: int = 20, pair_bits: int = 22, common_bits: int = 16, shard_words: int = 2_000_000, hot: int = 400_000):
+        self.spark, self.least, self.bits, self.shard_words, self.hot = spark, least, (word_bits, pair_bits, common_bits), shard_words, hot
         self.scratch = Scratch(spark, "phrases")
         bounded_batches(spark)
 
@@ -161,31 +169,34 @@ class Collocations:
         return counts, totals
 
     def _sketched(self, texts: DataFrame) -> DataFrame:
-        """(block, part, lang, n): bucket counts of a task, those of words at most ``least``, and its words by language."""
+        """(block, part, lang, n): bucket counts of a task, those of words and pairs at most ``least``, and its words by language."""
         least, bits = self.least, self.bits
 
         def run(batches):
-            words, pairs = np.zeros(1 << bits[0], np.int32), np.zeros(1 << bits[1], np.int64)
+            rare, common = np.zeros((1 << bits[0]) + (1 << bits[1]), np.int32), np.zeros(1 << bits[2], np.int64)
+            words, pairs = rare[: 1 << bits[0]], rare[1 << bits[0] :]
             n: Counter[str] = Counter()
             for t in _blocks(batches):
                 if not len(t.ids):
                     continue
-                word, pair = t.buckets(bits)
-                np.minimum(words + np.bincount(word, minlength=len(words)), least, out=words, casting="unsafe")
-                pairs += np.bincount(pair[t.follows[1:]], minlength=len(pairs))
+                t.hashed()
+                for into, h, width in ((words, t.one, bits[0]), (pairs, t.two[t.has_two], bits[1])):
+                    np.minimum(into + np.bincount(_bucket(h, width), minlength=len(into)), least, out=into, casting="unsafe")
+                for h in (t.two[t.has_two], t.three[t.has_three]):
+                    common += np.bincount(_bucket(h, bits[2]), minlength=len(common))
                 n.update(dict(zip(t.langs.to_pylist(), np.bincount(t.lang, minlength=len(t.langs)).tolist(), strict=True)))
-            for lo in range(0, len(words), _BLOCK):
-                if words[lo : lo + _BLOCK].any():
-                    packed = zstandard.compress(words[lo : lo + _BLOCK].astype(np.uint8 if least < 256 else np.int32).tobytes())
+            for lo in range(0, len(rare), _BLOCK):
+                if rare[lo : lo + _BLOCK].any():
+                    packed = zstandard.compress(rare[lo : lo + _BLOCK].astype(np.uint8 if least < 256 else np.int32).tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array([lo // _BLOCK], pa.int32()), pa.array([packed]), *_NONE], names=["block", "part", "lang", "n"])
-            if pairs.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zstandard.compress(pairs.tobytes())]), *_NONE], names=["block", "part", "lang", "n"])
+            if common.any():
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([zstandard.compress(common.tobytes())]), *_NONE], names=["block", "part", "lang", "n"])
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(n), pa.int32()), pa.array([None] * len(n), pa.binary()), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["block", "part", "lang", "n"])
 
         return texts.mapInArrow(run, "block int, part binary, lang string, n bigint")
 
     def _buckets(self, sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Bits for the buckets of words whose count reaches ``least`` and for those of very common pairs; as many as there are buckets, whatever the corpus.
+        """Bits for the buckets of words and pairs whose count reaches ``least``, and for those of very common pairs and triples; as many as there are buckets, whatever the corpus.
 
         A worker adds the parts of one block after the other and holds the sums of its blocks.
         """
@@ -203,12 +214,12 @@ class Collocations:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bits"])
 
         parts = sketched.filter("block is not null").select("block", "part").repartition("block").mapInArrow(run, "block int, bits binary")
-        words, pairs = (np.zeros(1 << b, bool) for b in self.bits)
+        rare, common = np.zeros((1 << self.bits[0]) + (1 << self.bits[1]), bool), np.zeros(1 << self.bits[2], bool)
         for r in parts.collect():
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-            into, lo = (pairs, 0) if r["block"] < 0 else (words, r["block"] * _BLOCK)
+            into, lo = (common, 0) if r["block"] < 0 else (rare, r["block"] * _BLOCK)
             into[lo : lo + len(bits)] = bits[: len(into) - lo]
-        return words, pairs
+        return rare, common
 
     def _packed(self, texts: DataFrame, frequent: np.ndarray, common: np.ndarray, shards: int) -> DataFrame:
         """(shard, langs, words, suffixes): the distinct suffixes of a block for a shard, by their places in its words, with weights."""
@@ -217,38 +228,49 @@ class Collocations:
 
         def run(batches):
             known, often = (np.unpackbits(x).astype(bool) for x in held.value)
+            frequent_words, frequent_pairs = known[: 1 << bits[0]], known[1 << bits[0] : (1 << bits[0]) + (1 << bits[1])]
             for t in _blocks(batches):
                 if not len(t.ids):
                     continue
-                word, pair = t.buckets(bits)
-                usable, n = known[word], len(t.ids)
+                t.hashed()
+                usable, n = frequent_words[_bucket(t.one, bits[0])], len(t.ids)
                 joined = np.zeros(n + longest, bool)  # whether a word goes on from the one before
-                joined[1:n] = t.follows[1:] & usable[1:] & usable[:-1]
+                joined[1:n] = (t.has_two & frequent_pairs[_bucket(t.two, bits[1])])[:-1] & usable[1:] & usable[:-1]
                 alive, depth = usable.copy(), usable.astype(np.int32)
                 for j in range(1, longest):
                     alive &= joined[j : j + n]
                     depth += alive
-                start = np.flatnonzero(depth)
-                # The lead is the first word, or the first two; very common ones are told apart by all words.
-                padded = np.append(t.hashes, np.zeros(longest, _U))
-                lead = np.where(depth[start] > 1, t.pair(padded[start], padded[start + 1]), t.hashes[start])
-                split = (depth[start] > 1) & often[np.append(pair, 0)[start]]
-                whole = lead.copy()
-                for j in range(2, longest):
-                    whole = np.where(depth[start] > j, t.pair(whole, padded[start + j]), whole)
-                shard = (B.mix(np.where(split, whole, lead)) % _U(shards)).astype(np.int64)
+                # Words alone: one row for each of the block, routed by itself.
+                times = np.bincount((t.lang.astype(np.int64) * len(t.words) + t.ids)[usable], minlength=1)
+                lone = np.flatnonzero(times)
+                where = np.zeros(len(times), np.int64)
+                where[(t.lang.astype(np.int64) * len(t.words) + t.ids)[usable]] = np.flatnonzero(usable)
+                single = np.full((len(lone), longest + 4), -1, np.int32)
+                single[:, 0] = B.mix(t.one[where[lone]]) % _U(shards)
+                single[:, 1], single[:, 2], single[:, 3], single[:, -1] = 1, lone // len(t.words), lone % len(t.words), times[lone]
+                # Suffixes of two words and more, routed by two, by three or by all.
+                start = np.flatnonzero(depth > 1)
+                d = depth[start]
+                three = (d > 2) & often[_bucket(t.two, bits[2])[start]]
+                whole = three & often[_bucket(t.three, bits[2])[start]]
+                lead, padded = np.where(three, t.three[start], t.two[start]), np.append(t.one, np.zeros(longest, _U))
+                for j in range(3, longest):
+                    lead = np.where(whole & (d > j), t.pair(lead, padded[start + j]), lead)
+                by = np.where(often[_bucket(t.two, bits[2])[start]], np.where(whole, longest, 3), 2)
                 ids = np.append(t.ids, np.full(longest, -1, t.ids.dtype))
-                columns = {"shard": shard, "split": split, "lang": t.lang[start]} | {f"w{j}": np.where(depth[start] > j, ids[start + j], -1) for j in range(longest)}
+                columns = {"shard": (B.mix(lead) % _U(shards)).astype(np.int32), "by": by.astype(np.int32), "lang": t.lang[start]} | {f"w{j}": np.where(d > j, ids[start + j], -1) for j in range(longest)}
                 same = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")])
-                table = np.stack([same.column(c).to_numpy().astype(np.int32) for c in [*columns, "count_all"]], axis=1)
-                table = table[np.argsort(table[:, 0], kind="stable")]
+                table = np.concatenate([single, np.stack([same.column(c).to_numpy().astype(np.int32) for c in [*columns, "count_all"]], axis=1)])
+                table = table[np.lexsort([*(table[:, 3 + j] for j in range(longest - 1, -1, -1)), table[:, 0]])]
                 cuts = np.append(np.flatnonzero(np.diff(table[:, 0], prepend=-1)), len(table))
                 out: list[list] = [[], [], [], []]
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     part = table[lo:hi, 1:]
                     used = np.unique(part[:, 2 : 2 + longest])
                     part[:, 2 : 2 + longest] = np.searchsorted(used, part[:, 2 : 2 + longest]) - (used[0] < 0)
-                    for column, x in zip(out, (int(table[lo, 0]), t.langs.to_pylist(), t.words.take(pa.array(used[used >= 0])).to_pylist(), zstandard.compress(np.ascontiguousarray(part.T).tobytes())), strict=True):
+                    small = part.max() < 32768  # places and weights mostly fit two bytes
+                    payload = np.ascontiguousarray(part.T.astype(np.int16 if small else np.int32)).tobytes()
+                    for column, x in zip(out, (int(table[lo, 0]), t.langs.to_pylist(), t.words.take(pa.array(used[used >= 0])).to_pylist(), (b"s" if small else b"l") + zstandard.compress(payload)), strict=True):
                         column.append(x)
                 types = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names=["shard", "langs", "words", "suffixes"])
@@ -271,21 +293,24 @@ class Collocations:
                 for r in range(batch.num_rows):
                     langs.append(batch.column(1)[r].values)
                     words.append(batch.column(2)[r].values)
-                    tables.append(np.frombuffer(zstandard.decompress(batch.column(3)[r].as_py()), np.int32).reshape(longest + 3, -1))
+                    packed = batch.column(3)[r].as_py()
+                    tables.append(np.frombuffer(zstandard.decompress(packed[1:]), np.int16 if packed[:1] == b"s" else np.int32).reshape(longest + 3, -1))
             if not tables:
                 return
             (tongues, of_lang), (names, of_word) = numbered(langs), numbered(words)
             sizes = [t.shape[1] for t in tables]
-            matrix, weight, split = np.empty((sum(sizes), longest + 1), np.int32), np.empty(sum(sizes), np.int64), np.empty(sum(sizes), bool)
+            matrix, weight, by = np.empty((sum(sizes), longest + 1), np.int32), np.empty(sum(sizes), np.int64), np.empty(sum(sizes), np.int8)
             at = 0
             for t, size, own_lang, own_word in zip(tables, sizes, of_lang, of_word, strict=True):
                 here = slice(at, at + size)
-                split[here], weight[here], matrix[here, 0] = t[0] == 1, t[-1], own_lang[t[1]]
+                by[here], weight[here], matrix[here, 0] = t[0], t[-1], own_lang[t[1]]
                 matrix[here, 1:] = np.where(t[2:-1] < 0, -1, own_word[np.maximum(t[2:-1], 0)]).T
                 at += size
             tables.clear()
-            for mine, parted in ((np.flatnonzero(~split), False), (np.flatnonzero(split), True)):
-                found = list(sort_suffixes(matrix[mine], weight[mine], least, parted))
+            for whole in np.unique(by).tolist():
+                mine = np.flatnonzero(by == whole)
+                # Words alone and suffixes of two and more are told apart: the latter's first words count for nothing.
+                found = [f for f in sort_suffixes(matrix[mine], weight[mine], least, whole) if whole == 1 or f[1] > 1]
                 for lo in range(0, len(found), 1 << 16):
                     row, k, n = (np.array(c, np.int64) for c in zip(*found[lo : lo + (1 << 16)], strict=True))
                     row = mine[row]

@@ -123,7 +123,7 @@ def test_collocations_equal_brute_force(spark, bits, hot):
     texts += ["one large group of copies says this"] * 200
     rows = [([None, "und", "en", "de", ""][rng.integers(5)], t) for t in texts]
     docs = spark.createDataFrame([(i, t, g, 1, 2, "p", 3) for i, (g, t) in enumerate(rows)], DOCS)
-    got = Collocations(spark, least=8, word_bits=bits, pair_bits=bits, hot=hot, shard_words=500).run(docs, top=40).collect()
+    got = Collocations(spark, least=8, word_bits=bits, pair_bits=bits, common_bits=min(bits, 12), hot=hot, shard_words=500).run(docs, top=40).collect()
     assert {tuple(r) for r in got} == collocations(rows, 8, 40) and len(got) > 60
 
 
@@ -153,9 +153,9 @@ def test_sorted_suffixes_count_prefixes():
         for d in range(1, 6):
             if row[d] >= 0:
                 want[tuple(row[: d + 1])] += w
-    for least, split in ((1, False), (30, False), (30, True)):
-        got = {tuple(words[r, : d + 1].tolist()): n for r, d, n in sort_suffixes(words, weight, least, split)}
-        assert got == {k: n for k, n in want.items() if n >= least or len(k) == 2 or split}
+    for least, whole in ((1, 1), (30, 1), (30, 2), (30, 3), (30, 5)):
+        got = {tuple(words[r, : d + 1].tolist()): n for r, d, n in sort_suffixes(words, weight, least, whole)}
+        assert got == {k: n for k, n in want.items() if n >= least or len(k) <= whole}
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, cid bigint, rep int, n int, cluster int"
