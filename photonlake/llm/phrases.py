@@ -157,15 +157,14 @@ class Collocations:
     def counts(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(lang, phrase, k, count) of words and phrases that occur ``least`` times, and (lang, n) of all words."""
         texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-        sketched = self.scratch.table(self._sketched(texts), "sketched")
-        totals = self.scratch.table(sketched.filter("block is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        merged = self.scratch.table(self._merged(self._sketched(texts)), "merged")
+        totals = self.scratch.table(merged.filter("block is null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         words = totals.agg(F.sum("n")).first()[0] or 0
         shards = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), words // self.shard_words)
-        packed = self._packed(texts, *self._buckets(sketched), shards)
+        packed = self._packed(texts, *self._buckets(merged), shards)
         partial = self._sorted(packed.repartitionById(shards, F.col("shard")))
         counts = partial.groupBy("lang", "phrase", "k").agg(F.sum("count").alias("count")).filter(F.col("count") >= self.least)
         counts = self.scratch.table(counts, "counts")
-        self.scratch.drop("sketched")
         return counts, totals
 
     def _sketched(self, texts: DataFrame) -> DataFrame:
@@ -195,8 +194,8 @@ class Collocations:
 
         return texts.mapInArrow(run, "block int, part binary, lang string, n bigint")
 
-    def _buckets(self, sketched: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Bits for the buckets of words and pairs whose count reaches ``least``, and for those of very common pairs and triples; as many as there are buckets, whatever the corpus.
+    def _merged(self, sketched: DataFrame) -> DataFrame:
+        """(block, part, lang, n): for each block of buckets the bits that say which reach ``least``, or are very common; words by language pass.
 
         A worker adds the parts of one block after the other and holds the sums of its blocks.
         """
@@ -204,19 +203,28 @@ class Collocations:
 
         def run(batches):
             held: dict[int, np.ndarray] = {}
+            n: Counter[str] = Counter()
             for batch in batches:
-                for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for block, part, lang, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if block is None:
+                        n[lang] += words
+                        continue
                     kind = np.int64 if block < 0 else np.uint8 if least < 256 else np.int32
                     one = np.frombuffer(zstandard.decompress(part), kind).astype(np.int64)
                     total = held[block] + one if block in held else one
                     held[block] = total if block < 0 else np.minimum(total, least)
-            bits = [np.packbits(v > hot if k < 0 else v >= least).tobytes() for k, v in held.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bits"])
+            rows = [(k, np.packbits(v > hot if k < 0 else v >= least).tobytes(), None, None) for k, v in held.items()] + [(None, None, lang, words) for lang, words in n.items()]
+            types = (pa.int32(), pa.binary(), pa.string(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "part", "lang", "n"])
+
+        return sketched.repartition(F.coalesce(F.col("block").cast("bigint"), F.xxhash64("lang"))).mapInArrow(run, "block int, part binary, lang string, n bigint")
 
-        parts = sketched.filter("block is not null").select("block", "part").repartition("block").mapInArrow(run, "block int, bits binary")
+    def _buckets(self, merged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """A bit for every bucket of words and pairs, and of pairs and triples; as many as there are buckets, whatever the corpus."""
         rare, common = np.zeros((1 << self.bits[0]) + (1 << self.bits[1]), bool), np.zeros(1 << self.bits[2], bool)
-        for r in parts.collect():
-            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        for r in merged.filter("block is not null").select("block", "part").collect():
+            bits = np.unpackbits(np.frombuffer(r["part"], np.uint8)).astype(bool)
             into, lo = (common, 0) if r["block"] < 0 else (rare, r["block"] * _BLOCK)
             into[lo : lo + len(bits)] = bits[: len(into) - lo]
         return rare, common
@@ -270,7 +278,7 @@ class Collocations:
                     part[:, 2 : 2 + longest] = np.searchsorted(used, part[:, 2 : 2 + longest]) - (used[0] < 0)
                     small = part.max() < 32768  # places and weights mostly fit two bytes
                     payload = np.ascontiguousarray(part.T.astype(np.int16 if small else np.int32)).tobytes()
-                    for column, x in zip(out, (int(table[lo, 0]), t.langs.to_pylist(), t.words.take(pa.array(used[used >= 0])).to_pylist(), (b"s" if small else b"l") + zstandard.compress(payload)), strict=True):
+                    for column, x in zip(out, (int(table[lo, 0]), t.langs.to_pylist(), t.words.take(pa.array(used[used >= 0])).to_pylist(), (b"s" if small else b"l") + zstandard.compress(payload, 9)), strict=True):
                         column.append(x)
                 types = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names=["shard", "langs", "words", "suffixes"])

@@ -733,7 +733,7 @@ def test_queries_equal_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings", "pages"):
+    for t in ("documents", "labels", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     out = con.execute(queries.ORACLE_SQL[name])
