@@ -9,7 +9,8 @@ bounds until no bound can reach the k-th score.
 Blocks of candidates hold rows of one nearest pivot and lie on shelves of equally many blocks in the order of the
 pivots, so that a shelf spans narrow ranges of distances and none is long, however many rows are alike. The
 scores of a bounded sample of rows give every query a first threshold; a block of queries goes to a shelf only if
-the shelf's ranges allow a score that reaches it, and meets there block by block in an equi-join.
+the shelf's ranges allow a score that reaches it, and meets there block by block in an equi-join by shelf and lot
+of query blocks.
 
 Scores are exact integers: products are formed in doubles where all partial sums stay below 2^53, else in 64-bit
 integers where they stay below 2^63, else in integers of any length.
@@ -119,9 +120,9 @@ class PivotSearch:
     is given as that range's nearest end; such scores tie.
     """
 
-    def __init__(self, spark: SparkSession, k: int = 10, every: int = 100, scale: int = 1024, pivots: int = 32, sample: int = 4096, block: int = 2048, query_block: int = 256):
+    def __init__(self, spark: SparkSession, k: int = 10, every: int = 100, scale: int = 1024, pivots: int = 32, sample: int = 4096, block: int = 2048, query_block: int = 256, lot: int = 64):
         self.spark, self.k, self.every, self.scale = spark, k, every, scale
-        self.pivots, self.sample, self.block, self.query_block = pivots, sample, block, query_block
+        self.pivots, self.sample, self.block, self.query_block, self.lot = pivots, sample, block, query_block, lot
         self.scratch = Scratch(spark, "pivot-search")
         bounded_batches(spark, 64)
 
@@ -152,7 +153,18 @@ class PivotSearch:
         ranges = table.groupBy("shelf").agg(F.array(*[F.min(F.col("low")[p]) for p in range(len(pivots))]), F.array(*[F.max(F.col("high")[p]) for p in range(len(pivots))])).collect()
         asked = V.blocks(rows.filter(F.col("vec_id") % self.every == 0), self.query_block)
         asked = self.scratch.table(self._sent(asked, shared, [(r[0], np.array(r[1]), np.array(r[2])) for r in ranges]), "asked")
-        return V.best(self._search(asked.join(table.select("shelf", "ids", "vectors", "to_pivot"), "shelf"), shared), self.k)
+        return V.best(self._search(self._met(asked, table.select("shelf", "ids", "vectors", "to_pivot")), shared), self.k)
+
+    def _met(self, asked: DataFrame, table: DataFrame) -> DataFrame:
+        """Blocks of queries with the blocks of the shelves they go to.
+
+        A shelf that many blocks of queries go to is dealt into lots of about ``lot`` of them, each with a copy of the
+        shelf's blocks, so that a task's share of pairs does not grow with the number of queries.
+        """
+        lots = asked.groupBy("shelf").agg(F.ceil(F.count("*") / self.lot).cast("int").alias("lots"))
+        dealt = asked.join(F.broadcast(lots), "shelf").withColumn("lot", F.pmod(F.xxhash64("q_block"), F.col("lots")).cast("int"))
+        copies = table.join(F.broadcast(lots), "shelf").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        return dealt.drop("lots").join(copies.drop("lots"), ["shelf", "lot"])
 
     @staticmethod
     def _placed(rows: DataFrame, shared) -> DataFrame:

@@ -353,7 +353,7 @@ def test_exact_top_k_on_odd_rows(spark):
     data[3] = (3, data[200][1])
     data[5] = (5, data[200][1])
     odd_rows = [(1000, None), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1200, [float("nan")] + [0.0] * 5), (1300, [1.0]), (None, [0.0] * 6), (1400, [])]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in PivotSearch(spark, block=64, query_block=2, pivots=8).run(vectors(spark, data + odd_rows)).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in PivotSearch(spark, block=64, query_block=2, pivots=8, lot=1).run(vectors(spark, data + odd_rows)).collect()}
     whole = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in data}
     for q in (0, 100, 200, 300):
         want = sorted(((-int(whole[q] @ x), i) for i, x in whole.items() if i != q))[:10]
@@ -370,6 +370,15 @@ def test_products_are_exact_at_any_size():
         assert products(x.astype(float), q.astype(float)).tolist() == want
 
 
+def test_shelves_are_dealt_into_lots(spark):
+    search = PivotSearch(spark, lot=2)
+    asked = spark.createDataFrame([(0, b) for b in range(9)] + [(1, 4)], "shelf int, q_block int")
+    table = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z"), (2, "never asked")], "shelf int, ids string")
+    met = search._met(asked, table).select("shelf", "lot", "q_block", "ids").collect()
+    assert sorted((r.shelf, r.q_block, r.ids) for r in met) == sorted([(0, b, i) for b in range(9) for i in "xy"] + [(1, 4, "z")])
+    assert len({r.lot for r in met if r.shelf == 0}) > 1
+
+
 @pytest.mark.parametrize("kind", ["mixed", "clustered", "repeated"])
 def test_exact_top_k_equals_brute_force(spark, kind):
     rng = np.random.default_rng(5)
@@ -388,7 +397,7 @@ def test_exact_top_k_equals_brute_force(spark, kind):
     for i, v in sorted(rows, reverse=True):
         whole[i] = [int(c) for c in np.floor(1024 * np.array(v)).tolist()]
     got = collections.defaultdict(list)
-    for r in PivotSearch(spark, block=32, query_block=3, pivots=8, sample=64).run(vectors(spark, rows)).orderBy("query_id", "rank").collect():
+    for r in PivotSearch(spark, block=32, query_block=1, pivots=8, sample=64, lot=2).run(vectors(spark, rows)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     for q in (0, 100, 200, 300):
         want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
