@@ -68,6 +68,21 @@ def between(source: str, target: str, lon: Column, lat: Column) -> tuple[Column,
     return sky.to_galactic(lon, lat) if target == "galactic" else sky.from_galactic(lon, lat)
 
 
+def _settled(df: DataFrame, kept: tuple[str, ...], *names: str) -> DataFrame:
+    """``df`` with columns that later steps and filters take as values: a generator of one row keeps Catalyst from writing their expressions out again in each use."""
+    return df.select(*kept, F.inline(F.array(F.struct(*names))))
+
+
+def _located(df: DataFrame, kept: tuple[str, ...], source: Plane, target: Plane, px: Column, py: Column) -> DataFrame:
+    """``kept`` and the position (_lon, _lat) of the source's pixel coordinates in the target's frame."""
+    lon, lat = source.sky(px, py)
+    at = _settled(df.select(*kept, lon.alias("_lon"), lat.alias("_lat")), kept, "_lon", "_lat")
+    if source.frame == target.frame:
+        return at
+    lon, lat = between(source.frame, target.frame, F.col("_lon"), F.col("_lat"))
+    return _settled(at.select(*kept, lon.alias("_lon"), lat.alias("_lat")), kept, "_lon", "_lat")
+
+
 def reproject(image: DataFrame, source: Plane, target: Plane, factor: int = 1, preserve_counts: bool = True, others: tuple[str, ...] = ()) -> DataFrame:
     """(px, py, others, value): the map (px, py, others, value) on the target's pixels.
 
@@ -75,15 +90,17 @@ def reproject(image: DataFrame, source: Plane, target: Plane, factor: int = 1, p
     that the sum of what the target shows is kept; other quantities are the mean of the parts in a pixel. Pixels further
     from the target's center than it reaches are left out first.
     """
-    lon, lat = between(source.frame, target.frame, *source.sky(F.col("px").cast("double"), F.col("py").cast("double")))
+    rows = image.select("px", "py", *others, F.col("value").cast("double").alias("value"))
+    held = ("px", "py", *others, "value")
+    centers = _located(rows, held, source, target, F.col("px").cast("double"), F.col("py").cast("double"))
     slack = abs(source.step_lon) + abs(source.step_lat)
-    near = sky.separation(lon, lat, target.lon0, target.lat0) <= min(180.0, target.reach() + slack)
+    near = centers.filter(sky.separation("_lon", "_lat", target.lon0, target.lat0) <= min(180.0, target.reach() + slack))
     parts = F.explode(F.array(*[F.lit((i + 0.5) / factor - 0.5) for i in range(factor)]))
-    cut = image.filter(near).select("px", "py", *others, F.col("value").cast("double").alias("value"), parts.alias("_dx")).withColumn("_dy", parts)
-    lon, lat = between(source.frame, target.frame, *source.sky(F.col("px") + F.col("_dx"), F.col("py") + F.col("_dy")))
+    cut = near.select(*held, parts.alias("_dx")).withColumn("_dy", parts)
+    located = _located(cut, (*others, "value"), source, target, F.col("px") + F.col("_dx"), F.col("py") + F.col("_dy"))
     x, y = target.pixel(F.col("_lon"), F.col("_lat"))
-    placed = cut.select(*others, "value", lon.alias("_lon"), lat.alias("_lat")).select(*others, "value", F.floor(x + 0.5).cast("int").alias("px"), F.floor(y + 0.5).cast("int").alias("py"))
-    shown = placed.filter(target.inside(F.col("px"), F.col("py")))
+    placed = located.select(*others, "value", F.floor(x + 0.5).cast("int").alias("px"), F.floor(y + 0.5).cast("int").alias("py"))
+    shown = _settled(placed, (*others, "value"), "px", "py").filter(target.inside(F.col("px"), F.col("py")))
     value = F.sum("value") / (factor * factor) if preserve_counts else F.avg("value")
     return shown.groupBy("px", "py", *others).agg(value.alias("value"))
 
@@ -91,10 +108,9 @@ def reproject(image: DataFrame, source: Plane, target: Plane, factor: int = 1, p
 def interpolate(image: DataFrame, source: Plane, target: Plane) -> DataFrame:
     """(px, py, value) at the centers of the target's pixels, bilinear in the source's; beyond it pixels count as zero."""
     grid = target.pixels(image.sparkSession).toDF("tx", "ty")
-    lon, lat = between(target.frame, source.frame, *target.sky(F.col("tx").cast("double"), F.col("ty").cast("double")))
-    at = grid.select("tx", "ty", lon.alias("_lon"), lat.alias("_lat"))
+    at = _located(grid, ("tx", "ty"), target, source, F.col("tx").cast("double"), F.col("ty").cast("double"))
     x, y = source.pixel(F.col("_lon"), F.col("_lat"))
-    placed = at.select("tx", "ty", x.alias("fx"), y.alias("fy")).filter("fx is not null")
+    placed = _settled(at.select("tx", "ty", x.alias("fx"), y.alias("fy")), ("tx", "ty"), "fx", "fy").filter("fx is not null")
     return M.interpolate(placed, F.col("fx"), F.col("fy"), image).select(F.col("tx").alias("px"), F.col("ty").alias("py"), "value")
 
 

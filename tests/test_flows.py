@@ -222,3 +222,18 @@ def test_pulse_profiles(spark):
     df = spark.createDataFrame([(0.0, 1.0), (0.49, 1.0), (0.5, 7.0), (1.0, 7.0)], "phase double, energy double")
     got = {(r.band, r.phase_bin): (r.value, r.unc) for r in fluxes.pulse_profiles(df, [], "phase", "energy", [("all", 0.0, 99.0), ("high", 5.0, 99.0)], 2, F.lit(3.0)).collect()}
     assert got == {("all", 0): (6.0, pytest.approx(3 * math.sqrt(2))), ("all", 1): (6.0, pytest.approx(3 * math.sqrt(2))), ("high", 1): (6.0, pytest.approx(3 * math.sqrt(2)))}
+
+
+def test_reprojection_stays_in_generated_code(spark):
+    """Between frames and projections, with every pixel cut into parts; without a way back to interpreted rows."""
+    source = RP.Plane("car", 266.0, -29.0, -0.2, 0.2, 20.0, 20.0, 41, 41)
+    target = RP.Plane("tan", 0.0, 0.0, -0.5, 0.5, 20.0, 20.0, 41, 41, "galactic")
+    image = source.pixels(spark).selectExpr("px", "py", "cast(px + 41 * py as double) as value")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        whole = RP.reproject(image, source, target, factor=5).agg({"value": "sum"}).first()[0]
+        back = RP.interpolate(image, source, target).filter("value > 0").count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert abs(whole - sum(range(41 * 41))) < 1e-6
+    assert back > 0
