@@ -90,9 +90,11 @@ class Axis:
         return F.when((i >= 0) & (i < self.bins), i)
 
     def nearest_edge(self, x: Column) -> Column:
-        edges = F.array(*map(F.lit, self.edges))
-        by = F.transform(edges, lambda e: F.struct(F.abs(e - x).alias("d"), e.alias("e")))
-        return F.array_min(by)["e"]
+        """The edge closest to a coordinate; the middle of two edges, as their mean is rounded, belongs to the upper one. Without a coordinate the last."""
+        out = F
+        for a, b in zip(self.edges, self.edges[1:], strict=False):
+            out = out.when(x < (a + b) / 2, a)
+        return out.otherwise(self.edges[-1])
 
     def groups(self, low: float, high: float) -> list[tuple[str, int, int]]:
         """(kind, first bin, last bin): what lies below, within and above the edges nearest to two bounds."""
