@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 _SCALES = {"lin": (lambda x: x, lambda x: x), "log": (math.log, math.exp), "sqrt": (math.sqrt, lambda x: x * x)}
 
 
+def _log(x: Column) -> Column:
+    """The logarithm with its limits, where Spark's own has null: minus infinity at zero, NaN below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, float("-inf")).when(x < 0, float("nan"))
+
+
 def _scale(x: Column, interp: str) -> Column:
-    return {"lin": lambda: x, "log": lambda: F.log(x), "sqrt": lambda: F.sqrt(x)}[interp]()
+    return {"lin": lambda: x, "log": lambda: _log(x), "sqrt": lambda: F.sqrt(x)}[interp]()
 
 
 def _unscale(x: Column, interp: str) -> Column:
@@ -86,8 +91,8 @@ class Axis:
 
     def fill_index(self, x: Column) -> Column:
         """Bin that an event falls into when a map is filled; null outside."""
-        i = F.floor(self.pixel(x) + 0.5).cast("int")
-        return F.when((i >= 0) & (i < self.bins), i)
+        p = self.pixel(x) + 0.5
+        return F.when((p >= 0) & (p < self.bins), F.floor(p).cast("int"))
 
     def nearest_edge(self, x: Column) -> Column:
         """The edge closest to a coordinate; the middle of two edges, as their mean is rounded, belongs to the upper one. Without a coordinate the last."""
