@@ -83,64 +83,105 @@ def pairs(df: DataFrame, keys: list[str], order: str, longest: int | None = None
     return met.filter((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= longest)).drop("_b")
 
 
-def _blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """(keys, block, m, n, first, last): the rows of a series in order of t, in blocks of ``rows``, with the number of blocks and the block's times.
+#: Rows of a series, on either side, that one group of pairs holds at most.
+GROUP_ROWS = 2048
 
-    Ranks are running counts over slices of the whole table, so that a long series is not sorted in one task.
-    """
-    cut = scan.sliced(df, keys, ["t"], Rounds(df.sparkSession, "blocks"))
-    ranked = scan.running(cut, keys, ["t"], sums={"_rank": F.lit(1)}).withColumn("block", F.floor((F.col("_rank") - 1) / rows).cast("int"))
-    item = F.struct(*[F.col(c).cast("double").alias(c) for c in df.columns if c not in keys])
-    blocks = ranked.groupBy(*keys, "block").agg(F.collect_list(item).alias("m"), F.min("t").alias("first"), F.max("t").alias("last"))
-    counts = blocks.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
-    return blocks.join(counts, keys)
 
+def _stretches(df: DataFrame, keys: list[str], rows: int, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """The rows of each series with the number of their stretch of ``rows`` rows in order of t, and (keys, stretch, first, last).
 
-def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], later: bool = False, rows: int = 512, longest: float | None = None) -> DataFrame:
+    Ranks are running counts over slices of the whole table, so that a long series is not sorted in one task.
+    """
+    ranked = scan.running(scan.sliced(df, keys, ["t"], rounds), keys, ["t"], sums={"_rank": F.lit(1)})
+    cut = rounds.table(ranked.select(*df.columns, F.floor((F.col("_rank") - 1) / rows).cast("int").alias("_own")))
+    return cut, cut.groupBy(*keys, F.col("_own").alias("_other")).agg(F.min("t").alias("_of"), F.max("t").alias("_ol"))
+
+
+def _summed(parts: list[list[np.ndarray]], sums: int) -> list[np.ndarray]:
+    """Parts (lags, sums..., n) as one part with each lag once; lags that lie far apart are sorted instead of counted off."""
+    lags, *values = (np.concatenate(c) for c in zip(*parts, strict=True))
+    low, high = lags.min(), lags.max()
+    if high - low < 8 * len(lags) + 1024:
+        at, found = lags - low, None
+        width = int(high - low) + 1
+    else:
+        found, at = np.unique(lags, return_inverse=True)
+        width = len(found)
+    n = np.bincount(at, values[-1] if len(values) > sums else None, width)
+    kept = np.flatnonzero(n)
+    return [kept + low if found is None else found, *(np.bincount(at, v, width)[kept] for v in values[:sums]), n[kept].astype(np.int64)]
+
+
+def pair_sums(x: DataFrame, y: DataFrame, keys: list[str], lag: Callable, terms: Callable, sums: list[str], later: bool = False, rows: int = 512, longest: float | None = None, group: int = GROUP_ROWS) -> DataFrame:
     """(keys, lag, sums, n): sums over all pairs of rows (keys, t, ...) of ``x`` and ``y``, by a binned difference of times.
 
-    A series is cut into blocks of ``rows`` rows by rank in time, and each pair of blocks is a group of its own (with ``later`` only pairs
-    that hold a later ``y``, with ``longest`` only those that hold one within that lag); the pairs of rows of two blocks exist only
-    as matrices. ``lag`` turns the matrix t(y) - t(x) into integers and a mask, ``terms`` the blocks' columns into matrices to sum.
+    A series of at most ``group`` rows a side is one group, whose sums are complete when they leave it. A longer one is cut by rank
+    in time into stretches of that many rows, and each pair of stretches is a group (with ``later`` only pairs that hold a later
+    ``y``, with ``longest`` only those that hold one within that lag), whose sums are added up. A group works through pairs of
+    blocks of ``rows`` rows, of which only one exists as a matrix at a time. ``lag`` turns the matrix t(y) - t(x) into integers and a mask, ``terms``
+    the blocks' columns into matrices to sum.
     """
-    own = _blocks(x, keys, rows)
-    bx, by = own, own if y is x else _blocks(y, keys, rows)
-    sides = []
-    for one, other, names in ((bx, by, ("_i", "_j")), (by, bx, ("_j", "_i"))):
-        span = other.select(*keys, F.col("block").alias("_o"), F.col("first").alias("_of"), F.col("last").alias("_ol"))
-        met = one.join(span, keys)
-        ahead = (F.col("_ol") - F.col("first"), F.col("_of") - F.col("last")) if names[0] == "_i" else (F.col("last") - F.col("_of"), F.col("first") - F.col("_ol"))
-        if later:
-            met = met.filter(ahead[0] > 0)
-        if longest is not None:
-            met = met.filter(ahead[1] <= longest)
-        sides.append(met.select(*keys, F.col("block").alias(names[0]), F.col("_o").alias(names[1]), F.col("m").alias("_x" if names[0] == "_i" else "_y")))
-    met = sides[0].join(sides[1], [*keys, "_i", "_j"]).select(*keys, "_x", "_y")
-    kept = [T.StructField(f.name, f.dataType) for f in met.schema.fields if f.name in keys]
+    rounds = Rounds(x.sparkSession, "pairs")
+    same = y is x
+    x = rounds.table(x.filter("t is not null"))
+    y = x if same else rounds.table(y.filter("t is not null"))
+    own = [c for c in x.columns if c not in keys]
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    counts = count(x, "_nx").withColumn("_ny", F.col("_nx")) if same else count(x, "_nx").join(count(y, "_ny"), keys)
+    counts = rounds.table(counts)
+    fits = (F.col("_nx") <= group) & (F.col("_ny") <= group)
+    sided = lambda df, side: df.withColumn("_side", F.lit(side))
+    of = lambda which: lambda df: df.join(counts.filter(which).select(*keys), keys, "left_semi")
+    short, long = of(fits), of(~fits)
+    whole = sided(short(x), 2) if same else sided(short(x), 0).unionByName(sided(short(y), 1))
+    kept = [T.StructField(f.name, f.dataType) for f in x.schema.fields if f.name in keys]
     schema = T.StructType([*kept, T.StructField("lag", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
 
-    def run(batches):
-        for batch in batches:
-            row, out = [], [[] for _ in range(len(sums) + 2)]
-            for r in range(batch.num_rows):
-                a, b = ({f.name: v.values.field(f.name).to_numpy(zero_copy_only=False) for f in v.type.value_type} for v in (batch.column(c)[r] for c in ("_x", "_y")))
-                a, b = {k: v[:, None] for k, v in a.items()}, {k: v[None, :] for k, v in b.items()}
-                bins, use = lag(b["t"] - a["t"])
-                bins = bins[use]
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("_side").to_numpy()
+        held = {c: table.column(c).cast(pa.float64()).to_numpy() for c in own}
+        a, b = ({c: v[side != no] for c, v in held.items()} for no in (1, 0))
+        a, b = ({c: v[order] for c, v in m.items()} for m in (a, b) for order in (np.argsort(m["t"], kind="stable"),))
+        blocks = [[{c: v[k : k + rows] for c, v in m.items()} for k in range(0, len(m["t"]), rows)] for m in (a, b)]
+        parts, waiting = [], 0
+        for one in blocks[0]:
+            for two in blocks[1]:
+                if later and two["t"][-1] <= one["t"][0] or longest is not None and two["t"][0] - one["t"][-1] > longest:
+                    continue
+                u, v = {c: m[:, None] for c, m in one.items()}, {c: m[None, :] for c, m in two.items()}
+                bins, use = lag(v["t"] - u["t"])
+                every = bool(use.all())
+                pick = (lambda m: m.ravel()) if every else (lambda m: m[use])  # noqa: B023
+                bins = pick(bins)
                 if not len(bins):
                     continue
-                low = bins.min()
-                n = np.bincount(bins - low)
-                found = np.flatnonzero(n)
-                columns = [found + low, *(np.bincount(bins - low, m[use])[found] for m in terms(a, b)), n[found]]
-                row.append(np.full(len(found), r))
-                for held, c in zip(out, columns, strict=True):
-                    held.append(c)
-            if row:
-                at = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(at) for f in kept), *(pa.array(np.concatenate(c)) for c in out)], names=schema.names)
-
-    return met.mapInArrow(run, schema).groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
+                parts.append(_summed([[bins, *(pick(m) for m in terms(u, v))]], len(sums)))
+                waiting += len(parts[-1][0])
+                if waiting > 1 << 20:
+                    parts = [_summed(parts, len(sums))]
+                    waiting = len(parts[0][0]) // 2
+        out = _summed(parts, len(sums)) if parts else [np.zeros(0, np.int64), *(np.zeros(0) for _ in sums), np.zeros(0, np.int64)]
+        key = [pa.repeat(table.column(f.name)[0], len(out[0])) for f in kept]
+        return pa.Table.from_arrays([*key, *(pa.array(c) for c in out)], names=schema.names)
+
+    done = whole.groupBy(*keys).applyInArrow(run, schema)
+    if counts.filter(~fits).isEmpty():
+        return done
+    cx = _stretches(long(x), keys, group, rounds)
+    cy = cx if same else _stretches(long(y), keys, group, rounds)
+    sides = []
+    for side, (one, _), (_, spans) in ((0, cx, cy), (1, cy, cx)):
+        bounds = one.groupBy(*keys, "_own").agg(F.min("t").alias("_f"), F.max("t").alias("_l")).join(spans, keys)
+        ahead = (F.col("_ol") - F.col("_f"), F.col("_of") - F.col("_l")) if side == 0 else (F.col("_l") - F.col("_of"), F.col("_f") - F.col("_ol"))
+        if later:
+            bounds = bounds.filter(ahead[0] > 0)
+        if longest is not None:
+            bounds = bounds.filter(ahead[1] <= longest)
+        i, j = ("_own", "_other") if side == 0 else ("_other", "_own")
+        met = one.join(bounds.select(*keys, "_own", "_other"), [*keys, "_own"])
+        sides.append(sided(met.select(*keys, F.col(i).alias("_i"), F.col(j).alias("_j"), *own), side))
+    parts = sides[0].unionByName(sides[1]).groupBy(*keys, "_i", "_j").applyInArrow(run, schema)
+    return done.union(parts.groupBy(*keys, "lag").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n")))
 
 
 def structure_function(df: DataFrame, keys: list[str], order: str, rows: int = 512, longest: float | None = None) -> DataFrame:

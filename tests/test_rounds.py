@@ -2,7 +2,12 @@
 
 import math
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from photonlake.functions.axis import Axis
+from photonlake.operators import lightcurve
 
 
 def test_middle_of_two_edges(spark):
@@ -20,3 +25,31 @@ def test_log_axis_at_zero_and_below(spark):
     assert math.isnan(out[1].p) and math.isnan(out[1].back)
     assert out[4].p == math.inf and out[5].p is None
     assert [r.i for r in out] == [None, None, 0, 7, None, None]
+
+
+@pytest.mark.parametrize("group", [16, 2048])
+def test_pair_sums_leave_a_group_once_for_each_lag(spark, group):
+    """A series longer than a group beside short ones: all pairs by lag; a short series' sums are complete without another shuffle."""
+    rng = np.random.default_rng(3)
+    rows = [(k, int(t), float(rng.uniform(1, 9)), float(rng.uniform(0.1, 1))) for k, n in ((1, 70), (2, 9), (3, 1)) for t in rng.choice(90, n, replace=False)]
+    rows += [(1, 10**9, 2.0, 0.5), (None, 4, 1.0, 1.0), (None, 5, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "series int, t bigint, flux double, err double")
+    lag = lambda d: (np.rint(d).astype(np.int64), d > 0)
+    terms = lambda a, b: [a["flux"] * b["flux"]]
+    sums = lightcurve.pair_sums(df, df, ["series"], lag, terms, ["p"], later=True, rows=4, group=group)
+    got = {(r.series, r.lag): (r.n, r.p) for r in sums.collect()}
+    want = {}
+    for k, t, f, _ in rows:
+        for j, u, g, _ in rows:
+            if k is not None and k == j and u > t:
+                n, p = want.get((k, u - t), (0, 0.0))
+                want[k, u - t] = (n + 1, p + f * g)
+    assert got == {k: (n, pytest.approx(p)) for k, (n, p) in want.items()}
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    if group == 2048:
+        assert "mapInArrow" not in plan and "HashAggregate(keys=[series" not in plan.split("FlatMapGroupsInArrow")[0]
+    else:
+        both = lightcurve.pair_sums(df, df.withColumn("t", F.col("t") + 0), ["series"], lag, terms, ["p"], later=True, rows=4, group=group)
+        assert {(r.series, r.lag): (r.n, r.p) for r in both.collect()} == {k: (n, pytest.approx(p)) for k, (n, p) in want.items()}
+        near = lightcurve.pair_sums(df, df, ["series"], lambda d: (np.rint(d).astype(np.int64), (d > 0) & (d <= 7)), terms, ["p"], later=True, rows=4, longest=7, group=group)
+        assert {(r.series, r.lag): r.n for r in near.collect()} == {k: n for k, (n, _) in want.items() if k[1] <= 7}
