@@ -478,9 +478,9 @@ def x2(spark, sf):
     """A user's summary of each run, made of parts of it that are then merged."""
 
     def summary(rows):
-        return rows.groupby("obs_id", as_index=False).agg(n=("event_id", "size"), hardest=("energy", "max"))
+        return rows.groupby("obs_id", as_index=False, dropna=False).agg(n=("event_id", "size"), hardest=("energy", "max"))
 
     def merge(parts):
-        return parts.groupby("obs_id", as_index=False).agg(n=("n", "sum"), hardest=("hardest", "max"))
+        return parts.groupby("obs_id", as_index=False, dropna=False).agg(n=("n", "sum"), hardest=("hardest", "max"))
 
     return M.per_key(D.photons(spark, sf).select("obs_id", "event_id", "energy"), ["obs_id"], summary, "obs_id bigint, n bigint, hardest double", merge)

@@ -47,12 +47,33 @@ def reduce_with(df: DataFrame, keep: list[str], f: Callable[[pd.Series], float],
 def per_key(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, parts: int = 4) -> DataFrame:
     """Run a user's function on the rows of each observation, data set or interval.
 
-    With ``merge``, which turns results of parts into one of the same schema, a key's rows are dealt to ``parts`` tasks first.
+    With ``merge``, a key's rows are dealt to ``parts`` tasks first, and both functions get batches of rows of many keys and return
+    rows of each: ``f`` turns rows into results of parts, ``merge`` results of parts into one a key, of the same schema.
     """
     if merge is None:
         return df.groupBy(*keys).applyInPandas(f, schema)
-    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    return dealt.groupBy(*keys, "_part").applyInPandas(lambda rows: f(rows.drop(columns="_part")), schema).groupBy(*keys).applyInPandas(merge, schema)
+    dealt = df.repartition(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(parts))).sortWithinPartitions(*keys)
+
+    def one(batches):
+        for rows in batches:
+            if len(rows):
+                yield f(rows)
+
+    def whole(batches):
+        """Merge sorted results batch by batch; the last key waits for the next batch."""
+        held = None
+        for rows in batches:
+            if not len(rows):
+                continue
+            held = merge(rows if held is None else pd.concat([held, rows], ignore_index=True))
+            last = rows[keys].iloc[-1]
+            open_ = (held[keys].eq(last) | (held[keys].isna() & last.isna())).all(axis=1)
+            yield held[~open_]
+            held = held[open_]
+        if held is not None:
+            yield held
+
+    return dealt.mapInPandas(one, schema).repartition(*keys).sortWithinPartitions(*keys).mapInPandas(whole, schema)
 
 
 def quantile(df: DataFrame, value: str, q: float) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.functions.axis import Axis
-from photonlake.operators import lightcurve
+from photonlake.operators import lightcurve, maps
 
 
 def test_middle_of_two_edges(spark):
@@ -53,3 +53,27 @@ def test_pair_sums_leave_a_group_once_for_each_lag(spark, group):
         assert {(r.series, r.lag): (r.n, r.p) for r in both.collect()} == {k: (n, pytest.approx(p)) for k, (n, p) in want.items()}
         near = lightcurve.pair_sums(df, df, ["series"], lambda d: (np.rint(d).astype(np.int64), (d > 0) & (d <= 7)), terms, ["p"], later=True, rows=4, longest=7, group=group)
         assert {(r.series, r.lag): r.n for r in near.collect()} == {k: n for k, (n, _) in want.items() if k[1] <= 7}
+
+
+def test_parts_of_many_keys_come_in_few_calls(spark):
+    """A call for each key and part made thousands of small frames; a key whose rows are in several batches is merged once."""
+    calls = spark.sparkContext.accumulator(0)
+    df = spark.range(4000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 997).alias("k"), "id")
+
+    def count(rows):
+        calls.add(1)
+        return rows.groupby("k", as_index=False, dropna=False).agg(n=("id", "size"))
+
+    merge = lambda parts: parts.groupby("k", as_index=False, dropna=False).agg(n=("n", "sum"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = [(r.k, r.n) for r in maps.per_key(df, ["k"], count, "k bigint, n bigint", merge).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for i in range(4000):
+        k = i % 997 if i % 5 else None
+        want[k] = want.get(k, 0) + 1
+    assert len(got) == len(want) and dict(got) == want
+    assert calls.value < 200
