@@ -15,14 +15,15 @@ def _fold(n: int, start: Column, step, finish=None) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, finish) if finish else F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)
 
 
-def _given(x: Column, use) -> Column:
+def given(x: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
     return F.element_at(F.transform(F.array(x), use), 1)
 
 
 def _erfc_positive(x: Column) -> Column:
     square = x * x
     start = F.struct(x.alias("term"), x.alias("sum"))
-    step = lambda s, n: _given(s["term"] * 2 * square / (2 * n + 1), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum")))
+    step = lambda s, n: given(s["term"] * 2 * square / (2 * n + 1), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum")))
     series = 1 - 2 / math.sqrt(math.pi) * F.exp(-square) * _fold(60, start, step, lambda s: s["sum"])
     fraction = F.exp(-square) / math.sqrt(math.pi) / _fold(60, x, lambda f, n: x + (61 - n) / 2 / f)
     return F.when(x < 2.5, series).otherwise(fraction)
@@ -30,7 +31,7 @@ def _erfc_positive(x: Column) -> Column:
 
 def erfc(x: Column) -> Column:
     """The complementary error function, to about 14 digits, relative in the upper tail."""
-    return _given(x, lambda v: F.when(v < 0, 2 - _erfc_positive(-v)).otherwise(_erfc_positive(v)))
+    return given(x, lambda v: F.when(v < 0, 2 - _erfc_positive(-v)).otherwise(_erfc_positive(v)))
 
 
 def log_gamma(a: Column) -> Column:
@@ -50,12 +51,12 @@ def gamma_tail(a: Column, x: Column, terms: int = 500) -> Column:
     def tail(v: Column) -> Column:
         a, x, head = v["a"], v["x"], v["a"] * F.log(v["x"]) - v["x"]
         start = F.struct((1 / a).alias("term"), (1 / a).alias("sum"))
-        step = lambda s, n: _given(s["term"] * x / (a + n), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum")))
+        step = lambda s, n: given(s["term"] * x / (a + n), lambda t: F.struct(t.alias("term"), (s["sum"] + t).alias("sum")))
         lower = F.exp(head - log_gamma(a)) * _fold(terms, start, step, lambda s: s["sum"])
         fraction = _fold(terms, x + 2 * terms + 1 - a, lambda f, n: x + 2 * (terms + 1 - n) - 1 - a - (terms + 1 - n) * (terms + 1 - n - a) / f)
         return F.when(x <= 0, 1.0).when(x < a + 1, 1 - lower).otherwise(F.exp(head - log_gamma(a)) / fraction)
 
-    return _given(F.struct(a.cast("double").alias("a"), x.cast("double").alias("x")), tail)
+    return given(F.struct(a.cast("double").alias("a"), x.cast("double").alias("x")), tail)
 
 
 def chi2_tail(ts: Column, df: Column) -> Column:

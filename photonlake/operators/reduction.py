@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photonlake.functions import tails
+
 METHODS = ("aeff_default", "aeff_max", "edisp_bias", "bkg_peak", "bkg_invalid")
 
 
@@ -54,26 +56,37 @@ def reflected(obs: DataFrame, radius: float, excluded: list[tuple[float, float,
 
     The circle is turned about the pointing, from its own angular size and ``first`` on; a region that touches an
     excluded circle (x, y, radius) makes way by ``increment``, one that serves by the angular size. A pointing inside
-    the circle has no regions. The walk is one fold over the steps that a full turn can hold.
+    the circle has no regions. The walk is one fold over the steps that a full turn can hold, made once for each pointing
+    and settled by a generator of one row, since a filter on regions would otherwise repeat it; pointings are few bytes
+    and much work, so they are dealt to a fixed number of tasks.
     """
+    spark = obs.sparkSession
+    pointing = ["lon_pnt", "lat_pnt"]
     away = F.sqrt(F.col("lon_pnt") * F.col("lon_pnt") + F.col("lat_pnt") * F.col("lat_pnt"))
-    rows = obs.withColumn("_size", F.when(away > radius, 2 * F.asin(radius / away)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = obs.select(*pointing).distinct().repartition(tasks, *pointing).withColumn("_size", F.when(away > radius, 2 * F.asin(radius / away))).filter("_size is not null")
     steps = F.sequence(F.lit(1), F.ceil(2 * math.pi / F.least(F.lit(increment), F.col("_size"))).cast("int") + 1)
     none = F.expr("cast(array() as array<struct<x: double, y: double>>)")
+    lp, bp = F.col("lon_pnt"), F.col("lat_pnt")
 
-    def step(s: Column, _: Column) -> Column:
-        t = s["angle"]
-        x = F.col("lon_pnt") - F.cos(t) * F.col("lon_pnt") + F.sin(t) * F.col("lat_pnt")
-        y = F.col("lat_pnt") - F.sin(t) * F.col("lon_pnt") - F.cos(t) * F.col("lat_pnt")
+    def turned(s: Column, p: Column) -> Column:
         clash = F.lit(False)
         for ex, ey, er in excluded:
-            clash = clash | ((x - ex) * (x - ex) + (y - ey) * (y - ey) < (radius + er) ** 2)
-        more = t < 2 * math.pi - F.col("_size") - first
-        found = F.when(clash, s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(x.alias("x"), y.alias("y")))))
-        return F.when(more, F.struct((t + F.when(clash, F.lit(increment)).otherwise(F.col("_size"))).alias("angle"), found.alias("found"))).otherwise(s)
+            clash = clash | ((p["x"] - ex) * (p["x"] - ex) + (p["y"] - ey) * (p["y"] - ey) < (radius + er) ** 2)
+        makes_way = F.struct((s["angle"] + increment).alias("angle"), s["found"].alias("found"))
+        serves = F.struct((s["angle"] + F.col("_size")).alias("angle"), F.concat(s["found"], F.array(p)).alias("found"))
+        return F.when(clash, makes_way).otherwise(serves)
+
+    def step(s: Column, _: Column) -> Column:
+        t = s["angle"]
+        place = lambda c: F.struct((lp - c["cos"] * lp + c["sin"] * bp).alias("x"), (bp - c["sin"] * lp - c["cos"] * bp).alias("y"))
+        at = tails.given(F.struct(F.cos(t).alias("cos"), F.sin(t).alias("sin")), place)
+        return F.when(t < 2 * math.pi - F.col("_size") - first, tails.given(at, lambda p: turned(s, p))).otherwise(s)
 
     walk = F.aggregate(steps, F.struct((F.col("_size") + first).alias("angle"), none.alias("found")), step, lambda s: s["found"])
-    return rows.withColumn("regions", F.when(F.col("_size").isNull(), none).otherwise(walk)).drop("_size")
+    walked = rows.select(*[F.col(c).alias(f"_{c}") for c in pointing], F.explode(F.array(walk)).alias("_regions"))
+    met = obs.join(walked, (F.col("lon_pnt") == F.col("_lon_pnt")) & (F.col("lat_pnt") == F.col("_lat_pnt")), "left")
+    return met.select(*obs.columns, F.coalesce("_regions", none).alias("regions"))
 
 
 def on_off(events: DataFrame, regions: DataFrame, radius: float) -> DataFrame:

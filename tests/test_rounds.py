@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.functions.axis import Axis
-from photonlake.operators import lightcurve, maps
+from photonlake.operators import lightcurve, maps, reduction
 
 
 def test_middle_of_two_edges(spark):
@@ -77,3 +77,14 @@ def test_parts_of_many_keys_come_in_few_calls(spark):
         want[k] = want.get(k, 0) + 1
     assert len(got) == len(want) and dict(got) == want
     assert calls.value < 200
+
+
+def test_reflected_regions_walk_once(spark):
+    """Taking regions apart filters on them; the walk stood in that filter again, and every run of one pointing walked by itself."""
+    obs = spark.createDataFrame([(i, 0.5 * (i % 3), 0.5, 7) for i in range(30)] + [(90, 0.0, 0.0, 7), (91, None, 1.0, 7)], "obs_id int, lon_pnt double, lat_pnt double, rest int")
+    out = reduction.reflected(obs, 0.2, [(0.9, 0.3, 0.25)])
+    assert out.columns == [*obs.columns, "regions"]
+    n = {r.obs_id: r.regions for r in out.collect()}
+    assert len(n) == 32 and n[90] == n[91] == [] and all(n[i] == n[i % 3] and n[i] for i in range(30))
+    plan = out.select("obs_id", F.explode("regions"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
