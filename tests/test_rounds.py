@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonlake.functions.axis import Axis
+from photonlake.llm import skew
 from photonlake.operators import lightcurve, maps, reduction
 
 
@@ -88,3 +89,30 @@ def test_reflected_regions_walk_once(spark):
     assert len(n) == 32 and n[90] == n[91] == [] and all(n[i] == n[i % 3] and n[i] for i in range(30))
     plan = out.select("obs_id", F.explode("regions"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_rows_that_are_not_wanted_are_not_shuffled(spark):
+    """A semi join with more ids than are broadcast shuffled every text; a filter now leaves out most of them before."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 50 != 7, F.col("id") * 977 - 100).alias("doc_id"), F.lit("text").alias("text"))
+    named = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for key in named:
+        spark.conf.set(key, "-1")
+    try:
+        for ids, most, through in (([977 * i - 100 for i in range(0, 4000, 100)], 4096, 400), ([-100, 5], 4096, 100), ([], 4096, 100), ([977 * i - 100 for i in range(3500)], 1, 4000)):
+            wanted = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+            out = skew.among(docs, wanted, "doc_id", most)
+            rows = out._jdf.collectAsList()
+            assert sorted(r.getLong(0) for r in rows) == [i for i in ids if i in {977 * k - 100 for k in range(4000) if k % 50 != 7}]
+            assert out.columns == ["doc_id", "text"]
+            assert sum(_written(out._jdf.queryExecution().executedPlan())) <= through + 2 * len(ids)
+    finally:
+        for key in named:
+            spark.conf.unset(key)
+
+
+def _written(node) -> list[int]:
+    """Rows that each exchange of an executed plan has written."""
+    inner = [getattr(node, name)() for kind, name in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if node.getClass().getSimpleName().endswith(kind)]
+    children = inner or [node.children().apply(i) for i in range(node.children().size())]
+    own = [node.metrics().apply("shuffleRecordsWritten").value()] if node.metrics().contains("shuffleRecordsWritten") else []
+    return own + [n for c in children for n in _written(c)]
