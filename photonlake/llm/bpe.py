@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from photonlake.llm import bytescan as B
-from photonlake.llm.pieces import HashTable, PieceIds
+from photonlake.llm.pieces import SLICE_BYTES, HashTable, PieceIds
 from photonlake.llm.storage import bounded_batches
 
 _NONE = np.int32(2**31 - 1)
 #: Longer pieces merge by a heap, whose cost does not grow with the square of the length; the ids are the same.
 LONGEST_ROW = 512
+#: Ids in a matrix at most; long pieces have fewer rows.
+MATRIX_CELLS = 1 << 18
 #: Upper lengths of the buckets.
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, LONGEST_ROW)
 
@@ -68,7 +70,7 @@ class ByteBPE:
         at = np.fromiter(self.pairs, np.uint64, len(self.pairs))
         self.table = HashTable(int(max(2, len(at))).bit_length() + 1)
         self.table.add(B.mix(at) | np.uint64(1), np.fromiter(self.pairs.values(), np.int32, len(at)))
-        self.cache = PieceIds(self.encode_pieces)
+        self.cache = PieceIds(self.encode_pieces, most=1 << 18, most_bytes=16 << 20)
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -93,8 +95,9 @@ class ByteBPE:
             else:
                 buckets.setdefault(int(bucket[i]), []).append(i)
         for b, members in buckets.items():
-            for lo in range(0, len(members), 20_000):
-                self._merge_rows([pieces[i] for i in members[lo : lo + 20_000]], BUCKETS[b], members[lo : lo + 20_000], out)
+            most = MATRIX_CELLS // BUCKETS[b]
+            for lo in range(0, len(members), most):
+                self._merge_rows([pieces[i] for i in members[lo : lo + most]], BUCKETS[b], members[lo : lo + most], out)
         return out
 
     def _merge_rows(self, pieces: list[bytes], width: int, where: list[int], out: list) -> None:
@@ -112,7 +115,7 @@ class ByteBPE:
             else:
                 done = np.ones(len(ids), bool)
             for i in np.flatnonzero(done):
-                out[rows[i]] = ids[i, : size[i]]
+                out[rows[i]] = ids[i, : size[i]].copy()  # a view would keep the round's whole matrix
             if done.all():
                 return
             if done.any():
@@ -168,14 +171,14 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """
     docs = docs.drop("ids")
     at = docs.columns.index(text)
-    return _mapped(docs, ["ids binary"], lambda batch: [[x.astype("<u4").tobytes() for x in encoder(vocabulary).cache.ids(batch.column(at))]])
+    return _mapped(docs, ["ids binary"], lambda batch: [[x.astype("<u4").tobytes() for x in encoder(vocabulary).cache.ids(batch.column(at))]], at)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The rows of ``encoded`` with ``decoded``: the bytes that ``ids`` stand for (null ids: none)."""
     encoded = encoded.drop("decoded")
     at = encoded.columns.index("ids")
-    return _mapped(encoded, ["decoded binary"], lambda batch: [[decoder(vocabulary).decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]])
+    return _mapped(encoded, ["decoded binary"], lambda batch: [[decoder(vocabulary).decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column(at)]], at)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
@@ -187,19 +190,23 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
         ids = list(encoder(vocabulary).cache.ids(batch.column(at)))
         return [[x.astype("<u4").tobytes() for x in ids], [decoder(vocabulary).decode(x) for x in ids]]
 
-    return _mapped(docs, ["ids binary", "decoded binary"], both, at)
+    return _mapped(docs, ["ids binary", "decoded binary"], both, at, dropped=True)
 
 
-def _mapped(rows: DataFrame, added: list[str], of, without: int | None = None) -> DataFrame:
-    """``rows`` (but for the column at ``without``) and the columns that ``of`` makes of a batch."""
-    kept = [i for i in range(len(rows.columns)) if i != without]
+def _mapped(rows: DataFrame, added: list[str], of, at: int, dropped: bool = False) -> DataFrame:
+    """``rows`` (without the column at ``at`` if ``dropped``) and the columns that ``of`` makes of a slice of a batch.
+
+    Slices go by the bytes of that column, so that results of long texts do not pile up to a whole batch.
+    """
+    kept = [i for i in range(len(rows.columns)) if not dropped or i != at]
     new = T.StructType.fromDDL(", ".join(added))
     schema = T.StructType([*(rows.schema.fields[i] for i in kept), *new.fields])
 
     def run(batches):
         for batch in batches:
-            columns = [pa.array(x, pa.binary()) for x in of(batch)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *columns], names=[*(batch.schema.names[i] for i in kept), *new.names])
+            for part in (batch.slice(i, j - i) for i, j, _, _ in B.slices(batch.column(at), SLICE_BYTES)):
+                columns = [pa.array(x, pa.binary()) for x in of(part)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *columns], names=[*(part.schema.names[i] for i in kept), *new.names])
 
     return rows.mapInArrow(run, schema)
 

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 1 << 21
+#: For scans that hold up to some hundred bytes of intermediate arrays for each byte of a slice.
+SHORT_SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)

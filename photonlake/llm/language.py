@@ -67,7 +67,7 @@ class TextModel:
             counts: dict[str, np.ndarray] = {}
             for batch in batches:
                 lang = batch.column(1).to_pylist()
-                for first, end, data, offsets in B.slices(batch.column(0)):
+                for first, end, data, offsets in B.slices(batch.column(0), B.SHORT_SLICE_BYTES):
                     row, gram = grams(data, offsets)
                     names = np.array(lang[first:end])
                     for name in set(names):
@@ -88,7 +88,7 @@ class TextModel:
     def evidence(self, column: pa.Array) -> np.ndarray:
         """(rows, languages): log likelihoods, tempered to ``CERTAIN`` grams; without grams all 0."""
         out = []
-        for first, end, data, offsets in B.slices(column):
+        for first, end, data, offsets in B.slices(column, B.SHORT_SLICE_BYTES):
             row, gram = grams(data, offsets)
             n = np.bincount(row, minlength=end - first)
             total = np.stack([np.bincount(row, self.log[gram, k], minlength=end - first) for k in range(len(self.languages))], axis=1)

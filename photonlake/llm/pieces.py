@@ -17,6 +17,8 @@ import pyarrow as pa
 from photonlake.llm import bytescan as B
 
 LETTER, NUMBER, OTHER, WHITE = range(4)
+#: Intermediate arrays take up to some hundred bytes for each byte of a slice; shorter ones have too few new pieces at once.
+SLICE_BYTES = 1 << 19
 #: The contractions of the pattern, without their apostrophe.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
@@ -26,7 +28,9 @@ def _classes() -> np.ndarray:
     """Class of every code point."""
     import regex
 
-    points = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = 0
+    points = points.tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, points):
@@ -221,7 +225,7 @@ class PieceIds:
 
     def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each whole text, as unsigned 32-bit integers."""
-        for _, _, data, offsets in B.slices(column):
+        for _, _, data, offsets in B.slices(column, SLICE_BYTES):
             starts = split(data, offsets)
             entries = self.entries(data, starts)
             lengths = self.length[entries]

@@ -17,7 +17,7 @@ WIDTH = len(_ODD)
 
 def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row; a text of fewer words is one shingle, an empty one none."""
-    for first, end, data, offsets in B.slices(column):
+    for first, end, data, offsets in B.slices(column, B.SHORT_SLICE_BYTES):
         hashes, bounds = B.word_hashes(data, offsets)
         n = len(hashes)
         rolled = np.zeros(max(0, n - WIDTH + 1), np.uint64)
