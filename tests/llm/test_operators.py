@@ -796,3 +796,28 @@ def test_pipeline_drops_lines_that_occur_twice(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     want = {0: texts[0], 1: word("b", 70), 2: texts[2], 5: "\n", 6: None}
     assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+
+def test_blocks_of_queries_are_not_copied_for_each_shelf(spark):
+    """Rows of the table of shelves hold thresholds alone: with every vector in them, a batch of the reader outgrew the executor."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(600, 64)).astype(np.float32))]
+    search = PivotSearch(spark, every=5, block=16, query_block=40, pivots=4, sample=64)
+    assert search.run(vectors(spark, rows)).count() == 1200
+    asked = spark.read.parquet(search.scratch.path("asked"))
+    assert asked.count() > asked.select("q_block").distinct().count()
+    assert max(len(r.floor) for r in asked.collect()) < 100 and asked.toArrow().nbytes < asked.count() * 100 * 10
+
+
+def test_scores_near_the_threshold_survive_rounded_distances(spark):
+    """Large components and near ties: distances in singles may rule out nothing that they should not."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16) * 1e4 + rng.normal(size=(500, 16)) * 1e-2
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x.astype(np.float32))]
+    whole = {i: [int(c) for c in np.floor(1024 * np.array(v)).tolist()] for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in PivotSearch(spark, block=32, query_block=3, pivots=8, sample=64).run(vectors(spark, rows)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in range(0, 500, 100):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
+        assert got[q] == [(i, -s) for s, i in want]
