@@ -6,10 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from photonlake.llm.bytescan import slices, word_hashes
 from photonlake.llm.embedding_dedup import GraphNearDuplicates, build_graph, medoid
-from photonlake.llm.phrases import Collocations, sort_suffixes
+from photonlake.llm.phrases import Collocations, Numbers, _touched, _untouched, sort_suffixes
 from photonlake.llm.prefix_trie import PrefixTrie, Skeleton, conversation_trie, conversation_turns
 
 TALK = "conv_id bigint, turn bigint, role string, text string, shard int, path string, part int"
@@ -127,6 +130,52 @@ def test_collocations_equal_brute_force(spark, bits, hot):
     assert {tuple(r) for r in got} == collocations(rows, 8, 40) and len(got) > 60
 
 
+class Routed(Collocations):
+    """Notes the bytes of suffixes that are routed."""
+
+    def _sorted(self, packed, *more):
+        self.bytes = packed.agg(F.sum(F.length("suffixes"))).first()[0]
+        self.strings = [c for c, kind in packed.dtypes if "string" in kind]
+        return super()._sorted(packed, *more)
+
+
+def test_buckets_grow_with_the_text(spark, monkeypatch):
+    """Many times the text that the buckets are meant for, most of it rare: what is routed is not more than with many buckets."""
+    rng = np.random.default_rng(11)
+    rows = [("en", " ".join(f"w{i}" for i in rng.zipf(1.25, 400).clip(max=200_000).tolist())) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, g, 1, 2, "p", 3) for i, (g, t) in enumerate(rows)], DOCS)
+    wide = Routed(spark, least=10, word_bits=20, pair_bits=22)
+    want = {tuple(r) for r in wide.run(docs, top=50).collect()}
+    monkeypatch.setattr(Collocations, "TEXT", 1 << 10, raising=False)
+    small = Routed(spark, least=10, word_bits=6, pair_bits=7)
+    assert {tuple(r) for r in small.run(docs, top=50).collect()} == want == collocations(rows, 10, 50)
+    assert small.bytes < 1.5 * wide.bytes and small.strings == ["langs"]
+
+
+def test_numbers_of_words():
+    names = pa.array(["b", "x" * 300, "Ä", "a-b"])
+    words = pa.array(["Ä", "c", "b", "x" * 300, "x" * 301, "a-b", "zz"])
+    for numbers in (Numbers(names), Numbers(names[:0])):
+        _, _, data, offsets = next(slices(words, 1 << 62))
+        hashes, _ = word_hashes(data, offsets)
+        want = [numbers.names.to_pylist().index(w) if w in numbers.names.to_pylist() else -1 for w in words.to_pylist()]
+        assert numbers.of(words, hashes).tolist() == want
+        numbers.alone = False
+        assert numbers.of(words, hashes).tolist() == want
+
+
+@pytest.mark.parametrize("least", [3, 100, 1000])
+def test_touched_buckets_are_told_by_parts(least):
+    rng = np.random.default_rng(least)
+    at = np.concatenate([rng.integers(0, 5 << 20, 5000), np.full(1500, 7), [0, (5 << 20) - 1, 1 << 20]])
+    got = collections.Counter()
+    for part, packed in _touched(at, least, 40):
+        places, times = _untouched(packed, least)
+        got.update({((part - 40) << 20) + p: n for p, n in zip(places.tolist(), times.tolist(), strict=True)})
+    assert got == {k: min(n, least) for k, n in collections.Counter(at.tolist()).items()}
+    assert not list(_touched(at[:0], least, 0))
+
+
 def test_collocations_of_an_empty_table(spark):
     for rows in ([], [(1, None, None, 1, 2, "p", 3)]):
         assert Collocations(spark).run(spark.createDataFrame(rows, DOCS)).count() == 0
